@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from shelfkin.functions import dates, numbers
@@ -40,8 +41,16 @@ def with_release_year(df: DataFrame) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
-    """Drop rows with a null (or NaN) in any column; an empty array is not null."""
-    return df.dropna()
+    """Drop rows with a null (or NaN) in any column; an empty array is not null.
+
+    Written as plain predicates, which reach the scan (those of `dropna` do not).
+    """
+    complete = F.lit(True)
+    for field in df.schema:
+        complete = complete & F.col(field.name).isNotNull()
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            complete = complete & ~F.isnan(field.name)
+    return df.filter(complete)
 
 
 def prepare_items(clean: DataFrame) -> DataFrame:
@@ -61,10 +70,12 @@ def prepare_items(clean: DataFrame) -> DataFrame:
 
 def label_terms(df: DataFrame) -> DataFrame:
     """Distinct `(slot, term)` of the label columns, in one pass over the items."""
-    terms = [
-        F.transform(F.col(c), lambda t, slot=slot: F.struct(F.lit(slot).alias("slot"), t.alias("term")))
-        for slot, c in enumerate(LABEL_COLUMNS)
-    ]
+
+    def slotted(slot: int, column: str) -> Column:
+        label = F.lit(slot).alias("slot")
+        return F.transform(column, lambda t: F.struct(label, t.alias("term")))
+
+    terms = [slotted(slot, c) for slot, c in enumerate(LABEL_COLUMNS)]
     exploded = df.select(F.explode(F.concat(*terms)).alias("label")).select("label.*")
     return exploded.filter(F.col("term").isNotNull()).distinct()
 
@@ -122,30 +133,39 @@ def multi_hot(df: DataFrame, vocab: DataFrame, key: str = "id") -> DataFrame:
     head = vocab.limit(SMALL_VOCABULARY + 1).collect()  # bounded by the limit
     if len(head) > SMALL_VOCABULARY:
         return _joined_labels(df, vocab, key)
-    positions = []
+    hot_columns = []
     for kind in LABEL_COLUMNS:
-        terms = sorted((row.index, row.term) for row in head if row.kind == kind)
-        if not terms:
-            continue
-        model = CountVectorizerModel.from_vocabulary(
-            [t for _, t in terms], inputCol=kind, outputCol=f"{kind}_hot"
-        ).setBinary(True)
-        df = model.transform(df)
-        local = F.unwrap_udt(F.col(f"{kind}_hot"))["indices"]
-        positions.append(F.transform(local, lambda i, first=terms[0][0]: i + first))
-        df = df.withColumn(f"{kind}_hot", positions.pop())
-        positions.append(F.col(f"{kind}_hot"))
-    labels = F.concat(*positions) if positions else F.array().cast("array<int>")
-    hot_columns = [c for c in df.columns if c.endswith("_hot")]
+        terms = sorted((row["index"], row["term"]) for row in head if row["kind"] == kind)
+        if terms:
+            df = _encode(df, kind, [t for _, t in terms], terms[0][0])
+            hot_columns.append(f"{kind}_hot")
+    labels = F.concat(*hot_columns) if hot_columns else F.array().cast("array<int>")
     return df.withColumn("labels", labels).drop(*LABEL_COLUMNS, *hot_columns)
 
 
+def _encode(df: DataFrame, kind: str, terms: list[str], first: int) -> DataFrame:
+    """Adds `{kind}_hot`: positions of the labels present, counted from `first`."""
+    model = CountVectorizerModel.from_vocabulary(
+        terms, inputCol=f"{kind}_list", outputCol=f"{kind}_vector"
+    ).setBinary(True)
+    # The encoder rejects a null array, even on a row that a filter is about to drop.
+    listed = df.withColumn(f"{kind}_list", F.coalesce(kind, F.array().cast("array<string>")))
+    found = F.unwrap_udt(F.col(f"{kind}_vector"))["indices"]
+    return (
+        model.transform(listed)
+        .withColumn(f"{kind}_hot", F.transform(found, lambda i: i + first))
+        .drop(f"{kind}_list", f"{kind}_vector")
+    )
+
+
 def _joined_labels(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """Label positions by a skew-safe join, for vocabularies that stay distributed."""
-    terms = [
-        F.transform(F.array_distinct(F.col(c)), lambda t, c=c: F.concat(F.lit(f"{c}:"), t))
-        for c in LABEL_COLUMNS
-    ]
+
+    def prefixed(column: str) -> Column:
+        prefix = F.lit(f"{column}:")
+        return F.transform(F.array_distinct(column), lambda t: F.concat(prefix, t))
+
+    terms = [prefixed(c) for c in LABEL_COLUMNS]
     exploded = df.select(key, F.explode(F.concat(*terms)).alias("term"))
     keyed = vocab.select(F.concat("kind", F.lit(":"), "term").alias("vocab_term"), "index")
     found = lookup_join(exploded, keyed, "term", "vocab_term", [key], how="inner")

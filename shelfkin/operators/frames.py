@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 # than HOT_KEYS hot keys: that is what bounds the broadcast in `lookup_join`.
 HOT_KEYS = 200
 
-
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns, and fail on a name that is not there (`DataFrame.drop` would not)."""
     missing = [n for n in names if n not in df.columns]
@@ -34,6 +33,7 @@ def conform_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _salts(df: DataFrame) -> int:
+    """Salts for a hot key: as many as there are shuffle partitions to fill."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -60,8 +60,13 @@ def lookup_join(
     """Equi join that stays balanced when a few keys hold most of the rows of `left`.
 
     Left rows of a hot key (and of a null key, which matches nothing) are spread over salts
-    by the hash of `spread_by`; only the right rows of hot keys are repeated per salt.
-    The right key is dropped from the result.
+    by the hash of `spread_by`; only the right rows of hot keys are repeated per salt.  The
+    right key is dropped from the result.  `left` is read twice, once for its key alone, so
+    it should be a table and not a long plan.
+
+    Adaptive execution alone would not do: it splits a skewed partition only where both
+    sides of the join come straight from a shuffle, and here the right side often is an
+    aggregate.
     """
     n = _salts(left)
     hot = F.broadcast(hot_keys(left, left_key))  # fewer than HOT_KEYS rows

@@ -30,7 +30,9 @@ PAIRS_AT_ONCE = 1 << 20  # pairs scored in one numpy step
 MASK_WORDS = 1 << 22  # 64-bit words of query masks held at a time
 CHARACTER_CLASSES = 256  # columns of the character counts
 
-MATCH_SCHEMA = "query string, matched_title string, ratio double, first_id bigint"
+MATCH_SCHEMA = (
+    "query string, matched_title string, ratio double, title_id bigint, owner_id bigint"
+)
 
 
 def first_ids(metadata: DataFrame) -> DataFrame:
@@ -61,31 +63,34 @@ def match_fuzzy(
     query = F.lower("title") if normalize_case else F.col("title")
     keyed = requests.withColumn("query", query)
     queries = keyed.select("query").filter(F.col("query").isNotNull()).distinct()
-    titles = metadata.filter(F.col("title").isNotNull()).groupBy("title").agg(
-        F.min("id").alias("title_id")
-    )
-    # The id answered is the first one whose lower-cased title equals the match's.
-    owners = first_ids(metadata)
-    best = best_titles(queries, titles, threshold)
-    best = best.withColumn("title_key", F.lower("matched_title"))
-    best = lookup_join(best, owners, "title_key", "known_title", ["query"])
-    best = best.select(
+    best = best_titles(queries, distinct_titles(metadata), threshold).select(
         F.col("query").alias("known_query"),
         "matched_title",
         "ratio",
-        F.col("first_id").alias("matched_id"),
+        F.col("owner_id").alias("matched_id"),
     )
     return lookup_join(keyed, best, "query", "known_query", ["request_id"]).drop("query")
 
 
+def distinct_titles(metadata: DataFrame) -> DataFrame:
+    """Each title once: `title_id` is its first id, `owner_id` the first whatever the case."""
+    any_case = Window.partitionBy(F.lower("title"))
+    return (
+        metadata.filter(F.col("title").isNotNull())
+        .groupBy("title")
+        .agg(F.min("id").alias("title_id"))
+        .withColumn("owner_id", F.min("title_id").over(any_case))
+    )
+
+
 def best_titles(queries: DataFrame, titles: DataFrame, threshold: int) -> DataFrame:
     """Best title at or above the threshold for each distinct query.
 
-    `queries(query)` and `titles(title, title_id)` hold each string once.
+    `queries(query)` and `titles(title, title_id, owner_id)` hold each string once.
     """
     same = F.col("query") == F.col("title")
     equal = queries.join(titles, same).select(
-        "query", F.col("title").alias("matched_title"), F.lit(100.0).alias("ratio")
+        "query", F.col("title").alias("matched_title"), F.lit(100.0).alias("ratio"), "owner_id"
     )
     rest = queries.join(titles.select("title"), same, "left_anti")
     tiles = _tiles(rest, titles, threshold)
@@ -95,9 +100,9 @@ def best_titles(queries: DataFrame, titles: DataFrame, threshold: int) -> DataFr
     found = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(
         _tile_matches(threshold), MATCH_SCHEMA
     )
-    order = Window.partitionBy("query").orderBy(F.desc("ratio"), "first_id")
+    order = Window.partitionBy("query").orderBy(F.desc("ratio"), "title_id")
     near = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") == 1)
-    return equal.unionByName(near.select("query", "matched_title", "ratio"))
+    return equal.unionByName(near.select(equal.columns))
 
 
 def _length_bucket(text: str):
@@ -242,7 +247,7 @@ def _tile_matches(threshold: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def matches(query_table: pa.Table, title_table: pa.Table) -> pa.Table:
         query_text = query_table["query"].to_pylist()
         title_text = title_table["title"].to_pylist()
-        ids = title_table["title_id"].to_numpy()
+        ids, owners = (title_table[c].to_numpy() for c in ("title_id", "owner_id"))
         best = np.full(len(query_text), -1.0)
         chosen = np.zeros(len(query_text), dtype=np.int64)
         if query_text and title_text:
@@ -285,7 +290,8 @@ def _tile_matches(threshold: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 "query": pa.array([query_text[i] for i in keep], pa.string()),
                 "matched_title": pa.array([title_text[chosen[i]] for i in keep], pa.string()),
                 "ratio": pa.array(best[keep], pa.float64()),
-                "first_id": pa.array(ids[chosen[keep]], pa.int64()),
+                "title_id": pa.array(ids[chosen[keep]], pa.int64()),
+                "owner_id": pa.array(owners[chosen[keep]], pa.int64()),
             }
         )
 

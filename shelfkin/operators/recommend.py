@@ -13,6 +13,7 @@ from shelfkin.functions import numbers
 from shelfkin.operators.frames import lookup_join
 from shelfkin.operators.matching import FUZZY_THRESHOLD, match_exact, match_fuzzy
 from shelfkin.operators.similarity import topk_for
+from shelfkin.sources.snapshots import stored
 
 DEFAULT_TOP_N = 5
 
@@ -45,13 +46,13 @@ def lookup_status(checked: DataFrame) -> DataFrame:
 
 def neighbors_of(matched: DataFrame, neighbors: DataFrame) -> DataFrame:
     """The stored neighbours of each matched item; requests without any keep one row."""
-    stored = neighbors.select(
+    model = neighbors.select(
         F.col("id").alias("owner_id"),
         F.col("neighbor_id").alias("id"),
         "similarity",
         "rank",
     )
-    return lookup_join(matched, stored, "matched_id", "owner_id", ["request_id"])
+    return lookup_join(matched, model, "matched_id", "owner_id", ["request_id"])
 
 
 def top_n(ranked: DataFrame) -> DataFrame:
@@ -104,9 +105,10 @@ def answer(
     """
     if modeled_ids is None:
         modeled_ids = neighbors.filter(F.col("rank") == 1).select("id")
-    requests = matched.select("request_id", "title", "top_n", "matched_id")
-    checked = lookup_status(check_modeled(requests, modeled_ids))
-    ranked = top_n(neighbors_of(checked, neighbors))
+    # Each lookup reads its left side twice; the tables in between keep the plan linear.
+    requests = stored(matched.select("request_id", "title", "top_n", "matched_id"), "matched")
+    checked = stored(lookup_status(check_modeled(requests, modeled_ids)), "checked")
+    ranked = stored(top_n(neighbors_of(checked, neighbors)), "ranked")
     return round_scores(attach_metadata(ranked, metadata)).select(
         "request_id", "status", "rank", "id", "title", "description", "tags", "similarity"
     )
