@@ -20,10 +20,11 @@ STATUS_WEIGHTS = {
 def coerce_numeric(text: Column) -> Column:
     """Text to double; unparseable text becomes null, and so does NaN.
 
-    Spark also accepts Java's type suffixes (`1d`, `2f`), which are not numbers here.
+    Spark also accepts Java's type suffixes (`1d`, `2f`) and hexadecimal floats (`0x1p3`),
+    which are not numbers here.
     """
-    suffixed = text.rlike(r"(?i)[df]\s*$") & ~text.rlike(r"(?i)inf\s*$")
-    value = F.when(~suffixed, text.try_cast("double"))
+    java_only = text.rlike(r"(?i)x|(?<!in)[df]\s*$")
+    value = F.when(~java_only, text.try_cast("double"))
     return F.nullif(value, F.lit(float("nan")))
 
 

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace set of Python's `str` (wider than Java's `\s`), and the
-# patterns of the description clean-up in the order they apply.  (?iud) = ignore case,
-# Unicode case folding, `\n` as the only line end.
-WHITESPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-SOURCE_NOTE = rf"(?iud)[(\[]{WHITESPACE}*Source:[^)\]]+[)\]]"
+# The whitespace of Python's `str`, as characters and as a Java class (with the
+# U flag `\s` is Unicode whitespace, which lacks only the four separators), and the patterns
+# of the description clean-up in the order they apply.  (?iUd) = ignore case, Unicode
+# classes and case folding, `\n` as the only line end.
+WHITESPACE_CHARACTERS = (
+    "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85"
+    "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+WHITESPACE = r"[\s\x1c\x1d\x1e\x1f]"
+SOURCE_NOTE = rf"(?iUd)[(\[]{WHITESPACE}*Source:[^)\]]+[)\]]"
 TRAILING_NOTE = r"(?iud)Note:[^.]*\.?$"
-LINE_BREAK_TAG = rf"(?iud)<br{WHITESPACE}*/?>"
+LINE_BREAK_TAG = rf"(?iUd)<br{WHITESPACE}*/?>"
+WHITESPACE_RUN = rf"(?U){WHITESPACE}{{2,}}"
 
 TITLE_KEYS = ("english", "romaji", "native")
 
@@ -49,8 +56,8 @@ def clean_description(text: Column) -> Column:
     out = F.regexp_replace(out, TRAILING_NOTE, "")
     out = F.regexp_replace(out, LINE_BREAK_TAG, " ")
     out = F.replace(out, F.lit("\n"), F.lit(" "))
-    out = F.regexp_replace(out, f"{WHITESPACE}{{2,}}", " ")
-    return F.regexp_replace(out, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    out = F.regexp_replace(out, WHITESPACE_RUN, " ")
+    return F.btrim(out, F.lit(WHITESPACE_CHARACTERS))
 
 
 def upper_status(status: Column) -> Column:
