@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are always fewer
-# than HOT_KEYS hot keys: that is what bounds the broadcast in `lookup_join`.
-HOT_KEYS = 200
+# A key is hot when it holds more than 1/HOT_KEYS of the rows.
+HOT_KEYS = 100
+SKETCHES = 64  # frequent-item sketches the keys are divided over
+TRACKED = 2048  # keys tracked by one sketch
 
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns, and fail on a name that is not there (`DataFrame.drop` would not)."""
@@ -37,16 +38,21 @@ def _salts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys of `df` that hold more than 1/HOT_KEYS of its rows (fewer than HOT_KEYS keys).
+def hot_keys(df: DataFrame, key: str) -> list:
+    """Keys (None among them) that hold more than about 1/HOT_KEYS of the rows of `df`.
 
-    The count combines on the map side, so a hot key costs one row per map task.
+    Counted by frequent-item sketches of fixed size, so nothing is shuffled by key and the
+    driver sees SKETCHES short rows.  The sketches may err near the bar, which only moves
+    the line between salted and unsalted keys: both sides of a join use the same list.
     """
-    counts = df.groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("total"))
-    return counts.filter(
-        F.col("hot_key").isNotNull() & (F.col("rows") * HOT_KEYS > total.scalar())
-    ).select("hot_key")
+    sketch = F.call_function("approx_top_k", F.col(key), F.lit(HOT_KEYS), F.lit(TRACKED))
+    rows = (
+        df.groupBy(F.pmod(F.xxhash64(key), F.lit(SKETCHES)).alias("part"))
+        .agg(sketch.alias("top"), F.count(F.lit(1)).alias("rows"))
+        .collect()
+    )
+    bar = sum(r.rows for r in rows) / HOT_KEYS
+    return [entry["item"] for r in rows for entry in r.top if entry["count"] > bar]
 
 
 def lookup_join(
@@ -68,22 +74,19 @@ def lookup_join(
     sides of the join come straight from a shuffle, and here the right side often is an
     aggregate.
     """
+    keyed = right.withColumnRenamed(right_key, "lookup_key")
+    same_key = F.col(left_key) == F.col("lookup_key")
+    hot = hot_keys(left, left_key)
+    if not hot:
+        return left.join(keyed, same_key, how).drop("lookup_key")
     n = _salts(left)
-    hot = F.broadcast(hot_keys(left, left_key))  # fewer than HOT_KEYS rows
-    is_hot = F.col("hot_key").isNotNull()
+    values = [k for k in hot if k is not None]
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int")
-    last_salt = F.when(is_hot, F.lit(n - 1)).otherwise(F.lit(0))
-    salted_left = left.join(hot, F.col(left_key) == F.col("hot_key"), "left").select(
-        *left.columns,
-        F.when(is_hot | F.col(left_key).isNull(), spread).otherwise(F.lit(0)).alias("left_salt"),
-    )
-    salted_right = (
-        right.withColumnRenamed(right_key, "lookup_key")
-        .join(hot, F.col("lookup_key") == F.col("hot_key"), "left")
-        .withColumn("right_salt", F.explode(F.sequence(F.lit(0), last_salt)))
-        .drop("hot_key")
-    )
-    on = (F.col(left_key) == F.col("lookup_key")) & (F.col("left_salt") == F.col("right_salt"))
+    is_spread = F.col(left_key).isNull() | F.col(left_key).isin(values)
+    last_salt = F.when(F.col("lookup_key").isin(values), F.lit(n - 1)).otherwise(F.lit(0))
+    salted_left = left.withColumn("left_salt", F.when(is_spread, spread).otherwise(F.lit(0)))
+    salted_right = keyed.withColumn("right_salt", F.explode(F.sequence(F.lit(0), last_salt)))
+    on = same_key & (F.col("left_salt") == F.col("right_salt"))
     return salted_left.join(salted_right, on, how).drop("lookup_key", "left_salt", "right_salt")
 
 

@@ -29,6 +29,8 @@ DECIMALS = 10
 BLOCK_BYTES = 32 << 20  # dense size of one block in a task
 SLICE_ROWS = 2048  # rows of either block multiplied at a time
 SLICE_COLUMNS = 4096  # feature columns made dense at a time
+SEED_COLUMNS = 256  # entries sorted to fill a list of neighbours
+MARGIN = 1e-9  # more than rounding can move a similarity
 MIN_BLOCK_ROWS = 512
 
 NEIGHBOR_SCHEMA = "id bigint, neighbor_id bigint, similarity double"
@@ -128,21 +130,14 @@ class _Block:
         n = len(self.ids)
         return [slice(i, min(i + SLICE_ROWS, n)) for i in range(0, n, SLICE_ROWS)]
 
-    def dense(self, rows: slice, used: np.ndarray, first: int) -> np.ndarray:
-        """Up to SLICE_COLUMNS feature columns (numeric, then `used` labels) of some rows."""
-        width = self.unit.shape[1]
-        last = min(first + SLICE_COLUMNS, width + len(used))
-        out = np.zeros((rows.stop - rows.start, last - first))
-        if first < width:
-            part = self.unit[rows, first : min(last, width)]
-            out[:, : part.shape[1]] = part
-        if len(used):
-            a, b = np.searchsorted(self.label_row, [rows.start, rows.stop])
-            label, row = self.label[a:b], self.label_row[a:b] - rows.start
-            at = np.minimum(np.searchsorted(used, label), len(used) - 1)
-            column = at + width - first
-            keep = (used[at] == label) & (column >= 0) & (column < last - first)
-            out[row[keep], column[keep]] = self.weight[rows][row[keep]]
+    def multi_hot(self, rows: slice, labels: np.ndarray) -> np.ndarray:
+        """0/1 columns of the given labels for some rows."""
+        out = np.zeros((rows.stop - rows.start, len(labels)), dtype=np.float32)
+        a, b = np.searchsorted(self.label_row, [rows.start, rows.stop])
+        label, row = self.label[a:b], self.label_row[a:b] - rows.start
+        at = np.minimum(np.searchsorted(labels, label), len(labels) - 1)
+        keep = labels[at] == label
+        out[row[keep], at[keep]] = 1.0
         return out
 
 
@@ -160,16 +155,20 @@ def _blocks(table: pa.Table) -> tuple[_Block, _Block, bool]:
 
 
 def _products(left: _Block, right: _Block) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """Cosines of the two blocks, rounded, one slice of each at a time."""
-    used = np.intersect1d(left.label, right.label)
-    columns = left.unit.shape[1] + len(used)
+    """Cosines of the two blocks, one slice of each at a time.
+
+    Labels in common are counted in single precision, where whole numbers are exact.
+    """
+    shared = np.intersect1d(left.label, right.label)
     for rows in left.slices():
         for cols in right.slices():
-            product = np.zeros((rows.stop - rows.start, cols.stop - cols.start))
-            for first in range(0, columns, SLICE_COLUMNS):
-                product += left.dense(rows, used, first) @ right.dense(cols, used, first).T
-            np.round(product, DECIMALS, out=product)
-            product += 0.0  # turns -0.0 into 0.0
+            product = left.unit[rows] @ right.unit[cols].T
+            if len(shared):
+                common = np.zeros(product.shape, dtype=np.float32)
+                for first in range(0, len(shared), SLICE_COLUMNS):
+                    some = shared[first : first + SLICE_COLUMNS]
+                    common += left.multi_hot(rows, some) @ right.multi_hot(cols, some).T
+                product += common * left.weight[rows, None] * right.weight[cols]
             yield rows, cols, product
 
 
@@ -188,13 +187,41 @@ class _Best:
         self.other = np.zeros((len(ids), k), dtype=np.int64)
 
     def add(self, rows: slice, product: np.ndarray, others: np.ndarray) -> None:
-        """Take in one slice; slices must come in ascending order of `others`."""
-        value, column = _largest(product, self.k)
-        value = np.concatenate([self.value[rows], value], axis=1)
-        other = np.concatenate([self.other[rows], others[column]], axis=1)
-        order = np.argsort(-value, axis=1, kind="stable")[:, : self.k]
-        self.value[rows] = np.take_along_axis(value, order, axis=1)
-        self.other[rows] = np.take_along_axis(other, order, axis=1)
+        """Take in one slice; slices must come in ascending order of `others`.
+
+        The first columns fill the list; from then on only entries above the last place
+        count, and an equal one never does, as its id is larger.
+        """
+        seeds = 0
+        if np.isneginf(self.value[rows, -1]).any():
+            seeds = min(product.shape[1], max(SEED_COLUMNS, 4 * self.k))
+            seed = np.round(product[:, :seeds], DECIMALS) + 0.0  # no negative zeros
+            value, column = _largest(seed, self.k)
+            value = np.concatenate([self.value[rows], value], axis=1)
+            other = np.concatenate([self.other[rows], others[column]], axis=1)
+            order = np.argsort(-value, axis=1, kind="stable")[:, : self.k]
+            self.value[rows] = np.take_along_axis(value, order, axis=1)
+            self.other[rows] = np.take_along_axis(other, order, axis=1)
+        bar = self.value[rows, -1]
+        r, c = np.nonzero(product[:, seeds:] > bar[:, None] - MARGIN)
+        c += seeds
+        value = np.round(product[r, c], DECIMALS) + 0.0
+        above = value > bar[r]
+        if above.any():
+            self._insert(rows.start + r[above], value[above], others[c[above]])
+
+    def _insert(self, row: np.ndarray, value: np.ndarray, other: np.ndarray) -> None:
+        """Merge single entries, which come in ascending order of `other` for each row."""
+        touched, at = np.unique(row, return_inverse=True)
+        place = np.concatenate([np.repeat(np.arange(len(touched)), self.k), at])
+        value = np.concatenate([self.value[touched].ravel(), value])
+        other = np.concatenate([self.other[touched].ravel(), other])
+        order = np.lexsort((-value, place))  # stable: equal values keep their order
+        place = place[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        order = order[rank < self.k]
+        self.value[touched] = value[order].reshape(-1, self.k)
+        self.other[touched] = other[order].reshape(-1, self.k)
 
     def table(self) -> pa.Table:
         keep = self.value > -np.inf
@@ -244,6 +271,7 @@ def _tile_pairs(keep_self: bool):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, diagonal = _blocks(pa.Table.from_batches(batches))
         for rows, cols, product in _products(left, right):
+            product = np.round(product, DECIMALS) + 0.0  # no negative zeros
             if not keep_self:
                 _mask_self(product, left.ids[rows], right.ids[cols])
             r, c = np.nonzero(product > -np.inf)

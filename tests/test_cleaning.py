@@ -106,3 +106,22 @@ def test_first_rows_is_exact_under_skew(spark):
     kept = frames.first_rows(df, "k", [F.col("pos")], ["pos"], 40).collect()
     assert sorted(r.pos for r in kept if r.k == 1) == list(range(40))
     assert sorted(r.pos for r in kept if r.k == 2) == [0, 1, 2]
+
+
+def test_hot_keys(spark):
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+        .when(F.col("id") % 3 == 1, F.lit(None))
+        .otherwise(F.col("id").cast("string"))
+        .alias("k")
+    )
+    assert sorted(frames.hot_keys(df, "k"), key=str) == [None, "hot"]
+    assert frames.hot_keys(spark.range(5000), "id") == []
+    assert frames.hot_keys(spark.range(0), "id") == []
+
+
+def test_lookup_join_without_hot_keys_is_plain(spark):
+    left, right = spark.range(1000), spark.range(500).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
+    out = frames.lookup_join(left, right, "id", "k", ["id"])
+    assert out.columns == ["id", "v"] and out.filter("v = 1").count() == 500
+    assert "left_salt" not in out._jdf.queryExecution().toString()
