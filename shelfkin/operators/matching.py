@@ -109,18 +109,25 @@ def _length_bucket(text: str):
     return F.floor(F.log(LENGTH_STEP, F.length(text) + 1)).cast("int")
 
 
-def _buckets(df: DataFrame, text: str) -> list:
-    """Length statistics, a row per bucket: at most 82 rows, as lengths are below 2**31."""
-    return (
-        df.groupBy(_length_bucket(text).alias("bucket"))
+def _buckets(queries: DataFrame, titles: DataFrame) -> tuple[list, list]:
+    """Length statistics of both sides, a row per bucket.
+
+    At most 82 rows a side reach the driver, as lengths are below 2**31.
+    """
+    both = queries.select(F.lit("query").alias("side"), F.col("query").alias("text")).unionAll(
+        titles.select(F.lit("title").alias("side"), F.col("title").alias("text"))
+    )
+    rows = (
+        both.groupBy("side", _length_bucket("text").alias("bucket"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.length(text)).alias("chars"),
-            F.min(F.length(text)).alias("shortest"),
-            F.max(F.length(text)).alias("longest"),
+            F.sum(F.length("text")).alias("chars"),
+            F.min(F.length("text")).alias("shortest"),
+            F.max(F.length("text")).alias("longest"),
         )
         .collect()
     )
+    return [r for r in rows if r.side == "query"], [r for r in rows if r.side == "title"]
 
 
 def _compatible(a, b, threshold: int) -> bool:
@@ -139,7 +146,7 @@ def _blocks_of(bucket) -> int:
 def _tiles(queries: DataFrame, titles: DataFrame, threshold: int):
     """Both sides keyed by tile: (length bucket, block) of a title x the same of a query."""
     spark = queries.sparkSession
-    query_buckets, title_buckets = _buckets(queries, "query"), _buckets(titles, "title")
+    query_buckets, title_buckets = _buckets(queries, titles)
     pairs = [
         (f"{q.bucket}-{t.bucket}", q.bucket, t.bucket, _blocks_of(q), _blocks_of(t))
         for q in query_buckets

@@ -99,14 +99,14 @@ def answer(
     metadata: DataFrame,
     modeled_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Answers for requests whose `matched_id` is known.
+    """Answers for requests whose `matched_id` is known; `matched` should be a table.
 
     `modeled_ids(id)` lists the items of the model; without it, those that have neighbours.
     """
     if modeled_ids is None:
         modeled_ids = neighbors.filter(F.col("rank") == 1).select("id")
-    # Each lookup reads its left side twice; the tables in between keep the plan linear.
-    requests = stored(matched.select("request_id", "title", "top_n", "matched_id"), "matched")
+    # Each lookup reads its left side more than once; tables in between keep the plan linear.
+    requests = matched.select("request_id", "title", "top_n", "matched_id")
     checked = stored(lookup_status(check_modeled(requests, modeled_ids)), "checked")
     ranked = stored(top_n(neighbors_of(checked, neighbors)), "ranked")
     return round_scores(attach_metadata(ranked, metadata)).select(
@@ -116,7 +116,7 @@ def answer(
 
 def recommend_exact(requests: DataFrame, neighbors: DataFrame, metadata: DataFrame) -> DataFrame:
     """Answers to requests that name a title exactly, whatever its case."""
-    matched = match_exact(valid_requests(requests), metadata)
+    matched = stored(match_exact(valid_requests(requests), metadata), "matched")
     return order_answers(answer(matched, neighbors, metadata))
 
 
@@ -129,21 +129,27 @@ def recommend_fuzzy(
 ) -> DataFrame:
     """Answers to requests that come close to a title."""
     matched = match_fuzzy(valid_requests(requests), metadata, threshold, normalize_case)
+    matched = stored(matched, "matched")
     return order_answers(answer(matched, neighbors, metadata))
 
 
 def extend_neighbors(
-    matched: DataFrame, neighbors: DataFrame, features: DataFrame, stored: int
+    matched: DataFrame, neighbors: DataFrame, features: DataFrame, stored_ranks: int
 ) -> DataFrame:
-    """Neighbour table that also serves requests for more than the `stored` neighbours.
+    """Neighbour table that also serves requests for more than the stored neighbours.
 
     Only the items such requests name are ranked again, against the whole catalogue.
     """
-    deep = matched.filter((F.col("top_n") > stored) & F.col("matched_id").isNotNull())
-    wanted = deep.agg(F.max("top_n").alias("most")).first().most
-    if wanted is None:
-        return neighbors
-    ids = deep.select(F.col("matched_id").alias("id")).distinct()
-    again = topk_for(features.join(ids, "id", "left_semi"), features, wanted)
-    kept = neighbors.join(ids, "id", "left_anti")
-    return kept.unionByName(again)
+    deep = matched.filter((F.col("top_n") > stored_ranks) & F.col("matched_id").isNotNull())
+    # The depth of an item is its largest request, rounded up to a power of two, so there
+    # are at most 31 depths, and a deep request does not deepen the others.
+    depth = F.pow(F.lit(2), F.ceil(F.log2(F.max("top_n")))).cast("int")
+    items = stored(
+        deep.groupBy(F.col("matched_id").alias("id")).agg(depth.alias("depth")), "deep"
+    )
+    served = neighbors.join(items, "id", "left_anti")
+    for row in items.select("depth").distinct().collect():
+        asked = items.filter(F.col("depth") == row.depth)
+        rows = features.join(asked, "id", "left_semi")
+        served = served.unionByName(topk_for(rows, features, row.depth))
+    return served

@@ -66,9 +66,12 @@ def _shape(features: DataFrame) -> tuple[int, int]:
     return row.n, row.numeric + row.labels
 
 
-def block_count(rows: int, columns: int, cores: int) -> int:
-    """Blocks so that each fits its byte budget and the tiles keep every core busy."""
-    row_bytes = 8 * max(1, min(columns, SLICE_COLUMNS))
+def block_count(rows: int, columns: int, cores: int, kept: int = 0) -> int:
+    """Blocks so that each fits its byte budget and the tiles keep every core busy.
+
+    A row takes its dense features and the `kept` neighbours (16 bytes each) it collects.
+    """
+    row_bytes = 8 * max(1, min(columns, SLICE_COLUMNS)) + 16 * kept
     by_size = math.ceil(rows * row_bytes / BLOCK_BYTES)
     by_cores = min(math.ceil(math.sqrt(4 * cores)), math.ceil(rows / MIN_BLOCK_ROWS))
     return max(1, by_size, by_cores)
@@ -314,8 +317,9 @@ def topk_neighbors(features: DataFrame, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be at least 1")
     rows, columns = _shape(features)
+    k = max(1, min(k, rows - 1))
     cores = features.sparkSession.sparkContext.defaultParallelism
-    tiled = _square_tiles(l2_normalize(features), block_count(rows, columns, cores))
+    tiled = _square_tiles(l2_normalize(features), block_count(rows, columns, cores, k))
     best = tiled.groupBy("tile").applyInArrow(_tile_best(k, True), NEIGHBOR_SCHEMA)
     return rank_neighbors(best, k)
 
@@ -327,10 +331,11 @@ def topk_for(queries: DataFrame, features: DataFrame, k: int) -> DataFrame:
     cores = features.sparkSession.sparkContext.defaultParallelism
     q_rows, q_columns = _shape(queries)
     rows, columns = _shape(features)
+    k = max(1, min(k, rows - 1))
     tiled = _cross_tiles(
         l2_normalize(queries),
         l2_normalize(features),
-        block_count(q_rows, q_columns, 1),
+        block_count(q_rows, q_columns, 1, k),
         block_count(rows, columns, cores * cores),
     )
     # A tile whose query or item block is empty has nothing to compare.

@@ -16,7 +16,15 @@ from shelfkin.operators import features as feat
 from shelfkin.operators import interactions, items, recommend, similarity
 from shelfkin.operators.matching import FUZZY_THRESHOLD, match_exact, match_fuzzy
 from shelfkin.sources import landing, metrics
-from shelfkin.sources.snapshots import CLEANED, FEATURES, MODELS, RAW, read_latest, write_snapshot
+from shelfkin.sources.snapshots import (
+    CLEANED,
+    FEATURES,
+    MODELS,
+    RAW,
+    read_latest,
+    stored,
+    write_snapshot,
+)
 
 # Dataset names.
 ITEMS, INTERACTIONS = "items", "interactions"
@@ -70,7 +78,7 @@ def ingest(
 
 
 def clean(spark: SparkSession, root: str, date: datetime.date | None = None) -> dict[str, int]:
-    cleaned_items = items.clean_items(read_latest(spark, root, RAW, ITEMS).drop("dt"))
+    cleaned_items = items.clean_items(read_latest(spark, root, RAW, ITEMS))
     cleaned = interactions.clean_interactions(read_latest(spark, root, RAW, INTERACTIONS))
     return {
         "items": _write(cleaned_items, root, CLEANED, ITEMS, date),
@@ -142,7 +150,8 @@ def recommend_batch(
         matched = match_fuzzy(asked, metadata, threshold, normalize_case)
     else:
         matched = match_exact(asked, metadata)
-    stored = neighbors.agg(F.max("rank").alias("k")).first().k or 0
-    served = recommend.extend_neighbors(matched, neighbors, features, stored)
+    ranks = neighbors.agg(F.max("rank").alias("k")).first().k or 0
+    matched = stored(matched, "matched")
+    served = recommend.extend_neighbors(matched, neighbors, features, ranks)
     answers = recommend.answer(matched, served, metadata, features.select("id"))
     return recommend.order_answers(answers)

@@ -73,8 +73,10 @@ def test_cleaning_twice_changes_nothing(spark):
     assert once.collect() == items.fill_sentinel(once).collect()
 
 
-def test_lookup_join_spreads_a_hot_key(spark):
+@pytest.mark.parametrize("small_keys", [0, 1 << 20])
+def test_lookup_join_spreads_a_hot_key(spark, monkeypatch, small_keys):
     """A third of the rows share one key and another third has none; no partition gets all."""
+    monkeypatch.setattr(frames, "SMALL_KEYS", small_keys)
     n = 3000
     left = spark.range(n).select(
         F.col("id").alias("rid"),
@@ -115,9 +117,9 @@ def test_hot_keys(spark):
         .otherwise(F.col("id").cast("string"))
         .alias("k")
     )
-    assert sorted(frames.hot_keys(df, "k"), key=str) == [None, "hot"]
-    assert frames.hot_keys(spark.range(5000), "id") == []
-    assert frames.hot_keys(spark.range(0), "id") == []
+    assert sorted(frames.profile_key(df, "k").hot, key=str) == [None, "hot"]
+    assert frames.profile_key(spark.range(5000), "id").hot == []
+    assert frames.profile_key(spark.range(0), "id") == ([], 0)
 
 
 def test_lookup_join_without_hot_keys_is_plain(spark):
