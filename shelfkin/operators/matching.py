@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfkin.operators.frames import lookup_join
+from shelfkin.sources.snapshots import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -88,20 +89,24 @@ def best_titles(queries: DataFrame, titles: DataFrame, threshold: int) -> DataFr
 
     `queries(query)` and `titles(title, title_id, owner_id)` hold each string once.
     """
+    # Both are read several times from here on, so they become tables.
+    titles = stored(titles, "titles")
     same = F.col("query") == F.col("title")
-    equal = queries.join(titles, same).select(
+    looked_up = stored(queries.join(titles, same, "left"), "queries")
+    found = F.col("title").isNotNull()
+    equal = looked_up.filter(found).select(
         "query", F.col("title").alias("matched_title"), F.lit(100.0).alias("ratio"), "owner_id"
     )
-    rest = queries.join(titles.select("title"), same, "left_anti")
+    rest = looked_up.filter(~found).select("query")
     tiles = _tiles(rest, titles, threshold)
     if tiles is None:
         return equal
     left, right = tiles
-    found = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(
+    rated = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(
         _tile_matches(threshold), MATCH_SCHEMA
     )
     order = Window.partitionBy("query").orderBy(F.desc("ratio"), "title_id")
-    near = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") == 1)
+    near = rated.withColumn("place", F.row_number().over(order)).filter(F.col("place") == 1)
     return equal.unionByName(near.select(equal.columns))
 
 
