@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfkin.operators.frames import lookup_join
+from shelfkin.operators.similarity import spread_tiles
 from shelfkin.sources.snapshots import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -152,33 +153,31 @@ def _tiles(queries: DataFrame, titles: DataFrame, threshold: int):
     """Both sides keyed by tile: (length bucket, block) of a title x the same of a query."""
     spark = queries.sparkSession
     query_buckets, title_buckets = _buckets(queries, titles)
-    pairs = [
-        (f"{q.bucket}-{t.bucket}", q.bucket, t.bucket, _blocks_of(q), _blocks_of(t))
-        for q in query_buckets
-        for t in title_buckets
-        if _compatible(q, t, threshold)
-    ]
+    pairs, count = [], 0
+    for q in query_buckets:
+        for t in title_buckets:
+            if _compatible(q, t, threshold):
+                q_blocks, t_blocks = _blocks_of(q), _blocks_of(t)
+                pairs.append((q.bucket, t.bucket, q_blocks, t_blocks, count))
+                count += q_blocks * t_blocks
     if not pairs:
         return None
-    # At most 82 x 82 rows, whatever the data.
+    # At most 82 x 82 rows, whatever the data; `first` numbers the tiles of each pair.
     plan = spark.createDataFrame(
-        pairs, "pair string, q_bucket int, t_bucket int, q_blocks int, t_blocks int"
+        pairs, "q_bucket int, t_bucket int, q_blocks int, t_blocks int, first int"
     )
-    count = sum(p[3] * p[4] for p in pairs)
-    cores = spark.sparkContext.defaultParallelism
-    parts = max(min(count, 8 * cores), -(-count // 8))
 
     def keyed(df: DataFrame, text: str, own: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64(text), F.col(f"{own}_blocks")).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-        spread = (
+        tiled = (
             df.withColumn("bucket", _length_bucket(text))
             .join(F.broadcast(plan), F.col("bucket") == F.col(f"{own}_bucket"))
             .withColumn(f"{own}_block", block)
             .withColumn(f"{other}_block", copies)
-            .withColumn("tile", F.concat_ws("-", "pair", "q_block", "t_block"))
+            .withColumn("tile", F.col("first") + F.col("q_block") * F.col("t_blocks") + F.col("t_block"))
         )
-        return spread.select("tile", *df.columns).repartition(parts, "tile")
+        return spread_tiles(tiled.select("tile", *df.columns), count)
 
     return keyed(queries, "query", "q", "t"), keyed(titles, "title", "t", "q")
 

@@ -32,6 +32,7 @@ SLICE_COLUMNS = 4096  # feature columns made dense at a time
 SEED_COLUMNS = 256  # entries sorted to fill a list of neighbours
 MARGIN = 1e-9  # more than rounding can move a similarity
 MIN_BLOCK_ROWS = 512
+TILES_PER_CORE = 16  # tasks per core at most; beyond that a task takes several tiles
 
 NEIGHBOR_SCHEMA = "id bigint, neighbor_id bigint, similarity double"
 
@@ -78,33 +79,36 @@ def block_count(rows: int, columns: int, cores: int, kept: int = 0) -> int:
 
 
 def _block(blocks: int):
-    return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint")
+    return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
 
 
-def _spread(tiled: DataFrame, tiles: int) -> DataFrame:
-    """Shuffle by tile with enough partitions that a task holds about one tile."""
+def spread_tiles(tiled: DataFrame, tiles: int) -> DataFrame:
+    """Shuffle by tile number: tiles are dealt out evenly, one to a task while they last."""
     cores = tiled.sparkSession.sparkContext.defaultParallelism
-    return tiled.repartition(max(tiles, min(cores, 2 * tiles)), "tile")
+    return tiled.repartitionById(min(tiles, TILES_PER_CORE * cores), "tile")
 
 
 def _square_tiles(units: DataFrame, blocks: int) -> DataFrame:
-    """Each row once per tile its block takes part in; `side` tells the two blocks apart."""
+    """Each row once per tile its block takes part in; `side` tells the two blocks apart.
+
+    The tiles are the lower triangle of block pairs, numbered row by row.
+    """
     low, high = F.least("block", "other"), F.greatest("block", "other")
     tiled = (
         units.withColumn("block", _block(blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        .withColumn("tile", low * blocks + high)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("tile", (F.floor(high * (high + 1) / 2) + low).cast("int"))
         .withColumn("side", (F.col("block") > F.col("other")).cast("int"))
         .drop("block", "other")
     )
-    return _spread(tiled, blocks * (blocks + 1) // 2)
+    return spread_tiles(tiled, blocks * (blocks + 1) // 2)
 
 
 def _cross_tiles(queries: DataFrame, items: DataFrame, q_blocks: int, i_blocks: int) -> DataFrame:
     """Every block of `queries` (side 0) with every block of `items` (side 1)."""
 
     def copies(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = queries.withColumn("other", copies(i_blocks)).withColumn(
         "tile", _block(q_blocks) * i_blocks + F.col("other")
@@ -113,7 +117,7 @@ def _cross_tiles(queries: DataFrame, items: DataFrame, q_blocks: int, i_blocks:
         "tile", F.col("other") * i_blocks + _block(i_blocks)
     )
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    return _spread(both.drop("other"), q_blocks * i_blocks)
+    return spread_tiles(both.drop("other"), q_blocks * i_blocks)
 
 
 class _Block:
