@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.registry import table
+from shelfkin.sources.snapshots import stored
 
 MIN_CATALOGUE_SCORE = 70
 MIN_CATALOGUE_POPULARITY = 30
@@ -226,6 +227,14 @@ def raw_interactions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def landed_interactions(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw rows as a table, the form in which cleaning finds them.
+
+    Cleaning them in one plan with the expressions that make them up would measure those.
+    """
+    return stored(raw_interactions(spark, sf), "raw_interactions")
+
+
 SQL_COERCED = """
 coerced AS (
   SELECT event_id,

@@ -249,4 +249,4 @@ def cast_ids(spark, sf):
     SELECT "userId", status, score, progress, "mediaId", "createdAt" FROM reads""",
 )
 def clean_interactions(spark, sf):
-    return interactions.clean_interactions(A.raw_interactions(spark, sf))
+    return interactions.clean_interactions(A.landed_interactions(spark, sf))

@@ -244,6 +244,6 @@ def interaction_strength(spark, sf):
     FROM reads""",
 )
 def user_features(spark, sf):
-    clean = interactions.clean_interactions(A.raw_interactions(spark, sf))
+    clean = interactions.clean_interactions(A.landed_interactions(spark, sf))
     strength = F.round("interaction_strength", 6)
     return feat.user_features(clean).withColumn("interaction_strength", strength)

@@ -218,7 +218,7 @@ def read_latest(spark, sf):
 def stage_counts(spark, sf):
     from shelfkin.operators.interactions import clean_interactions
 
-    raw, reads = A.raw_items(spark, sf), A.raw_interactions(spark, sf)
+    raw, reads = A.raw_items(spark, sf), A.landed_interactions(spark, sf)
     return metrics.stage_counts(
         **{
             "raw items": raw,

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from shelfkin.functions import dates, numbers
 from shelfkin.operators.frames import drop_columns, lookup_join
+from shelfkin.sources.snapshots import stored
 
 LABEL_COLUMNS = ("tags", "genres")
 SCALED_COLUMNS = ("popularity", "chapters", "averageScore", "release_year")
@@ -98,15 +99,14 @@ def fit_vocab(df: DataFrame) -> DataFrame:
 def _ranked_vocab(terms: DataFrame) -> DataFrame:
     """Dense positions in sort order without a single-task sort.
 
-    Terms are range-partitioned and pinned by a checkpoint; each partition then counts its
+    Terms are range-partitioned and pinned by writing them; each partition then counts its
     own, and the offsets are a running sum over one row per partition.
     """
     spark = terms.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        terms.repartitionByRange(parts, "slot", "term")
-        .withColumn("part", F.spark_partition_id())
-        .checkpoint()
+    ranged = stored(
+        terms.repartitionByRange(parts, "slot", "term").withColumn("part", F.spark_partition_id()),
+        "terms",
     )
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -58,11 +58,19 @@ def profile_key(df: DataFrame, key: str) -> KeyProfile:
     length = F.octet_length(F.col(key).cast("string"))
     rows = (
         df.groupBy(F.pmod(F.xxhash64(key), F.lit(SKETCHES)).alias("part"))
-        .agg(sketch.alias("top"), F.count(F.lit(1)).alias("rows"), F.sum(length).alias("bytes"))
+        .agg(
+            sketch.alias("top"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col(key).isNull()).alias("nulls"),
+            F.sum(length).alias("bytes"),
+        )
         .collect()
     )
     bar = sum(r.rows for r in rows) / HOT_KEYS
-    hot = [entry["item"] for r in rows for entry in r.top if entry["count"] > bar]
+    frequent = (entry for r in rows for entry in r.top if entry["count"] > bar)
+    hot = [entry["item"] for entry in frequent if entry["item"] is not None]
+    if sum(r.nulls for r in rows) > bar:
+        hot.append(None)
     return KeyProfile(hot, sum((r.bytes or 0) + 8 * r.rows for r in rows))
 
 
