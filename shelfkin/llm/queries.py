@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfkin.llm import simhash
+from shelfkin.llm import chat_format, secret_scan, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,3 +31,55 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, reach=2)
+
+
+@query("op5_secret_scans")
+def secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf, "documents")))
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op8_chat_formatting",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(length('[INST][/INST]</s>') + length(role) + length(text)
+            + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?INST\]'))
+            + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]')))::BIGINT AS formatted_chars
+    FROM turns GROUP BY conv_id
+    """,
+)
+def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(
+        [(-7, i, role, CONTROL_TEXT) for i, role in enumerate(("user", "assistant"))], turns.schema
+    )
+    path = chat_format.write_formatted(turns.unionByName(control))
+    return chat_format.read_back(spark.read.parquet(path))
+
+
+@query(
+    "op9_exact_top_k",
+    """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+        FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 5
+    """,
+)
+def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf, "embeddings"), every=50, k=5, scale=256)
