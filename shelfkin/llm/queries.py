@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfkin.llm import chat_format, secret_scan, simhash, topk
+from shelfkin.llm import chat_format, secret_scan, sentencepiece_codec, simhash, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,3 +83,13 @@ def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 )
 def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf, "embeddings"), every=50, k=5, scale=256)
+
+
+@query("op2_sentencepiece_encoding_decoding")
+def sentencepiece_encoding_decoding(spark: SparkSession, sf: str) -> DataFrame:
+    return sentencepiece_codec.digest(table(spark, sf, "documents"))
+
+
+@query("op3_token_counts")
+def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf, "documents"))
