@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfkin.llm import chat_format, secret_scan, sentencepiece_codec, simhash, token_counts, topk
+from shelfkin.llm import chat_format, secret_scan, sentencepiece_codec, simhash, token_counts, token_store, topk
+from shelfkin.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,3 +94,10 @@ def sentencepiece_encoding_decoding(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_token_counts")
 def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"))
+
+
+@query("op6_token_ids_binary_output")
+def token_ids_binary_output(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_store.write(table(spark, sf, "documents"), path, end_id=2)
+    return token_store.digest(spark, path)

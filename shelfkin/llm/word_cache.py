@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Hashable, Sequence
+from itertools import repeat
 
 import numpy as np
 
@@ -16,18 +17,18 @@ class WordCache:
     changes no result.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = LIMIT) -> None:
+    def __init__(self, compute: Callable[[list], Sequence[Sequence[int]]], limit: int = LIMIT) -> None:
         self.compute, self.limit = compute, limit
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[Hashable, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, words: list) -> None:
         results = self.compute(words)
         first, count = len(self.place), len(words)
         sizes = np.fromiter(map(len, results), np.int64, count)
@@ -42,15 +43,16 @@ class WordCache:
         self.used += len(values)
         self.place.update(zip(words, range(first, first + count)))
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """The results of all words one after another, and how many each word has."""
         if len(self.place) > self.limit:
             self.clear()
-        place = self.place
-        missing = list(dict.fromkeys(w for w in words if w not in place))
-        if missing:
-            self._add(missing)
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            missing = [words[i] for i in lost.tolist()]
+            self._add(list(dict.fromkeys(missing)))
+            at[lost] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(lost))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
