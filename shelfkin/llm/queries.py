@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfkin.llm import chat_format, secret_scan, sentencepiece_codec, simhash, token_counts, token_store, topk
+from shelfkin.llm import chat_format, secret_scan, sentencepiece_codec, simhash, token_counts, token_store, topk, toxicity
 from shelfkin.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,8 @@ def token_ids_binary_output(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_store.write(table(spark, sf, "documents"), path, end_id=2)
     return token_store.digest(spark, path)
+
+
+@query("op4_toxicity")
+def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
