@@ -14,6 +14,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -25,10 +26,14 @@ from tokenizers import Tokenizer
 
 from shelfkin.llm import rans
 from shelfkin.llm.common import stored, text_of
-from shelfkin.llm.word_cache import WordCache
 
 BLOCK = 1 << 20
-JOINED = 2000  # words encoded in one string
+HELD = 1_000_000  # distinct words whose ids a Python worker holds, some 200 MB
+TOGETHER = 64  # documents whose new words are encoded together
+# The letters that stand for bytes in byte-level models: printable ones for themselves, the others
+# from 256 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*PLAIN}))}
 
 
 class Words:
@@ -36,43 +41,65 @@ class Words:
 
     Such a tokenizer gives a text the ids of its words, one after another.  Words are what the
     six ASCII white-space characters part; A-Z are lowered first, as the tokenizer does it, where
-    the text holds no special token that might appear by that.
+    the text holds no special token that might appear by that.  Words of letters that its
+    normaliser leaves as they are go to the library's model at once; all others are encoded by
+    the whole tokenizer.  Ids are held as bytes of `kind`; beyond HELD words the memory is
+    emptied, which changes no result.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.packed = [int(i).to_bytes(self.kind.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         self.parts = drops_blanks(rules)
         self.lowers = self.parts and "Lowercase" in str(rules["normalizer"])
-        self.special = tuple(t["content"][:2].encode() for t in rules["added_tokens"])
-        self.cache = WordCache(self._encode)
-
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for start in range(0, len(words), JOINED):
-            some = [w.decode() for w in words[start : start + JOINED]]
-            found = self.tokenizer.encode_batch([" ".join(some)], add_special_tokens=False)[0]
-            begins = np.cumsum([0] + [len(w) + 1 for w in some])
-            at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            cuts = np.searchsorted(at, begins).tolist()
-            ids = found.ids
-            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        self.letters = self.lowers and r"[\p{L}]+" in rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.special = {t["content"][:2].encode() for t in rules["added_tokens"]}
+        self.marks = {m: self._whole([m.decode()])[0] for m in (b"", b".", b",")}
+        self.known: dict[bytes, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join([self.packed[i] for i in ids])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, others = self.known, []
+        for word in words:
+            core, mark = (word[:-1], word[-1:]) if word[-1:] in self.marks else (word, b"")
+            text = core.decode()
+            if self.letters and text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+                ids = known.get(core)
+                if ids is None:
+                    shown = text if text.isascii() else core.decode("latin-1").translate(BYTE_LETTERS)
+                    ids = known[core] = self._bytes([t.id for t in self.model.tokenize(shown)])
+                known[word] = ids + self.marks[mark]
+            else:
+                others.append(word)
+        known.update(zip(others, self._whole([w.decode() for w in others])))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of `kind`."""
         if not self.parts:
-            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [np.array(e.ids, np.int32) for e in found]
-        out = []
+            return self._whole(texts)
+        parted = []
         for text in texts:
             data = text.encode()
             if self.lowers and not any(s in data for s in self.special):
                 data = data.lower()
-            out.append(self.cache(data.split())[0])
-        return out
+            parted.append(data.split())
+        if len(self.known) > HELD:
+            self.known.clear()
+        new = set().union(*parted).difference(self.known)
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in parted]
 
 
 def drops_blanks(rules: dict) -> bool:
@@ -97,7 +124,7 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-_CHUNK = "part int, before long, doc_ids array<long>, sizes array<long>, n_tokens long, ids binary"
+_CHUNK = "part int, before long, doc_ids array<long>, sizes array<long>, n_tokens long, width int, ids binary"
 
 
 def _chunks(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
@@ -105,30 +132,32 @@ def _chunks(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = words(path), TaskContext.get().partitionId()
-        ids: list[np.ndarray] = []
+        width = encode.kind.itemsize
+        tail = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
+        ids: list[bytes] = []
         doc_ids: list[int | None] = []
         sizes: list[int] = []
         before = held = 0
-        tail = np.zeros(0, np.int32) if end_id is None else np.array([end_id], np.int32)
 
         def row() -> pa.RecordBatch:
-            data = np.concatenate(ids).astype("<u4").tobytes()
-            columns = ([part], [before], [doc_ids], [sizes], [held], [data])
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
-            names = ["part", "before", "doc_ids", "sizes", "n_tokens", "ids"]
+            columns = ([part], [before], [doc_ids], [sizes], [held], [width], [b"".join(ids)])
+            longs = pa.list_(pa.int64())
+            kinds = (pa.int32(), pa.int64(), longs, longs, pa.int64(), pa.int32(), pa.binary())
+            names = [f.split()[0] for f in _CHUNK.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = np.concatenate([encode([text.as_py()])[0], tail])
-                ids.append(own)
-                doc_ids.append(doc)
-                sizes.append(len(own))
-                held += len(own)
-                if held >= BLOCK:
-                    yield row()
-                    before += held
-                    ids, doc_ids, sizes, held = [], [], [], 0
+            for start in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(start, TOGETHER)
+                for doc, own in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist())):
+                    ids += (own, tail)
+                    doc_ids.append(doc)
+                    sizes.append((len(own) + len(tail)) // width)
+                    held += sizes[-1]
+                    if held >= BLOCK:
+                        yield row()
+                        before += held
+                        ids, doc_ids, sizes, held = [], [], [], 0
         if doc_ids:
             yield row()
 
@@ -143,15 +172,15 @@ def _counts(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                seen = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
+            for ids, width in zip(batch.column("ids"), batch.column("width").to_pylist()):
+                seen = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"), minlength=len(total))
                 seen[: len(total)] += total
                 total = seen
         used = np.flatnonzero(total)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    return chunks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return chunks.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 _BLOCK = (
@@ -180,7 +209,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<u4").astype(np.int64)
+                width = batch.column("width")[i].as_py()
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), f"<u{width}").astype(np.int64)
                 block = rans.encode(ids, table)
                 start = starts[batch.column("part")[i].as_py()] + batch.column("before")[i].as_py()
                 copied = [batch.column(n).slice(i, 1) for n in ("doc_ids", "sizes", "n_tokens")]
