@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfkin.llm import chat_format, line_dedup, secret_scan, sentencepiece_codec, simhash, token_counts, token_store, topk, toxicity
+from shelfkin.llm import chat_format, decontaminate, line_dedup, secret_scan, sentencepiece_codec, simhash, token_counts, token_store, topk, toxicity
 from shelfkin.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,8 @@ def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_line_dedup")
 def deduplicate_lines(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf, "documents"))
+
+
+@query("op10_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
