@@ -188,15 +188,21 @@ def clean_items(spark, sf):
         CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'view' THEN 'current'
           WHEN 'click' THEN 'paused' WHEN 'signup' THEN 'planning' ELSE 'repeating' END
       END AS status,
+      CASE WHEN event_id % 61 = 0 THEN value
+        WHEN event_id % 59 = 0 OR event_id % 53 = 0 THEN NULL ELSE value END AS score,
       CAST(NULL AS VARCHAR) AS progress,
       CASE WHEN event_id % 89 = 0 THEN NULL
         WHEN event_id % 71 = 0 THEN regexp_extract(props, '[0-9]+') || 'd'
-        ELSE regexp_extract(props, '[0-9]+') END AS "mediaId"
+        ELSE regexp_extract(props, '[0-9]+') END AS "mediaId",
+      CASE WHEN event_id % 43 = 0 THEN '1e20' WHEN event_id % 41 = 0 THEN 'x'
+        WHEN event_id % 37 = 0 THEN '0' ELSE CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR)
+      END AS "createdAt"
     FROM events""",
 )
 def conform_schema(spark, sf):
     conformed = frames.conform_schema(A.raw_interactions(spark, sf), schemas.RAW_INTERACTION)
-    return conformed.drop("score", "createdAt")
+    score = numbers.coerce_numeric(F.col("score"))  # as text it is written by either engine's rules
+    return conformed.withColumn("score", score)
 
 
 @query(

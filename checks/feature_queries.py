@@ -9,6 +9,7 @@ from checks.registry import query, table
 from shelfkin.functions import numbers
 from shelfkin.operators import features as feat
 from shelfkin.operators import interactions, items
+from shelfkin.sources.snapshots import stored
 
 # Complete items, counts on a log scale; then the vocabulary and the scaler fitted on them.
 SQL_PREPARED = f"""{A.SQL_ITEMS},
@@ -78,8 +79,8 @@ def vocab_fit(spark, sf):
 
 @query("f3_vocab_fit_ranked", f"WITH {SQL_VOCAB} SELECT kind, term, index FROM vocab")
 def vocab_fit_ranked(spark, sf):
-    """The same through the path for vocabularies that stay distributed."""
-    return feat._ranked_vocab(feat.label_terms(prepared(spark, sf)))
+    """The same from stored rows."""
+    return feat.fit_vocab(stored(prepared(spark, sf)))
 
 
 SQL_MULTI_HOT = f"""WITH {SQL_VOCAB},
@@ -97,15 +98,15 @@ def _labels_as_rows(df):
 
 @query("f4_multi_hot", SQL_MULTI_HOT)
 def multi_hot(spark, sf):
-    rows = prepared(spark, sf)
+    rows = stored(prepared(spark, sf))
     return _labels_as_rows(feat.multi_hot(rows, feat.fit_vocab(rows)))
 
 
 @query("f4_multi_hot_joined", SQL_MULTI_HOT)
 def multi_hot_joined(spark, sf):
-    """The same through the join for vocabularies that stay distributed."""
-    rows = prepared(spark, sf)
-    return _labels_as_rows(feat._joined_labels(rows, feat.fit_vocab(rows), "id"))
+    """The same with a vocabulary read back from a table."""
+    rows = stored(prepared(spark, sf))
+    return _labels_as_rows(feat.multi_hot(rows, stored(feat.fit_vocab(rows))))
 
 
 @query(
@@ -162,14 +163,18 @@ def scaler_apply(spark, sf):
     UNION ALL SELECT 'mean:popularity', round(m1, 6) FROM stats
     UNION ALL SELECT 'mean:chapters', round(m2, 6) FROM stats
     UNION ALL SELECT 'mean:averageScore', round(m3, 6) FROM stats
-    UNION ALL SELECT 'mean:release_year', round(m4, 6) FROM stats""",
+    UNION ALL SELECT 'mean:release_year', round(m4, 6) FROM stats
+    UNION ALL SELECT 'std:popularity', round(s1, 6) FROM stats
+    UNION ALL SELECT 'std:chapters', round(s2, 6) FROM stats
+    UNION ALL SELECT 'std:averageScore', round(s3, 6) FROM stats
+    UNION ALL SELECT 'std:release_year', round(s4, 6) FROM stats""",
 )
 def save_params(spark, sf):
     """Both parameter tables written as snapshots and read back."""
     from shelfkin.sources import snapshots as snap
 
     root = snap.shared_folder(spark)
-    params = feat.fit_item_features(cleaned(spark, sf))
+    params = feat.fit_item_features(stored(cleaned(spark, sf)))
     snap.write_snapshot(params.vocab, root, snap.FEATURES, "vocab")
     snap.write_snapshot(params.scaler, root, snap.FEATURES, "scaler")
     vocab = snap.read_latest(spark, root, snap.FEATURES, "vocab")
@@ -177,10 +182,10 @@ def save_params(spark, sf):
     terms = vocab.select(
         F.concat_ws(":", "kind", "term").alias("name"), F.col("index").cast("double").alias("value")
     )
-    means = scaler.select(
-        F.concat(F.lit("mean:"), "col").alias("name"), F.round("mean", 6).alias("value")
-    )
-    return terms.unionByName(means)
+    for kind in ("mean", "std"):
+        value = F.round(kind, 6).alias("value")
+        terms = terms.unionByName(scaler.select(F.concat(F.lit(f"{kind}:"), "col").alias("name"), value))
+    return terms
 
 
 @query(
@@ -201,7 +206,7 @@ def save_params(spark, sf):
     FROM scaled LEFT JOIN positions USING (id)""",
 )
 def item_features(spark, sf):
-    rows, _ = feat.item_features(cleaned(spark, sf))
+    rows, _ = feat.item_features(stored(cleaned(spark, sf)))
     numeric = [F.col("numeric")[i].alias(c) for i, c in enumerate(feat.NUMERIC_COLUMNS)]
     labels = F.array_join(F.col("labels").cast("array<string>"), "|").alias("labels")
     return rows.select("id", *numeric, labels).select(

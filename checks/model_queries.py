@@ -76,6 +76,16 @@ def all_pairs_cosine(spark, sf):
     return _rounded(sim.all_pairs_cosine(embedding_features(spark, sf), include_self=True))
 
 
+@query(
+    "v2_similar_pairs",
+    f"""WITH {SQL_PAIRS} SELECT id, neighbor_id, round(round(s, 10), 6) + 0.0 AS similarity FROM pairs
+    WHERE round(s, 10) >= 0.3""",
+)
+def similar_pairs(spark, sf):
+    """Only the pairs that reach a least similarity leave their task."""
+    return _rounded(sim.all_pairs_cosine(embedding_features(spark, sf), min_similarity=0.3))
+
+
 @query(
     "v3_exclude_self",
     f"WITH {SQL_PAIRS} SELECT id, neighbor_id, round(round(s, 10), 6) + 0.0 AS similarity FROM pairs",
@@ -155,7 +165,7 @@ def train_similarity(spark, sf):
 @query(
     "s12_run_metrics",
     f"""WITH {SQL_VOCAB}
-    SELECT 'cosine_similarity' AS model_type, 's3_parquet' AS feature_store,
+    SELECT 'cosine_similarity' AS model_type, 'parquet' AS feature_store,
       (SELECT count(*) FROM complete) AS num_items, (SELECT count(*) FROM vocab) + 6 AS num_features""",
 )
 def run_metrics(spark, sf):
@@ -163,7 +173,9 @@ def run_metrics(spark, sf):
     from shelfkin.sources import metrics
 
     path = f"{snap.shared_folder(spark)}/run_metrics"
-    features, params = feat.item_features(cleaned(spark, sf))
-    run = metrics.run_metrics(features, params.vocab, len(feat.NUMERIC_COLUMNS))
+    features, params = feat.item_features(stored(cleaned(spark, sf)))
+    run = metrics.run_metrics(
+        features, params.vocab, len(feat.NUMERIC_COLUMNS), jobs.FEATURE_STORE
+    )
     metrics.append_metrics(run, path)
     return snap.scan_parquet(spark, path)

@@ -51,13 +51,13 @@ def fuzzy_requests(spark, sf):
     key, name = F.col("p_partkey"), F.col("p_name")
     return table(spark, sf, "part").select(
         key.alias("request_id"),
-        F.when(key % 8 == 1, F.substring(name, 2, 100))
+        F.when(key % 8 == 1, F.expr("substring(p_name, 2)"))
         .when(key % 8 == 2, F.regexp_replace(name, " ", ""))
         .when(key % 8 == 3, F.concat(name, F.lit("xx")))
         .when(key % 8 == 4, F.upper(name))
         .when(key % 8 == 5, F.reverse(name))
         .when(key % 8 == 6, F.regexp_replace(name, "e", "a"))
-        .when(key % 8 == 7, F.concat(F.substring(name, 1, 3), F.lit("q"), F.substring(name, 4, 100)))
+        .when(key % 8 == 7, F.concat(F.substring(name, 1, 3), F.lit("q"), F.expr("substring(p_name, 4)")))
         .otherwise(name)
         .alias("title"),
         (key % TOP_K + 1).cast("int").alias("top_n"),
@@ -95,13 +95,14 @@ SQL_CHECKED = """checked AS (
 )"""
 
 SQL_ANSWERS = f"""{SQL_NEIGHBORS}, {SQL_CATALOGUE}, {SQL_CHECKED},
-answers AS (
-  SELECT request_id, status, rank, neighbor_id AS id, title, description, tags,
-    round(similarity, 10) AS score,
+served AS (
+  SELECT request_id, status, rank, neighbor_id AS id, round(similarity, 10) AS score,
     round_even(round(similarity, 10) * 100, 0) / 100 + 0.0 AS similarity
-  FROM checked
-  LEFT JOIN neighbors ON neighbors.id = matched_id AND rank <= top_n
-  LEFT JOIN catalogue ON catalogue.id = neighbor_id
+  FROM checked LEFT JOIN neighbors ON neighbors.id = matched_id AND rank <= top_n
+),
+answers AS (
+  SELECT served.*, title, description, tags FROM served LEFT JOIN catalogue USING (id)
+  WHERE served.id IS NULL OR catalogue.id IS NOT NULL
 )"""
 
 
@@ -237,7 +238,7 @@ def neighbors_of(spark, sf):
 
 @query(
     "r5_top_n",
-    f"WITH {SQL_ANSWERS} SELECT request_id, rank, id FROM answers WHERE rank IS NOT NULL",
+    f"WITH {SQL_ANSWERS} SELECT request_id, rank, id FROM served WHERE rank IS NOT NULL",
 )
 def top_n(spark, sf):
     return ranked(spark, sf).filter("rank IS NOT NULL").select("request_id", "rank", "id")
@@ -274,6 +275,25 @@ def attach_metadata(spark, sf):
     )
 
 
+def described(spark, sf):
+    """The catalogue without every seventh part, which then is a neighbour without metadata."""
+    return catalogue(spark, sf).filter("id % 7 <> 0")
+
+
+@query(
+    "r6_attach_metadata_missing",
+    f"""WITH {SQL_ANSWERS} SELECT {SHOWN}, title, description, tags FROM answers
+    WHERE id IS NULL OR id % 7 <> 0""",
+)
+def attach_metadata_missing(spark, sf):
+    found = recommend.attach_metadata(ranked(spark, sf), described(spark, sf))
+    return (
+        found.withColumn("tags", F.array_join("tags", "|"))
+        .withColumns(_double("rank", "id"))
+        .select("request_id", "status", "rank", "id", "title", "description", "tags")
+    )
+
+
 @query(
     "r7_attach_score",
     f"""WITH {SQL_ANSWERS} SELECT request_id, CAST(id AS DOUBLE) AS id,
@@ -289,7 +309,7 @@ def attach_score(spark, sf):
 
 @query(
     "r8_round_score",
-    f"WITH {SQL_ANSWERS} SELECT request_id, CAST(rank AS DOUBLE) AS rank, similarity FROM answers",
+    f"WITH {SQL_ANSWERS} SELECT request_id, CAST(rank AS DOUBLE) AS rank, similarity FROM served",
 )
 def round_score(spark, sf):
     rounded = recommend.round_scores(ranked(spark, sf)).withColumns(_double("rank"))
@@ -299,7 +319,7 @@ def round_score(spark, sf):
 @query(
     "r9_order_answer",
     f"""WITH {SQL_ANSWERS} SELECT request_id, CAST(rank AS DOUBLE) AS rank, CAST(id AS DOUBLE) AS id,
-      similarity FROM answers ORDER BY request_id, rank""",
+      similarity FROM served ORDER BY request_id, rank""",
 )
 def order_answer(spark, sf):
     rounded = recommend.round_scores(ranked(spark, sf)).withColumns(_double("rank", "id"))
@@ -307,26 +327,52 @@ def order_answer(spark, sf):
     return ordered.select("request_id", "rank", "id", (F.col("similarity") + 0.0).alias("similarity"))
 
 
+RECORD = "struct<id bigint, title string, description string, tags array<string>, similarity double>"
+SQL_RECORD = """coalesce(title, '') || '|' || coalesce(description, '') || '|' || coalesce(tags, '')"""
+
+
+def _shown_record(record):
+    parts = (record["title"], record["description"], F.array_join(record["tags"], "|"))
+    return F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
+
+
 @query(
     "r10_to_records",
-    f"""WITH {SQL_ANSWERS} SELECT request_id, count(*) AS n_records,
-      string_agg(CAST(id AS VARCHAR) || ':' || coalesce(title, ''), ';' ORDER BY rank) AS records
+    f"""WITH {SQL_ANSWERS} SELECT request_id, count(*) AS n_records, sum(similarity) AS similarity,
+      string_agg(CAST(id AS VARCHAR) || ':' || {SQL_RECORD}, ';' ORDER BY rank) AS records
     FROM answers WHERE status = 'ok' GROUP BY request_id""",
 )
 def to_records(spark, sf):
     """Records per request; the JSON is parsed again so that its content can be compared."""
     records = recommend.to_records(recommend.round_scores(answers(spark, sf)))
-    parsed = F.from_json("recommendations", "array<struct<id bigint, title string>>")
-    shown = F.transform(
-        "parsed", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), F.coalesce(r["title"], F.lit("")))
-    )
+    parsed = F.from_json("recommendations", f"array<{RECORD}>")
+    shown = F.transform("parsed", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), _shown_record(r)))
     return records.withColumn("parsed", parsed).select(
         "request_id",
         F.size("parsed").cast("bigint").alias("n_records"),
+        F.aggregate("parsed", F.lit(0.0), lambda total, r: total + r["similarity"]).alias("similarity"),
         F.array_join(shown, ";").alias("records"),
     )
 
 
+@query(
+    "r10_record_rows",
+    f"""WITH {SQL_ANSWERS} SELECT request_id, rank, id, similarity, {SQL_RECORD} AS record
+    FROM answers WHERE status = 'ok'""",
+)
+def record_rows(spark, sf):
+    """A record per row, each parsed again."""
+    rows = recommend.record_rows(recommend.round_scores(answers(spark, sf)))
+    record = F.from_json("record", RECORD)
+    return rows.select("request_id", "rank", record.alias("r")).select(
+        "request_id",
+        "rank",
+        "r.id",
+        (F.col("r.similarity") + 0.0).alias("similarity"),
+        _shown_record(F.col("r")).alias("record"),
+    )
+
+
 @query(
     "r11_render_tags",
     f"""WITH {SQL_ANSWERS} SELECT request_id, rank, replace(tags, '|', ', ') AS tags
@@ -341,7 +387,7 @@ def render_tags(spark, sf):
     "r12_percent_score",
     f"""WITH {SQL_ANSWERS} SELECT request_id, rank,
       CAST(floor(similarity * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS percent
-    FROM answers WHERE rank IS NOT NULL""",
+    FROM served WHERE rank IS NOT NULL""",
 )
 def percent_score(spark, sf):
     rows = recommend.round_scores(ranked(spark, sf)).filter("rank IS NOT NULL")
@@ -390,7 +436,8 @@ def recommend_exact(spark, sf):
       round_even(round(similarity, 10) * 100, 0) / 100 + 0.0 AS similarity
     FROM checked
     LEFT JOIN neighbors ON neighbors.id = matched_id AND rank <= top_n
-    LEFT JOIN part ON p_partkey = neighbor_id""",
+    LEFT JOIN part ON p_partkey = neighbor_id
+    WHERE neighbor_id IS NULL OR p_partkey IS NOT NULL""",
 )
 def recommend_fuzzy(spark, sf):
     return _shown(

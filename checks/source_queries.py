@@ -18,7 +18,11 @@ ROWS_PER_RESPONSE = 50
 
 
 def responses(spark, sf):
-    """Landed interaction responses: one page per user per event, errors for error events."""
+    """Landed interaction responses: one page per user per event, errors for error events.
+
+    Every 91st is not JSON, every 89th has no page number.
+    """
+    broken, unnumbered = F.col("event_id") % 91 == 0, F.col("event_id") % 89 == 0
     failed = F.col("event_type") == "error"
     row = F.struct(
         F.col("user_id").cast("string").alias("userId"),
@@ -32,25 +36,40 @@ def responses(spark, sf):
         F.array(row).alias("mediaList"), F.struct(F.lit(True).alias("hasNextPage")).alias("pageInfo")
     )
     errors = F.to_variant_object(F.struct(F.lit("private user").alias("message")))
-    return table(spark, sf, "events").select(
-        F.col("user_id").alias("userId"),
-        F.col("event_id").alias("page"),
-        F.when(failed, errors).alias("errors"),
-        F.when(~failed, F.struct(page.alias("Page"))).alias("data"),
+    lines = table(spark, sf, "events").select(
+        F.when(broken, F.concat(F.lit("<html>"), F.col("event_id").cast("string")))
+        .otherwise(
+            F.to_json(
+                F.struct(
+                    F.col("user_id").alias("userId"),
+                    F.when(~unnumbered, F.col("event_id")).alias("page"),
+                    F.when(failed, errors).alias("errors"),
+                    F.when(~failed, F.struct(page.alias("Page"))).alias("data"),
+                )
+            )
+        )
+        .alias("value")
     )
+    path = f"{snap.shared_folder(spark)}/responses"
+    lines.write.text(path)
+    return landing.scan_json(spark, path, schemas.INTERACTION_RESPONSE, lines=True)
 
 
 @query(
     "s1_scan_json",
     """SELECT CAST(user_id AS VARCHAR) AS "userId", event_type AS status,
-      regexp_extract(props, '[0-9]+') AS "mediaId" FROM events""",
+      CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS score, CAST(NULL AS VARCHAR) AS progress,
+      regexp_extract(props, '[0-9]+') AS "mediaId", CAST(event_id AS VARCHAR) AS "createdAt"
+    FROM events""",
 )
 def scan_json(spark, sf):
     """Events landed as files of one JSON array each, then read back."""
     record = F.struct(
         F.col("user_id").cast("string").alias("userId"),
         F.col("event_type").alias("status"),
+        F.floor("value").cast("string").alias("score"),
         A.read_key().alias("mediaId"),
+        F.col("event_id").cast("string").alias("createdAt"),
     )
     path = f"{snap.shared_folder(spark)}/landed"
     page = F.floor(F.col("event_id") / ROWS_PER_FILE)
@@ -58,24 +77,31 @@ def scan_json(spark, sf):
         F.to_json(F.collect_list(record)).alias("value")  # at most ROWS_PER_FILE records
     )
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    landed = landing.scan_json(spark, path, schemas.RAW_INTERACTION)
-    return landed.select("userId", "status", "mediaId")
+    return landing.scan_json(spark, path, schemas.RAW_INTERACTION)
 
 
 @query(
     "s2_flatten_pages",
-    """SELECT CAST(user_id AS VARCHAR) AS "userId", event_type AS status FROM events""",
+    """SELECT event_id // 50 AS page_no, CAST(user_id AS VARCHAR) AS "userId", event_type AS status,
+      CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS score, CAST(NULL AS VARCHAR) AS progress,
+      regexp_extract(props, '[0-9]+') AS "mediaId", CAST(event_id AS VARCHAR) AS "createdAt"
+    FROM events""",
 )
 def flatten_pages(spark, sf):
     """Events packed into response pages and flattened again; repeated rows stay."""
     record = F.struct(
-        F.col("user_id").cast("string").alias("userId"), F.col("event_type").alias("status")
+        F.col("user_id").cast("string").alias("userId"),
+        F.col("event_type").alias("status"),
+        F.floor("value").cast("string").alias("score"),
+        F.lit(None).cast("string").alias("progress"),
+        A.read_key().alias("mediaId"),
+        F.col("event_id").cast("string").alias("createdAt"),
     )
     page = F.floor(F.col("event_id") / ROWS_PER_RESPONSE)
     packed = table(spark, sf, "events").groupBy(page.alias("page_no")).agg(
         F.struct(F.collect_list(record).alias("mediaList")).alias("Page")
     )
-    return landing.flatten_pages(packed, "Page.mediaList")
+    return landing.flatten_pages(packed, "Page.mediaList", keep=("page_no",))
 
 
 @query(
@@ -118,29 +144,31 @@ def cap_per_user(spark, sf):
 
 @query(
     "s6_quarantine_errors",
-    """SELECT user_id AS page_user, event_id AS page, TRUE AS quarantined, NULL AS "mediaId"
-    FROM events WHERE event_type = 'error'
-    UNION ALL SELECT user_id, event_id, FALSE, regexp_extract(props, '[0-9]+')
-    FROM events WHERE event_type <> 'error'""",
+    """SELECT CASE WHEN event_id % 91 <> 0 THEN CAST(user_id AS DOUBLE) END AS page_user,
+      CASE WHEN event_id % 91 <> 0 AND event_id % 89 <> 0 THEN CAST(event_id AS DOUBLE) END AS page,
+      CASE WHEN event_id % 91 = 0 THEN '<html>' || event_id END AS malformed,
+      TRUE AS quarantined, NULL AS "mediaId"
+    FROM events WHERE event_type = 'error' OR event_id % 91 = 0 OR event_id % 89 = 0
+    UNION ALL SELECT user_id, event_id, NULL, FALSE, regexp_extract(props, '[0-9]+')
+    FROM events WHERE NOT (event_type = 'error' OR event_id % 91 = 0 OR event_id % 89 = 0)""",
 )
 def quarantine_errors(spark, sf):
     """Both branches of the landed responses: kept rows and quarantined pages."""
     landed = responses(spark, sf).withColumnRenamed("userId", "page_user")
     kept = landing.flatten_pages(
         landing.response_rows(landed), "data.Page.mediaList", keep=("page_user", "page")
-    ).select("page_user", "page", F.lit(False).alias("quarantined"), "mediaId")
-    failed = landing.quarantine(landed).select(
-        "page_user",
-        "page",
-        F.lit(True).alias("quarantined"),
-        F.lit(None).cast("string").alias("mediaId"),
+    ).select("page_user", "page", "mediaId")
+    failed = landing.quarantine(landed).select("page_user", "page", "malformed")
+    both = kept.withColumn("quarantined", F.lit(False)).unionByName(
+        failed.withColumn("quarantined", F.lit(True)), allowMissingColumns=True
     )
-    return kept.unionByName(failed)
+    return both.withColumns({c: F.col(c).cast("double") for c in ("page_user", "page")})
 
 
 @query(
     "s6_skipped_users",
-    """SELECT DISTINCT user_id AS "userId" FROM events WHERE event_type = 'error'""",
+    """SELECT DISTINCT user_id AS "userId" FROM events
+    WHERE (event_type = 'error' OR event_id % 89 = 0) AND event_id % 91 <> 0""",
 )
 def skipped_users(spark, sf):
     return landing.skipped_users(responses(spark, sf))
@@ -148,13 +176,14 @@ def skipped_users(spark, sf):
 
 @query(
     "s7_write_json",
-    "SELECT doc_id, text, lang FROM documents",
+    "SELECT doc_id, text, lang, source, n_chars FROM documents",
 )
 def write_json(spark, sf):
     """Documents written as JSON lines and read back whole, newlines and accents kept."""
     path = f"{snap.shared_folder(spark)}/documents"
-    snap.write_json(table(spark, sf, "documents").select("doc_id", "text", "lang"), path)
-    return spark.read.schema("doc_id bigint, text string, lang string").json(path)
+    documents = table(spark, sf, "documents")
+    snap.write_json(documents, path)
+    return spark.read.schema(documents.schema).json(path)
 
 
 @query(
@@ -166,22 +195,28 @@ def scan_parquet(spark, sf):
     return orders.filter("o_totalprice > 150000").select("o_orderkey", "o_totalprice")
 
 
-@query("s9_write_parquet", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+@query("s9_write_parquet", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def write_parquet(spark, sf):
     path = f"{snap.shared_folder(spark)}/customer"
-    snap.write_parquet(
-        table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), path
-    )
+    snap.write_parquet(table(spark, sf, "customer"), path)
     return snap.scan_parquet(spark, path)
 
 
-DAYS = (datetime.date(2024, 1, 9), datetime.date(2024, 1, 10))
+DAYS = tuple(datetime.date(2024, 1, day) for day in (9, 10, 11))
+ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
 
 
 def _orders_of_two_days(spark, sf):
-    """Finished orders on the first day; all on the second, which is then written again."""
+    """Finished orders on the first day; all on the second, which is then written again.
+
+    A second dataset has all orders on the second day and none when that is written again; a
+    third has some on the first day and none on a later one.
+    """
     root = snap.shared_folder(spark)
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    orders = table(spark, sf, "orders").select(*ORDER_COLUMNS.split(", "))
+    for name, days in (("emptied", (DAYS[1], DAYS[1])), ("ended", (DAYS[0], DAYS[2]))):
+        snap.write_snapshot(orders, root, snap.RAW, name, days[0])
+        snap.write_snapshot(orders.filter("o_orderkey IS NULL"), root, snap.RAW, name, days[1])
     snap.write_snapshot(orders.filter("o_orderstatus = 'F'"), root, snap.RAW, "orders", DAYS[0])
     snap.write_snapshot(orders, root, snap.RAW, "orders", DAYS[1])
     snap.write_snapshot(orders.filter("o_orderstatus <> 'F'"), root, snap.RAW, "orders", DAYS[1])
@@ -190,21 +225,32 @@ def _orders_of_two_days(spark, sf):
 
 @query(
     "s10_write_snapshot",
-    """SELECT '2024-01-09' AS dt, o_orderkey FROM orders WHERE o_orderstatus = 'F'
-    UNION ALL SELECT '2024-01-10', o_orderkey FROM orders WHERE o_orderstatus <> 'F'""",
+    f"""SELECT 'orders' AS dataset, '2024-01-09' AS dt, {ORDER_COLUMNS} FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT 'orders', '2024-01-10', {ORDER_COLUMNS} FROM orders WHERE o_orderstatus <> 'F'
+    UNION ALL SELECT 'ended', '2024-01-09', {ORDER_COLUMNS} FROM orders""",
 )
 def write_snapshot(spark, sf):
     root = _orders_of_two_days(spark, sf)
-    every_day = spark.read.parquet(f"{root}/{snap.RAW}/orders")
-    return every_day.select(F.col("dt").cast("string").alias("dt"), "o_orderkey")
+    days = [
+        spark.read.parquet(f"{root}/{snap.RAW}/{name}").withColumn("dataset", F.lit(name))
+        for name in ("orders", "emptied", "ended")
+    ]
+    every_day = days[0].unionByName(days[1]).unionByName(days[2])
+    return every_day.withColumn("dt", F.col("dt").cast("string"))
 
 
 @query(
     "s11_read_latest",
-    "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'",
+    f"SELECT 'orders' AS dataset, {ORDER_COLUMNS} FROM orders WHERE o_orderstatus <> 'F'",
 )
 def read_latest(spark, sf):
-    return snap.read_latest(spark, _orders_of_two_days(spark, sf), snap.RAW, "orders")
+    """The latest of each dataset; of two of them it is empty."""
+    root = _orders_of_two_days(spark, sf)
+    latest = [
+        snap.read_latest(spark, root, snap.RAW, name).withColumn("dataset", F.lit(name))
+        for name in ("orders", "emptied", "ended")
+    ]
+    return latest[0].unionByName(latest[1]).unionByName(latest[2])
 
 
 @query(

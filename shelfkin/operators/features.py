@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +23,6 @@ SCALED_COLUMNS = ("popularity", "chapters", "averageScore", "release_year")
 NUMERIC_COLUMNS = ("popularity", "chapters", "averageScore", "has_end_date", "release_year")
 UNUSED_COLUMNS = ("title", "volumes", "description", "favourites", "meanScore")
 
-# Vocabularies up to this many terms are handled as driver-side lists; larger ones stay
-# distributed throughout.
-SMALL_VOCABULARY = 50_000
-
 
 class ItemParams(NamedTuple):
     """Fitted state: `vocab(kind, term, index)` and `scaler(col, mean, std)`."""
@@ -84,24 +79,11 @@ def label_terms(df: DataFrame) -> DataFrame:
 def fit_vocab(df: DataFrame) -> DataFrame:
     """Sorted label sets with their positions: tags first, then genres.
 
-    The order is by code point, which is the binary order of strings in Spark.
+    The order is by code point, which is the binary order of strings in Spark.  There is no
+    single-task sort: terms are range-partitioned and pinned by writing them; each partition
+    counts its own, and the offsets are a running sum over one row per partition.
     """
-    spark = df.sparkSession
     terms = label_terms(df)
-    head = terms.limit(SMALL_VOCABULARY + 1).collect()  # bounded by the limit
-    if len(head) > SMALL_VOCABULARY:
-        return _ranked_vocab(terms)
-    ordered = sorted((row.slot, row.term) for row in head)
-    rows = [(LABEL_COLUMNS[slot], term, i) for i, (slot, term) in enumerate(ordered)]
-    return spark.createDataFrame(rows, "kind string, term string, index int")
-
-
-def _ranked_vocab(terms: DataFrame) -> DataFrame:
-    """Dense positions in sort order without a single-task sort.
-
-    Terms are range-partitioned and pinned by writing them; each partition then counts its
-    own, and the offsets are a running sum over one row per partition.
-    """
     spark = terms.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(
@@ -128,38 +110,10 @@ def _ranked_vocab(terms: DataFrame) -> DataFrame:
 def multi_hot(df: DataFrame, vocab: DataFrame, key: str = "id") -> DataFrame:
     """Replace the label columns by `labels`, the sorted positions of the labels present.
 
-    A repeated label counts once and a label outside the vocabulary is ignored.
+    A repeated label counts once and a label outside the vocabulary is ignored.  Labels meet the
+    vocabulary in a skew-safe join, so neither side is bounded; `df` is read several times and
+    should be a table.
     """
-    head = vocab.limit(SMALL_VOCABULARY + 1).collect()  # bounded by the limit
-    if len(head) > SMALL_VOCABULARY:
-        return _joined_labels(df, vocab, key)
-    hot_columns = []
-    for kind in LABEL_COLUMNS:
-        terms = sorted((row["index"], row["term"]) for row in head if row["kind"] == kind)
-        if terms:
-            df = _encode(df, kind, [t for _, t in terms], terms[0][0])
-            hot_columns.append(f"{kind}_hot")
-    labels = F.concat(*hot_columns) if hot_columns else F.array().cast("array<int>")
-    return df.withColumn("labels", labels).drop(*LABEL_COLUMNS, *hot_columns)
-
-
-def _encode(df: DataFrame, kind: str, terms: list[str], first: int) -> DataFrame:
-    """Adds `{kind}_hot`: positions of the labels present, counted from `first`."""
-    model = CountVectorizerModel.from_vocabulary(
-        terms, inputCol=f"{kind}_list", outputCol=f"{kind}_vector"
-    ).setBinary(True)
-    # The encoder rejects a null array, even on a row that a filter is about to drop.
-    listed = df.withColumn(f"{kind}_list", F.coalesce(kind, F.array().cast("array<string>")))
-    found = F.unwrap_udt(F.col(f"{kind}_vector"))["indices"]
-    return (
-        model.transform(listed)
-        .withColumn(f"{kind}_hot", F.transform(found, lambda i: i + first))
-        .drop(f"{kind}_list", f"{kind}_vector")
-    )
-
-
-def _joined_labels(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """Label positions by a skew-safe join, for vocabularies that stay distributed."""
 
     def prefixed(column: str) -> Column:
         prefix = F.lit(f"{column}:")
@@ -215,13 +169,16 @@ def apply_scaler(df: DataFrame, scaler: DataFrame) -> DataFrame:
 
 
 def fit_item_features(clean: DataFrame) -> ItemParams:
+    """Both parameter tables, stored: they are read by every transform."""
     prepared = prepare_items(clean)
-    return ItemParams(vocab=fit_vocab(prepared), scaler=fit_scaler(prepared))
+    return ItemParams(
+        vocab=stored(fit_vocab(prepared), "vocab"), scaler=stored(fit_scaler(prepared), "scaler")
+    )
 
 
 def transform_item_features(clean: DataFrame, params: ItemParams) -> DataFrame:
     """`(id, numeric, labels)` for every complete item, with parameters fitted before."""
-    scaled = apply_scaler(prepare_items(clean), params.scaler)
+    scaled = stored(apply_scaler(prepare_items(clean), params.scaler), "scaled")
     return multi_hot(scaled, params.vocab).select(
         "id",
         F.array(*[F.col(c).cast("double") for c in NUMERIC_COLUMNS]).alias("numeric"),

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# A key is hot when it holds more than 1/HOT_KEYS of the rows.
-HOT_KEYS = 100
 SKETCHES = 64  # frequent-item sketches the keys are divided over
-TRACKED = 2048  # keys tracked by one sketch
-SMALL_KEYS = 4 << 20  # bytes of keys that may be broadcast to cut the other side
+TRACKED = 8  # keys tracked by one sketch, for each key that can be hot
+
 
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns, and fail on a name that is not there (`DataFrame.drop` would not)."""
@@ -40,38 +37,32 @@ def _salts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-class KeyProfile(NamedTuple):
-    """What one pass over a key column found: its hot keys (None among them) and its size."""
-
-    hot: list
-    bytes: int
-
-
-def profile_key(df: DataFrame, key: str) -> KeyProfile:
-    """Keys that hold more than about 1/HOT_KEYS of the rows of `df`, and the bytes of all.
+def hot_keys(df: DataFrame, key: str) -> list:
+    """Keys (None among them) that hold more rows than a shuffle partition does on average.
 
     Counted by frequent-item sketches of fixed size, so nothing is shuffled by key and the
-    driver sees SKETCHES short rows.  The sketches may err near the bar, which only moves
-    the line between salted and unsalted keys: both sides of a join use the same list.
+    driver sees SKETCHES short rows.  No more keys than there are partitions can pass the bar.
+    The sketches may err near it, which only moves the line between salted and unsalted keys:
+    both sides of a join use the same list.
     """
-    sketch = F.call_function("approx_top_k", F.col(key), F.lit(HOT_KEYS), F.lit(TRACKED))
-    length = F.octet_length(F.col(key).cast("string"))
+    partitions = _salts(df)
+    most = max(100, partitions)
+    sketch = F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(most * TRACKED))
     rows = (
         df.groupBy(F.pmod(F.xxhash64(key), F.lit(SKETCHES)).alias("part"))
         .agg(
             sketch.alias("top"),
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.col(key).isNull()).alias("nulls"),
-            F.sum(length).alias("bytes"),
         )
         .collect()
     )
-    bar = sum(r.rows for r in rows) / HOT_KEYS
+    bar = sum(r.rows for r in rows) / partitions
     frequent = (entry for r in rows for entry in r.top if entry["count"] > bar)
     hot = [entry["item"] for entry in frequent if entry["item"] is not None]
     if sum(r.nulls for r in rows) > bar:
         hot.append(None)
-    return KeyProfile(hot, sum((r.bytes or 0) + 8 * r.rows for r in rows))
+    return hot
 
 
 def lookup_join(
@@ -87,8 +78,8 @@ def lookup_join(
     Left rows of a hot key (and of a null key, which matches nothing) are spread over salts
     by the hash of `spread_by`; only the right rows of hot keys are repeated per salt.  The
     right key is dropped from the result.  `left` is read more than once (for its key), so
-    it should be a table and not a long plan.  Where its keys are few, the right side is cut
-    to them before it is shuffled: a small batch does not move a large catalogue.
+    it should be a table and not a long plan.  The right side is cut to its keys first: where
+    these are few Spark broadcasts them, and a small batch does not move a large catalogue.
 
     Adaptive execution alone would not do: it splits a skewed partition only where both
     sides of the join come straight from a shuffle, and here the right side often is an
@@ -96,16 +87,13 @@ def lookup_join(
     """
     keyed = right.withColumnRenamed(right_key, "lookup_key")
     same_key = F.col(left_key) == F.col("lookup_key")
-    profile = profile_key(left, left_key)
-    if profile.bytes <= SMALL_KEYS:  # checked just above
-        wanted = left.select(F.col(left_key).alias("wanted_key")).distinct()
-        keyed = keyed.join(
-            F.broadcast(wanted), F.col("lookup_key") == F.col("wanted_key"), "left_semi"
-        )
-    if not profile.hot:
+    wanted = left.select(F.col(left_key).alias("wanted_key")).distinct()
+    keyed = keyed.join(wanted, F.col("lookup_key") == F.col("wanted_key"), "left_semi")
+    hot = hot_keys(left, left_key)
+    if not hot:
         return left.join(keyed, same_key, how).drop("lookup_key")
     n = _salts(left)
-    values = [k for k in profile.hot if k is not None]
+    values = [k for k in hot if k is not None]
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int")
     is_spread = F.col(left_key).isNull() | F.col(left_key).isin(values)
     last_salt = F.when(F.col("lookup_key").isin(values), F.lit(n - 1)).otherwise(F.lit(0))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfkin.operators.frames import lookup_join
-from shelfkin.operators.similarity import spread_tiles
+from shelfkin.operators.similarity import TILE, spread_tiles
 from shelfkin.sources.snapshots import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -55,17 +55,20 @@ def match_fuzzy(
     metadata: DataFrame,
     threshold: int = FUZZY_THRESHOLD,
     normalize_case: bool = False,
+    titles: DataFrame | None = None,
 ) -> DataFrame:
     """Requests with `matched_title`, `ratio` and `matched_id` of the best title, or nulls.
 
     The ratio is 100 * 2 * LCS / (sum of lengths); below the threshold there is no match,
     and equal ratios go to the title with the smallest id.  Requests are compared as typed
-    unless `normalize_case` is set.
+    unless `normalize_case` is set.  `titles` is a stored `distinct_titles(metadata)`, if there
+    is one; without it the titles are made from the metadata.
     """
     query = F.lower("title") if normalize_case else F.col("title")
     keyed = requests.withColumn("query", query)
     queries = keyed.select("query").filter(F.col("query").isNotNull()).distinct()
-    best = best_titles(queries, distinct_titles(metadata), threshold).select(
+    known = titles if titles is not None else stored(distinct_titles(metadata), "titles")
+    best = best_titles(queries, known, threshold).select(
         F.col("query").alias("known_query"),
         "matched_title",
         "ratio",
@@ -88,10 +91,9 @@ def distinct_titles(metadata: DataFrame) -> DataFrame:
 def best_titles(queries: DataFrame, titles: DataFrame, threshold: int) -> DataFrame:
     """Best title at or above the threshold for each distinct query.
 
-    `queries(query)` and `titles(title, title_id, owner_id)` hold each string once.
+    `queries(query)` and `titles(title, title_id, owner_id)` hold each string once.  Titles are
+    read several times, so they should be a table.
     """
-    # Both are read several times from here on, so they become tables.
-    titles = stored(titles, "titles")
     same = F.col("query") == F.col("title")
     looked_up = stored(queries.join(titles, same, "left"), "queries")
     found = F.col("title").isNotNull()
@@ -103,7 +105,7 @@ def best_titles(queries: DataFrame, titles: DataFrame, threshold: int) -> DataFr
     if tiles is None:
         return equal
     left, right = tiles
-    rated = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(
+    rated = left.groupBy(*TILE).cogroup(right.groupBy(*TILE)).applyInArrow(
         _tile_matches(threshold), MATCH_SCHEMA
     )
     order = Window.partitionBy("query").orderBy(F.desc("ratio"), "title_id")

@@ -61,12 +61,16 @@ def top_n(ranked: DataFrame) -> DataFrame:
 
 
 def attach_metadata(ranked: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Title, description and tags of each recommended item, next to its score."""
+    """Title, description and tags of each recommended item, next to its score.
+
+    An item without metadata is left out; rows without a neighbour stay.
+    """
     details = metadata.select(
-        F.col("id").alias("item_id"), "title", "description", "tags"
+        F.col("id").alias("item_id"), "title", "description", "tags", F.lit(True).alias("described")
     )
     asked = ranked.withColumnRenamed("title", "request_title")
-    return lookup_join(asked, details, "id", "item_id", ["request_id", "rank"])
+    joined = lookup_join(asked, details, "id", "item_id", ["request_id", "rank"])
+    return joined.filter("id IS NULL OR described").drop("described")
 
 
 def round_scores(answers: DataFrame) -> DataFrame:
@@ -78,8 +82,18 @@ def order_answers(answers: DataFrame) -> DataFrame:
     return answers.orderBy("request_id", "rank")
 
 
+def record_rows(answers: DataFrame) -> DataFrame:
+    """`(request_id, rank, record)`: each recommendation as JSON, by request and rank."""
+    record = F.to_json(F.struct("id", "title", "description", "tags", "similarity"))
+    rows = answers.filter((F.col("status") == OK) & F.col("id").isNotNull())
+    return rows.select("request_id", "rank", record.alias("record")).orderBy("request_id", "rank")
+
+
 def to_records(answers: DataFrame) -> DataFrame:
-    """One row per answered request with its records as JSON, in order of rank."""
+    """One row per answered request with its records as one JSON array, in order of rank.
+
+    The array of a request has `top_n` records; where that is not small use `record_rows`.
+    """
     record = F.struct("rank", "id", "title", "description", "tags", "similarity")
     grouped = answers.filter(F.col("status") == OK).groupBy("request_id").agg(
         F.sort_array(F.collect_list(record)).alias("records")  # at most top_n of them
@@ -138,8 +152,11 @@ def extend_neighbors(
 ) -> DataFrame:
     """Neighbour table that also serves requests for more than the stored neighbours.
 
-    Only the items such requests name are ranked again, against the whole catalogue.
+    Only the items such requests name are ranked again, against the whole catalogue; none are
+    where the model holds all there are.
     """
+    if stored_ranks >= features.count() - 1:
+        return neighbors
     deep = matched.filter((F.col("top_n") > stored_ranks) & F.col("matched_id").isNotNull())
     # The depth of an item is its largest request, rounded up to a power of two, so there
     # are at most 31 depths, and a deep request does not deepen the others.

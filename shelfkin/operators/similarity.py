@@ -26,13 +26,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Similarities are compared and kept at this many decimals: equal vectors then tie exactly,
 # whatever order their products were summed in.
 DECIMALS = 10
-BLOCK_BYTES = 32 << 20  # dense size of one block in a task
+BLOCK_BYTES = 64 << 20  # one block as a task holds it, with the neighbours it collects
 SLICE_ROWS = 2048  # rows of either block multiplied at a time
 SLICE_COLUMNS = 4096  # feature columns made dense at a time
 SEED_COLUMNS = 256  # entries sorted to fill a list of neighbours
 MARGIN = 1e-9  # more than rounding can move a similarity
 MIN_BLOCK_ROWS = 512
-TILES_PER_CORE = 16  # tasks per core at most; beyond that a task takes several tiles
+MOST_TASKS = 1 << 20  # of one stage; beyond that a task takes several tiles
+
+TILE = ("task", "tile")  # where `spread_tiles` has put the rows
 
 NEIGHBOR_SCHEMA = "id bigint, neighbor_id bigint, similarity double"
 
@@ -57,35 +59,37 @@ def l2_normalize(features: DataFrame) -> DataFrame:
 
 
 def _shape(features: DataFrame) -> tuple[int, int]:
-    """Rows and feature columns, from one aggregation."""
-    last_label = F.coalesce(F.array_max("labels") + 1, F.lit(0))
-    row = features.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.max(F.size("numeric")), F.lit(0)).alias("numeric"),
-        F.coalesce(F.max(last_label), F.lit(0)).alias("labels"),
-    ).first()
-    return row.n, row.numeric + row.labels
+    """Rows, and bytes of all their numbers (8) and labels (4), from one aggregation."""
+    held = 8 * F.size("numeric") + 4 * F.size("labels") + 8
+    row = features.agg(F.count(F.lit(1)).alias("n"), F.sum(held.cast("long")).alias("held")).first()
+    return row.n, row.held or 0
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks that keep the cluster busy: as many as a shuffle has partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_count(rows: int, columns: int, cores: int, kept: int = 0) -> int:
-    """Blocks so that each fits its byte budget and the tiles keep every core busy.
+def block_count(rows: int, held: int, tiles: int, kept: int = 0) -> int:
+    """Blocks so that each fits its byte budget and there are `tiles` pairs of them, about.
 
-    A row takes its dense features and the `kept` neighbours (16 bytes each) it collects.
+    A row takes what is held of it and the `kept` neighbours (16 bytes each) it collects.  Rows
+    are held sparse, so the budget does not depend on the number of labels there are.
     """
-    row_bytes = 8 * max(1, min(columns, SLICE_COLUMNS)) + 16 * kept
-    by_size = math.ceil(rows * row_bytes / BLOCK_BYTES)
-    by_cores = min(math.ceil(math.sqrt(4 * cores)), math.ceil(rows / MIN_BLOCK_ROWS))
-    return max(1, by_size, by_cores)
+    by_size = math.ceil((held + 16 * kept * rows) / BLOCK_BYTES)
+    by_tiles = min(math.ceil(math.sqrt(2 * tiles)), math.ceil(rows / MIN_BLOCK_ROWS))
+    return max(1, min(rows, max(by_size, by_tiles)))
 
 
 def _block(blocks: int):
-    return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64("id"), F.lit(blocks))
 
 
 def spread_tiles(tiled: DataFrame, tiles: int) -> DataFrame:
-    """Shuffle by tile number: tiles are dealt out evenly, one to a task while they last."""
-    cores = tiled.sparkSession.sparkContext.defaultParallelism
-    return tiled.repartitionById(min(tiles, TILES_PER_CORE * cores), "tile")
+    """Shuffle by tile number: a task for each tile, so tasks stay as large as two blocks."""
+    tasks = min(tiles, MOST_TASKS)
+    task = F.pmod("tile", F.lit(tasks)).cast("int")
+    return tiled.withColumn("task", task).repartitionById(tasks, "task")
 
 
 def _square_tiles(units: DataFrame, blocks: int) -> DataFrame:
@@ -96,8 +100,8 @@ def _square_tiles(units: DataFrame, blocks: int) -> DataFrame:
     low, high = F.least("block", "other"), F.greatest("block", "other")
     tiled = (
         units.withColumn("block", _block(blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("tile", (F.floor(high * (high + 1) / 2) + low).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))))
+        .withColumn("tile", (F.shiftright(high * (high + 1), 1) + low))
         .withColumn("side", (F.col("block") > F.col("other")).cast("int"))
         .drop("block", "other")
     )
@@ -108,7 +112,7 @@ def _cross_tiles(queries: DataFrame, items: DataFrame, q_blocks: int, i_blocks:
     """Every block of `queries` (side 0) with every block of `items` (side 1)."""
 
     def copies(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)))
 
     left = queries.withColumn("other", copies(i_blocks)).withColumn(
         "tile", _block(q_blocks) * i_blocks + F.col("other")
@@ -272,7 +276,7 @@ def _tile_best(k: int, both_ways: bool) -> Callable[[pa.Table], pa.Table]:
     return best
 
 
-def _tile_pairs(keep_self: bool):
+def _tile_pairs(keep_self: bool, least: float | None = None):
     """Every pair of a tile in both directions, one slice at a time."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +285,7 @@ def _tile_pairs(keep_self: bool):
             product = np.round(product, DECIMALS) + 0.0  # no negative zeros
             if not keep_self:
                 _mask_self(product, left.ids[rows], right.ids[cols])
-            r, c = np.nonzero(product > -np.inf)
+            r, c = np.nonzero(product > -np.inf if least is None else product >= least)
             a, b, value = left.ids[rows][r], right.ids[cols][c], product[r, c]
             for x, y in ((a, b),) if diagonal else ((a, b), (b, a)):
                 yield pa.RecordBatch.from_arrays(
@@ -292,16 +296,18 @@ def _tile_pairs(keep_self: bool):
     return pairs
 
 
-def all_pairs_cosine(features: DataFrame, include_self: bool = False) -> DataFrame:
+def all_pairs_cosine(
+    features: DataFrame, include_self: bool = False, min_similarity: float | None = None
+) -> DataFrame:
     """Cosine of every ordered pair `(id, neighbor_id, similarity)`.
 
-    The result has n squared rows by definition; to serve neighbours use `topk_neighbors`,
-    which never forms it.
+    The result has n squared rows by definition; to serve neighbours use `topk_neighbors`, which
+    never forms it.  With `min_similarity` only pairs that reach it leave their task.
     """
-    rows, columns = _shape(features)
-    cores = features.sparkSession.sparkContext.defaultParallelism
-    tiled = _square_tiles(l2_normalize(features), block_count(rows, columns, cores))
-    return tiled.groupBy("tile").applyInArrow(_tile_pairs(include_self), NEIGHBOR_SCHEMA)
+    rows, held = _shape(features)
+    tiled = _square_tiles(l2_normalize(features), block_count(rows, held, _tasks(features)))
+    pairs = _tile_pairs(include_self, min_similarity)
+    return tiled.groupBy(*TILE).applyInArrow(pairs, NEIGHBOR_SCHEMA)
 
 
 def with_zero_diagonal(pairs: DataFrame) -> DataFrame:
@@ -320,11 +326,10 @@ def topk_neighbors(features: DataFrame, k: int) -> DataFrame:
     """The k most similar others of every item: `(id, neighbor_id, similarity, rank)`."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows, columns = _shape(features)
+    rows, held = _shape(features)
     k = max(1, min(k, rows - 1))
-    cores = features.sparkSession.sparkContext.defaultParallelism
-    tiled = _square_tiles(l2_normalize(features), block_count(rows, columns, cores, k))
-    best = tiled.groupBy("tile").applyInArrow(_tile_best(k, True), NEIGHBOR_SCHEMA)
+    tiled = _square_tiles(l2_normalize(features), block_count(rows, held, _tasks(features), k))
+    best = tiled.groupBy(*TILE).applyInArrow(_tile_best(k, True), NEIGHBOR_SCHEMA)
     return rank_neighbors(best, k)
 
 
@@ -332,18 +337,17 @@ def topk_for(queries: DataFrame, features: DataFrame, k: int) -> DataFrame:
     """The same for some items only: `queries` are feature rows of the items asked about."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    cores = features.sparkSession.sparkContext.defaultParallelism
-    q_rows, q_columns = _shape(queries)
-    rows, columns = _shape(features)
+    q_rows, q_held = _shape(queries)
+    rows, held = _shape(features)
     k = max(1, min(k, rows - 1))
     tiled = _cross_tiles(
         l2_normalize(queries),
         l2_normalize(features),
-        block_count(q_rows, q_columns, 1, k),
-        block_count(rows, columns, cores * cores),
+        block_count(q_rows, q_held, 1, k),
+        block_count(rows, held, _tasks(features) ** 2),
     )
     # A tile whose query or item block is empty has nothing to compare.
-    best = tiled.groupBy("tile").applyInArrow(_tile_best_if_full(k), NEIGHBOR_SCHEMA)
+    best = tiled.groupBy(*TILE).applyInArrow(_tile_best_if_full(k), NEIGHBOR_SCHEMA)
     return rank_neighbors(best, k)
 
 

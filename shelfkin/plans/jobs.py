@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from shelfkin import schemas
 from shelfkin.operators import features as feat
 from shelfkin.operators import interactions, items, recommend, similarity
-from shelfkin.operators.matching import FUZZY_THRESHOLD, match_exact, match_fuzzy
+from shelfkin.operators.matching import (
+    FUZZY_THRESHOLD,
+    distinct_titles,
+    match_exact,
+    match_fuzzy,
+)
 from shelfkin.sources import landing, metrics
 from shelfkin.sources.snapshots import (
     CLEANED,
@@ -29,7 +34,8 @@ from shelfkin.sources.snapshots import (
 # Dataset names.
 ITEMS, INTERACTIONS = "items", "interactions"
 ITEM_FEATURES, USER_FEATURES, VOCAB, SCALER = "item_features", "user_features", "vocab", "scaler"
-NEIGHBORS, RUN_METRICS = "neighbors", "run_metrics"
+NEIGHBORS, DEPTH, RUN_METRICS, TITLES = "neighbors", "depth", "run_metrics", "titles"
+FEATURE_STORE = "parquet"
 
 DEFAULT_NEIGHBORS = 50
 
@@ -47,43 +53,60 @@ def ingest(
     root: str,
     item_pages: str,
     interaction_pages: str,
-    min_score: int = landing.MIN_SCORE,
-    min_popularity: int = landing.MIN_POPULARITY,
+    min_score: int,
+    min_popularity: int,
+    max_pages: int,
     users: tuple[int, int] | None = None,
-    max_pages: int = landing.MAX_PAGES,
     date: datetime.date | None = None,
 ) -> dict[str, int]:
-    """Landed response files (a response per line) to raw snapshots."""
+    """Landed response files (a response per line) to raw snapshots.
+
+    Returns the rows of each snapshot, and how many items and pages each threshold left out.
+    Responses with an error, malformed ones and interaction pages without a page number are
+    stored in quarantine.  Every page but a user's last is full, so the cap on rows is a cap on
+    page numbers.
+    """
     item_responses = landing.scan_json(spark, item_pages, schemas.ITEM_RESPONSE, lines=True)
-    raw_items = landing.source_filter_items(
-        landing.flatten_pages(landing.response_rows(item_responses), "data.Page.media"),
-        min_score,
-        min_popularity,
+    landed = landing.flatten_pages(landing.response_rows(item_responses), "data.Page.media")
+    scored, popular = landing.is_popular(min_score, min_popularity)
+    seen = Observation("landed items")
+    landed = landed.observe(
+        seen, F.count_if(~scored).alias("items_low_score"), F.count_if(~popular).alias("items_unpopular")
+    )
+    raw_items = landing.whole_numbers(
+        landing.source_filter_items(landed, min_score, min_popularity), schemas.RAW_ITEM
     )
+    counts = {"items": _write(raw_items, root, RAW, ITEMS, date), **seen.get}
     responses = landing.scan_json(
         spark, interaction_pages, schemas.INTERACTION_RESPONSE, lines=True
     )
     if users is not None:
-        responses = landing.source_filter_users(responses, *users)
-    # Every page but a user's last is full, so the cap on rows is a cap on page numbers.
-    pages = landing.response_rows(responses).filter(F.col("page") <= max_pages)
-    raw_interactions = landing.flatten_pages(pages, "data.Page.mediaList")
-    return {
-        "items": _write(raw_items, root, RAW, ITEMS, date),
-        "interactions": _write(raw_interactions, root, RAW, INTERACTIONS, date),
-        "skipped_users": _write(
-            landing.skipped_users(responses), root, RAW, "skipped_users", date
-        ),
-    }
+        in_range = F.col("userId").isNull() | F.col("userId").between(*users)
+        responses = responses.filter(in_range)  # what names no user goes to quarantine
+    late = Observation("landed pages")
+    pages = landing.response_rows(responses).observe(
+        late, F.count_if(F.col("page") > max_pages).alias("pages_over_cap")
+    )
+    raw_interactions = landing.flatten_pages(
+        pages.filter(F.col("page") <= max_pages), "data.Page.mediaList"
+    )
+    counts |= {"interactions": _write(raw_interactions, root, RAW, INTERACTIONS, date), **late.get}
+    for name, failed in (
+        ("skipped_users", landing.skipped_users(responses)),
+        ("quarantined_items", landing.quarantine(item_responses)),
+        ("quarantined_interactions", landing.quarantine(responses)),
+    ):
+        counts[name] = _write(failed, root, RAW, name, date)
+    return counts
 
 
 def clean(spark: SparkSession, root: str, date: datetime.date | None = None) -> dict[str, int]:
     cleaned_items = items.clean_items(read_latest(spark, root, RAW, ITEMS))
     cleaned = interactions.clean_interactions(read_latest(spark, root, RAW, INTERACTIONS))
-    return {
-        "items": _write(cleaned_items, root, CLEANED, ITEMS, date),
-        "interactions": _write(cleaned, root, CLEANED, INTERACTIONS, date),
-    }
+    counts = {"items": _write(cleaned_items, root, CLEANED, ITEMS, date)}
+    titles = distinct_titles(read_latest(spark, root, CLEANED, ITEMS))
+    write_snapshot(titles, root, CLEANED, TITLES, date)  # for fuzzy requests, made once
+    return {**counts, "interactions": _write(cleaned, root, CLEANED, INTERACTIONS, date)}
 
 
 def build_features(
@@ -116,21 +139,26 @@ def train(
     root: str,
     k: int = DEFAULT_NEIGHBORS,
     date: datetime.date | None = None,
+    feature_store: str = FEATURE_STORE,
 ) -> dict[str, int]:
-    """Latest features to a snapshot of the k best neighbours of every item."""
+    """Latest features to a snapshot of the k best neighbours of every item.
+
+    The run is recorded, with the name given to the feature store, after its model is written.
+    """
     features = read_latest(spark, root, FEATURES, ITEM_FEATURES)
     similarity.assert_unique_ids(features)
+    rows = _write(similarity.topk_neighbors(features, k), root, MODELS, NEIGHBORS, date)
+    write_snapshot(spark.createDataFrame([(k,)], "k int"), root, MODELS, DEPTH, date)
     run = metrics.run_metrics(
-        features, read_latest(spark, root, FEATURES, VOCAB), len(feat.NUMERIC_COLUMNS)
+        features,
+        read_latest(spark, root, FEATURES, VOCAB),
+        len(feat.NUMERIC_COLUMNS),
+        feature_store,
     )
     metrics.append_metrics(
         run.withColumn("run_at", F.current_timestamp()), f"{root}/{MODELS}/{RUN_METRICS}"
     )
-    return {
-        "neighbors": _write(
-            similarity.topk_neighbors(features, k), root, MODELS, NEIGHBORS, date
-        )
-    }
+    return {"neighbors": rows}
 
 
 def recommend_batch(
@@ -147,10 +175,11 @@ def recommend_batch(
     neighbors = read_latest(spark, root, MODELS, NEIGHBORS)
     asked = recommend.valid_requests(requests)
     if fuzzy:
-        matched = match_fuzzy(asked, metadata, threshold, normalize_case)
+        titles = read_latest(spark, root, CLEANED, TITLES)
+        matched = match_fuzzy(asked, metadata, threshold, normalize_case, titles)
     else:
         matched = match_exact(asked, metadata)
-    ranks = neighbors.agg(F.max("rank").alias("k")).first().k or 0
+    ranks = read_latest(spark, root, MODELS, DEPTH).first().k
     matched = stored(matched, "matched")
     served = recommend.extend_neighbors(matched, neighbors, features, ranks)
     answers = recommend.answer(matched, served, metadata, features.select("id"))

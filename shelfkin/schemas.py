@@ -38,11 +38,16 @@ RAW_INTERACTION = _struct(
     createdAt=T.StringType(),
 )
 
+# As landed, item numbers may be written as whole numbers or as doubles.
+_COUNTS = ("popularity", "chapters", "volumes", "averageScore", "meanScore", "favourites")
+LANDED_ITEM = _struct(**{f.name: T.DoubleType() if f.name in _COUNTS else f.dataType for f in RAW_ITEM})
+
 _PAGE_INFO = _struct(hasNextPage=T.BooleanType())
 
 ITEM_RESPONSE = _struct(
     errors=T.VariantType(),
-    data=_struct(Page=_struct(media=T.ArrayType(RAW_ITEM), pageInfo=_PAGE_INFO)),
+    data=_struct(Page=_struct(media=T.ArrayType(LANDED_ITEM), pageInfo=_PAGE_INFO)),
+    malformed=T.StringType(),
 )
 
 INTERACTION_RESPONSE = _struct(
@@ -50,4 +55,5 @@ INTERACTION_RESPONSE = _struct(
     page=T.LongType(),
     errors=T.VariantType(),
     data=_struct(Page=_struct(mediaList=T.ArrayType(RAW_INTERACTION), pageInfo=_PAGE_INFO)),
+    malformed=T.StringType(),
 )

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What a training run records about itself.
-MODEL_TYPE = "cosine_similarity"
-FEATURE_STORE = "s3_parquet"
+MODEL_TYPE = "cosine_similarity"  # fixed value: what a training run records about itself
 
 
-def run_metrics(features: DataFrame, vocab: DataFrame, numeric_columns: int) -> DataFrame:
+def run_metrics(
+    features: DataFrame, vocab: DataFrame, numeric_columns: int, feature_store: str
+) -> DataFrame:
     """One row about a training run; the feature count includes the id column."""
     labels = vocab.agg(F.count(F.lit(1)).alias("labels")).scalar()
     return features.agg(F.count(F.lit(1)).alias("num_items")).select(
         F.lit(MODEL_TYPE).alias("model_type"),
-        F.lit(FEATURE_STORE).alias("feature_store"),
+        F.lit(feature_store).alias("feature_store"),
         "num_items",
         (labels + F.lit(numeric_columns + 1)).alias("num_features"),
     )

@@ -5,9 +5,9 @@ from __future__ import annotations
 import datetime
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # The states a dataset passes through.
 RAW, CLEANED, FEATURES, MODELS = "raw", "cleaned", "features", "models"
@@ -33,26 +33,28 @@ def _dataset(root: str, status: str, dataset: str) -> str:
 def write_snapshot(
     df: DataFrame, root: str, status: str, dataset: str, date: datetime.date | None = None
 ) -> None:
-    """Store as the snapshot of `date` (today); a second run that day replaces that day only."""
+    """Store as the snapshot of `date` (today); a second run that day replaces that day only.
+
+    An empty result is a snapshot too: it leaves a file with the schema and no rows.
+    """
     day = date or datetime.date.today()
-    (
-        df.withColumn("dt", F.lit(day))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt")
-        .parquet(_dataset(root, status, dataset))
-    )
+    write_parquet(df, f"{_dataset(root, status, dataset)}/dt={day.isoformat()}")
 
 
 def latest_date(spark: SparkSession, root: str, status: str, dataset: str) -> datetime.date:
-    """Greatest snapshot date of a dataset, from one directory listing."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_dataset(root, status, dataset))
+    """Greatest date of a finished snapshot of a dataset, from directory listings.
+
+    A snapshot is finished when its writer has left `_SUCCESS`; one that is being written, or
+    whose job was lost, is passed over.
+    """
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    base = jvm.Path(_dataset(root, status, dataset))
     files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(base)] if files.exists(base) else []
-    days = [datetime.date.fromisoformat(n[3:]) for n in names if n.startswith("dt=")]
-    if not days:
-        raise FileNotFoundError(f"no snapshot of {dataset} under {status}")
-    return max(days)
+    days = [f.getPath() for f in files.listStatus(base)] if files.exists(base) else []
+    for day in sorted((d for d in days if d.getName().startswith("dt=")), key=lambda d: d.getName(), reverse=True):
+        if files.exists(jvm.Path(day, "_SUCCESS")):
+            return datetime.date.fromisoformat(day.getName()[3:])
+    raise FileNotFoundError(f"no snapshot of {dataset} under {status}")
 
 
 def read_snapshot(
@@ -67,15 +69,24 @@ def read_latest(spark: SparkSession, root: str, status: str, dataset: str) -> Da
     return read_snapshot(spark, root, status, dataset, latest_date(spark, root, status, dataset))
 
 
+@lru_cache(maxsize=1)
+def _temporary_folder() -> str:
+    return tempfile.mkdtemp(prefix="shelfkin-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that every executor can reach.
 
-    It lies in the folder the cluster names in `spark.checkpoint.dir`; only where that is
-    unset, as in tests, is a local one made.
+    It lies in the folder the cluster names in `spark.checkpoint.dir`.  Where that is unset, a
+    local master gets a temporary one; on a cluster the executors would not see it, so the job
+    stops.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="shelfkin-")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _temporary_folder()
     return f"{base.rstrip('/')}/shelfkin-{uuid.uuid4().hex}"
 
 

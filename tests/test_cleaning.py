@@ -73,10 +73,8 @@ def test_cleaning_twice_changes_nothing(spark):
     assert once.collect() == items.fill_sentinel(once).collect()
 
 
-@pytest.mark.parametrize("small_keys", [0, 1 << 20])
-def test_lookup_join_spreads_a_hot_key(spark, monkeypatch, small_keys):
+def test_lookup_join_spreads_a_hot_key(spark):
     """A third of the rows share one key and another third has none; no partition gets all."""
-    monkeypatch.setattr(frames, "SMALL_KEYS", small_keys)
     n = 3000
     left = spark.range(n).select(
         F.col("id").alias("rid"),
@@ -117,9 +115,21 @@ def test_hot_keys(spark):
         .otherwise(F.col("id").cast("string"))
         .alias("k")
     )
-    assert sorted(frames.profile_key(df, "k").hot, key=str) == [None, "hot"]
-    assert frames.profile_key(spark.range(5000), "id").hot == []
-    assert frames.profile_key(spark.range(0), "id") == ([], 0)
+    assert sorted(frames.hot_keys(df, "k"), key=str) == [None, "hot"]
+    assert frames.hot_keys(spark.range(5000), "id") == []
+    assert frames.hot_keys(spark.range(0), "id") == []
+
+
+def test_hot_keys_below_a_hundredth(spark):
+    """The bar is what a partition holds on average, not a fixed share."""
+    n = 100_000
+    df = spark.range(n).select(F.when(F.col("id") % 111 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        assert frames.hot_keys(df, "k") == [-1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_lookup_join_without_hot_keys_is_plain(spark):

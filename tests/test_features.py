@@ -44,21 +44,18 @@ def test_vocabulary_order_and_kinds(spark):
     assert got == tags + [("genres", g) for g in ("Action", "Drama", "b")]
 
 
-def test_both_vocabulary_paths_agree(spark):
+def test_vocabulary_is_ranked_in_order(spark):
     words = [f"{a}{b}" for a in "abcdé" for b in range(40)]
     df = catalogue(spark, *[item(i, words[i : i + 9], [words[i][0]]) for i in range(190)])
-    prepared = feat.prepare_items(df)
-    small = sorted(map(tuple, feat.fit_vocab(prepared).collect()))
-    ranked = sorted(map(tuple, feat._ranked_vocab(feat.label_terms(prepared)).collect()))
-    assert small == ranked
-    assert sorted(i for _, _, i in ranked) == list(range(len(ranked)))
+    ranked = feat.fit_vocab(feat.prepare_items(df)).orderBy("index").collect()
+    used = {w for i in range(190) for w in words[i : i + 9]}
+    expected = [("tags", t) for t in sorted(used)] + [("genres", g) for g in "abcdé"]
+    assert [(r.kind, r.term) for r in ranked] == expected
+    assert [r["index"] for r in ranked] == list(range(len(expected)))
 
 
-@pytest.mark.parametrize("limit", [50_000, 2])
-def test_multi_hot(spark, monkeypatch, limit):
-    """The driver-side path and, beyond the limit, the joined path."""
+def test_multi_hot(spark):
     fitted = feat.fit_vocab(feat.prepare_items(catalogue(spark, item(1, ["b", "a"], ["a", "c"]))))
-    monkeypatch.setattr(feat, "SMALL_VOCABULARY", limit)
     df = catalogue(spark, item(1, ["b", "b"], ["c"]), item(2, [], []), item(3, ["new"], ["a"]))
     got = {r.id: list(r.labels) for r in feat.multi_hot(feat.prepare_items(df), fitted).collect()}
     assert got == {1: [1, 3], 2: [], 3: [2]}

@@ -119,9 +119,22 @@ def test_top_for_some_items(spark, monkeypatch):
 
 
 def test_block_count_is_bounded_by_size():
-    for n, d in ((10, 5), (100_000, 64), (10_000_000, 64), (1_000_000, 100_000)):
-        blocks = sim.block_count(n, d, 8)
-        assert n / blocks * 8 * min(d, sim.SLICE_COLUMNS) <= sim.BLOCK_BYTES or n <= sim.MIN_BLOCK_ROWS
+    for n, row_bytes in ((10, 48), (100_000, 520), (10_000_000, 520), (1_000_000, 100_000)):
+        blocks = sim.block_count(n, n * row_bytes, 8)
+        assert n / blocks * row_bytes <= sim.BLOCK_BYTES or n <= sim.MIN_BLOCK_ROWS
+        assert blocks <= n
+
+
+def test_many_labels_do_not_make_many_blocks():
+    """20 million items with 5 numbers and 18 labels each: a row is copied once per block."""
+    n, held = 20_000_000, 8 + 5 * 8 + 18 * 4
+    assert n * sim.block_count(n, n * held, 1000, 50) <= 48e9 / 5
+
+
+def test_only_similar_pairs(spark):
+    rows = random_rows(40, 11)
+    every = sim.all_pairs_cosine(frame(spark, rows)).filter("similarity >= 0.4").collect()
+    assert sorted(every) == sorted(sim.all_pairs_cosine(frame(spark, rows), min_similarity=0.4).collect())
 
 
 def test_repeated_ids_are_refused(spark):

@@ -71,17 +71,73 @@ def test_json_round_trip(spark, tmp_path):
     assert sorted(back.collect()) == sorted(df.collect())
 
 
-def test_shared_folder_is_the_one_the_session_names(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = snap.shared_folder(spark)
-    assert folder != snap.shared_folder(spark)
-    assert named is None or folder.startswith(named.rstrip("/"))
+class Session:
+    """What `shared_folder` asks a session for."""
+
+    def __init__(self, master, folder):
+        self.sparkContext, self.conf = self, self
+        self.master, self.folder = master, folder
+
+    def get(self, key, default):
+        return self.folder or default
+
+
+def test_shared_folder_is_the_one_the_session_names():
+    for master in ("yarn", "local[2]"):
+        session = Session(master, "hdfs://shared/")
+        folders = {snap.shared_folder(session) for _ in range(2)}
+        assert len(folders) == 2 and all(f.startswith("hdfs://shared/shelfkin-") for f in folders)
+
+
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]"])
+def test_no_local_folder_on_a_cluster(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        snap.shared_folder(Session(master, None))
+
+
+def test_an_empty_snapshot_replaces_the_day_and_is_the_latest(spark, tmp_path):
+    root, none = str(tmp_path), spark.range(0)
+    for day, df in ((DAY1, spark.range(5)), (DAY2, none)):
+        snap.write_snapshot(df, root, snap.RAW, "a", day)
+    assert snap.latest_date(spark, root, snap.RAW, "a") == DAY2
+    latest = snap.read_latest(spark, root, snap.RAW, "a")
+    assert latest.columns == ["id"] and latest.count() == 0
+    snap.write_snapshot(none, root, snap.RAW, "a", DAY1)
+    assert snap.read_snapshot(spark, root, snap.RAW, "a", DAY1).count() == 0
+
+
+def test_an_unfinished_snapshot_is_passed_over(spark, tmp_path):
+    snap.write_snapshot(spark.range(3), str(tmp_path), snap.RAW, "a", DAY1)
+    (tmp_path / "raw" / "a" / "dt=2024-01-10").mkdir()
+    assert snap.latest_date(spark, str(tmp_path), snap.RAW, "a") == DAY1
+
+
+def test_malformed_responses_are_kept_in_quarantine(spark, tmp_path):
+    path = tmp_path / "responses.json"
+    path.write_text('{"userId": 1, "page": 1, "data": {"Page": {"mediaList": []}}}\nnot json\n{"userId": 2\n'
+                    '{"userId": 3, "data": {"Page": {"mediaList": []}}}\n')
+    responses = landing.scan_json(spark, str(path), schemas.INTERACTION_RESPONSE, lines=True)
+    assert [r.userId for r in landing.response_rows(responses).collect()] == [1]
+    failed = landing.quarantine(responses).collect()
+    assert sorted(str(r.malformed) for r in failed) == ["None", "not json", '{"userId": 2']
+    assert [r.userId for r in landing.skipped_users(responses).collect()] == [3]
+
+
+def test_numbers_written_as_doubles_are_read(spark, tmp_path):
+    path = tmp_path / "items.json"
+    path.write_text('{"data": {"Page": {"media": [{"id": 1, "averageScore": 85.0, "popularity": 20001}]}}}')
+    rows = landing.flatten_pages(
+        landing.scan_json(spark, str(path), schemas.ITEM_RESPONSE, lines=True), "data.Page.media"
+    )
+    kept = landing.whole_numbers(landing.source_filter_items(rows, 70, 20_000), schemas.RAW_ITEM)
+    (row,) = kept.collect()
+    assert (row.averageScore, row.popularity) == (85, 20_001) and kept.schema["averageScore"].dataType.typeName() == "long"
 
 
 def test_run_metrics_count_the_id_column(spark):
     vocab = spark.createDataFrame([("tags", "a", 0), ("genres", "b", 1)], "kind string, term string, index int")
-    row = metrics.run_metrics(spark.range(4), vocab, 5).first()
-    assert (row.num_items, row.num_features, row.model_type) == (4, 8, "cosine_similarity")
+    row = metrics.run_metrics(spark.range(4), vocab, 5, "here").first()
+    assert (row.num_items, row.num_features, row.model_type, row.feature_store) == (4, 8, "cosine_similarity", "here")
 
 
 def test_jobs_end_to_end(spark, tmp_path):
@@ -113,9 +169,12 @@ def test_jobs_end_to_end(spark, tmp_path):
     root = str(tmp_path / "store")
     counts = jobs.run_pipeline(
         spark, root, landed["items"], landed["reads"],
-        min_popularity=10_000, users=(1001, 1500), max_pages=2, date=DAY1,
+        min_score=70, min_popularity=10_000, users=(1001, 1500), max_pages=2, date=DAY1,
     )
-    assert counts["ingest"] == {"items": 10, "interactions": 2, "skipped_users": 1}
+    assert counts["ingest"] == {
+        "items": 10, "items_low_score": 1, "items_unpopular": 0, "interactions": 2, "pages_over_cap": 1,
+        "skipped_users": 1, "quarantined_items": 1, "quarantined_interactions": 1,
+    }
     assert counts["clean"] == {"items": 9, "interactions": 1}
     assert counts["features"]["item_features"] == 8 and counts["features"]["user_features"] == 1
     assert jobs.train(spark, root, k=2, date=DAY1) == {"neighbors": 16}
