@@ -2,9 +2,10 @@
 
 A text is a sequence of lines; a line is parted further after sentence ends, as a passage often
 starts in the middle of a line.  A window is the shortest run of lines, from a given one, with at
-least `min_words` words.  Of each window the line with the smallest hash is selected (winnowing):
-equal windows select equal lines, so every repeated run of `min_words` words is sure to hold a
-selected line that occurs twice.  Only such lines are followed up: their positions are joined,
+least `min_words` words.  Of each window the line with the smallest hash is selected (winnowing),
+where the first bits of a hash are set by its number of words, so that long lines, which seldom
+recur by chance, come first.  Equal windows select equal lines, so every repeated run of
+`min_words` words is sure to hold a selected line that occurs twice.  Only such lines are followed up: their positions are joined,
 and from each the match is extended both ways over all windows that selected it, which are
 compared by 128-bit keys.  Of equal windows the one that comes first, by doc_id and position,
 stays; the lines of all others are deleted.  So longer repeated runs go as a whole.
@@ -21,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,18 +57,19 @@ def windows_of(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[n
     first, last = first[last < len(words)], last[last < len(words)]
     if not len(first):
         return first, last, first
+    order = ((15 - np.minimum(words, 15)).astype(np.uint64) << np.uint64(60)) | (hashes >> np.uint64(4))
     levels = [np.arange(len(hashes))]  # places of the smallest hash of 1, 2, 4, ... lines
     longest = int((last - first).max()) + 1
     while 2 << (len(levels) - 1) <= longest:
         below, half = levels[-1], 1 << (len(levels) - 1)
         a, b = below[:-half], below[half:]
-        levels.append(np.where(hashes[a] <= hashes[b], a, b))
+        levels.append(np.where(order[a] <= order[b], a, b))
     level = np.log2(last - first + 1).astype(np.int64)
     place = np.empty(len(first), np.int64)
     for i, places in enumerate(levels):
         here = np.flatnonzero(level == i)
         a, b = places[first[here]], places[last[here] - (1 << i) + 1]
-        place[here] = np.where(hashes[a] <= hashes[b], a, b)
+        place[here] = np.where(order[a] <= order[b], a, b)
     return first, last, place
 
 
@@ -205,15 +208,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column(at).to_pylist(), []
-            for i, runs in enumerate(batch.column(len(names)).to_pylist()):
-                if runs and texts[i]:
-                    texts[i], spans = cut(texts[i], [(r["first"], r["last"]) for r in runs])
-                    gone.append([{"start": a, "end": b} for a, b in spans])
-                else:
-                    gone.append([])
+            found = batch.column(len(names))
+            changed = pc.and_(found.is_valid(), batch.column(at).is_valid())
+            texts, gone = [], [[]] * batch.num_rows
+            rows = np.flatnonzero(changed.to_numpy(zero_copy_only=False))
+            for i, text, runs in zip(rows.tolist(), batch.column(at).take(rows).to_pylist(), found.take(rows).to_pylist()):
+                text, spans = cut(text, [(r["first"], r["last"]) for r in runs])
+                texts.append(text)
+                gone[i] = [{"start": a, "end": b} for a, b in spans]
             columns = [*batch.columns[: len(names)], pa.array(gone, _SPANS)]
-            columns[at] = pa.array(texts, batch.column(at).type)
+            columns[at] = pc.replace_with_mask(columns[at], changed, pa.array(texts, columns[at].type))
             yield pa.RecordBatch.from_arrays(columns, [*names, "deleted"])
 
     span = T.StructType().add("start", T.LongType()).add("end", T.LongType())
