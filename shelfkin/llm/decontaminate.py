@@ -118,14 +118,14 @@ class Template:
 
 
 class Bloom:
-    """A set of hashes in FILTER_BITS bits; may also hold what was not put in."""
+    """A set of hashes in a number of bits; may also hold what was not put in."""
 
-    def __init__(self, bits: np.ndarray | None = None) -> None:
-        self.bits = np.zeros(FILTER_BITS >> 3, np.uint8) if bits is None else bits
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.size = bits, np.uint64(8 * len(bits))
 
     def _at(self, hashes: np.ndarray, probe: int) -> np.ndarray:
         step = (hashes >> np.uint64(32)) | np.uint64(1)
-        return ((hashes + step * np.uint64(probe)) % np.uint64(FILTER_BITS)).astype(np.int64)
+        return ((hashes + step * np.uint64(probe)) % self.size).astype(np.int64)
 
     def add(self, hashes: np.ndarray) -> None:
         for probe in range(PROBES):
@@ -206,15 +206,15 @@ def _rarest(items: DataFrame, window: int, share: float) -> DataFrame:
     return stored(ranked.filter(F.col("rank") <= needed).select("h", "item"), "rarest")
 
 
-def _filter(rarest: DataFrame) -> Bloom:
+def _filter(rarest: DataFrame, size: int) -> Bloom:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom()
+        bloom = Bloom(np.zeros(size >> 3, np.uint8))
         for batch in batches:
             bloom.add(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array([bloom.bits.tobytes()], pa.binary())], ["bits"])
 
-    rows = rarest.select("h").coalesce(4).mapInArrow(fill, "bits binary").collect()  # 4 of FILTER_BITS
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+    rows = rarest.select("h").coalesce(4).mapInArrow(fill, "bits binary").collect()  # 4 of `size` bits
+    bits = np.zeros(size >> 3, np.uint8)
     for row in rows:
         bits |= np.frombuffer(row.bits, np.uint8)
     return Bloom(bits)
@@ -229,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """
     items = _items(benchmark)
     rarest = _rarest(items, window, share)
-    bloom = _filter(rarest)
+    bloom = _filter(rarest, FILTER_BITS)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()

@@ -127,8 +127,8 @@ def words(path: str) -> Words:
 _CHUNK = "part int, before long, doc_ids array<long>, sizes array<long>, n_tokens long, width int, ids binary"
 
 
-def _chunks(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """Token ids in ascending doc_id order, in rows of about BLOCK tokens of whole documents."""
+def _chunks(docs: DataFrame, path: str, end_id: int | None, block: int) -> DataFrame:
+    """Token ids in ascending doc_id order, in rows of about `block` tokens of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = words(path), TaskContext.get().partitionId()
@@ -154,7 +154,7 @@ def _chunks(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
                     doc_ids.append(doc)
                     sizes.append((len(own) + len(tail)) // width)
                     held += sizes[-1]
-                    if held >= BLOCK:
+                    if held >= block:
                         yield row()
                         before += held
                         ids, doc_ids, sizes, held = [], [], [], 0
@@ -189,7 +189,9 @@ _BLOCK = (
 )
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 2) -> None:
+def write(
+    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 2, block: int = BLOCK
+) -> None:
     """Encode whole texts (null: empty), append `end_id` to each, and write a store at `path`.
 
     Rows are put in ascending doc_id order: null ids first, ties by a hash of the text.  Rows
@@ -198,7 +200,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     of the vocabulary.
     """
     spark = docs.sparkSession
-    chunks = stored(_chunks(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id), "chunks", "zstd")
+    chunks = stored(_chunks(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id, block), "chunks", "zstd")
     ends = chunks.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n")).orderBy("part").collect()
     starts = dict(zip([r.part for r in ends], np.cumsum([0, *(r.n for r in ends)]).tolist()))
     counts = _counts(chunks).orderBy("id").collect()
@@ -211,17 +213,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             for i in range(batch.num_rows):
                 width = batch.column("width")[i].as_py()
                 ids = np.frombuffer(batch.column("ids")[i].as_buffer(), f"<u{width}").astype(np.int64)
-                block = rans.encode(ids, table)
+                coded = rans.encode(ids, table)
                 start = starts[batch.column("part")[i].as_py()] + batch.column("before")[i].as_py()
                 copied = [batch.column(n).slice(i, 1) for n in ("doc_ids", "sizes", "n_tokens")]
                 kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-                values = ([block.states], [block.offsets], [block.checks], [block.payload])
+                values = ([coded.states], [coded.offsets], [coded.checks], [coded.payload])
                 arrays = [pa.array([start]), *copied, *(pa.array(v, k) for v, k in zip(values, kinds))]
                 names = ["start", "doc_ids", "sizes", "n_tokens", "states", "offsets", "checks", "payload"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    coded = chunks.mapInArrow(run, _BLOCK)
-    coded.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    chunks.mapInArrow(run, _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[dict, rans.Block]]:

@@ -71,8 +71,8 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
         total = np.zeros((width, width))
         for batch in batches:
             rows = matrix(batch.column("vec"), width)
-            lengths = np.sqrt((rows / max(1.0, np.abs(rows).max(initial=0))) ** 2 @ np.ones(width))
-            rows = rows / np.maximum(lengths * max(1.0, np.abs(rows).max(initial=0)), 1e-300)[:, None]
+            most = np.abs(rows).max(axis=1, initial=0.0)  # directions count, not lengths: no overflow
+            rows = rows / np.where(most > 0, most, 1.0)[:, None]
             total += rows.T @ rows
         i, j = np.triu_indices(width)
         arrays = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])]
@@ -88,7 +88,7 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
 
 def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products as whole numbers: doubles where they are exact, Python integers else."""
-    most = np.abs(queries).max(initial=0.0) * np.abs(rows).max(initial=0.0) * max(1, queries.shape[1])
+    most = float(np.abs(queries).max(initial=0.0)) * float(np.abs(rows).max(initial=0.0)) * max(1, queries.shape[1])
     if most < EXACT:
         return (queries @ rows.T).astype(np.int64)
     whole = [[int(x) for x in row] for row in rows]
@@ -205,7 +205,7 @@ def exact_top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> D
         (q_id, q_mark, q_vec), (c_id, _, c_vec) = ([np.concatenate(x) for x in zip(*side)] for side in sides)
         at, ids, scores = search(q_id, q_vec, c_id, c_vec, k, turn)
         whole = [int(s) for s in scores]
-        nearest = [float(s) if abs(s) < 1 << 1023 else math.copysign(math.inf, s) for s in whole]
+        nearest = [float(s) if abs(s) < 1 << 1023 else (math.inf if s > 0 else -math.inf) for s in whole]
         longs = [s if -(1 << 63) <= s < 1 << 63 else None for s in whole]
         arrays = [pa.array(x) for x in (q_id[at], q_mark[at], ids)] + [pa.array(longs, pa.int64()), pa.array(nearest, pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, ["query_id", "mark", "vec_id", "score", "nearest"])
