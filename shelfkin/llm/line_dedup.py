@@ -1,7 +1,7 @@
 """Deletes runs of lines that stand elsewhere earlier, found by winnowing.
 
-A text is a sequence of lines; a line is parted further after sentence ends, as a passage often
-starts in the middle of a line.  A window is the shortest run of lines, from a given one, with at
+A text is a sequence of lines; a line is parted further at blanks after sentence ends, as a
+passage often starts in the middle of a line.  Lines of white space alone do not count.  A window is the shortest run of lines, from a given one, with at
 least `min_words` words.  Of each window the line with the smallest hash is selected (winnowing),
 where the first bits of a hash are set by its number of words, so that long lines, which seldom
 recur by chance, come first.  Equal windows select equal lines, so every repeated run of
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from shelfkin.llm.common import map_batches, stored, text_of
 
 MIN_WORDS = 25
-BETWEEN = re.compile(r"\n+|(?<=[.!?])[ \t]+")
+BETWEEN = re.compile(r"\n+|(?<=[.!?]) +")
 SEED = 42
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two window keys
 FIRST_ID = -(1 << 63)  # where rows without doc_id come
@@ -42,19 +42,20 @@ def _mod(value: int) -> np.uint64:
 
 
 def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each line."""
-    lines = [line.strip() for line in BETWEEN.split(text)]
+    """Hash and number of words of each line that is not blank."""
+    for end in ".!?":
+        text = text.replace(f"{end} ", f"{end}\n")  # faster than the pattern, and the same lines
+    lines = [line for line in map(str.strip, text.split("\n")) if line]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines, repeat(SEED)), np.uint64, len(lines))
-    words = np.fromiter((line.count(" ") + 1 if line else 0 for line in lines), np.int64, len(lines))
-    return hashes, words
+    return hashes, np.fromiter(map(str.count, lines, repeat(" ")), np.int64, len(lines)) + 1
 
 
 def windows_of(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last line of each window, and the place of its smallest hash (the first, if several)."""
     ends = np.cumsum(words)
-    first = np.flatnonzero(words > 0)
-    last = np.searchsorted(ends, ends[first] - words[first] + min_words)
-    first, last = first[last < len(words)], last[last < len(words)]
+    last = np.searchsorted(ends, ends - words + min_words)
+    last = last[last < len(words)]
+    first = np.arange(len(last))
     if not len(first):
         return first, last, first
     order = ((15 - np.minimum(words, 15)).astype(np.uint64) << np.uint64(60)) | (hashes >> np.uint64(4))
@@ -86,20 +87,24 @@ def keys_of(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.
 
 
 def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """`text` without runs of lines (first, last), and the deleted spans in code points."""
-    starts, ends = [0], []
-    for m in BETWEEN.finditer(text):
-        ends.append(m.start())
-        starts.append(m.end())
-    ends.append(len(text))
-    gone = np.zeros(len(starts) + 1, np.int64)
+    """`text` without runs of lines (first, last), and the deleted spans in code points.
+
+    What parts a line from the next goes with it.
+    """
+    starts, at = [], 0
+    for end, following in [*(m.span() for m in BETWEEN.finditer(text)), (len(text), len(text))]:
+        if text[at:end].strip():
+            starts.append(at)
+        at = following
+    starts.append(len(text))
+    gone = np.zeros(len(starts), np.int64)
     for first, last in runs:
         gone[first] += 1
         gone[last + 1] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
+    gone = np.cumsum(gone) > 0
     kept, spans, at = [], [], 0
     for i in np.flatnonzero(gone).tolist():
-        start, end = starts[i], starts[i + 1] if i + 1 < len(starts) else ends[i]
+        start, end = starts[i], starts[i + 1]
         if spans and spans[-1][1] == start:
             spans[-1] = (spans[-1][0], end)
         else:
