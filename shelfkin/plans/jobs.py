@@ -28,6 +28,7 @@ from shelfkin.sources.snapshots import (
     RAW,
     read_latest,
     stored,
+    temporary_tables,
     write_snapshot,
 )
 
@@ -112,14 +113,15 @@ def clean(spark: SparkSession, root: str, date: datetime.date | None = None) ->
 def build_features(
     spark: SparkSession, root: str, date: datetime.date | None = None
 ) -> dict[str, int]:
-    features, params = feat.item_features(read_latest(spark, root, CLEANED, ITEMS))
-    strength = feat.user_features(read_latest(spark, root, CLEANED, INTERACTIONS))
-    return {
-        "item_features": _write(features, root, FEATURES, ITEM_FEATURES, date),
-        "vocab": _write(params.vocab, root, FEATURES, VOCAB, date),
-        "scaler": _write(params.scaler, root, FEATURES, SCALER, date),
-        "user_features": _write(strength, root, FEATURES, USER_FEATURES, date),
-    }
+    with temporary_tables(spark):
+        features, params = feat.item_features(read_latest(spark, root, CLEANED, ITEMS))
+        strength = feat.user_features(read_latest(spark, root, CLEANED, INTERACTIONS))
+        return {
+            "item_features": _write(features, root, FEATURES, ITEM_FEATURES, date),
+            "vocab": _write(params.vocab, root, FEATURES, VOCAB, date),
+            "scaler": _write(params.scaler, root, FEATURES, SCALER, date),
+            "user_features": _write(strength, root, FEATURES, USER_FEATURES, date),
+        }
 
 
 def run_pipeline(

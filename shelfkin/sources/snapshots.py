@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,8 +92,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/shelfkin-{uuid.uuid4().hex}"
 
 
+_TABLES: list[str] = []  # folders that `stored` has made in this process
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes what `stored` writes inside the block; for jobs that write their result in it."""
+    first = len(_TABLES)
+    try:
+        yield
+    finally:
+        for path in _TABLES[first:]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        del _TABLES[first:]
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """`df` written to the shared folder and read back: computed once, lineage cut."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
+    folder = shared_folder(df.sparkSession)
+    _TABLES.append(folder)
+    path = f"{folder}/{name}"
     write_parquet(df, path)
     return scan_parquet(df.sparkSession, path)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,15 @@ def test_no_local_folder_on_a_cluster(master):
         snap.shared_folder(Session(master, None))
 
 
+def test_temporary_tables_are_removed(spark):
+    with snap.temporary_tables(spark):
+        inside = snap.stored(spark.range(3))
+        (path,) = {f.rsplit("/", 2)[0] for f in inside.inputFiles()}
+        assert inside.count() == 3
+    outside = snap.stored(spark.range(3))
+    assert outside.count() == 3 and not os.path.exists(path.removeprefix("file://"))
+
+
 def test_an_empty_snapshot_replaces_the_day_and_is_the_latest(spark, tmp_path):
     root, none = str(tmp_path), spark.range(0)
     for day, df in ((DAY1, spark.range(5)), (DAY2, none)):
