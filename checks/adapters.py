@@ -102,7 +102,7 @@ def raw_description():
     return _when(
         "p_partkey",
         {
-            (6, 0): F.concat(name, F.lit(" tale.\n\n(Source: VIZ Media)")),
+            (6, 0): F.concat(name, F.lit(" tale.\n\n(Source: Lantern House)")),
             (6, 1): F.concat(name, F.lit(". Note: one sentence.")),
             (6, 2): F.concat(name, F.lit(".<br>Note: z.<br/>")),
             (6, 3): F.lit(None).cast("string"),

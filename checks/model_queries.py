@@ -105,6 +105,25 @@ def similarity_by_id(spark, sf):
     return _rounded(sim.with_zero_diagonal(pairs))
 
 
+WIDE_IDS = (0, 1, 2, 3)
+
+
+@query(
+    "v4_wide_matrix",
+    f"""WITH {SQL_PAIRS} SELECT id, """
+    + ", ".join(
+        f"coalesce(max(CASE WHEN neighbor_id = {i} THEN round(round(s, 10), 6) END), -9.0) + 0.0 AS to_{i}"
+        for i in WIDE_IDS
+    )
+    + " FROM pairs GROUP BY id",
+)
+def wide_matrix(spark, sf):
+    """Some columns of the matrix; the diagonal, which has no pair, is shown as -9."""
+    wide = sim.wide_matrix(sim.all_pairs_cosine(embedding_features(spark, sf)), list(WIDE_IDS))
+    shown = [F.coalesce(F.round(str(i), 6), F.lit(-9.0)) + 0.0 for i in WIDE_IDS]
+    return wide.select("id", *[c.alias(f"to_{i}") for i, c in zip(WIDE_IDS, shown)])
+
+
 @query(
     "v5_topk_neighbors",
     f"""WITH {SQL_NEIGHBORS}

@@ -39,5 +39,5 @@ def clean_interactions(raw: DataFrame) -> DataFrame:
         )
         .transform(drop_unjoinable)
         .transform(cast_ids)
-        .select("userId", "status", "score", "progress", "mediaId", "createdAt")
+        .select(schemas.RAW_INTERACTION.names)
     )

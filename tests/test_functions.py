@@ -49,7 +49,7 @@ def test_tag_shapes(spark):
 
 def test_description_steps(spark):
     cases = {
-        "A tale.\n\n(Source: VIZ Media)": "A tale.",
+        "A tale.\n\n(Source: Lantern House)": "A tale.",
         "A. Note: one sentence.": "A.",
         "A. Note: one. two.": "A. Note: one. two.",
         "A.<br>Note: z.<br>": "A. Note: z.",
