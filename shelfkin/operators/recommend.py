@@ -116,13 +116,25 @@ def answer(
     """Answers for requests whose `matched_id` is known; `matched` should be a table.
 
     `modeled_ids(id)` lists the items of the model; without it, those that have neighbours.
+    Whether an item is in the model and what its neighbours are is found in one lookup: an item
+    of the model without neighbours is given one empty row.
     """
-    if modeled_ids is None:
-        modeled_ids = neighbors.filter(F.col("rank") == 1).select("id")
-    # Each lookup reads its left side more than once; tables in between keep the plan linear.
+    model = neighbors.select("id", "neighbor_id", "similarity", "rank")
+    if modeled_ids is not None:
+        alone = modeled_ids.select("id").join(model.filter(F.col("rank") == 1), "id", "left_anti")
+        model = model.unionByName(alone, allowMissingColumns=True)
+    rows = model.select(
+        F.col("id").alias("owner_id"),
+        F.col("neighbor_id").alias("id"),
+        "similarity",
+        "rank",
+        F.lit(True).alias("in_model"),
+    )
     requests = matched.select("request_id", "title", "top_n", "matched_id")
-    checked = stored(lookup_status(check_modeled(requests, modeled_ids)), "checked")
-    ranked = stored(top_n(neighbors_of(checked, neighbors)), "ranked")
+    found = lookup_join(requests, rows, "matched_id", "owner_id", ["request_id"])
+    found = found.withColumn("in_model", F.coalesce("in_model", F.lit(False)))
+    # The next lookup reads its left side more than once, so it becomes a table.
+    ranked = stored(top_n(lookup_status(found)), "ranked")
     return round_scores(attach_metadata(ranked, metadata)).select(
         "request_id", "status", "rank", "id", "title", "description", "tags", "similarity"
     )
