@@ -28,7 +28,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DECIMALS = 10
 BLOCK_BYTES = 64 << 20  # one block as a task holds it, with the neighbours it collects
 SLICE_ROWS = 2048  # rows of either block multiplied at a time
-SLICE_COLUMNS = 4096  # feature columns made dense at a time
+SLICE_COLUMNS = 4096  # label columns made dense at a time
+LISTING = 128  # a pair of rows listed for a label costs as much as so many in a product
+PAIRS_LISTED = 1 << 22  # pairs listed at a time, about
 SEED_COLUMNS = 256  # entries sorted to fill a list of neighbours
 MARGIN = 1e-9  # more than rounding can move a similarity
 MIN_BLOCK_ROWS = 512
@@ -136,20 +138,63 @@ class _Block:
         labels = table["labels"].combine_chunks()
         self.label = labels.flatten().to_numpy()
         self.label_row = np.repeat(np.arange(len(self.ids)), np.asarray(labels.value_lengths()))
+        self.by_label: dict[int, tuple] = {}  # of each slice, when first asked for
 
     def slices(self) -> list[slice]:
         n = len(self.ids)
         return [slice(i, min(i + SLICE_ROWS, n)) for i in range(0, n, SLICE_ROWS)]
 
-    def multi_hot(self, rows: slice, labels: np.ndarray) -> np.ndarray:
-        """0/1 columns of the given labels for some rows."""
-        out = np.zeros((rows.stop - rows.start, len(labels)), dtype=np.float32)
-        a, b = np.searchsorted(self.label_row, [rows.start, rows.stop])
-        label, row = self.label[a:b], self.label_row[a:b] - rows.start
-        at = np.minimum(np.searchsorted(labels, label), len(labels) - 1)
-        keep = labels[at] == label
-        out[row[keep], at[keep]] = 1.0
-        return out
+    def postings(self, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Labels of some rows with where each begins and how often it occurs, and its rows."""
+        if rows.start not in self.by_label:
+            a, b = np.searchsorted(self.label_row, [rows.start, rows.stop])
+            order = np.argsort(self.label[a:b], kind="stable")
+            label, row = self.label[a:b][order], self.label_row[a:b][order] - rows.start
+            labels, first, count = np.unique(label, return_index=True, return_counts=True)
+            self.by_label[rows.start] = labels, first, count, row
+        return self.by_label[rows.start]
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of several runs, one run after another."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
+def _common_labels(left: _Block, rows: slice, right: _Block, cols: slice) -> np.ndarray | None:
+    """How many labels the rows of two slices have in common; None if none at all.
+
+    Frequent labels are counted by a product of 0/1 columns in single precision, where whole
+    numbers are exact.  For the others their pairs of rows are listed.  A label is frequent when
+    listing would cost more, so the columns are few however many labels there are.
+    """
+    l_labels, l_first, l_count, l_row = left.postings(rows)
+    r_labels, r_first, r_count, r_row = right.postings(cols)
+    shared, i, j = np.intersect1d(l_labels, r_labels, assume_unique=True, return_indices=True)
+    if not len(shared):
+        return None
+    l_first, l_count, r_first, r_count = l_first[i], l_count[i], r_first[j], r_count[j]
+    shape = (rows.stop - rows.start, cols.stop - cols.start)
+    common = np.zeros(shape, dtype=np.float32)
+    pairs = l_count.astype(np.int64) * r_count
+    frequent = np.flatnonzero(pairs * LISTING > shape[0] * shape[1])
+    for start in range(0, len(frequent), SLICE_COLUMNS):
+        some = frequent[start : start + SLICE_COLUMNS]
+        sides = []
+        for n, first, count, row in ((shape[0], l_first, l_count, l_row), (shape[1], r_first, r_count, r_row)):
+            side = np.zeros((n, len(some)), dtype=np.float32)
+            side[row[_runs(first[some], count[some])], np.repeat(np.arange(len(some)), count[some])] = 1.0
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    rare = np.flatnonzero(pairs * LISTING <= shape[0] * shape[1])
+    cuts = np.searchsorted(np.cumsum(pairs[rare]), np.arange(PAIRS_LISTED, pairs[rare].sum(), PAIRS_LISTED))
+    for some in np.split(rare, cuts):
+        total = _runs(np.zeros(len(some), np.int64), pairs[some])  # numbers each label's pairs
+        label = np.repeat(some, pairs[some])
+        row = l_row[l_first[label] + total // r_count[label]]
+        col = r_row[r_first[label] + total % r_count[label]]
+        common += np.bincount(row * shape[1] + col, minlength=common.size).reshape(shape)
+    return common
 
 
 def _blocks(table: pa.Table) -> tuple[_Block, _Block, bool]:
@@ -166,19 +211,12 @@ def _blocks(table: pa.Table) -> tuple[_Block, _Block, bool]:
 
 
 def _products(left: _Block, right: _Block) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """Cosines of the two blocks, one slice of each at a time.
-
-    Labels in common are counted in single precision, where whole numbers are exact.
-    """
-    shared = np.intersect1d(left.label, right.label)
+    """Cosines of the two blocks, one slice of each at a time."""
     for rows in left.slices():
         for cols in right.slices():
             product = left.unit[rows] @ right.unit[cols].T
-            if len(shared):
-                common = np.zeros(product.shape, dtype=np.float32)
-                for first in range(0, len(shared), SLICE_COLUMNS):
-                    some = shared[first : first + SLICE_COLUMNS]
-                    common += left.multi_hot(rows, some) @ right.multi_hot(cols, some).T
+            common = _common_labels(left, rows, right, cols)
+            if common is not None:
                 product += common * left.weight[rows, None] * right.weight[cols]
             yield rows, cols, product
 

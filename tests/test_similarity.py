@@ -131,6 +131,23 @@ def test_many_labels_do_not_make_many_blocks():
     assert n * sim.block_count(n, n * held, 1000, 50) <= 48e9 / 5
 
 
+@pytest.mark.parametrize("listing", [0, 3, 10**6])
+def test_labels_in_common(monkeypatch, listing):
+    """All labels as columns, some, and all listed."""
+    monkeypatch.setattr(sim, "LISTING", listing)
+    monkeypatch.setattr(sim, "PAIRS_LISTED", 50)
+    rng = np.random.default_rng(4)
+    has = [(rng.random((n, 30)) < rng.random(30) ** 3) for n in (23, 31)]
+    blocks = []
+    for h in has:
+        block = object.__new__(sim._Block)
+        block.label_row, block.label = np.nonzero(h)
+        block.by_label = {}
+        blocks.append(block)
+    got = sim._common_labels(blocks[0], slice(3, 20), blocks[1], slice(5, 31))
+    assert (got == has[0][3:20].astype(int) @ has[1][5:31].astype(int).T).all()
+
+
 def test_only_similar_pairs(spark):
     rows = random_rows(40, 11)
     every = sim.all_pairs_cosine(frame(spark, rows)).filter("similarity >= 0.4").collect()
