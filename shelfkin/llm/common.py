@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfkin.sources.snapshots import shared_folder
+
+_PASSING: list[str] = []  # tables that a running operator will remove
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster names in `spark.checkpoint.dir`.
+    """A new path below the folder that the cluster names in `spark.checkpoint.dir`."""
+    return f"{shared_folder(spark)}-{name}"
+
+
+def parts_of(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes of text, so that what is made of a part stays small."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
-    Where that is unset a temporary folder is made, but only for a local master: on a cluster
-    the executors would not see it, so the job stops there.
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes what `stored` writes inside the block, but for what is marked as lasting.
+
+    What leaves the block may read lasting tables only.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="shelfkin-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    first = len(_PASSING)
+    try:
+        yield
+    finally:
+        for path in _PASSING[first:]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        del _PASSING[first:]
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """`df` written to the shared folder and read back: computed once, lineage cut."""
+def stored(df: DataFrame, name: str, codec: str = "snappy", lasting: bool = False) -> DataFrame:
+    """`df` written to the shared folder and read back: computed once, lineage cut.
+
+    Lasting tables are read by a lazy result; they are left to the folder's retention rule.
+    """
     path = shared_path(df.sparkSession, name)
+    if not lasting:
+        _PASSING.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

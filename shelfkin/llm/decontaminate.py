@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfkin.llm.common import map_batches, stored, text_of
+from shelfkin.llm.common import map_batches, passing_tables, stored, text_of
 
 WINDOW = 5
 SHARE = 0.8
@@ -220,13 +220,7 @@ def _filter(rarest: DataFrame, size: int) -> Bloom:
     return Bloom(bits)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """(ord, mark, item_id, share, start, end): each item in each document that holds it.
-
-    `start` and `end` are the code points the match spans.  Items with fewer than `window` words,
-    or without a window of at least two words that are no placeholder, match nothing.  Null texts
-    count as empty and hold nothing.  Benchmark items of equal text are one, under the smallest id.
-    """
+def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: float) -> DataFrame:
     items = _items(benchmark)
     rarest = _rarest(items, window, share)
     bloom = _filter(rarest, FILTER_BITS)
@@ -276,9 +270,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
             verify, "ord long, mark long, item_id long, share double, start long, end long"
         ),
         "contaminated",
+        lasting=True,
     )
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """(ord, mark, item_id, share, start, end): each item in each document that holds it.
+
+    `start` and `end` are the code points the match spans.  Items with fewer than `window` words,
+    or without a window of at least two words that are no placeholder, match nothing.  Null texts
+    count as empty and hold nothing.  Benchmark items of equal text are one, under the smallest id.
+    """
+    with passing_tables(docs.sparkSession):
+        return _contaminated(docs, benchmark, window, share)
+
+
 def _span(text: str, doc: Template, first: int, last: int) -> tuple[int, int]:
     """Code points from template word `first` to `last`."""
     ends = [i if doc.places is None else int(doc.places[i]) for i in (first, last)]
@@ -312,7 +318,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: f
     found = contaminated(docs, benchmark, window, share)
     shown = F.struct("item_id", F.concat_ws(":", "item_id", "start", "end").alias("shown"))
     per_doc = stored(
-        found.groupBy(*_KEY).agg(F.sort_array(F.collect_list(shown)).alias("items")), "per_doc"
+        found.groupBy(*_KEY).agg(F.sort_array(F.collect_list(shown)).alias("items")), "per_doc", lasting=True
     )  # an item at most once per document: bounded by the benchmark
     listed = F.array_join(F.transform("items", lambda i: i.shown), ",")
     plain = keyed(docs.select("doc_id", "text")).select("doc_id", *_KEY)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfkin.llm.common import map_batches, stored, text_of
+from shelfkin.llm.common import map_batches, passing_tables, stored, text_of
 
 MIN_WORDS = 25
 BETWEEN = re.compile(r"\n+|(?<=[.!?]) +")
@@ -206,7 +206,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     table gives an empty result.
     """
     plain = docs.drop("deleted", "runs", *_KEY)
-    runs = stored(repeated_runs(plain, min_words), "deletions")
+    with passing_tables(docs.sparkSession):
+        runs = stored(repeated_runs(plain, min_words), "deletions", lasting=True)
     joined = _keyed(plain).join(runs, list(_KEY), "left").select(*plain.columns, "runs")
     names = plain.columns
     at = names.index("text")

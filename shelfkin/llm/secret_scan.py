@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "guess")
 # The words that announce a credential, and what may stand as its value.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|auth|credentials?|bearer|pin)"""
-    r"""["']?\x20*[:=]\x20*(?:"([^"\r\n]{6,256})"|'([^'\r\n]{6,256})'|([^\s"']{6,256}))""",
+    r"""["']?\x20*[:=]\x20*(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|([^\s"']{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
 GUESS_BITS = math.log2(1e10)  # as hard as ten thousand million guesses
@@ -137,12 +137,12 @@ def find(text: str, ranks: dict[str, int]) -> list[Span]:
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= ASSIGN_LEAST:
                 spans.append(Span("assign", *m.span(), guess_bits(m[2], ranks)))
-        taken = [(s.start, s.end) for s in spans]
+        base, at = len(spans), 0
         for m in CONTEXT.finditer(text):
             start, end = next(m.span(g) for g in (1, 2, 3) if m[g] is not None)
-            while taken and taken[0][1] <= start:
-                taken.pop(0)
-            if taken and taken[0][0] < end:
+            while at < base and spans[at].end <= start:
+                at += 1
+            if at < base and spans[at].start < end:
                 continue
             bits = guess_bits(text[start:end], ranks)
             if bits >= GUESS_BITS:

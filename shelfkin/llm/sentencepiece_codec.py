@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfkin.llm import piece_model
-from shelfkin.llm.common import map_batches, text_of
+from shelfkin.llm.common import map_batches, parts_of, text_of
 from shelfkin.llm.piece_model import SPACE
 from shelfkin.llm.word_cache import WordCache
 
@@ -98,17 +98,6 @@ def id_arrays(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _pieces(batch: pa.RecordBatch, chars: int = 1 << 23) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about `chars` bytes of text, so that a part's ids stay small."""
-    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < batch.num_rows:
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + chars, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def encode(docs: DataFrame, model: str | None = None, threads: int = 1) -> DataFrame:
     """(doc_id, text, ids, agree) for every row of `docs`, whole texts; a null text counts as empty.
 
@@ -122,7 +111,7 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = 1) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = codec(path, threads)
         for batch in batches:
-            for part in _pieces(batch):
+            for part in parts_of(batch, 1 << 23):
                 ids, agree = box.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, id_arrays(ids), pa.array(agree)], ["doc_id", "text", "ids", "agree"]

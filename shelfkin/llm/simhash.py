@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfkin.llm.common import components, map_batches, stored, text_of
+from shelfkin.llm.common import components, map_batches, passing_tables, stored, text_of
 
 SEED = 42
 LEVELS = 8
@@ -220,18 +220,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
     doc_id is kept and never names a component (null only if no other id is in it).  Other
     columns of `docs` are not read.  An empty table gives an empty result.
     """
-    marks = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    linked = stored(components(links(distinct, reach)), "linked")
-    named = distinct.join(linked, F.col("fp") == F.col("node"))
-    lowest = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-    joined = stored(linked.join(lowest, "root").select("node", "component_id"), "joined")
-    labels = stored(
-        distinct.join(joined, F.col("fp") == F.col("node"), "left").select(
-            "fp", F.coalesce("component_id", "low").alias("component_id")
-        ),
-        "labels",
-    )
+    marks = stored(fingerprints(docs, shingle), "fingerprints", lasting=True)
+    with passing_tables(docs.sparkSession):
+        distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+        linked = stored(components(links(distinct, reach)), "linked")
+        named = distinct.join(linked, F.col("fp") == F.col("node"))
+        lowest = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+        joined = stored(linked.join(lowest, "root").select("node", "component_id"), "joined")
+        labels = stored(
+            distinct.join(joined, F.col("fp") == F.col("node"), "left").select(
+                "fp", F.coalesce("component_id", "low").alias("component_id")
+            ),
+            "labels",
+            lasting=True,
+        )
     return marks.join(labels, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -53,7 +53,7 @@ def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), vec], ["vec_id", "vec"])
 
     whole = sound.mapInArrow(floors, "vec_id long, vec array<double>").distinct()
-    return stored(whole.withColumn("mark", F.xxhash64("vec")), "vectors")
+    return stored(whole.withColumn("mark", F.xxhash64("vec")), "vectors", lasting=True)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:

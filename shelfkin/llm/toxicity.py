@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfkin.llm.common import map_batches, stored, text_of
+from shelfkin.llm.common import map_batches, passing_tables, stored, text_of
 
 SAMPLE = 20_000  # labelled documents the model is fitted on, at most
 FEATURES = 20_000  # features of the model, at most
@@ -98,7 +98,7 @@ class Sequences(NamedTuple):
     gaps: np.ndarray
     tails: np.ndarray
 
-    def chunks(self, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def chunks(self, cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Sequences of like length together: their numbers and the places of their tokens,
         -1 where a sequence has ended; at most about `cells` places at a time."""
         begins = np.cumsum(self.sizes) - self.sizes
@@ -400,7 +400,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     The driver gets feature counts (at most FEATURES), one gradient per task and round, and three
     numbers per sampled document.
     """
-    chosen = _sample(docs, labels, sample)
+    with passing_tables(docs.sparkSession):
+        return _fit(_sample(docs, labels, sample))
+
+
+def _fit(chosen: DataFrame) -> Model | None:
     number, odds, totals = _candidates(chosen)
     if not totals[True]:
         return None
