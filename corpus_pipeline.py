@@ -53,6 +53,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     spare = stored(
         groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(names_group.alias("first")).filter("NOT first"),
         "spare",
+        lasting=True,
     )
     kept = docs.join(spare.select("doc_id"), "doc_id", "left_anti")
     same = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
@@ -85,5 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name, lasting=True)
     return docs
