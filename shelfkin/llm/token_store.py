@@ -19,39 +19,42 @@ from unicodedata import is_normalized
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfkin.llm import rans
-from shelfkin.llm.common import stored, text_of
+from shelfkin.llm.common import parts_of, passing_tables, stored, text_of
 
 BLOCK = 1 << 20
+TOGETHER = 1 << 23  # bytes of text whose words are made distinct together
 HELD = 1_000_000  # distinct words whose ids a Python worker holds, some 200 MB
-TOGETHER = 64  # documents whose new words are encoded together
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # parted from letters before them; not the apostrophe
 # The letters that stand for bytes in byte-level models: printable ones for themselves, the others
 # from 256 on.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(b) for b in PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*PLAIN}))}
 
 
-class Words:
-    """Encodes texts with a tokenizer that drops white space, each distinct word once.
+class Words(dict):
+    """Encodes texts with a tokenizer that drops white space; maps words to the bytes of their ids.
 
     Such a tokenizer gives a text the ids of its words, one after another.  Words are what the
     six ASCII white-space characters part; A-Z are lowered first, as the tokenizer does it, where
     the text holds no special token that might appear by that.  Words of letters that its
-    normaliser leaves as they are go to the library's model at once; all others are encoded by
-    the whole tokenizer.  Ids are held as bytes of `kind`; beyond HELD words the memory is
-    emptied, which changes no result.
+    normaliser leaves as they are go to the library's model at once, apart from the marks behind
+    them; all others are encoded by the whole tokenizer.  Ids are numbers of `kind`; beyond HELD words the memory is emptied,
+    which changes no result.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.packed = [int(i).to_bytes(self.kind.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         with open(path, encoding="utf-8") as file:
@@ -59,47 +62,67 @@ class Words:
         self.parts = drops_blanks(rules)
         self.lowers = self.parts and "Lowercase" in str(rules["normalizer"])
         self.letters = self.lowers and r"[\p{L}]+" in rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.special = {t["content"][:2].encode() for t in rules["added_tokens"]}
-        self.marks = {m: self._whole([m.decode()])[0] for m in (b"", b".", b",")}
-        self.known: dict[bytes, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return b"".join([self.packed[i] for i in ids])
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, others = self.known, []
-        for word in words:
-            core, mark = (word[:-1], word[-1:]) if word[-1:] in self.marks else (word, b"")
-            text = core.decode()
-            if self.letters and text.isalpha() and text == text.lower() and is_normalized("NFC", text):
-                ids = known.get(core)
-                if ids is None:
-                    shown = text if text.isascii() else core.decode("latin-1").translate(BYTE_LETTERS)
-                    ids = known[core] = self._bytes([t.id for t in self.model.tokenize(shown)])
-                known[word] = ids + self.marks[mark]
-            else:
-                others.append(word)
-        known.update(zip(others, self._whole([w.decode() for w in others])))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of `kind`."""
+        self.special = {t["content"][:2] for t in rules["added_tokens"]}
+
+    def whole(self, text: str) -> bytes:
+        """The ids of a text by the whole tokenizer."""
+        packed = self.packed
+        return b"".join([packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if not (self.letters and core.isalpha() and core == core.lower() and is_normalized("NFC", core)):
+            ids = self.whole(word)
+        elif len(core) < len(word):
+            ids = self[core] + self[word[len(core) :]]
+        else:
+            shown = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+            packed = self.packed
+            ids = b"".join([packed[t.id] for t in self.tokenize(shown)])
+        self[word] = ids
+        return ids
+
+    def encode(self, texts: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, `tail` after each, and how many each text has.
+
+        The words of all texts are made distinct by Arrow; only these are looked up one by one.
+        """
         if not self.parts:
-            return self._whole(texts)
-        parted = []
-        for text in texts:
-            data = text.encode()
-            if self.lowers and not any(s in data for s in self.special):
-                data = data.lower()
-            parted.append(data.split())
-        if len(self.known) > HELD:
-            self.known.clear()
-        new = set().union(*parted).difference(self.known)
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in parted]
+            return self._apart(texts.to_pylist(), tail)
+        if self.lowers:
+            for two in self.special:  # lowering might make a special token appear
+                if pc.any(pc.match_substring(texts, two)).as_py():
+                    return self._apart(texts.to_pylist(), tail)
+            texts = pc.ascii_lower(texts)
+        if len(self) > HELD:
+            self.clear()
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        width = self.kind.itemsize
+        known = [self[w] if w else b"" for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        flat = np.frombuffer(b"".join(known), self.kind)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // width
+        at = words.indices.to_numpy(zero_copy_only=False)
+        sizes, starts = lengths[at], (np.cumsum(lengths) - lengths)[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+        offsets = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        per_text = np.diff(np.r_[0, ends][offsets])
+        if not tail:
+            return ids, per_text
+        extra = np.frombuffer(tail, self.kind)
+        out = np.empty(total + len(extra) * len(texts), self.kind)
+        order = np.arange(len(texts)) * len(extra)
+        out[np.arange(total) + np.repeat(order, per_text)] = ids
+        for i, value in enumerate(extra):
+            out[np.cumsum(per_text) + order + i] = value
+        return out, per_text + len(extra)
+
+    def _apart(self, texts: list[str], tail: bytes) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.whole(t) + tail for t in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        return np.frombuffer(b"".join(parts), self.kind), sizes
 
 
 def drops_blanks(rules: dict) -> bool:
@@ -124,36 +147,44 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-_CHUNK = "part int, before long, doc_ids array<long>, sizes array<long>, n_tokens long, width int, ids binary"
+_CHUNK = "part int, before long, doc_ids array<long>, sizes array<long>, n_tokens long, width int, ids binary, used binary, counts binary"
 
 
 def _chunks(docs: DataFrame, path: str, end_id: int | None, block: int) -> DataFrame:
     """Token ids in ascending doc_id order, in rows of about `block` tokens of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = words(path), TaskContext.get().partitionId()
-        width = encode.kind.itemsize
-        tail = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
+        box, part = words(path), TaskContext.get().partitionId()
+        width = box.kind.itemsize
+        tail = b"" if end_id is None else np.array([end_id], box.kind).tobytes()
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
         sizes: list[int] = []
         before = held = 0
 
         def row() -> pa.RecordBatch:
-            columns = ([part], [before], [doc_ids], [sizes], [held], [width], [b"".join(ids)])
+            data = b"".join(ids)
+            seen = np.bincount(np.frombuffer(data, box.kind))
+            used = np.flatnonzero(seen)
+            packed = (data, used.astype("<i4").tobytes(), seen[used].astype("<i4").tobytes())
+            columns = ([part], [before], [doc_ids], [sizes], [held], [width], *([x] for x in packed))
             longs = pa.list_(pa.int64())
-            kinds = (pa.int32(), pa.int64(), longs, longs, pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), longs, longs, pa.int64(), pa.int32(), *[pa.binary()] * 3)
             names = [f.split()[0] for f in _CHUNK.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(start, TOGETHER)
-                for doc, own in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist())):
-                    ids += (own, tail)
+            for some in parts_of(batch, TOGETHER):
+                found, counts = box.encode(some.column("text"), tail)
+                at = first = 0
+                for i, (doc, n) in enumerate(zip(some.column("doc_id").to_pylist(), counts.tolist())):
+                    at += n
                     doc_ids.append(doc)
-                    sizes.append((len(own) + len(tail)) // width)
-                    held += sizes[-1]
+                    sizes.append(n)
+                    held += n
+                    if held >= block or i == len(counts) - 1:
+                        ids.append(found[first:at].tobytes())
+                        first = at
                     if held >= block:
                         yield row()
                         before += held
@@ -169,18 +200,22 @@ def _chunks(docs: DataFrame, path: str, end_id: int | None, block: int) -> DataF
 
 
 def _counts(chunks: DataFrame) -> DataFrame:
+    """How often each id occurs, from the counts that each chunk has of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column("ids"), batch.column("width").to_pylist()):
-                seen = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"), minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
-        used = np.flatnonzero(total)
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+            for used, counts in zip(batch.column("used"), batch.column("counts")):
+                own = np.frombuffer(used.as_buffer(), "<i4")
+                if len(own) and own[-1] >= len(total):
+                    total = np.r_[total, np.zeros(own[-1] + 1 - len(total), np.int64)]
+                total[own] += np.frombuffer(counts.as_buffer(), "<i4")
+        found = np.flatnonzero(total)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    return chunks.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    spread = chunks.select("used", "counts").mapInArrow(run, "id long, n long")
+    return spread.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 _BLOCK = (
@@ -199,8 +234,13 @@ def write(
     gives a store without blocks.  The driver sees one number per partition and one count per id
     of the vocabulary.
     """
-    spark = docs.sparkSession
-    chunks = stored(_chunks(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id, block), "chunks", "zstd")
+    with passing_tables(docs.sparkSession):
+        chunks = _chunks(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id, block)
+        _write(stored(chunks, "chunks", "zstd"), path)
+
+
+def _write(chunks: DataFrame, path: str) -> None:
+    spark = chunks.sparkSession
     ends = chunks.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n")).orderBy("part").collect()
     starts = dict(zip([r.part for r in ends], np.cumsum([0, *(r.n for r in ends)]).tolist()))
     counts = _counts(chunks).orderBy("id").collect()
@@ -222,7 +262,8 @@ def write(
                 names = ["start", "doc_ids", "sizes", "n_tokens", "states", "offsets", "checks", "payload"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    chunks.mapInArrow(run, _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    body = chunks.drop("used", "counts")
+    body.mapInArrow(run, _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[dict, rans.Block]]:
