@@ -41,25 +41,21 @@ def hot_keys(df: DataFrame, key: str) -> list:
     """Keys (None among them) that hold more rows than a shuffle partition does on average.
 
     Counted by frequent-item sketches of fixed size, so nothing is shuffled by key and the
-    driver sees SKETCHES short rows.  No more keys than there are partitions can pass the bar.
+    driver sees the keys above the bar, of which there are no more than partitions.
     The sketches may err near it, which only moves the line between salted and unsalted keys:
     both sides of a join use the same list.
     """
     partitions = _salts(df)
     most = max(100, partitions)
     sketch = F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(most * TRACKED))
+    bar = df.count() / partitions
     rows = (
         df.groupBy(F.pmod(F.xxhash64(key), F.lit(SKETCHES)).alias("part"))
-        .agg(
-            sketch.alias("top"),
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col(key).isNull()).alias("nulls"),
-        )
+        .agg(sketch.alias("top"), F.count_if(F.col(key).isNull()).alias("nulls"))
+        .select(F.filter("top", lambda entry: entry["count"] > F.lit(bar)).alias("top"), "nulls")
         .collect()
     )
-    bar = sum(r.rows for r in rows) / partitions
-    frequent = (entry for r in rows for entry in r.top if entry["count"] > bar)
-    hot = [entry["item"] for entry in frequent if entry["item"] is not None]
+    hot = [entry["item"] for r in rows for entry in r.top if entry["item"] is not None]
     if sum(r.nulls for r in rows) > bar:
         hot.append(None)
     return hot
