@@ -10,6 +10,10 @@ and from each the match is extended both ways over all windows that selected it,
 compared by 128-bit keys.  Of equal windows the one that comes first, by doc_id and position,
 stays; the lines of all others are deleted.  So longer repeated runs go as a whole.
 
+Whole lines, from one line end to the next, of at least `line_words` words are looked at one by
+one beside the windows, as the most repeated lines stand alone.  They are counted by the same
+pass and compared by 128-bit keys of their text.
+
 Selected lines that occur once, nearly all, leave after one count of hashes.  No pairs are
 formed: each window is compared with the first of its kind only, whatever their number.
 """
@@ -31,6 +35,7 @@ from pyspark.sql import types as T
 from shelfkin.llm.common import map_batches, passing_tables, stored, text_of
 
 MIN_WORDS = 25
+LINE_WORDS = 4
 BETWEEN = re.compile(r"\n+|(?<=[.!?]) +")
 SEED = 42
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two window keys
@@ -50,6 +55,24 @@ def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.fromiter(map(str.count, lines, repeat(" ")), np.int64, len(lines)) + 1
 
 
+def whole_lines(text: str, line_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each line of at least `line_words` words, and its first and last place among `lines_of`."""
+    keys, places, at = [], [], 0
+    for line in text.split("\n"):
+        line = line.strip()
+        if not line:
+            continue
+        parts = line
+        for end in ".!?":
+            parts = parts.replace(f"{end} ", f"{end}\n")
+        n = sum(map(bool, map(str.strip, parts.split("\n")))) if "\n" in parts else 1
+        if line.count(" ") + 1 >= line_words:
+            keys.append(xxhash.xxh3_128_digest(line, SEED))
+            places.append((at, at + n - 1))
+        at += n
+    return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2), np.array(places, np.int32).reshape(-1, 2)
+
+
 def windows_of(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last line of each window, and the place of its smallest hash (the first, if several)."""
     ends = np.cumsum(words)
@@ -115,6 +138,7 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[tuple[int, in
 
 
 _KEY = ("ord", "mark")
+_NO_LINES = (np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int32))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -131,31 +155,35 @@ def _uint(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return np.frombuffer(batch.column(name)[row].as_buffer(), np.uint64)
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int, line_words: int | None) -> DataFrame:
     """(ord, mark, runs): for each document with something to delete, runs of lines (first, last)."""
+    columns = [*_KEY, "hashes", "words", "line_keys", "line_places"]
 
     def sequences(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text in batch.column("text").to_pylist():
             hashes, words = lines_of(text)
             first, last, place = windows_of(hashes, words, min_words)
-            chosen, counts = np.unique(hashes[np.unique(place)], return_counts=True)
-            rows.append((hashes.tobytes(), words.astype(np.int32).tobytes(), chosen.view(np.int64), counts))
-        hashes, words, chosen, counts = zip(*rows)
+            line_keys, places = whole_lines(text, line_words) if line_words else _NO_LINES
+            chosen = np.r_[hashes[np.unique(place)].view(np.int64), line_keys[:, 0]]
+            chosen, counts = np.unique(chosen, return_counts=True)
+            sizes = words.astype(np.int32)
+            rows.append((*(a.tobytes() for a in (hashes, sizes, line_keys, places)), chosen, counts))
+        *stores, chosen, counts = zip(*rows)
         arrays = [
             *(batch.column(k) for k in _KEY),
-            pa.array(hashes, pa.binary()),
-            pa.array(words, pa.binary()),
+            *(pa.array(x, pa.binary()) for x in stores),
             pa.array(chosen, pa.list_(pa.int64())),
             pa.array(counts, pa.list_(pa.int64())),
         ]
-        return pa.RecordBatch.from_arrays(arrays, [*_KEY, "hashes", "words", "chosen", "counts"])
+        return pa.RecordBatch.from_arrays(arrays, [*columns, "chosen", "counts"])
 
     texts = _keyed(docs.select("doc_id", text_of())).select(*_KEY, "text")
     runs = stored(
         map_batches(
             texts, sequences,
-            "ord long, mark long, hashes binary, words binary, chosen array<long>, counts array<long>",
+            "ord long, mark long, hashes binary, words binary, line_keys binary, line_places binary, "
+            "chosen array<long>, counts array<long>",
         ).filter(F.size("chosen") > 0),
         "runs",
     )
@@ -171,17 +199,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 hashes = _uint(batch, "hashes", i)
                 words = np.frombuffer(batch.column("words")[i].as_buffer(), np.int32).astype(np.int64)
                 first, last, place = windows_of(hashes, words, min_words)
-                wanted = np.array(batch.column("hits")[i].as_py(), np.int64).view(np.uint64)
-                near = np.isin(hashes[place], wanted)
+                wanted = np.array(batch.column("hits")[i].as_py(), np.int64)
+                near = np.isin(hashes[place].view(np.int64), wanted)
                 first, last = first[near], last[near]
-                keys = [pa.array(k.view(np.int64)) for k in keys_of(hashes, first, last)]
+                line_keys = np.frombuffer(batch.column("line_keys")[i].as_buffer(), np.int64).reshape(-1, 2)
+                places = np.frombuffer(batch.column("line_places")[i].as_buffer(), np.int32).reshape(-1, 2)
+                again = np.isin(line_keys[:, 0], wanted)
+                keys = zip((k.view(np.int64) for k in keys_of(hashes, first, last)), line_keys[again].T)
+                keys = [pa.array(np.r_[a, b]) for a, b in keys]
+                first, last = np.r_[first, places[again, 0]], np.r_[last, places[again, 1]]
                 own = [pa.array(np.full(len(first), batch.column(k)[i].as_py(), np.int64)) for k in _KEY]
-                places = [pa.array(first), pa.array(last)]
-                yield pa.RecordBatch.from_arrays([*keys, *own, *places], ["k1", "k2", *_KEY, "first", "last"])
+                ends = [pa.array(first), pa.array(last)]
+                yield pa.RecordBatch.from_arrays([*keys, *own, *ends], ["k1", "k2", *_KEY, "first", "last"])
 
-    found = runs.select(*_KEY, "hashes", "words").join(hits, list(_KEY))
+    found = runs.select(columns).join(hits, list(_KEY))
     windows = stored(
-        found.select(*_KEY, "hashes", "words", "hits").mapInArrow(
+        found.select(*columns, "hits").mapInArrow(
             extend, "k1 long, k2 long, ord long, mark long, first long, last long"
         ),
         "windows",
@@ -196,18 +229,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int | None = None, line_words: int | None = None) -> DataFrame:
     """`docs` with repeated runs deleted from `text`, and `deleted` (start, end) in code points.
 
-    A run has at least `min_words` blank-separated words.  Order is by doc_id (null first), then
+    A run has at least `min_words` blank-separated words, a whole line that goes alone at least
+    `line_words`.  Bounds not given are `MIN_WORDS` and `LINE_WORDS`; with `min_words` only, no
+    line goes alone.  Order is by doc_id (null first), then
     by a hash of the text.  Rows equal in doc_id and text are one document: each gets the same
     result.  Null and empty texts stay as they are, with nothing deleted.  All other columns are
     kept; columns named `deleted`, `ord`, `mark` or `runs` are replaced or dropped.  An empty
     table gives an empty result.
     """
+    line_words = LINE_WORDS if min_words is None and line_words is None else line_words
+    min_words = MIN_WORDS if min_words is None else min_words
     plain = docs.drop("deleted", "runs", *_KEY)
     with passing_tables(docs.sparkSession):
-        runs = stored(repeated_runs(plain, min_words), "deletions", lasting=True)
+        runs = stored(repeated_runs(plain, min_words, line_words), "deletions", lasting=True)
     joined = _keyed(plain).join(runs, list(_KEY), "left").select(*plain.columns, "runs")
     names = plain.columns
     at = names.index("text")
@@ -230,9 +267,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.mapInArrow(delete, T.StructType([*plain.schema, T.StructField("deleted", T.ArrayType(span))]))
 
 
-def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def digest(docs: DataFrame, min_words: int | None = None, line_words: int | None = None) -> DataFrame:
     """(doc_id, deleted, n_deleted_chars, kept_sha256): deletions as start:end, joined by commas."""
-    done = dedup_lines(docs.select("doc_id", text_of()), min_words)
+    done = dedup_lines(docs.select("doc_id", text_of()), min_words, line_words)
     shown = F.transform("deleted", lambda d: F.concat_ws(":", d.start.cast("string"), d.end.cast("string")))
     chars = F.aggregate("deleted", F.lit(0).cast("long"), lambda n, d: n + d.end - d.start)
     return done.select(

@@ -272,6 +272,18 @@ def test_line_dedup_of_odd_rows(docs_of, clashing):
     assert line_dedup.dedup_lines(docs_of(), 10).count() == 0
 
 
+def test_short_lines_that_stand_alone_go(docs_of):
+    line, other = "Free for all to use. So there.", "It may not be copied"
+    rows = [(1, f"first words of one\n{line}\nend"), (2, f"{line}\nanother text here now\n  {line} \n{other}"),
+            (3, f"b c d\n{other}\nb c d\n"), (4, f"not a whole line: {line}\nb c d"), (5, line)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(*rows)).collect()}
+    assert got == {
+        1: rows[0][1], 2: f"another text here now\n{other}", 3: "b c d\nb c d\n", 4: rows[3][1], 5: "",
+    }
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(*rows), 25, 8).collect()}
+    assert kept == dict(rows)
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 ITEM = "Anna has 12 apples and gives 5 apples to Peter every day, so how many apples are left after 3 days?"
