@@ -14,6 +14,14 @@ Whole lines, from one line end to the next, of at least `line_words` words are l
 one beside the windows, as the most repeated lines stand alone.  They are counted by the same
 pass and compared by 128-bit keys of their text.
 
+Passages may also begin and end inside a line.  So the same is done word by word, whatever parts
+the words: of the hashes of `GRAM_WORDS` words in each window of `PASSAGE_WORDS` words the
+smallest is selected, windows whose selected one occurs twice are compared by 128-bit keys, and
+all but the first of equal windows go.  Neighbouring windows that select the same place are compared
+as one group first; only where groups with equal selected words differ, at the ends of passages,
+are the windows of the first of each kind of group compared one by one.  Words are hashed over the
+bytes of a text at once.
+
 Selected lines that occur once, nearly all, leave after one count of hashes.  No pairs are
 formed: each window is compared with the first of its kind only, whatever their number.
 """
@@ -22,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -36,7 +45,11 @@ from shelfkin.llm.common import map_batches, passing_tables, stored, text_of
 
 MIN_WORDS = 25
 LINE_WORDS = 4
+PASSAGE_WORDS = 50  # every repeated run of so many words goes, wherever it begins
+GRAM_WORDS = 25
 BETWEEN = re.compile(r"\n+|(?<=[.!?]) +")
+WORD = re.compile(r"[^\t-\r ]+")
+BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
 SEED = 42
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two window keys
 FIRST_ID = -(1 << 63)  # where rows without doc_id come
@@ -109,10 +122,40 @@ def keys_of(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.
     return out
 
 
-def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """`text` without runs of lines (first, last), and the deleted spans in code points.
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `n` powers of a base and of its inverse."""
+    bases = (BASES[0], pow(BASES[0], -1, 1 << 64))
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _mod(b))]) for b in bases)
+    return up, down
+
+
+def words_of(text: bytes) -> np.ndarray:
+    """Hash of each word, as `WORD` finds them."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.r_[False, ~BLANK[raw], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    up, down = _powers(max(1 << 16, 1 << len(raw).bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum((raw + np.uint64(1)) * down[: len(raw)])]
+    hashes = (sums[end] - sums[start]) * up[start]
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        hashes = (hashes ^ (hashes >> np.uint64(shift))) * _mod(factor)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def grams_of(words: np.ndarray, passage: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of `gram` words, and which of them each window of `passage` words selects."""
+    first = np.arange(max(0, len(words) - gram + 1))
+    grams = keys_of(words, first, first + gram - 1)[0]
+    grams = (grams ^ (grams >> np.uint64(31))) * _mod(0x94D049BB133111EB)
+    return grams, windows_of(grams, np.ones(len(grams), np.int64), passage - gram + 1)[2]
 
-    What parts a line from the next goes with it.
+
+def cut(text: str, runs: list[tuple[int, int]], passages: list[tuple[int, int]] = ()) -> tuple[str, list[tuple[int, int]]]:
+    """`text` without runs of lines and of words (first, last), and the deleted spans in code points.
+
+    What parts a line or word from the next goes with it.
     """
     starts, at = [], 0
     for end, following in [*(m.span() for m in BETWEEN.finditer(text)), (len(text), len(text))]:
@@ -120,10 +163,16 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[tuple[int, in
             starts.append(at)
         at = following
     starts.append(len(text))
+    runs = [(starts[first], starts[last + 1]) for first, last in runs]
+    if passages:
+        words = [*(m.start() for m in WORD.finditer(text)), len(text)]
+        runs += [(words[first], words[last + 1]) for first, last in passages]
+    starts = sorted({*starts, *(at for run in runs for at in run)})
+    place = {at: i for i, at in enumerate(starts)}
     gone = np.zeros(len(starts), np.int64)
-    for first, last in runs:
-        gone[first] += 1
-        gone[last + 1] -= 1
+    for start, end in runs:
+        gone[place[start]] += 1
+        gone[place[end]] -= 1
     gone = np.cumsum(gone) > 0
     kept, spans, at = [], [], 0
     for i in np.flatnonzero(gone).tolist():
@@ -138,6 +187,7 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[tuple[int, in
 
 
 _KEY = ("ord", "mark")
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 _NO_LINES = (np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int32))
 
 
@@ -155,6 +205,97 @@ def _uint(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return np.frombuffer(batch.column(name)[row].as_buffer(), np.uint64)
 
 
+def _hits(runs: DataFrame) -> DataFrame:
+    """(ord, mark, hits): what was chosen in each document and occurs twice."""
+    chosen = runs.select(*_KEY, F.explode(F.arrays_zip("chosen", "counts")).alias("c"))
+    chosen = chosen.select(*_KEY, F.col("c.chosen").alias("h"), F.col("c.counts").alias("n"))
+    # A repeated row is one document: what it has is counted twice here, which only adds candidates.
+    twice = stored(chosen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "twice")
+    return chosen.select(*_KEY, "h").join(twice, "h").groupBy(*_KEY).agg(F.collect_set("h").alias("hits"))
+
+
+def _later(windows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(ord, mark, first, last) of `windows` but for the first of those with equal keys; and these first ones."""
+    names = [*_KEY, "first", *more]
+    earliest = windows.groupBy("k1", "k2").agg(F.min(F.struct(*names)).alias("e"))
+    firsts = stored(earliest.select("k1", "k2", "e.*").toDF("k1", "k2", *(f"{n}0" for n in names)), "firsts")
+    later = windows.join(firsts, ["k1", "k2"]).filter("ord <> ord0 OR mark <> mark0 OR first <> first0")
+    return later.select(*_KEY, "first", "last"), firsts
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return _keyed(docs.select("doc_id", text_of())).select(*_KEY, "text")
+
+
+def _bytes(batch: pa.RecordBatch, row: int) -> bytes:
+    return batch.column("text")[row].as_buffer().to_pybytes()
+
+
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
+    """(ord, mark, passages): for each document with something to delete, runs of words (first, last)."""
+
+    def select(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for i in range(batch.num_rows):
+            grams, place = grams_of(words_of(_bytes(batch, i)), passage, gram)
+            rows.append(np.unique(grams[np.unique(place)].view(np.int64), return_counts=True))
+        arrays = [pa.array(x, pa.list_(pa.int64())) for x in zip(*rows)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in _KEY), *arrays], [*_KEY, "chosen", "counts"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = words_of(_bytes(batch, i))
+                grams, place = grams_of(words, passage, gram)
+                wanted = np.array(batch.column("hits")[i].as_py(), np.int64)
+                first = np.flatnonzero(np.diff(place, prepend=-1))
+                last = np.r_[first[1:], len(place)] - 1
+                h = grams[place[first]].view(np.int64)
+                near = np.isin(h, wanted)
+                yield rows_of(batch, i, words, first[near], last[near], h[near])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                spans = [np.arange(g["first"], g["last"] + 1) for g in batch.column("groups")[i].as_py()]
+                first = np.concatenate(spans)
+                yield rows_of(batch, i, words_of(_bytes(batch, i)), first, first, np.zeros(len(first), np.int64))
+
+    def rows_of(batch: pa.RecordBatch, i: int, words: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray):
+        keys = [k.view(np.int64) for k in keys_of(words, first, last + passage - 1)]
+        own = [np.full(len(first), batch.column(k)[i].as_py(), np.int64) for k in _KEY]
+        arrays = [*map(pa.array, (*keys, h, *own)), *(pa.array(x, pa.int32()) for x in (first, last))]
+        return pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "h", *_KEY, "first", "last"])
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for places in batch.column("places"):
+            first, last = (places.values.field(n).to_numpy() for n in ("first", "last"))
+            order = np.argsort(first, kind="stable")
+            first, last = first[order], np.maximum.accumulate(last[order]) + passage - 1
+            ends = np.flatnonzero(first[1:] > last[:-1] + 1)  # windows that touch are one run
+            first, last = first[np.r_[0, ends + 1]], last[np.r_[ends, len(last) - 1]]
+            rows.append([{"first": a, "last": b} for a, b in zip(first.tolist(), last.tolist())])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in _KEY), pa.array(rows, _RUNS)], [*_KEY, "passages"])
+
+    texts = _texts(docs)
+    selected = map_batches(texts, select, "ord long, mark long, chosen array<long>, counts array<long>")
+    hits = _hits(stored(selected.filter(F.size("chosen") > 0), "grams"))
+    found = texts.join(stored(hits, "hits"), list(_KEY)).select(*_KEY, "text", "hits")
+    kind = "k1 long, k2 long, h long, ord long, mark long, first int, last int"
+    groups = stored(found.mapInArrow(group, kind), "groups")
+    later, firsts = _later(groups, "last", "h")
+    # Equal windows select equal words: where all groups around these are equal, theirs are too.
+    kinds = firsts.toDF("k1", "k2", *_KEY, "first", "last", "h")
+    mixed = stored(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "mixed")
+    apart = kinds.join(mixed, "h").groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("groups"))
+    apart = stored(apart, "apart")
+    split = texts.join(apart, list(_KEY)).select(*_KEY, "text", "groups")
+    windows, _ = _later(stored(split.mapInArrow(extend, kind), "windows"))
+    places = later.unionByName(windows).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("places"))
+    return map_batches(places, joined, "ord long, mark long, passages array<struct<first:long,last:long>>")
+
+
 def repeated_runs(docs: DataFrame, min_words: int, line_words: int | None) -> DataFrame:
     """(ord, mark, runs): for each document with something to delete, runs of lines (first, last)."""
     columns = [*_KEY, "hashes", "words", "line_keys", "line_places"]
@@ -178,20 +319,15 @@ def repeated_runs(docs: DataFrame, min_words: int, line_words: int | None) -> Da
         ]
         return pa.RecordBatch.from_arrays(arrays, [*columns, "chosen", "counts"])
 
-    texts = _keyed(docs.select("doc_id", text_of())).select(*_KEY, "text")
     runs = stored(
         map_batches(
-            texts, sequences,
+            _texts(docs), sequences,
             "ord long, mark long, hashes binary, words binary, line_keys binary, line_places binary, "
             "chosen array<long>, counts array<long>",
         ).filter(F.size("chosen") > 0),
         "runs",
     )
-    chosen = runs.select(*_KEY, F.explode(F.arrays_zip("chosen", "counts")).alias("c"))
-    chosen = chosen.select(*_KEY, F.col("c.chosen").alias("h"), F.col("c.counts").alias("n"))
-    # A repeated row is one document: its lines are counted twice here, which only adds candidates.
-    twice = stored(chosen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "twice")
-    hits = chosen.select(*_KEY, "h").join(twice, "h").groupBy(*_KEY).agg(F.collect_set("h").alias("hits"))
+    hits = _hits(runs)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,11 +355,7 @@ def repeated_runs(docs: DataFrame, min_words: int, line_words: int | None) -> Da
         ),
         "windows",
     )
-    earliest = F.min(F.struct(*_KEY, "first"))
-    firsts = stored(windows.groupBy("k1", "k2").agg(earliest.alias("e")).select("k1", "k2", "e.*").toDF(
-        "k1", "k2", "ord0", "mark0", "first0"), "firsts")
-    later = windows.join(firsts, ["k1", "k2"]).filter("ord <> ord0 OR mark <> mark0 OR first <> first0")
-    return later.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    return _later(windows)[0].groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -233,30 +365,34 @@ def dedup_lines(docs: DataFrame, min_words: int | None = None, line_words: int |
     """`docs` with repeated runs deleted from `text`, and `deleted` (start, end) in code points.
 
     A run has at least `min_words` blank-separated words, a whole line that goes alone at least
-    `line_words`.  Bounds not given are `MIN_WORDS` and `LINE_WORDS`; with `min_words` only, no
+    `line_words`; runs of `PASSAGE_WORDS` words go wherever they begin and end.  Bounds not given are `MIN_WORDS` and `LINE_WORDS`; with `min_words` only, no
     line goes alone.  Order is by doc_id (null first), then
     by a hash of the text.  Rows equal in doc_id and text are one document: each gets the same
     result.  Null and empty texts stay as they are, with nothing deleted.  All other columns are
-    kept; columns named `deleted`, `ord`, `mark` or `runs` are replaced or dropped.  An empty
+    kept; columns named `deleted`, `ord`, `mark`, `runs` or `passages` are replaced or dropped.  An empty
     table gives an empty result.
     """
     line_words = LINE_WORDS if min_words is None and line_words is None else line_words
     min_words = MIN_WORDS if min_words is None else min_words
-    plain = docs.drop("deleted", "runs", *_KEY)
+    plain = docs.drop("deleted", "runs", "passages", *_KEY)
+    with passing_tables(docs.sparkSession):
+        passages = stored(repeated_passages(plain), "passages", lasting=True)
     with passing_tables(docs.sparkSession):
-        runs = stored(repeated_runs(plain, min_words, line_words), "deletions", lasting=True)
-    joined = _keyed(plain).join(runs, list(_KEY), "left").select(*plain.columns, "runs")
+        runs = stored(repeated_runs(plain, min_words, line_words), "line_runs")
+        found = stored(runs.join(passages, list(_KEY), "full"), "deletions", lasting=True)
+    joined = _keyed(plain).join(found, list(_KEY), "left").select(*plain.columns, "runs", "passages")
     names = plain.columns
     at = names.index("text")
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(len(names))
-            changed = pc.and_(found.is_valid(), batch.column(at).is_valid())
+            found = batch.columns[len(names) :]
+            changed = pc.and_(pc.or_(*(c.is_valid() for c in found)), batch.column(at).is_valid())
             texts, gone = [], [[]] * batch.num_rows
             rows = np.flatnonzero(changed.to_numpy(zero_copy_only=False))
-            for i, text, runs in zip(rows.tolist(), batch.column(at).take(rows).to_pylist(), found.take(rows).to_pylist()):
-                text, spans = cut(text, [(r["first"], r["last"]) for r in runs])
+            old = batch.column(at).take(rows).to_pylist()
+            for i, text, *found in zip(rows.tolist(), old, *(c.take(rows).to_pylist() for c in found)):
+                text, spans = cut(text, *([(r["first"], r["last"]) for r in runs or ()] for runs in found))
                 texts.append(text)
                 gone[i] = [{"start": a, "end": b} for a, b in spans]
             columns = [*batch.columns[: len(names)], pa.array(gone, _SPANS)]

@@ -284,6 +284,37 @@ def test_short_lines_that_stand_alone_go(docs_of):
     assert kept == dict(rows)
 
 
+def test_passages_inside_sentences_go(docs_of):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghé", k=rng.randint(2, 7)))
+    text = lambda n: [word() for _ in range(n)]
+    one, two, short = text(53), text(140), text(49)
+    one[30] += "."
+    one[36] += "."  # pieces of 31, 6 and 16 words
+    rows, want = [(0, " ".join([*text(9), *one, *text(8), *two, *text(5), *short]))], {}
+    for i, (part, gap) in enumerate([(one, " "), (two, " "), (two[20:110], "\n"), (one[2:52], "  "), (short, " ")], 1):
+        before, after = text(rng.randint(3, 40)), text(rng.randint(3, 40))
+        rows.append((i, gap.join([*before, *part, *after])))
+        want[i] = gap.join([*before, *(part if part is short else ()), *after])
+    rows.append((6, " ".join([*two[:60], *one, *two[60:]])))
+    got = {r.doc_id: (r.text, r.deleted) for r in line_dedup.dedup_lines(docs_of(*rows)).collect()}
+    assert {i: t for i, (t, _) in got.items()} == {0: rows[0][1], **want, 6: ""}
+    for i, (kept, spans) in got.items():
+        left, at = "", 0
+        for s in spans:
+            left, at = left + rows[i][1][at : s.start], s.end
+        assert left + rows[i][1][at:] == kept
+
+
+def test_words_are_hashed_as_they_stand():
+    text = " Zwei  wörter\tund\nzwei wörter\x85und 字 a aa\x00a a "
+    words = line_dedup.WORD.findall(text)
+    hashes = line_dedup.words_of(text.encode())
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
+    assert {h: w for h, w in zip(hashes.tolist(), words)} == dict(zip(hashes.tolist(), words))
+    assert not len(line_dedup.words_of(b"")) and not len(line_dedup.words_of(b" \n"))
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 ITEM = "Anna has 12 apples and gives 5 apples to Peter every day, so how many apples are left after 3 days?"
