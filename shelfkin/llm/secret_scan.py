@@ -142,7 +142,7 @@ def find(text: str, ranks: dict[str, int]) -> list[Span]:
             start, end = next(m.span(g) for g in (1, 2, 3) if m[g] is not None)
             while at < base and spans[at].end <= start:
                 at += 1
-            if at < base and spans[at].start < end:
+            if at < base and spans[at].start <= start and end <= spans[at].end:
                 continue
             bits = guess_bits(text[start:end], ranks)
             if bits >= GUESS_BITS:
