@@ -152,7 +152,10 @@ _SCHEMA = (
 )
 
 
-def format_conversations(turns: DataFrame, box: Template = template, context: int | None = 1) -> DataFrame:
+TEMPLATE_CONTEXT = 1  # what `template` declares as `context`
+
+
+def format_conversations(turns: DataFrame, box: Template = template, context: int | None = None) -> DataFrame:
     """One row per conversation: conv_id, formatted, spans, mask, rewrites.
 
     Turns are taken in the order of `turn`, ties by role and text; null roles and texts count as
@@ -214,7 +217,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
-def write_formatted(turns: DataFrame, box: Template = template, context: int | None = 1) -> str:
+def write_formatted(turns: DataFrame, box: Template = template, context: int | None = None) -> str:
     """Format and write as Parquet in the shared folder; the path."""
     path = shared_path(turns.sparkSession, "chats")
     format_conversations(turns, box, context).write.parquet(path)

@@ -64,7 +64,7 @@ def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     control = spark.createDataFrame(
         [(-7, i, role, CONTROL_TEXT) for i, role in enumerate(("user", "assistant"))], turns.schema
     )
-    path = chat_format.write_formatted(turns.unionByName(control))
+    path = chat_format.write_formatted(turns.unionByName(control), context=chat_format.TEMPLATE_CONTEXT)
     return chat_format.read_back(spark.read.parquet(path))
 
 

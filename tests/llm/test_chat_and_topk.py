@@ -48,6 +48,18 @@ def forgetful(turns, open_role=None):
     return out if open_role is None else f"{out}<{open_role}>"
 
 
+def test_tables_compare_whole_prefixes_unless_told_otherwise(spark):
+    def fickle(turns, open_role=None):
+        """Leaves out the first turn's text where there are three turns."""
+        out = "".join(f"<{t.role}>{'' if i == 0 and len(turns) == 3 else t.text}\n" for i, t in enumerate(turns))
+        return out if open_role is None else f"{out}<{open_role}>"
+
+    rows = [(1, i, r, f"text {i}") for i, r in enumerate(("user", "assistant", "user", "assistant"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    assert chat_format.format_conversations(df, fickle).first().rewrites
+    assert not chat_format.format_conversations(df, fickle, 1).first().rewrites
+
+
 @pytest.mark.parametrize("context", [None, 1])
 def test_rewritten_history_is_detected(context):
     turns = [Turn("user", "a"), Turn("assistant", "think|b"), Turn("user", "c"), Turn("assistant", "d")]
