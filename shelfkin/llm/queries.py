@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfkin.llm import chat_format, decontaminate, line_dedup, secret_scan, sentencepiece_codec, simhash, token_counts, token_store, topk, toxicity
+from shelfkin.llm import (
+    chat_format,
+    collocations,
+    decontaminate,
+    line_dedup,
+    minhash,
+    secret_scan,
+    sentencepiece_codec,
+    simhash,
+    token_counts,
+    token_store,
+    topk,
+    toxicity,
+)
 from shelfkin.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +129,76 @@ def deduplicate_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+LOWER_WORDS = r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_phrase_collocations",
+    rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, w FROM (
+            SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+                SELECT lang, unnest(string_split_regex({LOWER_WORDS}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents))),
+    sizes AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+    counted AS (
+        SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM (
+            SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (
+                SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+                FROM pieces, (SELECT unnest(generate_series(1, 5)) AS k) WHERE len(w) >= k))
+        GROUP BY ALL HAVING count(*) >= 100),
+    cuts AS (
+        SELECT lang, phrase, k, a, c, array_to_string(list_slice(words, 1, c), ' ') AS head,
+            array_to_string(list_slice(words, c + 1, k), ' ') AS tail FROM (
+            SELECT lang, phrase, k, a, string_split(phrase, ' ') AS words, unnest(generate_series(1, k - 1)) AS c
+            FROM counted WHERE k > 1)),
+    scored AS (
+        SELECT cuts.lang, cuts.phrase, cuts.k, cuts.a, c, x.a AS l, y.a AS r, n, (1000 * cuts.a * n) // (x.a * y.a) AS score
+        FROM cuts JOIN sizes ON sizes.lang = cuts.lang JOIN counted x ON x.lang = cuts.lang AND x.phrase = head
+        JOIN counted y ON y.lang = cuts.lang AND y.phrase = tail
+        QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, c) = 1),
+    inner_spans AS (
+        SELECT DISTINCT lang, array_to_string(list_slice(words, i, i + s - 1), ' ') AS phrase, a FROM (
+            SELECT lang, words, k, a, s, unnest(generate_series(1, k - s + 1)) AS i FROM (
+                SELECT lang, string_split(phrase, ' ') AS words, k, a, unnest(generate_series(2, k - 1)) AS s
+                FROM counted WHERE k > 2))),
+    kept AS (
+        SELECT * FROM scored s WHERE NOT EXISTS (
+            SELECT 1 FROM inner_spans i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.a >= 100 * s.a))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase,
+        a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM kept QUALIFY rank <= 2000
+    """,
+)
+def phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query(
+    "op12_minhash_near_dedup",
+    rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(string_split_regex({LOWER_WORDS}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents),
+    sets AS (
+        SELECT doc_id, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_distinct(list_transform(
+            generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+    different AS (SELECT s, len(s) AS n, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY s),
+    shingles AS (SELECT node, n, hash(unnest(s)) AS g FROM different),
+    links AS (
+        SELECT a.node AS x, b.node AS y FROM shingles a JOIN shingles b
+            ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    both_ways AS (SELECT x, y FROM links UNION SELECT y AS x, x AS y FROM links),
+    reached AS (
+        SELECT node, node AS other FROM different
+        UNION SELECT reached.node, y AS other FROM reached JOIN both_ways ON x = other),
+    lowest AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node)
+    SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+        doc_id = coalesce(component_id, doc_id) AS kept
+    FROM sets LEFT JOIN different ON sets.s = different.s LEFT JOIN lowest USING (node)
+    """,
+)
+def minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
