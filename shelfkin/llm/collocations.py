@@ -258,11 +258,13 @@ def _with_score(candidates: DataFrame, counted: DataFrame, sizes: DataFrame) ->
 def _contained(candidates: DataFrame, longest: int) -> DataFrame:
     """(lang, phrase, most): the highest count of the longer candidates that hold a phrase."""
     words = F.split("phrase", " ")
-    spans = [
-        F.when(F.col("k") > size, F.transform(F.sequence(F.lit(1), F.col("k") - size + 1), lambda at, n=size: F.array_join(F.slice("words", at, n), " ")))
-        for size in range(2, longest)
-    ]
-    inner = F.flatten(F.array(*[F.coalesce(s, F.array().cast("array<string>")) for s in spans]))
+
+    def inside(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.col("k") - size + 1)
+        spans = F.transform(starts, lambda at: F.array_join(F.slice("words", at, size), " "))
+        return F.when(F.col("k") > size, spans).otherwise(F.array().cast("array<string>"))
+
+    inner = F.concat(*[inside(size) for size in range(2, longest)])
     held = candidates.filter("k > 2").withColumn("words", words).select("lang", F.explode(inner).alias("phrase"), "a")
     return held.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
 
