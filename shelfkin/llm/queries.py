@@ -12,6 +12,7 @@ from shelfkin.llm import (
     decontaminate,
     line_dedup,
     minhash,
+    prefix_trie,
     secret_scan,
     sentencepiece_codec,
     simhash,
@@ -202,3 +203,47 @@ def phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
 )
 def minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query(
+    "op13_conversation_prefix_trie",
+    """
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+            PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+        SELECT conv_id, conv_id - conv_id % 5 AS family, xor(4294967295, list_reduce(
+            flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+            lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295)) % 9 AS h
+        FROM (SELECT DISTINCT conv_id FROM turns)),
+    rebuilt AS (
+        SELECT conv_id, list({'role': role, 'text': text} ORDER BY own, pos) FILTER (own IS NOT NULL) AS seq FROM (
+            SELECT c.conv_id, false AS own, pos, role, text FROM convs c JOIN turns t ON t.conv_id = family AND pos <= h
+            UNION ALL SELECT c.conv_id, true, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h
+            UNION ALL SELECT conv_id, NULL, NULL, NULL, NULL FROM convs)
+        GROUP BY conv_id),
+    whole AS (SELECT conv_id, coalesce(seq, []) AS seq FROM rebuilt),
+    prefixes AS (
+        SELECT conv_id, d, list_slice(seq, 1, d) AS p, d = len(seq) AS at_end
+        FROM (SELECT conv_id, seq, unnest(generate_series(0, len(seq))) AS d FROM whole)),
+    nodes AS (
+        SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256,
+            (count(*) - 1) * CASE d WHEN 0 THEN 0 ELSE strlen(p[d].text) END AS saved
+        FROM prefixes GROUP BY p, d),
+    linked AS (
+        SELECT n.*, u.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children
+        FROM nodes n LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.p = list_slice(n.p, 1, n.depth - 1)
+        LEFT JOIN (SELECT list_slice(p, 1, depth - 1) AS up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up) k
+            ON k.up = n.p),
+    below AS (SELECT list_slice(p, 1, d) AS p, n_children, saved FROM (
+        SELECT p, n_children, saved, unnest(generate_series(0, depth)) AS d FROM linked))
+    SELECT conv_id, depth, parent_conv_id, n_convs, linked.n_children, ends_sha256,
+        count(*) FILTER (below.n_children = 0) AS n_leaves, sum(below.saved)::BIGINT AS saved_tokens
+    FROM linked JOIN below ON below.p = linked.p
+    GROUP BY linked.p, conv_id, depth, parent_conv_id, n_convs, linked.n_children, ends_sha256
+    """,
+)
+def conversation_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
