@@ -41,6 +41,7 @@ TILE_MEMBERS = 512  # members of a bucket in one block of a tile
 CHUNK = 1 << 10  # shingles whose pieces of pi are held at a time
 FOLD = np.uint64(0x9E3779B97F4A7C15)  # an odd number, 2^64 over the golden ratio
 PART_BYTES = 4 << 20  # text handled at a time
+FILTER_BITS = 1 << 25  # of the filter for texts whose sets are wanted: 4 MB
 
 
 @lru_cache(maxsize=1)
@@ -90,11 +91,22 @@ def _bucket_keys(least: np.ndarray, bands: int) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-MARKS = "doc_id long, high long, low long, n_shingles long, members binary, bands array<long>, brief binary"
+MARKS = "doc_id long, text_key long, text_key2 long, high long, low long, n_shingles long, bands array<long>, brief binary"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, the text (null as empty) and 128 bits that tell texts apart."""
+    text = text_of()
+    keys = [F.xxhash64(F.lit(salt), text).alias(name) for salt, name in ((1, "text_key"), (2, "text_key2"))]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text)
+
+
+def _binary(column: pa.Array) -> Iterator[bytes]:
+    return (value.as_py() for value in column.cast(pa.binary()))
 
 
 def marks(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The set of every document with its 128-bit digest, its bucket keys and a brief signature.
+    """The digest of every document's set (128 bits), its bucket keys and a brief signature.
 
     `brief` keeps eight bits of each coordinate.  An empty set has no bands.
     """
@@ -104,31 +116,70 @@ def marks(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int = ROWS)
         digest = xxhash.xxh3_128_digest(members.tobytes(), SEED)
         high, low = np.frombuffer(digest, np.int64).tolist()
         if not len(members):
-            return high, low, 0, b"", [], b""
+            return high, low, 0, [], b""
         least = signature(members, bands * rows)
-        return high, low, len(members), members.tobytes(), _bucket_keys(least, bands), least.astype(np.uint8).tobytes()
-
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("high", pa.int64()),
-            ("low", pa.int64()),
-            ("n_shingles", pa.int64()),
-            ("members", pa.binary()),
-            ("bands", pa.list_(pa.int64())),
-            ("brief", pa.binary()),
-        ]
-    )
+        return high, low, len(members), _bucket_keys(least, bands), least.astype(np.uint8).tobytes()
+
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    names = [c.split()[0] for c in MARKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch, PART_BYTES) if batch.num_rows else ():
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                made = list(zip(*map(one, texts)))
-                arrays = [pa.array(values, field.type) for values, field in zip(made, list(schema)[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], schema=schema)
+                made = zip(*map(one, _binary(part.column("text"))))
+                arrays = [pa.array(values, kind) for values, kind in zip(made, types)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], names)
+
+    return _keyed(docs).mapInArrow(run, MARKS)
+
+
+def _bitmap(keys: DataFrame) -> bytes:
+    """FILTER_BITS bits, those of the keys set: at most FILTER_BITS / 2^15 rows of 4 KB."""
+    bit = F.pmod("text_key", F.lit(FILTER_BITS))
+    rows = (
+        keys.select(bit.alias("bit"))
+        .groupBy(F.floor(F.col("bit") / (1 << 15)).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(1 << 15))).alias("bits"))
+        .collect()
+    )
+    whole = bytearray(FILTER_BITS // 8)
+    for row in rows:
+        whole[row.bucket * 4096 : (row.bucket + 1) * 4096] = row.bits
+    return bytes(whole)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int = 2) -> DataFrame:
+    """(node, members): the full sets of the wanted texts, `wanted` being (node, text_key, text_key2).
+
+    The sets are made from the texts again, as they would take more room than these.  A filter of
+    fixed size keeps most other texts from being parsed and shuffled; what it lets through goes
+    in the join.  Copies of a text are parsed once by a task.
+    """
+    spark = docs.sparkSession
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()).mapInArrow(run, MARKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.frombuffer(bitmap.value, np.uint8), set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bit = batch.column("text_key").to_numpy() & (FILTER_BITS - 1)
+            passes = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            batch = batch.filter(pa.array(passes))
+            for part in parts_of(batch, PART_BYTES):
+                fresh = []
+                for key in zip(part.column("text_key").to_pylist(), part.column("text_key2").to_pylist()):
+                    fresh.append(key not in seen)
+                    seen.add(key)
+                part = part.filter(pa.array(fresh, pa.bool_()))
+                members = [shingle_set(t, width).tobytes() for t in _binary(part.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(members, pa.binary())], ["text_key", "text_key2", "members"]
+                )
+
+    made = _keyed(docs).drop("doc_id").mapInArrow(run, "text_key long, text_key2 long, members binary")
+    found = made.join(wanted, ["text_key", "text_key2"]).select("node", "members")
+    return found.dropDuplicates(["node"])
 
 
 def _long_enough(a: str, b: str, percent: int):
@@ -153,15 +204,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b"), check, "a long, b long")
 
 
-def first_links(members: DataFrame, percent: int) -> DataFrame:
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(bucket, node, n_shingles, first, held) of the buckets with several members."""
+    first = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("held"))
+    return members.join(stored(first.filter("held > 1"), "first"), "bucket")
+
+
+def first_links(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of every member of a bucket with the bucket's smallest node."""
-    first = members.groupBy("bucket").agg(
-        F.min(F.struct("node", "n_shingles")).alias("first"), F.count(F.lit(1)).alias("held")
-    )
-    first = first.filter("held > 1").select("bucket", "first.*")
-    first = first.withColumnsRenamed({"node": "a", "n_shingles": "n_a"})
-    met = members.join(first, "bucket").filter("node <> a").filter(_long_enough("n_shingles", "n_a", percent))
-    return met.select("a", F.col("node").alias("b")).distinct()
+    met = shared.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), "n_shingles").distinct()
+    sizes = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
+    return met.join(sizes, "a").filter(_long_enough("n_shingles", "n_a", percent)).select("a", "b")
 
 
 TILED = "bucket long, tile long, side int, node long, root long, n_shingles long, brief binary"
@@ -249,27 +302,33 @@ def near_duplicates(
     of `docs` are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    table = stored(marks(docs, width, bands, rows).withColumn("row", F.monotonically_increasing_id()), "marks", lasting=True)
+    made = marks(docs, width, bands, rows).withColumn("row", F.monotonically_increasing_id())
+    table = stored(made, "marks", lasting=True)
     full = table.filter("n_shingles > 0")
+
+    def linked_by(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = stored(nodes.select("node", "text_key", "text_key2").join(ends, "node", "left_semi"), "wanted")
+        return confirmed(pairs, stored(sets_of(docs, wanted, width), "sets"), percent)
+
     with passing_tables(spark):
         # One node for each different set: the number of the first row that has it.
-        nodes = stored(
-            full.groupBy("high", "low").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "nodes"
-        )
-        chosen = nodes.select(F.col("node").alias("row"))
-        sets = stored(full.join(chosen, "row", "left_semi").drop("doc_id", "high", "low").withColumnRenamed("row", "node"), "sets")
-        members = stored(sets.select("node", "n_shingles", F.explode("bands").alias("bucket")), "members")
-        stars = stored(confirmed(first_links(members, percent), sets, percent), "stars")
+        named = full.groupBy("high", "low").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
+        first = full.select(F.col("row").alias("node"), "n_shingles", "text_key", "text_key2", "bands", "brief")
+        nodes = stored(named.join(first, "node"), "nodes")
+        members = stored(nodes.select("node", "n_shingles", F.explode("bands").alias("bucket")), "members")
+        shared = stored(shared_buckets(members), "shared")
+        pairs = stored(first_links(shared, nodes, percent), "pairs")
+        stars = stored(linked_by(pairs), "stars")
         roots = stored(components(stars), "roots")
-        settled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = settled.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("held"), F.min("root").alias("low_root"), F.max("root").alias("high_root")
-        )
-        mixed = stored(mixed.filter("low_root <> high_root").select("bucket", "held"), "mixed")
-        unsettled = settled.join(mixed, "bucket").join(sets.select("node", "brief"), "node")
+        settled = shared.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = settled.groupBy("bucket").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"))
+        several = stored(several.filter("low_root <> high_root").select("bucket"), "several")
+        unsettled = settled.join(several, "bucket").join(nodes.select("node", "brief"), "node")
         near = stored(signature_links(unsettled, percent, bands * rows), "near")
-        more = stored(confirmed(near, sets, percent), "more")
-        linked = roots if more.isEmpty() else stored(components(stars.unionByName(more)), "linked")
+        linked = roots
+        if not near.isEmpty():
+            linked = stored(components(stars.unionByName(linked_by(near))), "linked")
         named = linked.join(nodes.select("node", "least_id"), "node")
         lowest = stored(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "lowest")
         joined = stored(linked.join(lowest, "root").select("node", "component_id"), "joined")
