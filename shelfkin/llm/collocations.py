@@ -121,7 +121,7 @@ def _levels(lang: str, words: pa.Array, tokens: bytes, longest: int) -> Iterator
 
 def _passes(bitmap: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Whether the bit of each phrase is set in a bitmap packed with the lowest bit first."""
-    bit = phrase >> np.uint64(64 - (BITS.bit_length() - 1))
+    bit = phrase >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
     return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -258,13 +258,14 @@ def _with_score(candidates: DataFrame, counted: DataFrame, sizes: DataFrame) ->
 def _contained(candidates: DataFrame, longest: int) -> DataFrame:
     """(lang, phrase, most): the highest count of the longer candidates that hold a phrase."""
     words = F.split("phrase", " ")
+    none = F.array().cast("array<string>")
 
     def inside(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.col("k") - size + 1)
         spans = F.transform(starts, lambda at: F.array_join(F.slice("words", at, size), " "))
-        return F.when(F.col("k") > size, spans).otherwise(F.array().cast("array<string>"))
+        return F.when(F.col("k") > size, spans).otherwise(none)
 
-    inner = F.concat(*[inside(size) for size in range(2, longest)])
+    inner = F.concat(none, *[inside(size) for size in range(2, longest)])
     held = candidates.filter("k > 2").withColumn("words", words).select("lang", F.explode(inner).alias("phrase"), "a")
     return held.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
 

@@ -119,13 +119,13 @@ def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return convs, head.unionByName(rest)
 
 
-def running(df: DataFrame, key: str, at: str, totals: dict[str, tuple[Callable, str]], block: int = RUN) -> DataFrame:
+def running(df: DataFrame, key: str, at: str, totals: dict[str, tuple[Callable, str]]) -> DataFrame:
     """Adds, for each (name: aggregate, column), the aggregate over the rows of `key` before `at`.
 
     Made in blocks of `at` and over the blocks' totals, so a key with most rows is many groups.
     Aggregates must combine with themselves; nothing before gives null.
     """
-    blocked = df.withColumn("block", F.floor(F.col(at) / block))
+    blocked = df.withColumn("block", F.floor(F.col(at) / RUN))
     inner = Window.partitionBy(key, "block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = blocked.groupBy(key, "block").agg(*[agg(c).alias(f"{n}_all") for n, (agg, c) in totals.items()])
@@ -134,8 +134,8 @@ def running(df: DataFrame, key: str, at: str, totals: dict[str, tuple[Callable,
     return within.join(offsets.filter("block > 0"), [key, "block"], "left").drop("block")
 
 
-def segments(convs: DataFrame, turns: DataFrame) -> DataFrame:
-    """(conv_id, segment, root_hi, root_lo, toks, sizes, end_hi, end_lo): pieces of SEGMENT turns.
+def segments(convs: DataFrame, turns: DataFrame, width: int) -> DataFrame:
+    """(conv_id, segment, root_hi, root_lo, toks, sizes, end_hi, end_lo): pieces of `width` turns.
 
     `root` is the key of the prefix before the segment, `end` that of the whole conversation, null
     but in its last segment.  A conversation without turns is one empty segment.
@@ -143,7 +143,7 @@ def segments(convs: DataFrame, turns: DataFrame) -> DataFrame:
     tok = [F.xxhash64(F.lit(salt), "depth", "c1", "c2").alias(name) for salt, name in ((1, "hi"), (2, "lo"))]
     one = F.struct("depth", *tok, "size")
     grouped = (
-        turns.withColumn("segment", F.floor((F.col("depth") - 1) / SEGMENT))
+        turns.withColumn("segment", F.floor((F.col("depth") - 1) / width))
         .groupBy("conv_id", "segment")
         .agg(F.sort_array(F.collect_list(one)).alias("held"), *[F.bit_xor(t).alias(f"own_{n}") for t, n in zip(tok, ("hi", "lo"))])
     )
@@ -160,7 +160,7 @@ def segments(convs: DataFrame, turns: DataFrame) -> DataFrame:
         return out
 
     keyed = keyed.join(convs.select("conv_id", "total"), "conv_id")
-    last = F.col("segment") == F.greatest(F.floor((F.col("total") - 1) / SEGMENT), F.lit(0))
+    last = F.col("segment") == F.greatest(F.floor((F.col("total") - 1) / width), F.lit(0))
     held = F.coalesce("held", F.array().cast(grouped.schema["held"].dataType))
     return keyed.select(
         "conv_id",
@@ -228,23 +228,23 @@ def intervals(length: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.nd
 class _Block:
     """Sorted segments as matrices, with all their distinct prefixes."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, width: int):
         table = table.combine_chunks()
         self.conv = table["conv_id"].to_numpy()
         segment, hi, lo = (table[c].to_numpy() for c in ("segment", "root_hi", "root_lo"))
         toks, sizes = (table[c].combine_chunks() for c in ("toks", "sizes"))
         length = np.asarray(toks.value_lengths()).astype(np.int64)
-        n, inside = len(length), np.arange(SEGMENT) < length[:, None]
+        n, inside = len(length), np.arange(width) < length[:, None]
         turns = toks.flatten()
         self.keys = []  # of every prefix of a segment, the empty one first
-        same = np.zeros((n - 1, SEGMENT + 1), bool)
-        same[:, :SEGMENT] = inside[1:] & inside[:-1]
+        same = np.zeros((n - 1, width + 1), bool)
+        same[:, :width] = inside[1:] & inside[:-1]
         for root, name in ((hi, "hi"), (lo, "lo")):
-            tok = np.zeros((n, SEGMENT), np.int64)
+            tok = np.zeros((n, width), np.int64)
             tok[inside] = turns.field(name).to_numpy()
-            same[:, :SEGMENT] &= tok[1:] == tok[:-1]
+            same[:, :width] &= tok[1:] == tok[:-1]
             self.keys.append(np.bitwise_xor.accumulate(np.c_[root, tok], axis=1))
-        self.bytes = np.zeros((n, SEGMENT + 1), np.int64)
+        self.bytes = np.zeros((n, width + 1), np.int64)
         self.bytes[:, 1:][inside] = sizes.flatten().to_numpy()
         one_root = (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1]) & (segment[1:] == segment[:-1])
         common = np.full(n + 1, -1, np.int64)
@@ -257,7 +257,7 @@ class _Block:
         ends = np.cumsum(levels)
         self.level = np.arange(len(of)) - np.repeat(ends - levels, levels) + top[of]
         self.left, self.right = left[of], right[of]
-        self.depth = segment[self.left] * SEGMENT + self.level
+        self.depth = segment[self.left] * width + self.level
 
     def key(self, level: np.ndarray) -> list[np.ndarray]:
         return [key[self.left, level] for key in self.keys]
@@ -267,8 +267,8 @@ class _Block:
         return sums[self.right + 1] - sums[self.left]
 
 
-def _node_rows(table: pa.Table) -> pa.RecordBatch:
-    block = _Block(table)
+def _node_rows(table: pa.Table, width: int) -> pa.RecordBatch:
+    block = _Block(table, width)
     hi, lo = block.key(block.level)
     root = block.level == 0
     up_hi, up_lo = (pa.array(k, mask=root) for k in block.key(np.maximum(block.level - 1, 0)))
@@ -279,13 +279,15 @@ def _node_rows(table: pa.Table) -> pa.RecordBatch:
     )
 
 
-def _sum_rows(table: pa.Table) -> pa.RecordBatch:
-    block = _Block(table)
+def _sum_rows(table: pa.Table, width: int) -> pa.RecordBatch:
+    block = _Block(table, width)
     sums = [block.total(table[c].to_numpy()) for c in ("saved", "leaves")]
     return pa.RecordBatch.from_arrays([pa.array(a) for a in (*block.key(block.level), *sums)], ["hi", "lo", "saved", "leaves"])
 
 
-def _over_blocks(rows: DataFrame, made: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+def _over_blocks(
+    rows: DataFrame, made: Callable[[pa.Table, int], pa.RecordBatch], width: int, schema: str
+) -> DataFrame:
     """`made` over the sorted rows of every partition, in blocks of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,10 +297,10 @@ def _over_blocks(rows: DataFrame, made: Callable[[pa.Table], pa.RecordBatch], sc
                 waiting.append(batch)
                 held += batch.num_rows
             if held >= BLOCK_ROWS:
-                yield made(pa.Table.from_batches(waiting))
+                yield made(pa.Table.from_batches(waiting), width)
                 waiting, held = [], 0
         if held:
-            yield made(pa.Table.from_batches(waiting))
+            yield made(pa.Table.from_batches(waiting), width)
 
     return rows.sortWithinPartitions(*SORTED).mapInArrow(run, schema)
 
@@ -371,12 +373,13 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         turns = stored(numbered_turns(conversations), "numbered")
         convs, rebuilt = rebuilt_turns(turns)
         parts = _parts(conversations.sparkSession)
-        pieces = segments(convs, rebuilt).repartitionByRange(parts, *SORTED)
+        pieces = segments(convs, rebuilt, SEGMENT).repartitionByRange(parts, *SORTED)
         sorted_pieces = stored(pieces.withColumn("shard", F.spark_partition_id()), "segments")
         rows = sorted_pieces.drop("end_hi", "end_lo").repartitionById(parts, "shard")
         made = _over_blocks(
             rows.select(*SORTED, "sizes"),
             _node_rows,
+            SEGMENT,
             "hi long, lo long, depth long, up_hi long, up_lo long, n_convs long, conv_id long, bytes long",
         )
         nodes = stored(
@@ -416,7 +419,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
             .repartitionById(parts, "shard")
             .select(*SORTED, "sizes", "saved", "leaves")
         )
-        sums = _over_blocks(with_sums, _sum_rows, "hi long, lo long, saved long, leaves long")
+        sums = _over_blocks(with_sums, _sum_rows, SEGMENT, "hi long, lo long, saved long, leaves long")
         sums = sums.groupBy("hi", "lo").agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("n_leaves"))
         ends = sorted_pieces.filter("end_hi IS NOT NULL").select(
             F.col("end_hi").alias("hi"), F.col("end_lo").alias("lo"), "conv_id"
