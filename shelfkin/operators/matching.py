@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfkin.operators.frames import lookup_join
-from shelfkin.operators.similarity import TILE, spread_tiles
+from shelfkin.operators.tiles import TILE, spread
 from shelfkin.sources.snapshots import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -179,7 +179,7 @@ def _tiles(queries: DataFrame, titles: DataFrame, threshold: int):
             .withColumn(f"{other}_block", copies)
             .withColumn("tile", F.col("first") + F.col("q_block") * F.col("t_blocks") + F.col("t_block"))
         )
-        return spread_tiles(tiled.select("tile", *df.columns), count)
+        return spread(tiled.select("tile", *df.columns), count)
 
     return keyed(queries, "query", "q", "t"), keyed(titles, "title", "t", "q")
 

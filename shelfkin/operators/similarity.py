@@ -14,29 +14,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# The tile functions travel to the Python workers by value, so that the package need not be
-# installed there.
+from shelfkin.operators import pivots
+from shelfkin.operators.tiles import DECIMALS, TILE, Best, Block, blocks_of, mask_self, products, spread
+from shelfkin.sources.snapshots import stored
+
+# The tile functions travel to the Python workers by value, see `tiles`.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Similarities are compared and kept at this many decimals: equal vectors then tie exactly,
-# whatever order their products were summed in.
-DECIMALS = 10
 BLOCK_BYTES = 64 << 20  # one block as a task holds it, with the neighbours it collects
-SLICE_ROWS = 2048  # rows of either block multiplied at a time
-SLICE_COLUMNS = 4096  # label columns made dense at a time
-LISTING = 128  # a pair of rows listed for a label costs as much as so many in a product
-PAIRS_LISTED = 1 << 22  # pairs listed at a time, about
-SEED_COLUMNS = 256  # entries sorted to fill a list of neighbours
-MARGIN = 1e-9  # more than rounding can move a similarity
 MIN_BLOCK_ROWS = 512
-MOST_TASKS = 1 << 20  # of one stage; beyond that a task takes several tiles
-
-TILE = ("task", "tile")  # where `spread_tiles` has put the rows
+CELL_ROWS = 2048  # rows of a cell in a small catalogue; a large one has `pivots.MOST_PIVOTS` cells
 
 NEIGHBOR_SCHEMA = "id bigint, neighbor_id bigint, similarity double"
 
@@ -87,13 +80,6 @@ def _block(blocks: int):
     return F.pmod(F.xxhash64("id"), F.lit(blocks))
 
 
-def spread_tiles(tiled: DataFrame, tiles: int) -> DataFrame:
-    """Shuffle by tile number: a task for each tile, so tasks stay as large as two blocks."""
-    tasks = min(tiles, MOST_TASKS)
-    task = F.pmod("tile", F.lit(tasks)).cast("int")
-    return tiled.withColumn("task", task).repartitionById(tasks, "task")
-
-
 def _square_tiles(units: DataFrame, blocks: int) -> DataFrame:
     """Each row once per tile its block takes part in; `side` tells the two blocks apart.
 
@@ -107,7 +93,7 @@ def _square_tiles(units: DataFrame, blocks: int) -> DataFrame:
         .withColumn("side", (F.col("block") > F.col("other")).cast("int"))
         .drop("block", "other")
     )
-    return spread_tiles(tiled, blocks * (blocks + 1) // 2)
+    return spread(tiled, blocks * (blocks + 1) // 2)
 
 
 def _cross_tiles(queries: DataFrame, items: DataFrame, q_blocks: int, i_blocks: int) -> DataFrame:
@@ -123,189 +109,18 @@ def _cross_tiles(queries: DataFrame, items: DataFrame, q_blocks: int, i_blocks:
         "tile", F.col("other") * i_blocks + _block(i_blocks)
     )
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    return spread_tiles(both.drop("other"), q_blocks * i_blocks)
-
-
-class _Block:
-    """One block inside a task: ids in ascending order, features ready to be made dense."""
-
-    def __init__(self, table: pa.Table):
-        table = table.sort_by("id").combine_chunks()
-        self.ids = table["id"].to_numpy()
-        self.weight = table["label_weight"].to_numpy()
-        unit = table["unit"].combine_chunks()
-        self.unit = unit.flatten().to_numpy().reshape(len(self.ids), -1)
-        labels = table["labels"].combine_chunks()
-        self.label = labels.flatten().to_numpy()
-        self.label_row = np.repeat(np.arange(len(self.ids)), np.asarray(labels.value_lengths()))
-        self.by_label: dict[int, tuple] = {}  # of each slice, when first asked for
-
-    def slices(self) -> list[slice]:
-        n = len(self.ids)
-        return [slice(i, min(i + SLICE_ROWS, n)) for i in range(0, n, SLICE_ROWS)]
-
-    def postings(self, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Labels of some rows with where each begins and how often it occurs, and its rows."""
-        if rows.start not in self.by_label:
-            a, b = np.searchsorted(self.label_row, [rows.start, rows.stop])
-            order = np.argsort(self.label[a:b], kind="stable")
-            label, row = self.label[a:b][order], self.label_row[a:b][order] - rows.start
-            labels, first, count = np.unique(label, return_index=True, return_counts=True)
-            self.by_label[rows.start] = labels, first, count, row
-        return self.by_label[rows.start]
-
-
-def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The places of several runs, one run after another."""
-    ends = np.cumsum(count)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
-
-
-def _common_labels(left: _Block, rows: slice, right: _Block, cols: slice) -> np.ndarray | None:
-    """How many labels the rows of two slices have in common; None if none at all.
-
-    Frequent labels are counted by a product of 0/1 columns in single precision, where whole
-    numbers are exact.  For the others their pairs of rows are listed.  A label is frequent when
-    listing would cost more, so the columns are few however many labels there are.
-    """
-    l_labels, l_first, l_count, l_row = left.postings(rows)
-    r_labels, r_first, r_count, r_row = right.postings(cols)
-    shared, i, j = np.intersect1d(l_labels, r_labels, assume_unique=True, return_indices=True)
-    if not len(shared):
-        return None
-    l_first, l_count, r_first, r_count = l_first[i], l_count[i], r_first[j], r_count[j]
-    shape = (rows.stop - rows.start, cols.stop - cols.start)
-    common = np.zeros(shape, dtype=np.float32)
-    pairs = l_count.astype(np.int64) * r_count
-    frequent = np.flatnonzero(pairs * LISTING > shape[0] * shape[1])
-    for start in range(0, len(frequent), SLICE_COLUMNS):
-        some = frequent[start : start + SLICE_COLUMNS]
-        sides = []
-        for n, first, count, row in ((shape[0], l_first, l_count, l_row), (shape[1], r_first, r_count, r_row)):
-            side = np.zeros((n, len(some)), dtype=np.float32)
-            side[row[_runs(first[some], count[some])], np.repeat(np.arange(len(some)), count[some])] = 1.0
-            sides.append(side)
-        common += sides[0] @ sides[1].T
-    rare = np.flatnonzero(pairs * LISTING <= shape[0] * shape[1])
-    cuts = np.searchsorted(np.cumsum(pairs[rare]), np.arange(PAIRS_LISTED, pairs[rare].sum(), PAIRS_LISTED))
-    for some in np.split(rare, cuts):
-        total = _runs(np.zeros(len(some), np.int64), pairs[some])  # numbers each label's pairs
-        label = np.repeat(some, pairs[some])
-        row = l_row[l_first[label] + total // r_count[label]]
-        col = r_row[r_first[label] + total % r_count[label]]
-        common += np.bincount(row * shape[1] + col, minlength=common.size).reshape(shape)
-    return common
-
-
-def _blocks(table: pa.Table) -> tuple[_Block, _Block, bool]:
-    """The two blocks of a tile; on the diagonal both are the same one."""
-    side = table["side"].to_numpy()
-    if not side.any():
-        block = _Block(table)
-        return block, block, True
-    return (
-        _Block(table.filter(pa.array(side == 0))),
-        _Block(table.filter(pa.array(side == 1))),
-        False,
-    )
-
-
-def _products(left: _Block, right: _Block) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """Cosines of the two blocks, one slice of each at a time."""
-    for rows in left.slices():
-        for cols in right.slices():
-            product = left.unit[rows] @ right.unit[cols].T
-            common = _common_labels(left, rows, right, cols)
-            if common is not None:
-                product += common * left.weight[rows, None] * right.weight[cols]
-            yield rows, cols, product
-
-
-def _mask_self(product: np.ndarray, row_ids: np.ndarray, col_ids: np.ndarray) -> None:
-    place = np.minimum(np.searchsorted(col_ids, row_ids), len(col_ids) - 1)
-    own = np.flatnonzero(col_ids[place] == row_ids)
-    product[own, place[own]] = -np.inf
-
-
-class _Best:
-    """Running best k of each row of a block, best first, ties in order of id."""
-
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.value = np.full((len(ids), k), -np.inf)
-        self.other = np.zeros((len(ids), k), dtype=np.int64)
-
-    def add(self, rows: slice, product: np.ndarray, others: np.ndarray) -> None:
-        """Take in one slice; slices must come in ascending order of `others`.
-
-        The first columns fill the list; from then on only entries above the last place
-        count, and an equal one never does, as its id is larger.
-        """
-        seeds = 0
-        if np.isneginf(self.value[rows, -1]).any():
-            seeds = min(product.shape[1], max(SEED_COLUMNS, 4 * self.k))
-            seed = np.round(product[:, :seeds], DECIMALS) + 0.0  # no negative zeros
-            value, column = _largest(seed, self.k)
-            value = np.concatenate([self.value[rows], value], axis=1)
-            other = np.concatenate([self.other[rows], others[column]], axis=1)
-            order = np.argsort(-value, axis=1, kind="stable")[:, : self.k]
-            self.value[rows] = np.take_along_axis(value, order, axis=1)
-            self.other[rows] = np.take_along_axis(other, order, axis=1)
-        bar = self.value[rows, -1]
-        r, c = np.nonzero(product[:, seeds:] > bar[:, None] - MARGIN)
-        c += seeds
-        value = np.round(product[r, c], DECIMALS) + 0.0
-        above = value > bar[r]
-        if above.any():
-            self._insert(rows.start + r[above], value[above], others[c[above]])
-
-    def _insert(self, row: np.ndarray, value: np.ndarray, other: np.ndarray) -> None:
-        """Merge single entries, which come in ascending order of `other` for each row."""
-        touched, at = np.unique(row, return_inverse=True)
-        place = np.concatenate([np.repeat(np.arange(len(touched)), self.k), at])
-        value = np.concatenate([self.value[touched].ravel(), value])
-        other = np.concatenate([self.other[touched].ravel(), other])
-        order = np.lexsort((-value, place))  # stable: equal values keep their order
-        place = place[order]
-        rank = np.arange(len(place)) - np.searchsorted(place, place)
-        order = order[rank < self.k]
-        self.value[touched] = value[order].reshape(-1, self.k)
-        self.other[touched] = other[order].reshape(-1, self.k)
-
-    def table(self) -> pa.Table:
-        keep = self.value > -np.inf
-        ids = np.repeat(self.ids, keep.sum(axis=1))
-        return pa.table(
-            {"id": ids, "neighbor_id": self.other[keep], "similarity": self.value[keep]}
-        )
-
-
-def _largest(product: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values and columns of the k largest entries per row; ties go to the first columns."""
-    n, m = product.shape
-    if m > k:
-        bar = np.partition(product, m - k, axis=1)[:, m - k, None]
-        pick = product >= bar
-        tied = np.flatnonzero(pick.sum(axis=1) > k)
-        if len(tied):
-            above, level = product[tied] > bar[tied], product[tied] == bar[tied]
-            room = k - above.sum(axis=1, keepdims=True)
-            pick[tied] = above | (level & (np.cumsum(level, axis=1) <= room))
-        column = np.nonzero(pick)[1].reshape(n, k)
-    else:
-        column = np.broadcast_to(np.arange(m), (n, m))
-    return np.take_along_axis(product, column, axis=1), column
+    return spread(both.drop("other"), q_blocks * i_blocks)
 
 
 def _tile_best(k: int, both_ways: bool) -> Callable[[pa.Table], pa.Table]:
     """The best k of each row within a tile, for the left block or for both blocks."""
 
     def best(table: pa.Table) -> pa.Table:
-        left, right, diagonal = _blocks(table)
+        left, right, diagonal = blocks_of(table)
         mirror = both_ways and not diagonal
-        of_left, of_right = _Best(left.ids, k), _Best(right.ids, k)
-        for rows, cols, product in _products(left, right):
-            _mask_self(product, left.ids[rows], right.ids[cols])
+        of_left, of_right = Best(left.ids, k), Best(right.ids, k)
+        for rows, cols, product in products(left, right):
+            mask_self(product, left.ids[rows], right.ids[cols])
             of_left.add(rows, product, right.ids[cols])
             if mirror:
                 of_right.add(cols, product.T, left.ids[rows])
@@ -314,15 +129,21 @@ def _tile_best(k: int, both_ways: bool) -> Callable[[pa.Table], pa.Table]:
     return best
 
 
-def _tile_pairs(keep_self: bool, least: float | None = None):
-    """Every pair of a tile in both directions, one slice at a time."""
+def _tile_pairs(keep_self: bool, least: float | None = None, one_side: bool = True):
+    """Every pair of a tile in both directions, one slice at a time.
+
+    A tile with one side only is a block with itself, or without `one_side` has no pairs.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, diagonal = _blocks(pa.Table.from_batches(batches))
-        for rows, cols, product in _products(left, right):
+        table = pa.Table.from_batches(batches)
+        if not one_side and pc.count_distinct(table["side"]).as_py() < 2:
+            return
+        left, right, diagonal = blocks_of(table)
+        for rows, cols, product in products(left, right):
             product = np.round(product, DECIMALS) + 0.0  # no negative zeros
             if not keep_self:
-                _mask_self(product, left.ids[rows], right.ids[cols])
+                mask_self(product, left.ids[rows], right.ids[cols])
             r, c = np.nonzero(product > -np.inf if least is None else product >= least)
             a, b, value = left.ids[rows][r], right.ids[cols][c], product[r, c]
             for x, y in ((a, b),) if diagonal else ((a, b), (b, a)):
@@ -340,12 +161,24 @@ def all_pairs_cosine(
     """Cosine of every ordered pair `(id, neighbor_id, similarity)`.
 
     The result has n squared rows by definition; to serve neighbours use `topk_neighbors`, which
-    never forms it.  With `min_similarity` only pairs that reach it leave their task.
+    never forms it.  With `min_similarity` only pairs that reach it leave their task, and only
+    rows that can be in one meet those of another cell (see `pivots`).
     """
     rows, held = _shape(features)
-    tiled = _square_tiles(l2_normalize(features), block_count(rows, held, _tasks(features)))
+    units, blocks = l2_normalize(features), block_count(rows, held, _tasks(features))
     pairs = _tile_pairs(include_self, min_similarity)
-    return tiled.groupBy(*TILE).applyInArrow(pairs, NEIGHBOR_SCHEMA)
+    chosen = None if min_similarity is None else _pivots(units, rows)
+    if chosen is None:
+        return _square_tiles(units, blocks).groupBy(*TILE).applyInArrow(pairs, NEIGHBOR_SCHEMA)
+    placed = stored(pivots.place(units, chosen), "placed")
+    cells = pivots.cells_of(placed, chosen.num_rows)
+    layout = pivots.lay_out(cells, math.ceil(rows / blocks))
+    near = pivots.inside_tiles(placed, layout).groupBy(*TILE).applyInArrow(pairs, NEIGHBOR_SCHEMA)
+    barred = pivots.with_needs(placed.withColumn("bar", F.lit(float(min_similarity))), cells)
+    barred = stored(barred.filter("needs <> 0"), "barred")
+    needed = pivots.needed_cells(barred, chosen.num_rows)
+    between = pivots.between_tiles(barred, layout, needed, both_need=True).groupBy(*TILE)
+    return near.unionByName(between.applyInArrow(_tile_pairs(include_self, min_similarity, False), NEIGHBOR_SCHEMA))
 
 
 def with_zero_diagonal(pairs: DataFrame) -> DataFrame:
@@ -360,15 +193,81 @@ def rank_neighbors(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def topk_neighbors(features: DataFrame, k: int) -> DataFrame:
-    """The k most similar others of every item: `(id, neighbor_id, similarity, rank)`."""
+def topk_neighbors(features: DataFrame, k: int, report: dict | None = None) -> DataFrame:
+    """The k most similar others of every item: `(id, neighbor_id, similarity, rank)`.
+
+    Items meet their own cell first (see `pivots`).  The k-th best found there is an item's bar,
+    and only cells that can hold something at least as good are met then.  A `report` is filled
+    with the tiles there are, the tiles met, and the rows sent to them.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     rows, held = _shape(features)
     k = max(1, min(k, rows - 1))
-    tiled = _square_tiles(l2_normalize(features), block_count(rows, held, _tasks(features), k))
-    best = tiled.groupBy(*TILE).applyInArrow(_tile_best(k, True), NEIGHBOR_SCHEMA)
-    return rank_neighbors(best, k)
+    blocks = block_count(rows, held, _tasks(features), k)
+    units = l2_normalize(features)
+    chosen = _pivots(units, rows)
+    if chosen is None:
+        best = _square_tiles(units, blocks).groupBy(*TILE).applyInArrow(_tile_best(k, True), NEIGHBOR_SCHEMA)
+        _fill(report, blocks * (blocks + 1) // 2, blocks * (blocks + 1) // 2, rows * blocks)
+        return rank_neighbors(best, k)
+    placed = stored(pivots.place(units, chosen), "placed")
+    cells = pivots.cells_of(placed, chosen.num_rows)
+    layout = pivots.lay_out(cells, math.ceil(rows / blocks))
+    inside = pivots.inside_tiles(placed, layout).groupBy(*TILE)
+    near = stored(rank_neighbors(inside.applyInArrow(_tile_best(k, True), NEIGHBOR_SCHEMA), k), "near")
+    bars = near.filter(F.col("rank") == k).select("id", F.col("similarity").alias("bar"))
+    barred = stored(pivots.with_needs(placed.join(bars, "id", "left"), cells), "barred")
+    needed = pivots.needed_cells(barred, chosen.num_rows)
+    met = layout.between(needed | needed.T)
+    sent = (layout.blocks * cells.rows).sum() + (cells.rows[:, None] * (needed | needed.T) * layout.blocks).sum()
+    _fill(report, layout.everything(), int(layout.inside().sum() + met.sum()), int(sent))
+    if not met.any():
+        return near
+    between = pivots.between_tiles(barred, layout, needed).groupBy(*TILE)
+    far = between.applyInArrow(_tile_needed(k), NEIGHBOR_SCHEMA)
+    return rank_neighbors(near.drop("rank").unionByName(far), k)
+
+
+def _pivots(units: DataFrame, rows: int) -> pa.Table | None:
+    """Pivots for a catalogue, or none where there would be one cell."""
+    count = min(pivots.MOST_PIVOTS, rows // CELL_ROWS)
+    chosen = pivots.choose(units, count) if count > 1 else None
+    return chosen if chosen is not None and chosen.num_rows > 1 else None
+
+
+def _fill(report: dict | None, tiles: int, met: int, sent: int) -> None:
+    if report is not None:
+        report.update(tiles=tiles, tiles_met=met, rows_sent=sent)
+
+
+def _tile_needed(k: int) -> Callable[[pa.Table], pa.Table]:
+    """The best k, at or above its bar, of each row that needs the other side of its tile."""
+
+    def best(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        sides = [table.filter(pa.array(side == s)) for s in (0, 1)]
+        if not all(s.num_rows for s in sides):
+            return Best(np.empty(0, np.int64), k).table()
+        whole = [Block(s) for s in sides]
+        asking = [Block(s.filter(s["needy"])) for s in sides]
+        n, m = (len(w.ids) for w in whole)
+        found = []
+        if len(asking[0].ids) * m + len(asking[1].ids) * n < n * m:
+            for one, other in ((asking[0], whole[1]), (asking[1], whole[0])):
+                of_one = Best(one.ids, k, one.bar)
+                for rows, cols, product in products(one, other):
+                    of_one.add(rows, product, other.ids[cols])
+                found.append(of_one.table())
+        else:
+            both = [Best(w.ids, k, w.bar) for w in whole]
+            for rows, cols, product in products(*whole):
+                both[0].add(rows, product, whole[1].ids[cols])
+                both[1].add(cols, product.T, whole[0].ids[rows])
+            found = [b.table() for b in both]
+        return pa.concat_tables(found)
+
+    return best
 
 
 def topk_for(queries: DataFrame, features: DataFrame, k: int) -> DataFrame:
@@ -395,7 +294,7 @@ def _tile_best_if_full(k: int) -> Callable[[pa.Table], pa.Table]:
     def guarded(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         if side.all() or not side.any():
-            return _Best(np.empty(0, np.int64), k).table()
+            return Best(np.empty(0, np.int64), k).table()
         return best(table)
 
     return guarded

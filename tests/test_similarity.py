@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfkin.operators import pivots, tiles
 from shelfkin.operators import similarity as sim
 
 SCHEMA = "id bigint, numeric array<double>, labels array<int>"
@@ -30,7 +31,7 @@ def matrix(rows, labels):
         dense[i, [len(numeric) + j for j in present]] = 1.0
     norm = np.linalg.norm(dense, axis=1, keepdims=True)
     unit = dense / np.where(norm > 0, norm, 1)
-    return ids, np.round(unit @ unit.T, sim.DECIMALS) + 0.0
+    return ids, np.round(unit @ unit.T, tiles.DECIMALS) + 0.0
 
 
 def expected_top(rows, labels, k):
@@ -60,8 +61,8 @@ def same(got, expected):
 @pytest.mark.parametrize("rows_per_slice, columns_per_slice", [(2048, 4096), (7, 4)])
 def test_top_neighbours(spark, monkeypatch, blocks, rows_per_slice, columns_per_slice):
     monkeypatch.setattr(sim, "block_count", lambda *_: blocks)
-    monkeypatch.setattr(sim, "SLICE_ROWS", rows_per_slice)
-    monkeypatch.setattr(sim, "SLICE_COLUMNS", columns_per_slice)
+    monkeypatch.setattr(tiles, "SLICE_ROWS", rows_per_slice)
+    monkeypatch.setattr(tiles, "SLICE_COLUMNS", columns_per_slice)
     rows = random_rows(90, 5)
     same(got_top(sim.topk_neighbors(frame(spark, rows), 4)), expected_top(rows, 12, 4))
 
@@ -70,7 +71,7 @@ def test_top_neighbours(spark, monkeypatch, blocks, rows_per_slice, columns_per_
 def test_a_third_of_the_items_are_copies(spark, monkeypatch, blocks):
     """Ties are broken by id, also across tiles and slices."""
     monkeypatch.setattr(sim, "block_count", lambda *_: blocks)
-    monkeypatch.setattr(sim, "SLICE_ROWS", 16)
+    monkeypatch.setattr(tiles, "SLICE_ROWS", 16)
     rows = random_rows(80, 6) + [(1000 + i, [0.5, 1.0, 2.0], [1, 2]) for i in range(40)]
     same(got_top(sim.topk_neighbors(frame(spark, rows), 6)), expected_top(rows, 12, 6))
 
@@ -134,17 +135,17 @@ def test_many_labels_do_not_make_many_blocks():
 @pytest.mark.parametrize("listing", [0, 3, 10**6])
 def test_labels_in_common(monkeypatch, listing):
     """All labels as columns, some, and all listed."""
-    monkeypatch.setattr(sim, "LISTING", listing)
-    monkeypatch.setattr(sim, "PAIRS_LISTED", 50)
+    monkeypatch.setattr(tiles, "LISTING", listing)
+    monkeypatch.setattr(tiles, "PAIRS_LISTED", 50)
     rng = np.random.default_rng(4)
     has = [(rng.random((n, 30)) < rng.random(30) ** 3) for n in (23, 31)]
     blocks = []
     for h in has:
-        block = object.__new__(sim._Block)
+        block = object.__new__(tiles.Block)
         block.label_row, block.label = np.nonzero(h)
         block.by_label = {}
         blocks.append(block)
-    got = sim._common_labels(blocks[0], slice(3, 20), blocks[1], slice(5, 31))
+    got = tiles.common_labels(blocks[0], slice(3, 20), blocks[1], slice(5, 31))
     assert (got == has[0][3:20].astype(int) @ has[1][5:31].astype(int).T).all()
 
 
@@ -169,3 +170,59 @@ def test_wide_matrix(spark):
     rows = [(1, [1.0], []), (2, [1.0], []), (3, [-1.0], [])]
     wide = sim.wide_matrix(sim.all_pairs_cosine(frame(spark, rows)), [1, 3]).orderBy("id").collect()
     assert [(r["1"], r["3"]) for r in wide] == [(None, -1.0), (1.0, -1.0), (-1.0, None)]
+
+
+def clustered_rows(n, seed, clusters=6, labels=12):
+    """Rows around a few centres, some far from all, some without direction, some copies."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, 4)) * 3
+    rows = []
+    for i in range(n):
+        at = centres[rng.integers(clusters)] + rng.normal(size=4) * 0.3
+        if i % 10 == 0:
+            at = rng.normal(size=4)
+        rows.append((i * 3 - 20, [float(x) for x in at], sorted({int(x) for x in rng.integers(0, labels, i % 3)})))
+    rows += [(10_000 + i, [0.0] * 4, []) for i in range(5)] + [(20_000 + i, [1.0, 2.0, 0.5, 1.0], [3]) for i in range(40)]
+    return rows
+
+
+@pytest.mark.parametrize("cell_rows, block_rows, k", [(20, 1000, 3), (40, 7, 5), (3, 11, 2), (20, 50, 60)])
+def test_top_neighbours_by_pivots(spark, monkeypatch, cell_rows, block_rows, k):
+    monkeypatch.setattr(sim, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(sim, "block_count", lambda rows, *_: max(1, rows // block_rows))
+    rows = clustered_rows(160, k)
+    report = {}
+    got = got_top(sim.topk_neighbors(frame(spark, rows), k, report))
+    same(got, expected_top(rows, 12, k))
+    assert report["tiles_met"] <= report["tiles"]
+
+
+def test_pivots_leave_tiles_out(spark, monkeypatch):
+    monkeypatch.setattr(sim, "CELL_ROWS", 20)
+    rng = np.random.default_rng(3)
+    rows = [
+        (i, [float(x) for x in np.eye(8)[i % 8] * 5 + rng.normal(size=8) * 0.1], []) for i in range(400)
+    ]
+    report = {}
+    same(got_top(sim.topk_neighbors(frame(spark, rows), 5, report)), expected_top(rows, 0, 5))
+    assert report["tiles_met"] < report["tiles"] / 2
+
+
+@pytest.mark.parametrize("least", [-0.5, 0.3, 0.9, 0.999])
+def test_similar_pairs_by_pivots(spark, monkeypatch, least):
+    monkeypatch.setattr(sim, "CELL_ROWS", 20)
+    rows = clustered_rows(120, 4)
+    every = sim.all_pairs_cosine(frame(spark, rows)).filter(F.col("similarity") >= least).collect()
+    assert sorted(every) == sorted(sim.all_pairs_cosine(frame(spark, rows), min_similarity=least).collect())
+
+
+def test_bounds_hold_for_every_row():
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(300, 5))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit[::50] = 0.0
+    near = np.arccos(np.clip(unit @ unit[1:9].T, -1, 1)).astype(np.float32)
+    cell = near.argmin(axis=1)
+    low, high = (np.array([f(near[cell == c], axis=0) for c in range(8)]) for f in (np.min, np.max))
+    reach = pivots.Cells(np.bincount(cell, minlength=8), low, high).reach(near)
+    assert ((unit @ unit.T) <= reach[:, cell] + tiles.MARGIN).all()
