@@ -13,22 +13,24 @@ confirmed on full sets only, and no bucket is ever written out as all its pairs:
 
 * every member of a bucket is checked against the smallest one, which settles groups of copies
   in as many checks as they have members;
-* what then still lies in one bucket but in different components is compared by signature, in
-  tiles of bounded size, where only pairs that agree in at least 60% of all coordinates go on to
-  the check on full sets (a pair at similarity 0.8 falls below that with probability 1e-15).
+* components that still share a bucket are compared by signature, in tiles of bounded size, and
+  put in one group where some members agree in at least 68% of all coordinates (a pair at
+  similarity 0.8 falls below that with probability 3e-7);
+* the members of a group meet on full sets, again in tiles of bounded size, each pair of different
+  components once.  A task hands on only links that join what it has not joined yet.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfkin.llm.common import components, map_batches, parts_of, passing_tables, stored, text_of
@@ -36,8 +38,9 @@ from shelfkin.llm.common import components, map_batches, parts_of, passing_table
 SEED = 42
 UNIVERSE = 1 << 20  # places that the two permutations permute
 BANDS, ROWS = 48, 6
-AGREE = 0.6  # share of coordinates that must agree before full sets are compared
-TILE_MEMBERS = 512  # members of a bucket in one block of a tile
+AGREE = 0.68  # share of coordinates that must agree before full sets are compared
+TILE_MEMBERS = 512  # members of a bucket or group in one block of a tile
+TILE_SHINGLES = 1 << 22  # shingles of one block, about
 CHUNK = 1 << 10  # shingles whose pieces of pi are held at a time
 FOLD = np.uint64(0x9E3779B97F4A7C15)  # an odd number, 2^64 over the golden ratio
 PART_BYTES = 4 << 20  # text handled at a time
@@ -217,53 +220,28 @@ def first_links(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.join(sizes, "a").filter(_long_enough("n_shingles", "n_a", percent)).select("a", "b")
 
 
-TILED = "bucket long, tile long, side int, node long, root long, n_shingles long, brief binary"
-
-
-def _tiled(mixed: DataFrame) -> DataFrame:
-    """Members of a bucket in blocks of bounded size; every pair of blocks is a tile.
-
-    `held` is the size of the bucket; a bucket of at most TILE_MEMBERS is a single tile.
-    """
-    blocks = F.ceil(F.col("held") / TILE_MEMBERS)
+def _tiled(members: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Members of a key in `blocks` blocks; every pair of blocks of a key is a tile."""
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return (
-        mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    tiled = (
+        members.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("tile", F.shiftright(high * (high + 1), 1) + low)
         .withColumn("side", (F.col("block") > F.col("other")).cast("int"))
-        .select("bucket", "tile", "side", "node", "root", "n_shingles", "brief")
+        .withColumnRenamed(key, "of")
     )
+    kept = [c for c in members.columns if c != key]
+    return tiled.select("of", "tile", "side", *kept).repartition("of", "tile").sortWithinPartitions("of", "tile")
 
 
-def signature_links(mixed: DataFrame, percent: int, coordinates: int) -> DataFrame:
-    """Pairs of one bucket and different components whose signatures agree widely.
+def _each_tile(tiles: DataFrame, links: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): the links found in each tile, one tile at a time."""
 
-    `mixed` is (bucket, held, node, root, n_shingles, brief) for buckets with members of several
-    components.  A task holds one tile at a time.
-    """
-    least = math.floor(AGREE * coordinates)
-
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, root, size = (table[c].to_numpy() for c in ("node", "root", "n_shingles"))
-        side = table["side"].to_numpy()
-        brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(len(node), -1)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        whole = not len(right)
-        found = []
-        for at, i in enumerate(left.tolist()):
-            others = left[at + 1 :] if whole else right
-            near = (root[others] != root[i]) & (
-                100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])
-            )
-            others = others[near]
-            if len(others):
-                others = others[(brief[others] == brief[i]).sum(axis=1) >= least]
-                found.extend((min(node[i], node[j]), max(node[i], node[j])) for j in others)
-        if found:
-            ends = [pa.array(e, pa.int64()) for e in zip(*found)]
-            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+    def found(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = links(pa.Table.from_batches(waiting).combine_chunks()) if waiting else ()
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in zip(*pairs)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []  # the last tile may go on in the next batch
@@ -271,21 +249,95 @@ def signature_links(mixed: DataFrame, percent: int, coordinates: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "tile")]
-            cuts = np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0)) + 1
+            of, tile = (batch.column(c).to_numpy() for c in ("of", "tile"))
+            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(tile) != 0)) + 1
             edges = [0, *cuts.tolist(), batch.num_rows]
             for start, stop in zip(edges, edges[1:]):
-                tile = key[0][start], key[1][start]
-                if waiting and tile != last:
-                    yield from pairs(pa.Table.from_batches(waiting))
+                if (of[start], tile[start]) != last:
+                    yield from found(waiting)
                     waiting = []
                 waiting.append(batch.slice(start, stop - start))
-                last = tile
-        if waiting:
-            yield from pairs(pa.Table.from_batches(waiting))
+                last = of[start], tile[start]
+        yield from found(waiting)
+
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def _joins(
+    root: np.ndarray, side: np.ndarray, compare: Callable[[int, np.ndarray], np.ndarray]
+) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that join components: `compare(i, others)` tells which others row i is linked to.
+
+    Rows of side 0 meet those of side 1, or each other where there is no side 1; rows that are
+    in one component by now are not compared.
+    """
+    _, now = np.unique(root, return_inverse=True)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for at, i in enumerate(left.tolist()):
+        others = right if len(right) else left[at + 1 :]
+        others = others[now[others] != now[i]]
+        if not len(others):
+            continue
+        for j in others[compare(i, others)].tolist():
+            if now[j] != now[i]:
+                now[now == now[j]] = now[i]
+                yield i, j
+
+
+def signature_links(members: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket and have members with like signatures.
+
+    `members` is (bucket, held, node, root, n_shingles, brief) of buckets with several components.
+    """
+    least = math.floor(AGREE * coordinates)
+
+    def links(table: pa.Table) -> list[tuple[int, int]]:
+        root, size, side = (table[c].to_numpy() for c in ("root", "n_shingles", "side"))
+        brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(len(root), -1)
+
+        def like(i: int, others: np.ndarray) -> np.ndarray:
+            near = 100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])
+            near[near] = (brief[others[near]] == brief[i]).sum(axis=1) >= least
+            return near
+
+        return [(root[i], root[j]) for i, j in _joins(root, side, like)]
+
+    return _each_tile(_tiled(members, "bucket", F.ceil(F.col("held") / TILE_MEMBERS)), links).distinct()
+
+
+def set_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the members of a group whose full sets reach the similarity.
+
+    `members` is (group, held, shingles, node, root, members) with the group's members and shingles.
+    """
 
-    tiles = _tiled(mixed).repartition("bucket", "tile").sortWithinPartitions("bucket", "tile")
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    def links(table: pa.Table) -> list[tuple[int, int]]:
+        node, root, side = (table[c].to_numpy() for c in ("node", "root", "side"))
+        column = table["members"].combine_chunks()
+        sets = [np.frombuffer(value.as_buffer(), np.uint64) for value in column]
+        size = np.array([len(s) for s in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        own = np.zeros(int(code.max()) + 1, bool)
+
+        def similar(i: int, others: np.ndarray) -> np.ndarray:
+            near = 100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])
+            some = others[near]
+            if len(some):
+                mine = code[ends[i] - size[i] : ends[i]]
+                own[mine] = True
+                theirs = np.concatenate([code[ends[j] - size[j] : ends[j]] for j in some])
+                first = np.cumsum(size[some]) - size[some]
+                both = np.add.reduceat(own[theirs], first, dtype=np.int64)
+                own[mine] = False
+                near[near] = 100 * both >= percent * (size[some] + size[i] - both)
+            return near
+
+        return [(node[i], node[j]) for i, j in _joins(root, side, similar)]
+
+    blocks = F.greatest(F.ceil(F.col("held") / TILE_MEMBERS), F.ceil(F.col("shingles") / TILE_SHINGLES))
+    tiled = _tiled(members, "group", F.least(blocks, F.col("held")))
+    return _each_tile(tiled, links)
 
 
 def near_duplicates(
@@ -306,10 +358,9 @@ def near_duplicates(
     table = stored(made, "marks", lasting=True)
     full = table.filter("n_shingles > 0")
 
-    def linked_by(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = stored(nodes.select("node", "text_key", "text_key2").join(ends, "node", "left_semi"), "wanted")
-        return confirmed(pairs, stored(sets_of(docs, wanted, width), "sets"), percent)
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        keys = nodes.select("node", "text_key", "text_key2").join(wanted.select("node").distinct(), "node", "left_semi")
+        return stored(sets_of(docs, stored(keys, "wanted"), width), "sets")
 
     with passing_tables(spark):
         # One node for each different set: the number of the first row that has it.
@@ -319,16 +370,23 @@ def near_duplicates(
         members = stored(nodes.select("node", "n_shingles", F.explode("bands").alias("bucket")), "members")
         shared = stored(shared_buckets(members), "shared")
         pairs = stored(first_links(shared, nodes, percent), "pairs")
-        stars = stored(linked_by(pairs), "stars")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        stars = stored(confirmed(pairs, sets_for(ends), percent), "stars")
         roots = stored(components(stars), "roots")
         settled = shared.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = settled.groupBy("bucket").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"))
         several = stored(several.filter("low_root <> high_root").select("bucket"), "several")
-        unsettled = settled.join(several, "bucket").join(nodes.select("node", "brief"), "node")
-        near = stored(signature_links(unsettled, percent, bands * rows), "near")
+        unsettled = stored(settled.join(several, "bucket"), "unsettled")
+        briefs = unsettled.join(nodes.select("node", "brief"), "node")
+        like = stored(signature_links(briefs, percent, bands * rows), "like")
         linked = roots
-        if not near.isEmpty():
-            linked = stored(components(stars.unionByName(linked_by(near))), "linked")
+        if not like.isEmpty():
+            groups = stored(components(like), "groups").select(F.col("node").alias("root"), F.col("root").alias("group"))
+            met = stored(unsettled.select("node", "root", "n_shingles").distinct().join(groups, "root"), "met")
+            sizes = met.groupBy("group").agg(F.count(F.lit(1)).alias("held"), F.sum("n_shingles").alias("shingles"))
+            full_sets = met.drop("n_shingles").join(stored(sizes, "sizes"), "group").join(sets_for(met), "node")
+            more = stored(set_links(full_sets, percent), "more")
+            linked = stored(components(stars.unionByName(more)), "linked")
         named = linked.join(nodes.select("node", "least_id"), "node")
         lowest = stored(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "lowest")
         joined = stored(linked.join(lowest, "root").select("node", "component_id"), "joined")
