@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfkin.llm.common import map_batches, parts_of, passing_tables, stored, text_of
+from shelfkin.llm.common import parts_of, passing_tables, stored, text_of
 
 SEED = 42
 SHARDS = 16
@@ -35,6 +35,7 @@ LONGEST = 5  # words of a phrase
 BITS = 1 << 24  # of the bitmap of a level: 2 MB
 BUCKET = 1 << 15  # bits of one row of Spark's bitmap functions
 PART_BYTES = 2 << 20  # text handled at a time
+HANDED_ON = 1 << 16  # rows of a batch handed on
 FOLD = np.uint64(0x9E3779B97F4A7C15)  # an odd number, 2^64 over the golden ratio
 # A piece ends at . , ; : ! ? and at line feed to carriage return; words are parted
 # by blanks and tabs.
@@ -141,21 +142,26 @@ def _surviving(levels, bitmaps: list[np.ndarray], k: int) -> tuple[np.ndarray, n
 def local_counts(tokens: DataFrame, k: int, bitmaps: list[Broadcast]) -> DataFrame:
     """(shard, need, phrase hash, count) of the phrases of k words that can be frequent."""
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
-        shards, needs, hashes, counts = [], [], [], []
-        for shard, need, lang, words, packed in zip(*(batch.column(c) for c in ("shard", "need", "lang", "words", "tokens"))):
-            levels = _levels(lang.as_py(), words.as_py(), packed.as_buffer(), k)
-            phrase, _ = _surviving(levels, known, k)
-            phrase, count = np.unique(phrase, return_counts=True)
-            shards.append(np.full(len(phrase), shard.as_py(), np.int32))
-            needs.append(np.full(len(phrase), need.as_py(), np.int64))
-            hashes.append(phrase.view(np.int64))
-            counts.append(count.astype(np.int64))
-        arrays = [pa.array(np.concatenate(a)) for a in (shards, needs, hashes, counts)]
-        return pa.RecordBatch.from_arrays(arrays, ["shard", "need", "phrase", "n"])
-
-    return map_batches(tokens, rows, "shard int, need long, phrase long, n long")
+        for batch in batches:
+            columns = (batch.column(c) for c in ("shard", "need", "lang", "words", "tokens"))
+            for shard, need, lang, words, packed in zip(*columns):
+                levels = _levels(lang.as_py(), words.as_py(), packed.as_buffer(), k)
+                phrase, _ = _surviving(levels, known, k)
+                phrase, count = np.unique(phrase, return_counts=True)
+                for start in range(0, len(phrase), HANDED_ON):
+                    part = slice(start, start + HANDED_ON)
+                    size = len(phrase[part])
+                    arrays = [
+                        np.full(size, shard.as_py(), np.int32),
+                        np.full(size, need.as_py(), np.int64),
+                        phrase[part].view(np.int64),
+                        count[part].astype(np.int64),
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shard", "need", "phrase", "n"])
+
+    return tokens.mapInArrow(rows, "shard int, need long, phrase long, n long")
 
 
 def _bitmap(frequent: DataFrame) -> bytes:
