@@ -173,12 +173,16 @@ def topk_neighbors_items(spark, sf):
 def train_similarity(spark, sf):
     """Clean, features and train as jobs over snapshots; the model read back."""
     root = snap.shared_folder(spark)
-    snap.write_snapshot(cleaned(spark, sf), root, snap.CLEANED, jobs.ITEMS)
-    features, params = feat.item_features(snap.read_latest(spark, root, snap.CLEANED, jobs.ITEMS))
-    snap.write_snapshot(features, root, snap.FEATURES, jobs.ITEM_FEATURES)
-    snap.write_snapshot(params.vocab, root, snap.FEATURES, jobs.VOCAB)
+    items = snap.write_snapshot(cleaned(spark, sf), root, snap.CLEANED, jobs.ITEMS)
+    features, params = feat.item_features(snap.read(spark, root, items))
+    written = [
+        snap.write_snapshot(df, root, snap.FEATURES, name)
+        for df, name in ((features, jobs.ITEM_FEATURES), (params.vocab, jobs.VOCAB))
+    ]
+    snap.write_manifest(spark, root, snap.FEATURES, [items, *written])
     jobs.train(spark, root, k=TOP_K)
-    return _rounded(snap.read_latest(spark, root, snap.MODELS, jobs.NEIGHBORS))
+    model = snap.read_manifest(spark, root, snap.MODELS)[snap.MODELS, jobs.NEIGHBORS]
+    return _rounded(snap.read(spark, root, model))
 
 
 @query(
@@ -188,7 +192,7 @@ def train_similarity(spark, sf):
       (SELECT count(*) FROM complete) AS num_items, (SELECT count(*) FROM vocab) + 6 AS num_features""",
 )
 def run_metrics(spark, sf):
-    """The record a training run appends, read back from its table."""
+    """The record a training run leaves, made twice and read back."""
     from shelfkin.sources import metrics
 
     path = f"{snap.shared_folder(spark)}/run_metrics"
@@ -196,5 +200,6 @@ def run_metrics(spark, sf):
     run = metrics.run_metrics(
         features, params.vocab, len(feat.NUMERIC_COLUMNS), jobs.FEATURE_STORE
     )
-    metrics.append_metrics(run, path)
-    return snap.scan_parquet(spark, path)
+    for _ in range(2):
+        metrics.record_run(run, path, "run")
+    return metrics.read_runs(spark, path).drop("run_id")

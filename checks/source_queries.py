@@ -232,7 +232,7 @@ def _orders_of_two_days(spark, sf):
 def write_snapshot(spark, sf):
     root = _orders_of_two_days(spark, sf)
     days = [
-        spark.read.parquet(f"{root}/{snap.RAW}/{name}").withColumn("dataset", F.lit(name))
+        snap.read_days(spark, root, snap.RAW, name).withColumn("dataset", F.lit(name))
         for name in ("orders", "emptied", "ended")
     ]
     every_day = days[0].unionByName(days[1]).unionByName(days[2])

@@ -188,7 +188,8 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert counts["clean"] == {"items": 9, "interactions": 1}
     assert counts["features"]["item_features"] == 8 and counts["features"]["user_features"] == 1
     assert jobs.train(spark, root, k=2, date=DAY1) == {"neighbors": 16}
-    metrics_row = spark.read.parquet(f"{root}/models/run_metrics").first()
+    jobs.train(spark, root, k=2, date=DAY1)
+    (metrics_row,) = metrics.read_runs(spark, f"{root}/models/run_metrics").collect()
     assert metrics_row.num_items == 8 and metrics_row.num_features == 1 + 5 + 4
     asked = spark.createDataFrame(
         [(1, "titl 3", 2), (2, "title 4", 7), (3, "title 22", 1), (4, "unheard of", 1)],
@@ -204,3 +205,104 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert sorted(by_request[2, "ok"]) == [1, 2, 3, 5, 6, 7, 8]
     exact = jobs.recommend_batch(spark, root, asked, fuzzy=False)
     assert [r.status for r in exact.filter(F.col("request_id") == 1).collect()] == ["title_not_found"]
+    ledger = metrics.read_ledger(spark, f"{root}/ledger", DAY1.isoformat())
+    counted = {(r.stage, r.dataset): (r.rows_in, r.rows_out, r.rejected) for r in ledger.collect()}
+    assert ledger.count() == len(counted) == 14
+    assert counted["ingest", "items"] == (11, 10, 1) and counted["ingest", "skipped_users"] == (None, 1, None)
+    assert counted["clean", "items"] == (10, 9, 1) and counted["clean", "interactions"] == (2, 1, 1)
+    assert counted["features", "item_features"] == (9, 8, 1) and counted["train", "neighbors"][:2] == (8, 16)
+    # Features made anew, with other items, do not meet the neighbours of the old ones.
+    (tmp_path / "items.json").write_text(json.dumps({"data": {"Page": {"media": items[4:6]}}}))
+    jobs.run_pipeline(
+        spark, root, landed["items"], landed["reads"],
+        min_score=70, min_popularity=10_000, users=(1001, 1500), max_pages=2, date=DAY2,
+    )
+    before = {(r.request_id, r.id) for r in answers.collect()}
+    assert {(r.request_id, r.id) for r in jobs.recommend_batch(spark, root, asked).collect()} == before
+    jobs.train(spark, root, k=2, date=DAY2)
+    after = jobs.recommend_batch(spark, root, asked).collect()
+    assert {r.id for r in after if r.status == "ok"} <= {5, 6}
+
+
+def broken(spark):
+    """Rows of which some are written before the job fails."""
+    fails = F.when(F.col("id") == 99_999, F.raise_error(F.lit("lost"))).otherwise(F.col("id"))
+    return spark.range(0, 100_000, 1, 4).select(fails.cast("long").alias("id"))
+
+
+def test_a_lost_write_leaves_the_day_as_it_was(spark, tmp_path):
+    root = str(tmp_path)
+    snap.write_snapshot(spark.range(3), root, snap.RAW, "a", DAY1)
+    first = snap.write_snapshot(spark.range(5), root, snap.RAW, "a", DAY2)
+    reader = snap.read_latest(spark, root, snap.RAW, "a")
+    with pytest.raises(Exception, match="lost"):
+        snap.write_snapshot(broken(spark), root, snap.RAW, "a", DAY2)
+    assert snap.latest(spark, root, snap.RAW, "a") == first
+    assert snap.read_latest(spark, root, snap.RAW, "a").count() == 5 and reader.count() == 5
+    with pytest.raises(Exception, match="lost"):
+        snap.write_snapshot(broken(spark), root, snap.RAW, "a", dt.date(2024, 2, 1))
+    assert snap.latest_date(spark, root, snap.RAW, "a") == DAY2
+
+
+def test_a_replaced_snapshot_stays_readable_until_it_is_removed(spark, tmp_path):
+    root = str(tmp_path)
+    old = [snap.write_snapshot(spark.range(n), root, snap.RAW, "a", DAY1) for n in (1, 2, 3)]
+    assert [snap.read(spark, root, s).count() for s in old] == [1, 2, 3]
+    assert snap.read_latest(spark, root, snap.RAW, "a").count() == 3
+    assert snap.remove_superseded(spark, root, snap.RAW, "a", keep=[old[1]]) == [old[0]]
+    assert [snap.read(spark, root, s).count() for s in old[1:]] == [2, 3]
+    assert not os.path.exists(tmp_path / "raw" / "a" / "dt=2024-01-09" / f"run={old[0].run}")
+
+
+def test_all_days_of_a_dataset(spark, tmp_path):
+    root = str(tmp_path)
+    for day, n in ((DAY1, 4), (DAY1, 2), (DAY2, 3)):
+        snap.write_snapshot(spark.range(n), root, snap.RAW, "a", day)
+    rows = snap.read_days(spark, root, snap.RAW, "a").groupBy("dt").count().collect()
+    assert {(r.dt, r["count"]) for r in rows} == {(DAY1, 2), (DAY2, 3)}
+
+
+def test_a_manifest_names_what_belongs_together(spark, tmp_path):
+    root = str(tmp_path)
+    one = snap.write_snapshot(spark.range(1), root, snap.FEATURES, "x", DAY1)
+    two = snap.write_snapshot(spark.range(2), root, snap.MODELS, "y", DAY1)
+    snap.write_manifest(spark, root, snap.MODELS, [one, two], DAY1)
+    snap.write_snapshot(spark.range(9), root, snap.FEATURES, "x", DAY2)
+    named = snap.read_manifest(spark, root, snap.MODELS)
+    assert named == {("features", "x"): one, ("models", "y"): two}
+    assert snap.read(spark, root, named["features", "x"]).count() == 1
+
+
+def test_a_repeated_stage_leaves_one_record(spark, tmp_path):
+    path = str(tmp_path)
+    for rows in ([metrics.StageRows("a", 3, 2, 1)], [metrics.StageRows("a", 5, 5, 0), metrics.StageRows("b", None, 1)]):
+        metrics.record_stage(spark, path, "run 1", "clean", rows)
+    metrics.record_stage(spark, path, "run 2", "clean", [metrics.StageRows("a", 1, 1, 0)])
+    assert sorted(map(tuple, metrics.read_ledger(spark, path, "run 1").collect())) == [
+        ("clean", "a", 5, 5, 0), ("clean", "b", None, 1, None)
+    ]
+    with pytest.raises(ValueError):
+        metrics.record_stage(spark, path, "../x", "clean", [])
+
+
+def test_threads_do_not_remove_each_others_tables(spark):
+    from threading import Barrier, Thread
+
+    meet, counts = Barrier(2), {}
+
+    def work(name, stays):
+        with snap.temporary_tables(spark):
+            table = snap.stored(spark.range(10))
+            meet.wait()
+            if stays:
+                meet.wait()
+                counts[name] = table.count()
+        if not stays:
+            meet.wait()
+
+    threads = [Thread(target=work, args=(i, i == 0)) for i in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert counts == {0: 10}
