@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from shelfkin.functions import dates, numbers
-from shelfkin.operators.frames import drop_columns, lookup_join
+from shelfkin.operators.frames import drop_columns
 from shelfkin.sources.snapshots import stored
 
 LABEL_COLUMNS = ("tags", "genres")
@@ -80,52 +80,59 @@ def fit_vocab(df: DataFrame) -> DataFrame:
     """Sorted label sets with their positions: tags first, then genres.
 
     The order is by code point, which is the binary order of strings in Spark.  There is no
-    single-task sort: terms are range-partitioned and pinned by writing them; each partition
-    counts its own, and the offsets are a running sum over one row per partition.
+    single-task sort: terms are range-partitioned, sorted and numbered within each partition as
+    they are written; the offsets are a running sum over one row per partition.
     """
     terms = label_terms(df)
-    spark = terms.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(
-        terms.repartitionByRange(parts, "slot", "term").withColumn("part", F.spark_partition_id()),
-        "terms",
-    )
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = terms.repartitionByRange(parts, "slot", "term").sortWithinPartitions("slot", "term")
+    # The upper bits of the number are the partition's, the lower 33 count its rows.
+    numbered = stored(ranged.withColumn("number", F.monotonically_increasing_id()), "terms")
+    part, within = F.shiftright("number", 33), F.col("number").bitwiseAND((1 << 33) - 1)
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")
+        F.col("part").alias("in_part"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")
     )
-    within = F.row_number().over(Window.partitionBy("part").orderBy("slot", "term"))
     return (
-        ranged.withColumn("within", within)
-        .join(F.broadcast(offsets), "part")  # one row per partition
+        numbered.join(F.broadcast(offsets), part == F.col("in_part"))  # one row per partition
         .select(
             F.element_at(F.array(*map(F.lit, LABEL_COLUMNS)), F.col("slot") + 1).alias("kind"),
             "term",
-            (F.col("offset") + F.col("within") - 1).cast("int").alias("index"),
+            (F.col("offset") + within).cast("int").alias("index"),
         )
     )
 
 
+def _label_key(kind: Column, term: Column) -> Column:
+    """64 bits that stand for a label, so that its text need not be moved."""
+    return F.xxhash64(kind, term)
+
+
+def vocab_keys(vocab: DataFrame) -> DataFrame:
+    """`(label_key, index)`; two labels of a vocabulary with one key would stop the job."""
+    one = F.when(F.count(F.lit(1)) == 1, F.min("index")).otherwise(
+        F.raise_error(F.lit("two labels of the vocabulary share a key"))
+    )
+    return vocab.groupBy(_label_key(F.col("kind"), F.col("term")).alias("label_key")).agg(one.alias("index"))
+
+
 def multi_hot(df: DataFrame, vocab: DataFrame, key: str = "id") -> DataFrame:
     """Replace the label columns by `labels`, the sorted positions of the labels present.
 
-    A repeated label counts once and a label outside the vocabulary is ignored.  Labels meet the
-    vocabulary in a skew-safe join, so neither side is bounded; `df` is read several times and
-    should be a table.
+    A repeated label counts once and a label outside the vocabulary is ignored.  Labels become
+    64-bit keys next to the scan and only these and the row's key meet the vocabulary, in a plain
+    join of two tables: a small vocabulary is broadcast by its measured size, and adaptive
+    execution splits the rows of a label that most items have.
     """
 
-    def prefixed(column: str) -> Column:
-        prefix = F.lit(f"{column}:")
-        return F.transform(F.array_distinct(column), lambda t: F.concat(prefix, t))
+    def keys(column: str) -> Column:
+        present = F.filter(F.array_distinct(column), lambda t: t.isNotNull())
+        return F.transform(present, lambda t: _label_key(F.lit(column), t))
 
-    terms = [prefixed(c) for c in LABEL_COLUMNS]
-    exploded = df.select(key, F.explode(F.concat(*terms)).alias("term"))
-    keyed = vocab.select(F.concat("kind", F.lit(":"), "term").alias("vocab_term"), "index")
-    found = lookup_join(exploded, keyed, "term", "vocab_term", [key], how="inner")
-    labels = found.groupBy(F.col(key).alias("labelled")).agg(
-        F.sort_array(F.collect_list("index")).alias("labels")
-    )
+    exploded = df.select(F.col(key).alias("labelled"), F.explode(F.concat(*map(keys, LABEL_COLUMNS))).alias("label_key"))
+    found = exploded.join(vocab_keys(vocab), "label_key")
+    labels = found.groupBy("labelled").agg(F.sort_array(F.collect_list("index")).alias("labels"))
     joined = df.drop(*LABEL_COLUMNS).join(labels, F.col(key) == F.col("labelled"), "left")
     return joined.withColumn(
         "labels", F.coalesce("labels", F.array().cast("array<int>"))
@@ -168,28 +175,35 @@ def apply_scaler(df: DataFrame, scaler: DataFrame) -> DataFrame:
     ).drop("scaling")
 
 
-def fit_item_features(clean: DataFrame) -> ItemParams:
-    """Both parameter tables, stored: they are read by every transform."""
-    prepared = prepare_items(clean)
+def _fit(prepared: DataFrame) -> ItemParams:
     return ItemParams(
         vocab=stored(fit_vocab(prepared), "vocab"), scaler=stored(fit_scaler(prepared), "scaler")
     )
 
 
-def transform_item_features(clean: DataFrame, params: ItemParams) -> DataFrame:
-    """`(id, numeric, labels)` for every complete item, with parameters fitted before."""
-    scaled = stored(apply_scaler(prepare_items(clean), params.scaler), "scaled")
-    return multi_hot(scaled, params.vocab).select(
+def _transform(prepared: DataFrame, params: ItemParams) -> DataFrame:
+    return multi_hot(apply_scaler(prepared, params.scaler), params.vocab).select(
         "id",
         F.array(*[F.col(c).cast("double") for c in NUMERIC_COLUMNS]).alias("numeric"),
         "labels",
     )
 
 
+def fit_item_features(clean: DataFrame) -> ItemParams:
+    """Both parameter tables, stored: they are read by every transform."""
+    return _fit(stored(prepare_items(clean), "prepared"))
+
+
+def transform_item_features(clean: DataFrame, params: ItemParams) -> DataFrame:
+    """`(id, numeric, labels)` for every complete item, with parameters fitted before."""
+    return _transform(stored(prepare_items(clean), "prepared"), params)
+
+
 def item_features(clean: DataFrame) -> tuple[DataFrame, ItemParams]:
-    """Fit on these items and transform them."""
-    params = fit_item_features(clean)
-    return transform_item_features(clean, params), params
+    """Fit on these items and transform them; they are prepared once."""
+    prepared = stored(prepare_items(clean), "prepared")
+    params = _fit(prepared)
+    return _transform(prepared, params), params
 
 
 def user_features(clean: DataFrame) -> DataFrame:
