@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 SKETCHES = 64  # frequent-item sketches the keys are divided over
 TRACKED = 8  # keys tracked by one sketch, for each key that can be hot
+MOST_TRACKED = 1_000_000  # fixed value: what Spark allows for one sketch
 
 
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -37,6 +38,15 @@ def _salts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sketch_size(partitions: int) -> tuple[int, int]:
+    """Keys that one sketch returns, and keys it tracks.
+
+    There are at most as many hot keys as partitions; the sketches share them by hash.
+    """
+    most = min(max(100, 4 * -(-partitions // SKETCHES)), MOST_TRACKED // TRACKED)
+    return most, most * TRACKED
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
     """Keys (None among them) that hold more rows than a shuffle partition does on average.
 
@@ -46,8 +56,8 @@ def hot_keys(df: DataFrame, key: str) -> list:
     both sides of a join use the same list.
     """
     partitions = _salts(df)
-    most = max(100, partitions)
-    sketch = F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(most * TRACKED))
+    most, tracked = sketch_size(partitions)
+    sketch = F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(tracked))
     bar = df.count() / partitions
     rows = (
         df.groupBy(F.pmod(F.xxhash64(key), F.lit(SKETCHES)).alias("part"))

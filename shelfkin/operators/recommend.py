@@ -164,21 +164,12 @@ def extend_neighbors(
 ) -> DataFrame:
     """Neighbour table that also serves requests for more than the stored neighbours.
 
-    Only the items such requests name are ranked again, against the whole catalogue; none are
-    where the model holds all there are.
+    Only the items such requests name are ranked again, each to the depth of its largest request,
+    in one pass over the catalogue; none are where the model holds all there are.
     """
     if stored_ranks >= features.count() - 1:
         return neighbors
     deep = matched.filter((F.col("top_n") > stored_ranks) & F.col("matched_id").isNotNull())
-    # The depth of an item is its largest request, rounded up to a power of two, so there
-    # are at most 31 depths, and a deep request does not deepen the others.
-    depth = F.pow(F.lit(2), F.ceil(F.log2(F.max("top_n")))).cast("int")
-    items = stored(
-        deep.groupBy(F.col("matched_id").alias("id")).agg(depth.alias("depth")), "deep"
-    )
-    served = neighbors.join(items, "id", "left_anti")
-    for row in items.select("depth").distinct().collect():
-        asked = items.filter(F.col("depth") == row.depth)
-        rows = features.join(asked, "id", "left_semi")
-        served = served.unionByName(topk_for(rows, features, row.depth))
-    return served
+    items = stored(deep.groupBy(F.col("matched_id").alias("id")).agg(F.max("top_n").alias("depth")), "deep")
+    asked = stored(features.join(items, "id"), "asked")
+    return neighbors.join(items, "id", "left_anti").unionByName(topk_for(asked, features))

@@ -189,8 +189,12 @@ def with_zero_diagonal(pairs: DataFrame) -> DataFrame:
 
 def rank_neighbors(candidates: DataFrame, k: int) -> DataFrame:
     """The k best candidates per id with their rank; ties go to the smaller neighbour id."""
+    return _ranked(candidates).filter(F.col("rank") <= k)
+
+
+def _ranked(candidates: DataFrame) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor_id")
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return candidates.withColumn("rank", F.row_number().over(order))
 
 
 def topk_neighbors(features: DataFrame, k: int, report: dict | None = None) -> DataFrame:
@@ -270,34 +274,51 @@ def _tile_needed(k: int) -> Callable[[pa.Table], pa.Table]:
     return best
 
 
-def topk_for(queries: DataFrame, features: DataFrame, k: int) -> DataFrame:
-    """The same for some items only: `queries` are feature rows of the items asked about."""
-    if k < 1:
+def topk_for(queries: DataFrame, features: DataFrame, k: int | None = None) -> DataFrame:
+    """The same for some items only: `queries` are feature rows of the items asked about.
+
+    Without `k` each query has a `depth` of its own, a positive integer: the catalogue is read
+    and sent once, whatever the depths.
+    """
+    if k is not None and k < 1:
         raise ValueError("k must be at least 1")
-    q_rows, q_held = _shape(queries)
+    deep = queries if k is None else queries.withColumn("depth", F.lit(k))
     rows, held = _shape(features)
-    k = max(1, min(k, rows - 1))
-    tiled = _cross_tiles(
-        l2_normalize(queries),
-        l2_normalize(features),
-        block_count(q_rows, q_held, 1, k),
-        block_count(rows, held, _tasks(features) ** 2),
-    )
-    # A tile whose query or item block is empty has nothing to compare.
-    best = tiled.groupBy(*TILE).applyInArrow(_tile_best_if_full(k), NEIGHBOR_SCHEMA)
-    return rank_neighbors(best, k)
-
-
-def _tile_best_if_full(k: int) -> Callable[[pa.Table], pa.Table]:
-    best = _tile_best(k, False)
-
-    def guarded(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        if side.all() or not side.any():
-            return Best(np.empty(0, np.int64), k).table()
-        return best(table)
-
-    return guarded
+    i_blocks = block_count(rows, held, _tasks(features) ** 2)
+    # A tile keeps no more for a query than the items it holds.
+    kept = F.least(F.col("depth").cast("long"), F.lit(math.ceil(rows / i_blocks)))
+    q_rows, q_held = _shape(deep)
+    most = deep.agg(F.sum(kept).alias("kept")).first().kept or 0
+    # A cosine does not depend on the depth, which only rides along.
+    asked = l2_normalize(queries).join(deep.select("id", F.col("depth").cast("int").alias("depth")), "id")
+    items = l2_normalize(features).withColumn("depth", F.lit(None).cast("int"))
+    tiled = _cross_tiles(asked, items, block_count(q_rows, q_held + 16 * most, 1), i_blocks)
+    best = tiled.groupBy(*TILE).applyInArrow(_tile_depths, f"{NEIGHBOR_SCHEMA}, depth int")
+    return _ranked(best).filter("rank <= depth").drop("depth")
+
+
+def _tile_depths(table: pa.Table) -> pa.Table:
+    """The best of the items of a tile for each of its queries, as many as the query's depth.
+
+    Queries are worked through by the power of two that holds their depth, so that a deep one
+    does not deepen the others.  A tile whose queries or items are missing has nothing to compare.
+    """
+    side, depth = table["side"].to_numpy(), table["depth"].fill_null(1).to_numpy()
+    items = Block(table.filter(pa.array(side == 1)))
+    level = np.frexp(np.maximum(depth - 1, 0).astype(np.float64))[1]
+    empty = {"id": pa.int64(), "neighbor_id": pa.int64(), "similarity": pa.float64(), "depth": pa.int32()}
+    found = [pa.table({n: pa.array([], t) for n, t in empty.items()})]
+    for power in np.unique(level[side == 0]).tolist() if len(items.ids) else ():
+        rows = table.filter(pa.array((side == 0) & (level == power))).sort_by("id")
+        asked = Block(rows)
+        best = Best(asked.ids, min(1 << power, len(items.ids)))
+        for r, c, product in products(asked, items):
+            mask_self(product, asked.ids[r], items.ids[c])
+            best.add(r, product, items.ids[c])
+        kept = best.table()
+        place = np.searchsorted(asked.ids, kept["id"].to_numpy())
+        found.append(kept.append_column("depth", rows["depth"].combine_chunks().take(pa.array(place))))
+    return pa.concat_tables(found)
 
 
 def assert_unique_ids(df: DataFrame, key: str = "id") -> DataFrame:

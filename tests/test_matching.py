@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelfkin.operators import matching
+from shelfkin.operators import frames, matching
 
 
 def common(a, b):
@@ -114,3 +115,18 @@ def test_length_buckets_never_hide_a_match():
             reachable = 200 * min(a, b) >= 70 * (a + b)
             assert matching._compatible(Bucket(a, a), Bucket(b, b), 70) == reachable
             assert not reachable or matching._compatible(Bucket(a, a + 3), Bucket(max(0, b - 2), b), 70)
+
+
+ONE_HOT = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 5 = 0 THEN NULL ELSE string(id) END AS k"
+
+
+def test_hot_keys(spark):
+    assert set(frames.hot_keys(spark.range(3000).selectExpr(ONE_HOT), "k")) == {"hot", None}
+
+
+@pytest.mark.parametrize("partitions", [8, 200_000, 20_000_000])
+def test_sketches_stay_within_what_spark_allows(spark, partitions):
+    most, tracked = (F.lit(n) for n in frames.sketch_size(partitions))
+    sketch = F.call_function("approx_top_k", F.col("k"), most, tracked).alias("top")
+    top = spark.range(3000).coalesce(1).selectExpr(ONE_HOT).agg(sketch).first().top
+    assert (top[0]["item"], top[0]["count"]) == ("hot", 1000)

@@ -226,3 +226,22 @@ def test_bounds_hold_for_every_row():
     low, high = (np.array([f(near[cell == c], axis=0) for c in range(8)]) for f in (np.min, np.max))
     reach = pivots.Cells(np.bincount(cell, minlength=8), low, high).reach(near)
     assert ((unit @ unit.T) <= reach[:, cell] + tiles.MARGIN).all()
+
+
+def test_a_depth_for_each_query(spark, monkeypatch):
+    """One pass serves all depths, deeper ones than a tile holds among them."""
+    monkeypatch.setattr(sim, "block_count", lambda *_: 4)
+    rows = random_rows(70, 12)
+    depth = {r[0]: d for r, d in zip(rows[:12], (1, 2, 3, 4, 5, 8, 9, 16, 17, 40, 69, 1000))}
+    asked = frame(spark, rows).join(spark.createDataFrame(list(depth.items()), "id long, depth int"), "id")
+    got = got_top(sim.topk_for(asked, frame(spark, rows)))
+    expected = expected_top(rows, 12, 1000)
+    same(got, {i: expected[i][:d] for i, d in depth.items()})
+
+
+def test_one_catalogue_scan_for_all_depths(spark, tmp_path):
+    frame(spark, random_rows(40, 13)).write.parquet(str(tmp_path / "catalogue"))
+    items = spark.read.parquet(str(tmp_path / "catalogue"))
+    asked = frame(spark, random_rows(40, 13)[:9]).withColumn("depth", (F.col("id") % 30 + 1).cast("int"))
+    plan = sim.topk_for(asked, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("catalogue") + plan.count("Relation [") <= 2
