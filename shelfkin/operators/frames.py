@@ -109,6 +109,35 @@ def lookup_join(
     return salted_left.join(salted_right, on, how).drop("lookup_key", "left_salt", "right_salt")
 
 
+def lookup_placed(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: Sequence[str]
+) -> DataFrame:
+    """`lookup_join` (a left join) with a right side that is stored in buckets of its key.
+
+    The right side stays where it is: only `left` is shuffled, to the buckets.  Left rows of hot
+    keys would all go to one of them, so these meet a copy of their few right rows instead,
+    salted; left rows without a key meet nothing.
+    """
+    keyed = right.withColumnRenamed(right_key, "lookup_key")
+    same_key = F.col(left_key) == F.col("lookup_key")
+    hot = hot_keys(left, left_key)
+    values = [k for k in hot if k is not None]
+    some = left.filter(F.col(left_key).isNotNull())
+    cold = some.filter(~F.col(left_key).isin(values)) if values else some
+    joined = cold.join(keyed, same_key, "left").drop("lookup_key")
+    if values:
+        n = _salts(left)
+        salted = some.filter(F.col(left_key).isin(values)).withColumn(
+            "left_salt", F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int")
+        )
+        copies = keyed.filter(F.col("lookup_key").isin(values)).withColumn(
+            "right_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        )
+        on = same_key & (F.col("left_salt") == F.col("right_salt"))
+        joined = joined.unionByName(salted.join(copies, on, "left").drop("lookup_key", "left_salt", "right_salt"))
+    return joined.unionByName(left.filter(F.col(left_key).isNull()), allowMissingColumns=True)
+
+
 def first_rows(
     df: DataFrame, key: str, order: Sequence[Column], spread_by: Sequence[str], cap: int
 ) -> DataFrame:

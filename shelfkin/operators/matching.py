@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfkin.operators.frames import lookup_join
+from shelfkin.operators.frames import lookup_join, lookup_placed
 from shelfkin.operators.tiles import TILE, spread
 from shelfkin.sources.snapshots import stored
 
@@ -43,10 +43,14 @@ def first_ids(metadata: DataFrame) -> DataFrame:
     return titles.groupBy(F.lower("title").alias("known_title")).agg(F.min("id").alias("first_id"))
 
 
-def match_exact(requests: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Requests with `matched_id`, the first item of that title whatever its case, or null."""
+def match_exact(requests: DataFrame, metadata: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Requests with `matched_id`, the first item of that title whatever its case, or null.
+
+    `known` is a `first_ids(metadata)` stored in buckets of its title, if there is one.
+    """
     keyed = requests.withColumn("title_key", F.lower("title"))
-    matched = lookup_join(keyed, first_ids(metadata), "title_key", "known_title", ["request_id"])
+    look_up, right = (lookup_join, first_ids(metadata)) if known is None else (lookup_placed, known)
+    matched = look_up(keyed, right, "title_key", "known_title", ["request_id"])
     return matched.withColumnRenamed("first_id", "matched_id").drop("title_key")
 
 

@@ -6,17 +6,21 @@ with the reason in `status`; data conditions never raise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfkin.functions import numbers
-from shelfkin.operators.frames import lookup_join
+from shelfkin.operators.frames import lookup_join, lookup_placed
 from shelfkin.operators.matching import FUZZY_THRESHOLD, match_exact, match_fuzzy
 from shelfkin.operators.similarity import topk_for
 from shelfkin.sources.snapshots import stored
 
 DEFAULT_TOP_N = 5
 
+LookUp = Callable[..., DataFrame]  # `lookup_join` or `lookup_placed`
+
 OK, TITLE_NOT_FOUND, NOT_IN_MODEL = "ok", "title_not_found", "not_in_model"
 
 
@@ -60,7 +64,7 @@ def top_n(ranked: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank").isNull() | (F.col("rank") <= F.col("top_n")))
 
 
-def attach_metadata(ranked: DataFrame, metadata: DataFrame) -> DataFrame:
+def attach_metadata(ranked: DataFrame, metadata: DataFrame, look_up: LookUp = lookup_join) -> DataFrame:
     """Title, description and tags of each recommended item, next to its score.
 
     An item without metadata is left out; rows without a neighbour stay.
@@ -69,7 +73,7 @@ def attach_metadata(ranked: DataFrame, metadata: DataFrame) -> DataFrame:
         F.col("id").alias("item_id"), "title", "description", "tags", F.lit(True).alias("described")
     )
     asked = ranked.withColumnRenamed("title", "request_title")
-    joined = lookup_join(asked, details, "id", "item_id", ["request_id", "rank"])
+    joined = look_up(asked, details, "id", "item_id", ["request_id", "rank"])
     return joined.filter("id IS NULL OR described").drop("described")
 
 
@@ -121,8 +125,38 @@ def answer(
     """
     model = neighbors.select("id", "neighbor_id", "similarity", "rank")
     if modeled_ids is not None:
-        alone = modeled_ids.select("id").join(model.filter(F.col("rank") == 1), "id", "left_anti")
-        model = model.unionByName(alone, allowMissingColumns=True)
+        model = model.unionByName(without_neighbors(modeled_ids, model), allowMissingColumns=True)
+    return _with_details(_found(matched, model, lookup_join), metadata, lookup_join)
+
+
+def without_neighbors(modeled_ids: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """`(id)`: items of the model that have no neighbour, as in a catalogue of one."""
+    return modeled_ids.select("id").join(neighbors.filter(F.col("rank") == 1), "id", "left_anti")
+
+
+def answer_placed(matched: DataFrame, model: DataFrame, metadata: DataFrame, features: DataFrame, stored_ranks: int) -> DataFrame:
+    """The same where model and metadata are stored in buckets of their id.
+
+    `model` holds the neighbours and an empty row for each item that has none.  A batch moves its
+    own rows only.  Requests for more than the stored neighbours are answered from neighbours
+    found anew (see `deep_items`).
+    """
+    deep = deep_items(matched, stored_ranks)
+    if deep.isEmpty():
+        return _with_details(_found(matched, model, lookup_placed), metadata, lookup_placed)
+    shallow = matched.join(deep, F.col("matched_id") == deep.id, "left_anti")
+    deeper = matched.join(deep, F.col("matched_id") == deep.id, "left_semi")
+    anew = stored(neighbors_anew(deep, features), "anew")
+    anew = anew.unionByName(deep.select("id").join(anew, "id", "left_anti"), allowMissingColumns=True)
+    known = features.select("id")
+    anew = anew.join(known, "id", "left_semi")
+    found = _found(stored(shallow, "shallow"), model, lookup_placed)
+    found = found.unionByName(_found(stored(deeper, "deeper"), anew, lookup_join))
+    return _with_details(found, metadata, lookup_placed)
+
+
+def _found(matched: DataFrame, model: DataFrame, look_up: LookUp) -> DataFrame:
+    """Requests with their status and their first `top_n` neighbours."""
     rows = model.select(
         F.col("id").alias("owner_id"),
         F.col("neighbor_id").alias("id"),
@@ -131,11 +165,13 @@ def answer(
         F.lit(True).alias("in_model"),
     )
     requests = matched.select("request_id", "title", "top_n", "matched_id")
-    found = lookup_join(requests, rows, "matched_id", "owner_id", ["request_id"])
-    found = found.withColumn("in_model", F.coalesce("in_model", F.lit(False)))
+    found = look_up(requests, rows, "matched_id", "owner_id", ["request_id"])
+    return top_n(lookup_status(found.withColumn("in_model", F.coalesce("in_model", F.lit(False)))))
+
+
+def _with_details(found: DataFrame, metadata: DataFrame, look_up: LookUp) -> DataFrame:
     # The next lookup reads its left side more than once, so it becomes a table.
-    ranked = stored(top_n(lookup_status(found)), "ranked")
-    return round_scores(attach_metadata(ranked, metadata)).select(
+    return round_scores(attach_metadata(stored(found, "ranked"), metadata, look_up)).select(
         "request_id", "status", "rank", "id", "title", "description", "tags", "similarity"
     )
 
@@ -167,9 +203,17 @@ def extend_neighbors(
     Only the items such requests name are ranked again, each to the depth of its largest request,
     in one pass over the catalogue; none are where the model holds all there are.
     """
-    if stored_ranks >= features.count() - 1:
+    deep = deep_items(matched, stored_ranks)
+    if stored_ranks >= features.count() - 1 or deep.isEmpty():
         return neighbors
+    return neighbors.join(deep, "id", "left_anti").unionByName(neighbors_anew(deep, features))
+
+
+def deep_items(matched: DataFrame, stored_ranks: int) -> DataFrame:
+    """`(id, depth)` of the items that some request wants more neighbours of than are stored."""
     deep = matched.filter((F.col("top_n") > stored_ranks) & F.col("matched_id").isNotNull())
-    items = stored(deep.groupBy(F.col("matched_id").alias("id")).agg(F.max("top_n").alias("depth")), "deep")
-    asked = stored(features.join(items, "id"), "asked")
-    return neighbors.join(items, "id", "left_anti").unionByName(topk_for(asked, features))
+    return stored(deep.groupBy(F.col("matched_id").alias("id")).agg(F.max("top_n").alias("depth")), "deep")
+
+
+def neighbors_anew(deep: DataFrame, features: DataFrame) -> DataFrame:
+    return topk_for(stored(features.join(deep, "id"), "asked"), features)

@@ -20,6 +20,7 @@ from shelfkin.operators import interactions, items, recommend, similarity
 from shelfkin.operators.matching import (
     FUZZY_THRESHOLD,
     distinct_titles,
+    first_ids,
     match_exact,
     match_fuzzy,
 )
@@ -42,7 +43,7 @@ from shelfkin.sources.snapshots import (
 # Dataset names.
 ITEMS, INTERACTIONS = "items", "interactions"
 ITEM_FEATURES, USER_FEATURES, VOCAB, SCALER = "item_features", "user_features", "vocab", "scaler"
-NEIGHBORS, DEPTH, RUN_METRICS, TITLES = "neighbors", "depth", "run_metrics", "titles"
+NEIGHBORS, DEPTH, RUN_METRICS, TITLES, FIRST_IDS = "neighbors", "depth", "run_metrics", "titles", "first_ids"
 FEATURE_STORE = "parquet"
 LEDGER = "ledger"
 
@@ -68,11 +69,16 @@ class _Stage:
             raise FileNotFoundError(f"the manifest names no {name} under {status}")
         return read(self.spark, self.root, self.sources[status, name])
 
-    def write(self, df: DataFrame, name: str, rows_in: Observation | None = None) -> int:
-        """Write a snapshot; its rows, and those of the source observed, are counted on the way."""
+    def write(
+        self, df: DataFrame, name: str, rows_in: Observation | None = None, key: str | None = None
+    ) -> int:
+        """Write a snapshot; its rows, and those of the source observed, are counted on the way.
+
+        With `key` it is stored in buckets, for lookups by that column.
+        """
         seen = Observation(f"{self.status}-{name}")
         counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        self.written.append(write_snapshot(counted, self.root, self.status, name, self.date))
+        self.written.append(write_snapshot(counted, self.root, self.status, name, self.date, key))
         rows = seen.get["rows"]
         before = None if rows_in is None else rows_in.get["rows"]
         self.rows.append(StageRows(name, before, rows, None if before is None else before - rows))
@@ -156,9 +162,10 @@ def clean(
     stage.reads(RAW)
     raw_items, items_in = _observed(stage.source(RAW, ITEMS), "raw items")
     raw_reads, reads_in = _observed(stage.source(RAW, INTERACTIONS), "raw interactions")
-    counts = {"items": stage.write(items.clean_items(raw_items), ITEMS, items_in)}
-    titles = distinct_titles(read(spark, root, stage.written[0]))
-    stage.write(titles, TITLES)  # for fuzzy requests, made once
+    counts = {"items": stage.write(items.clean_items(raw_items), ITEMS, items_in, "id")}
+    written = read(spark, root, stage.written[0])
+    stage.write(distinct_titles(written), TITLES)  # for fuzzy requests, made once
+    stage.write(first_ids(written), FIRST_IDS, key="known_title")  # and for exact ones
     counts["interactions"] = stage.write(interactions.clean_interactions(raw_reads), INTERACTIONS, reads_in)
     stage.close("clean")
     return counts
@@ -203,7 +210,7 @@ def train(
     feature_store: str = FEATURE_STORE,
     run_id: str | None = None,
 ) -> dict[str, int]:
-    """Features to a snapshot of the k best neighbours of every item.
+    """Features to a snapshot of the k best neighbours of every item, an empty row where it has none.
 
     The run is recorded, with the name given to the feature store, after its model is written.
     """
@@ -212,7 +219,10 @@ def train(
     features, items_in = _observed(stage.source(FEATURES, ITEM_FEATURES), "item features")
     similarity.assert_unique_ids(features)
     with temporary_tables(spark):
-        rows = stage.write(similarity.topk_neighbors(features, k), NEIGHBORS)
+        neighbors = stored(similarity.topk_neighbors(features, k), "neighbors")
+        alone = recommend.without_neighbors(features, neighbors)
+        model = neighbors.unionByName(alone, allowMissingColumns=True)
+        rows = stage.write(model, NEIGHBORS, key="id")
     stage.write(spark.createDataFrame([(k,)], "k int").coalesce(1), DEPTH)
     run = metrics.run_metrics(
         stage.source(FEATURES, ITEM_FEATURES), stage.source(FEATURES, VOCAB), len(feat.NUMERIC_COLUMNS), feature_store
@@ -249,9 +259,8 @@ def recommend_batch(
         titles = of_model(CLEANED, TITLES)
         matched = match_fuzzy(asked, metadata, threshold, normalize_case, titles)
     else:
-        matched = match_exact(asked, metadata)
+        matched = match_exact(asked, metadata, of_model(CLEANED, FIRST_IDS))
     ranks = of_model(MODELS, DEPTH).first().k
     matched = stored(matched, "matched")
-    served = recommend.extend_neighbors(matched, neighbors, features, ranks)
-    answers = recommend.answer(matched, served, metadata, features.select("id"))
+    answers = recommend.answer_placed(matched, neighbors, metadata, features, ranks)
     return recommend.order_answers(answers)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 RAW, CLEANED, FEATURES, MODELS = "raw", "cleaned", "features", "models"
 
 MANIFEST = "manifest"  # dataset that names the snapshots which belong together
-_PUBLISHED, _RUN, _DAY = "_published-", "run=", "dt="
+_PUBLISHED, _BUCKETS, _RUN, _DAY = "_published-", "_buckets-", "run=", "dt="
 
 
 class Snapshot(NamedTuple):
@@ -70,14 +70,54 @@ def published_run(spark: SparkSession, folder: str) -> str | None:
     return max(marks).rsplit("-", 1)[1] if marks else None
 
 
-def write_published(df: DataFrame, folder: str) -> str:
-    """Write a run of its own below `folder` and show it from then on; returns the run."""
+def _touch(spark: SparkSession, path: str) -> None:
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, False).close()
+
+
+def _write_bucketed(df: DataFrame, path: str, key: str) -> None:
+    """Rows by the hash of `key`, sorted by it, in as many buckets as a shuffle has partitions.
+
+    Spark makes buckets for tables only, so the folder is one for as long as it is written; an
+    empty file keeps the key and the number of buckets.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"shelfkin_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, key)  # a file for each bucket
+    placed.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, as the table names their place
+    _touch(spark, f"{path}/{_BUCKETS}{buckets}-{key}")
+
+
+def _scan_run(spark: SparkSession, path: str) -> DataFrame:
+    """A run's rows; one in buckets is read as such, so that joins on its key need not move it."""
+    mark = next((name for name in listed(spark, path) if name.startswith(_BUCKETS)), None)
+    if mark is None:
+        return scan_parquet(spark, path)
+    buckets, key = mark.removeprefix(_BUCKETS).split("-", 1)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scan_parquet(spark, path).schema)
+    name = f"shelfkin_{path.rsplit(_RUN, 1)[1]}"
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
+def write_published(df: DataFrame, folder: str, key: str | None = None) -> str:
+    """Write a run of its own below `folder` and show it from then on; returns the run.
+
+    With `key` the rows are stored in buckets of that column.
+    """
     spark, run = df.sparkSession, uuid.uuid4().hex
-    write_parquet(df, f"{folder}/{_RUN}{run}")
+    if key is None:
+        write_parquet(df, f"{folder}/{_RUN}{run}")
+    else:
+        _write_bucketed(df, f"{folder}/{_RUN}{run}", key)
     marks = [name for name in listed(spark, folder) if name.startswith(_PUBLISHED)]
     order = 1 + max((int(name.split("-")[1]) for name in marks), default=0)
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_PUBLISHED}{order:012d}-{run}")
-    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, False).close()
+    _touch(spark, f"{folder}/{_PUBLISHED}{order:012d}-{run}")
     return run
 
 
@@ -85,7 +125,7 @@ def read_published(spark: SparkSession, folder: str) -> DataFrame:
     run = published_run(spark, folder)
     if run is None:
         raise FileNotFoundError(f"nothing published in {folder}")
-    return scan_parquet(spark, f"{folder}/{_RUN}{run}")
+    return _scan_run(spark, f"{folder}/{_RUN}{run}")
 
 
 def _day(root: str, status: str, dataset: str, date: datetime.date) -> str:
@@ -93,15 +133,17 @@ def _day(root: str, status: str, dataset: str, date: datetime.date) -> str:
 
 
 def write_snapshot(
-    df: DataFrame, root: str, status: str, dataset: str, date: datetime.date | None = None
+    df: DataFrame, root: str, status: str, dataset: str, date: datetime.date | None = None, key: str | None = None
 ) -> Snapshot:
     """Store as the snapshot of `date` (today); a second run that day replaces that day only.
 
+    With `key` it is stored in buckets of that column, for lookups that do not move it.
+
     An empty result is a snapshot too: it leaves a file with the schema and no rows.  What was
     shown before stays readable by name until `remove_superseded`.
     """
     day = date or datetime.date.today()
-    return Snapshot(status, dataset, day, write_published(df, _day(root, status, dataset, day)))
+    return Snapshot(status, dataset, day, write_published(df, _day(root, status, dataset, day), key))
 
 
 def days(spark: SparkSession, root: str, status: str, dataset: str) -> list[Snapshot]:
@@ -131,7 +173,7 @@ def latest_date(spark: SparkSession, root: str, status: str, dataset: str) -> da
 def read(spark: SparkSession, root: str, snapshot: Snapshot) -> DataFrame:
     """Exactly this snapshot, also when its day shows another by now."""
     place = _day(root, snapshot.status, snapshot.dataset, snapshot.date)
-    return scan_parquet(spark, f"{place}/{_RUN}{snapshot.run}")
+    return _scan_run(spark, f"{place}/{_RUN}{snapshot.run}")
 
 
 def read_snapshot(

@@ -207,7 +207,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert [r.status for r in exact.filter(F.col("request_id") == 1).collect()] == ["title_not_found"]
     ledger = metrics.read_ledger(spark, f"{root}/ledger", DAY1.isoformat())
     counted = {(r.stage, r.dataset): (r.rows_in, r.rows_out, r.rejected) for r in ledger.collect()}
-    assert ledger.count() == len(counted) == 14
+    assert ledger.count() == len(counted) == 15
     assert counted["ingest", "items"] == (11, 10, 1) and counted["ingest", "skipped_users"] == (None, 1, None)
     assert counted["clean", "items"] == (10, 9, 1) and counted["clean", "interactions"] == (2, 1, 1)
     assert counted["features", "item_features"] == (9, 8, 1) and counted["train", "neighbors"][:2] == (8, 16)
@@ -306,3 +306,58 @@ def test_threads_do_not_remove_each_others_tables(spark):
     for t in threads:
         t.join()
     assert counts == {0: 10}
+
+
+def test_a_lookup_does_not_move_a_table_in_buckets(spark, tmp_path):
+    from shelfkin.operators.frames import lookup_join, lookup_placed
+
+    root = str(tmp_path)
+    model = spark.range(2000).selectExpr("id % 500 AS id", "id AS neighbor_id")
+    snap.write_snapshot(model, root, snap.MODELS, "m", DAY1, key="id")
+    placed = snap.read_latest(spark, root, snap.MODELS, "m").withColumnRenamed("id", "owner")
+    assert placed.count() == 2000 and snap.read_latest(spark, root, snap.MODELS, "m").count() == 2000
+    asked = snap.stored(
+        spark.range(900).selectExpr("id AS request_id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 4 = 0 THEN NULL ELSE id END AS key")
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        even = snap.stored(spark.range(900).selectExpr("id AS request_id", "id AS key"))
+        joined = lookup_placed(even, placed, "key", "owner", ["request_id"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        scan = plan[: plan.index("shelfkin_")].splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        above, at = [], depth(plan[: plan.index("shelfkin_")].splitlines()[-1])
+        for line in reversed(scan):
+            if depth(line) < at:
+                above.append(line)
+                at = depth(line)
+        join = next(i for i, line in enumerate(above) if "Join" in line)
+        assert not any("Exchange" in line for line in above[:join]) and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for rows in (even, asked):
+        mine = lookup_placed(rows, placed, "key", "owner", ["request_id"]).collect()
+        theirs = lookup_join(rows, model.withColumnRenamed("id", "owner"), "key", "owner", ["request_id"]).collect()
+        assert sorted(map(str, mine)) == sorted(map(str, theirs))
+
+
+def test_deep_and_shallow_requests_of_one_batch(spark, tmp_path):
+    """Requests for more than the model stores, for unknown items, and for an item alone."""
+    from shelfkin.operators import recommend, similarity
+
+    features = spark.createDataFrame(
+        [(i, [1.0, float(i)], []) for i in range(1, 8)], "id bigint, numeric array<double>, labels array<int>"
+    )
+    metadata = features.selectExpr("id", "concat('t', id) AS title", "'d' AS description", "array('x') AS tags")
+    neighbors = similarity.topk_neighbors(features, 2)
+    snap.write_snapshot(neighbors, str(tmp_path), snap.MODELS, "m", DAY1, key="id")
+    model = snap.read_latest(spark, str(tmp_path), snap.MODELS, "m")
+    asked = spark.createDataFrame(
+        [(1, "t1", 5, 1), (2, "t2", 1, 2), (3, "t9", 9, 9), (4, "?", 2, None), (5, "t1", 1, 1), (6, "t3", 90, 3)],
+        "request_id bigint, title string, top_n int, matched_id bigint",
+    )
+    mine = recommend.answer_placed(asked, model, metadata, features, 2).collect()
+    served = recommend.extend_neighbors(asked, neighbors, features, 2)
+    assert sorted(map(str, mine)) == sorted(map(str, recommend.answer(asked, served, metadata, features).collect()))
+    assert sum(r.request_id == 6 for r in mine) == 6 and sum(r.request_id == 1 for r in mine) == 5
