@@ -86,13 +86,14 @@ def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     "op9_exact_top_k",
     """
     WITH whole AS (
-        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+        SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+        FROM embeddings
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (
-        SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
-        FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        SELECT q.row_id, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+        FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND c.row_id <> q.row_id)
+    SELECT query_id, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
     FROM scored QUALIFY rank <= 5
     """,
 )

@@ -57,15 +57,17 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) for every row of `docs`; a null text counts as empty."""
+    """(doc_id, text_hash, fingerprint as a signed long) for every row of `docs`; a null text counts as empty."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         marks = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
         values = np.array(marks, np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+        arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(values)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "fp"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of())
-    return map_batches(narrow, rows, "doc_id long, fp long")
+    text = text_of()
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text)
+    return map_batches(narrow, rows, "doc_id long, text_hash long, fp long")
 
 
 def _vantage(levels: int) -> int:
@@ -212,13 +214,15 @@ def links(values: DataFrame, reach: int = 2, levels: int = LEVELS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
-    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id, text_hash, root.
 
     Fingerprints that differ in at most `reach` bits are linked; `component_id` is the smallest
     doc_id that links lead to.  Null texts count as empty; all texts without words share
     fingerprint zero and so one component.  Rows that repeat a doc_id each get a row.  A null
-    doc_id is kept and never names a component (null only if no other id is in it).  Other
-    columns of `docs` are not read.  An empty table gives an empty result.
+    doc_id is kept and never names a component (null only if no other id is in it).  `root`, the
+    smallest fingerprint of the component as a long, tells components apart in any case, and
+    `text_hash` the rows that share a doc_id.  Other columns of `docs` are not read.  An empty
+    table gives an empty result.
     """
     marks = stored(fingerprints(docs, shingle), "fingerprints", lasting=True)
     with passing_tables(docs.sparkSession):
@@ -226,14 +230,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
         linked = stored(components(links(distinct, reach)), "linked")
         named = distinct.join(linked, F.col("fp") == F.col("node"))
         lowest = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-        joined = stored(linked.join(lowest, "root").select("node", "component_id"), "joined")
+        joined = stored(linked.join(lowest, "root").select("node", "component_id", "root"), "joined")
         labels = stored(
             distinct.join(joined, F.col("fp") == F.col("node"), "left").select(
-                "fp", F.coalesce("component_id", "low").alias("component_id")
+                "fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("root", "fp").alias("root")
             ),
             "labels",
             lasting=True,
         )
     return marks.join(labels, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root"
     )
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
+    """The row with the smallest doc_id of each component, rows without doc_id last.
+
+    Rows that share a doc_id are told apart by their text: of different texts under one id each
+    stays or goes with its own component, and of equal rows one stays.  What is chosen is chosen
+    by aggregates, so no group, and not that of the rows without doc_id, is held by one task.
+    """
+    groups = near_duplicates(docs, shingle, reach)
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    with passing_tables(docs.sparkSession):
+        first = stored(groups.groupBy("root").agg(F.min(row).alias("first")), "first")
+        least = first.select("root", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+        chosen = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+        spare = stored(
+            groups.join(least, "root").filter(~chosen).select(F.col("doc_id").alias("spare_id"), "text_hash").distinct(),
+            "spare",
+            lasting=True,
+        )
+    made = docs.withColumn("row_hash", F.xxhash64(text_of()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("spare_id")) & (F.col("row_hash") == F.col("spare_hash"))
+    kept = made.join(spare.withColumnRenamed("text_hash", "spare_hash"), same, "left_anti")
+    return kept.dropDuplicates(["doc_id", "row_hash"]).select(docs.columns)

@@ -34,10 +34,10 @@ EXACT = 2.0**53  # whole numbers up to here are exact in a double
 
 
 def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, vec, mark): vec is floor(scale * x) as doubles, mark its hash.
+    """(vec_id, vec, mark, copies): vec is floor(scale * x) as doubles, mark its hash.
 
-    Rows take part if they have an id and a vector all of whose components are finite; equal ones
-    are kept once.  They are stored, as they are read several times.
+    Rows take part if they have an id and a vector all of whose components are finite; `copies`
+    tells how many rows have this id and vector.  They are stored, as they are read several times.
     """
     wide = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
@@ -52,7 +52,8 @@ def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
             vec = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), vec], ["vec_id", "vec"])
 
-    whole = sound.mapInArrow(floors, "vec_id long, vec array<double>").distinct()
+    whole = sound.mapInArrow(floors, "vec_id long, vec array<double>")
+    whole = whole.groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("copies"))
     return stored(whole.withColumn("mark", F.xxhash64("vec")), "vectors", lasting=True)
 
 
@@ -104,28 +105,29 @@ def _scaled(scores: np.ndarray, top: float) -> np.ndarray:
     return scores / top / top
 
 
-def _k_best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best rows of each query, in order, and their places from 0."""
+def _k_best(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best rows of each query, in order, and their places from 0; ties go to the smaller id."""
     height = np.unique(scores, return_inverse=True)[1].reshape(-1) if scores.dtype == object else scores
-    order = np.lexsort((ids, -height, query))
-    query, ids, scores = query[order], ids[order], scores[order]
+    order = np.lexsort((rows, ids, -height, query))
+    query, rows, scores = query[order], rows[order], scores[order]
     place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
     keep = place < k
-    return query[keep], ids[keep], scores[keep], place[keep]
+    return query[keep], rows[keep], scores[keep], place[keep]
 
 
 def search(
-    q_id: np.ndarray, q_vec: np.ndarray, c_id: np.ndarray, c_vec: np.ndarray, k: int, turn: np.ndarray
+    q_key: np.ndarray, q_vec: np.ndarray, c_key: np.ndarray, c_id: np.ndarray, c_vec: np.ndarray, k: int, turn: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position of the query, candidate id, score) of the k best candidates of each query.
+    """(position of the query, position of the candidate, score) of the k best candidates of each query.
 
-    `turn` is any orthonormal matrix; the result does not depend on it, only the pruning does.
+    A candidate with the query's key is left out.  `turn` is any orthonormal matrix; the result
+    does not depend on it, only the pruning does.
     """
     width = q_vec.shape[1]
     top = max([1.0, np.abs(q_vec).max(initial=0.0), np.abs(c_vec).max(initial=0.0)])
     q, c = (q_vec / top) @ turn, (c_vec / top) @ turn  # scaled, so that squares stay finite
     order = np.argsort(-(c * c).sum(axis=1), kind="stable")
-    c, c_vec, c_id = c[order], c_vec[order], c_id[order]
+    c, c_vec, c_key, c_id = c[order], c_vec[order], c_key[order], c_id[order]
     head = max(1, width // 4)
     q_rest, c_rest = (np.sqrt((x[:, head:] ** 2).sum(axis=1)) for x in (q, c))
     q_norm, c_norm = (np.sqrt((x * x).sum(axis=1)) for x in (q, c))
@@ -140,25 +142,29 @@ def search(
         some_q, some_c = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
         if len(some_q):
             scores = _exact(q_vec[some_q], c_vec[start + some_c])
-            own = q_id[some_q][:, None] == c_id[start + some_c]
+            own = q_key[some_q][:, None] == c_key[start + some_c]
             near = _scaled(scores, top) + slack[some_q][:, None] >= floor[some_q][:, None]
             at_q, at_c = np.nonzero(near & ~own)
-            new = (some_q[at_q], c_id[start + some_c[at_c]], scores[at_q, at_c])
-            *best, place = _k_best(*(np.concatenate(x) for x in zip(best, new)), k)
+            new = (some_q[at_q], start + some_c[at_c], scores[at_q, at_c])
+            query, row, score = (np.concatenate(x) for x in zip(best, new))
+            *best, place = _k_best(query, c_id[row], row, score, k)
             full = place == k - 1
             floor[best[0][full]] = _scaled(best[2][full], top)
         start = stop
-    return tuple(best)
+    query, row, score = best
+    return query, order[row], score
 
 
 def exact_top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each row with vec_id % every = 0.
 
-    Candidates are all rows but those with the query's vec_id; ties go to the smaller vec_id.
+    Candidates are all rows but the query's own; ties go to the smaller vec_id.  Rows are told apart
+    even where they repeat: a repeated row is a candidate as often as it stands there, and a query
+    as often, each time with ranks of its own; a row with the query's vec_id that is not the query
+    itself is a candidate like others.
     Rows without an id, with a null vector or with a null or non-finite component take no part.
     Vectors of different lengths are compared as if filled up with zeros; an empty vector is all
-    zeros.  Equal rows are one vector; rows that share a vec_id but not the vector are queries
-    and candidates of their own.  A score outside the range of a long is null, and ranked by its
+    zeros.  A score outside the range of a long is null, and ranked by its
     nearest double.  Other columns are not read; an empty table gives an empty result.
     """
     schema = "query_id long, rank int, vec_id long, score long"
@@ -181,7 +187,7 @@ def exact_top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> D
     def copies(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
 
-    kept = ("vec_id", "vec", "mark")
+    kept = ("vec_id", "vec", "mark", "copies")
     queries = vectors.filter(is_query).select("*", group(q_groups).alias("group"), copies(c_groups))
     rows = vectors.select("*", group(c_groups).alias("group"), copies(q_groups))
     tiled = queries.select(
@@ -198,21 +204,32 @@ def exact_top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> D
             side = batch.column("side").to_numpy(zero_copy_only=False)
             for i in (0, 1):
                 part = batch.filter(pa.array(side == i))
-                numbers = [part.column(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "mark")]
+                numbers = [part.column(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "mark", "copies")]
                 sides[i].append((*numbers, matrix(part.column("vec"), width)))
         if not sides[0]:
             return
-        (q_id, q_mark, q_vec), (c_id, _, c_vec) = ([np.concatenate(x) for x in zip(*side)] for side in sides)
-        at, ids, scores = search(q_id, q_vec, c_id, c_vec, k, turn)
+        (q_id, q_mark, q_copies, q_vec), (c_id, c_mark, c_copies, c_vec) = (
+            [np.concatenate(x) for x in zip(*side)] for side in sides
+        )
+        # A row that stands there once is no candidate for itself; of more copies one less is.
+        keys = np.stack([np.r_[q_id, c_id], np.r_[q_mark, c_mark]], axis=1)
+        key = np.unique(keys, axis=0, return_inverse=True)[1].reshape(-1)
+        q_key, c_key = key[: len(q_id)], key[len(q_id) :]
+        at, row, scores = search(q_key, q_vec, np.where(c_copies > 1, -1, c_key), c_id, c_vec, k, turn)
+        times = c_copies[row] - (q_key[at] == c_key[row])
         whole = [int(s) for s in scores]
         nearest = [float(s) if abs(s) < 1 << 1023 else (math.inf if s > 0 else -math.inf) for s in whole]
         longs = [s if -(1 << 63) <= s < 1 << 63 else None for s in whole]
-        arrays = [pa.array(x) for x in (q_id[at], q_mark[at], ids)] + [pa.array(longs, pa.int64()), pa.array(nearest, pa.float64())]
-        yield pa.RecordBatch.from_arrays(arrays, ["query_id", "mark", "vec_id", "score", "nearest"])
+        arrays = [pa.array(x) for x in (q_id[at], q_mark[at], q_copies[at], c_id[row], np.minimum(times, k))]
+        arrays += [pa.array(longs, pa.int64()), pa.array(nearest, pa.float64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["query_id", "mark", "copies", "vec_id", "times", "score", "nearest"])
 
     found = tiled.repartitionById(q_groups * c_groups, "tile").mapInArrow(
-        run, "query_id long, mark long, vec_id long, score long, nearest double"
+        run, "query_id long, mark long, copies long, vec_id long, times long, score long, nearest double"
     )
+    found = found.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     order = (F.desc("nearest"), F.desc("score"), F.asc("vec_id"))
     place = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(*order))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", place).filter(F.col("rank") <= k)
+    each = best.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select("query_id", "rank", "vec_id", "score")

@@ -105,24 +105,22 @@ SCHEMA = "vec_id bigint, embedding array<double>, label int"
 
 
 def plain_top(rows, every, k, scale=256):
-    whole = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            whole[i] = [int(np.floor(x * scale)) for x in v]
-    out = {}
-    for q, a in whole.items():
+    """Sorted (query, rank, candidate, score), every row on its own."""
+    whole = [
+        (i, [int(np.floor(x * scale)) for x in v])
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    out = []
+    for at, (q, a) in enumerate(whole):
         if q % every == 0:
-            scored = [(-sum(x * y for x, y in zip(a, b)), c) for c, b in whole.items() if c != q]
-            out[q] = [(c, -s) for s, c in sorted(scored)[:k]]
-    return out
+            scored = [(-sum(x * y for x, y in zip(a, b)), c) for other, (c, b) in enumerate(whole) if other != at]
+            out += [(q, rank, c, -s) for rank, (s, c) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
 
 
 def found(df):
-    out = {}
-    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
-        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert r["rank"] == len(out[r.query_id])
-    return out
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
 
 
 @pytest.mark.parametrize("group_rows, block", [(1 << 16, 1024), (40, 16)])
@@ -142,7 +140,7 @@ def test_bounds_prune_and_stay_exact(monkeypatch):
     c = np.floor(rng.normal(size=(5000, 32)) * 400 / np.arange(1, 33) ** 2)
     monkeypatch.setattr(topk, "_exact", lambda q, r: scored.append(q.shape[0] * r.shape[0]) or (q @ r.T).astype(np.int64))
     ids, turn = np.arange(5000), np.linalg.eigh(c.T @ c)[1][:, ::-1]
-    at, got, score = topk.search(ids[:20], c[:20], ids, c, 5, turn)
+    at, got, score = topk.search(ids[:20], c[:20], ids, ids, c, 5, turn)
     for q in range(20):
         s = (c @ c[q]).astype(np.int64)
         s[q] = -(2**60)
@@ -159,15 +157,32 @@ def test_odd_vectors(spark):
     ]
     df = spark.createDataFrame([(*r, 0) for r in rows + rows[:3]], SCHEMA)
     got = found(topk.exact_top_k(df.selectExpr("*", "1 AS mark", "2 AS tile"), 50))
-    padded = [(i, None if v is None else v + [0.0] * (2 - len(v))) for i, v in rows]
+    padded = [(i, None if v is None else v + [0.0] * (2 - len(v))) for i, v in rows + rows[:3]]
     assert got == plain_top(padded, 50, 5)
     assert topk.exact_top_k(df.filter("false"), 50).count() == 0
     assert topk.exact_top_k(df.filter("vec_id = 1"), 50).count() == 0
-    assert topk.exact_top_k(df.filter("vec_id = 0"), 50).count() == 0
+    assert topk.exact_top_k(df.filter("vec_id = 50"), 50).count() == 0
 
 
 def test_scores_beyond_doubles_and_longs(spark):
     rows = [(0, [3e7, 1.0]), (1, [3e7, 1.0]), (2, [3e7, 2.0]), (3, [1e300, 0.0]), (4, [-1e300, 0.0])]
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
-    got = found(topk.exact_top_k(df, 50))[0]
-    assert got == [(3, None), (2, None), (1, None), (4, None)]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(df, 50).collect())
+    assert got == [(1, 3, None), (2, 2, None), (3, 1, None), (4, 4, None)]
+
+
+def test_repeated_rows_are_rows_of_their_own_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from shelfkin.llm import queries
+
+    a, b, c, d = [1.0, 0.5], [0.25, 2.0], [3.0, 1.0], [-1.0, 0.0]
+    rows = [(50, a), (50, b), (50, b), (1, c), (1, c), (1, c), (2, d), (2, c), (100, a), (3, c), (3, a)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).repartition(3)
+    got = found(topk.exact_top_k(df, 50))
+    assert got == plain_top(rows, 50, 5)
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+    sql = db.execute(queries.ORACLES["op9_exact_top_k"]).df()
+    assert sorted(sql[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == got

@@ -15,7 +15,7 @@ here = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry_points.queries())
 
 

@@ -119,3 +119,21 @@ def test_documents(docs_of, clashing):
     assert nameless[format(plain_fingerprint("alone in here"), "016x")] == want[43][1]
     assert nameless[format(plain_fingerprint("only here"), "016x")] is None
     assert simhash.near_duplicates(docs_of()).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, docs_of):
+    """Different texts under one id are each judged on their own, rows without id too."""
+    words = [f"w{i}" for i in range(200)]
+    text = " ".join(words)
+    near = " ".join([*words[:-1], "end"])
+    assert 0 < (simhash.fingerprint(text) ^ simhash.fingerprint(near)).bit_count() <= 2
+    other, third, fourth = (" ".join(f"{c}{i}" for i in range(150)) for c in "xyz")
+    docs = docs_of(
+        (7, near), (3, text), (7, other), (9, other), (None, third), (None, third), (None, fourth), (None, text), (5, third),
+        (4, fourth + " more"), (8, ""), (6, None), (3, text),
+    )
+    kept = simhash.one_of_each_group(docs).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in kept) == sorted(
+        [("3", "w0"), ("7", "x0"), ("5", "y0"), ("6", ""), ("4", "z0")]
+        + ([] if (simhash.fingerprint(fourth) ^ simhash.fingerprint(fourth + " more")).bit_count() <= 2 else [("None", "z0")])
+    )
