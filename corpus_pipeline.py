@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfkin.llm import decontaminate, line_dedup, sentencepiece_codec, simhash, toxicity
 from shelfkin.llm.common import stored
@@ -44,20 +43,8 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies.
-
-    Of rows that repeat a doc_id one stays; rows without doc_id stay all.
-    """
-    groups = simhash.near_duplicates(docs, shingle=3, reach=2)
-    names_group = F.max(F.col("doc_id") == F.col("component_id"))
-    spare = stored(
-        groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(names_group.alias("first")).filter("NOT first"),
-        "spare",
-        lasting=True,
-    )
-    kept = docs.join(spare.select("doc_id"), "doc_id", "left_anti")
-    same = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("same", same).filter("same = 1 OR doc_id IS NULL").select(docs.columns)
+    """One document of each group of near copies, see `simhash.one_of_each_group`."""
+    return simhash.one_of_each_group(docs, shingle=3, reach=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
