@@ -35,6 +35,7 @@ LONGEST = 5  # words of a phrase
 BITS = 1 << 24  # of the bitmap of a level: 2 MB
 BUCKET = 1 << 15  # bits of one row of Spark's bitmap functions
 PART_BYTES = 2 << 20  # text handled at a time
+ROW_GROUP = 8 << 20  # of the table of words: what a reader holds at once
 HANDED_ON = 1 << 16  # rows of a batch handed on
 FOLD = np.uint64(0x9E3779B97F4A7C15)  # an odd number, 2^64 over the golden ratio
 # A piece ends at . , ; : ! ? and at line feed to carriage return; words are parted
@@ -47,21 +48,20 @@ _PLAIN = bytes.maketrans(
     bytes(range(ord("a"), ord("z") + 1)) + b"\n" * len(PIECE_ENDS) + b" ",
 )
 
-TOKENS = "shard int, lang string, words array<binary>, counts array<long>, tokens binary, n_words long"
+TOKENS = "shard int, lang string, words binary, tokens binary, n_words long"
 
 
 def split_words(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Rows of words in order: some texts of one language, numbered by their own word list.
 
-    `tokens` holds a 32-bit place in `words` for each word and -1 where a piece ends; `counts`
-    tells how often each word occurs.
+    `words` are parted by blanks, and `tokens` holds a 32-bit place among them for each word and -1
+    where a piece ends.
     """
     schema = pa.schema(
         [
             ("shard", pa.int32()),
             ("lang", pa.string()),
-            ("words", pa.list_(pa.binary())),
-            ("counts", pa.list_(pa.int64())),
+            ("words", pa.binary()),
             ("tokens", pa.binary()),
             ("n_words", pa.int64()),
         ]
@@ -80,8 +80,7 @@ def split_words(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             words.pop()
         if not words:
             return None
-        counts = np.bincount(tokens[tokens >= 0], minlength=len(words))
-        return words, counts.tolist(), tokens.tobytes(), int(counts.sum())
+        return b" ".join(words), tokens.tobytes(), int((tokens >= 0).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId()
@@ -102,7 +101,7 @@ def split_words(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return docs.select(lang, text_of()).mapInArrow(run, TOKENS)
 
 
-def _levels(lang: str, words: pa.Array, tokens: bytes, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _levels(lang: str, words: list[bytes], tokens: pa.Buffer, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, hash of the phrase of k words that begins at each token, whether there is one)."""
     place = np.frombuffer(tokens, np.int32)
     seed = xxhash.xxh32_intdigest(lang.encode(), SEED)
@@ -147,7 +146,7 @@ def local_counts(tokens: DataFrame, k: int, bitmaps: list[Broadcast]) -> DataFra
         for batch in batches:
             columns = (batch.column(c) for c in ("shard", "need", "lang", "words", "tokens"))
             for shard, need, lang, words, packed in zip(*columns):
-                levels = _levels(lang.as_py(), words.as_py(), packed.as_buffer(), k)
+                levels = _levels(lang.as_py(), words.as_py().split(b" "), packed.as_buffer(), k)
                 phrase, _ = _surviving(levels, known, k)
                 phrase, count = np.unique(phrase, return_counts=True)
                 for start in range(0, len(phrase), HANDED_ON):
@@ -198,7 +197,7 @@ def global_counts(tokens: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
         for lang, words, packed in zip(*(batch.column(c) for c in ("lang", "words", "tokens"))):
-            lang, words = lang.as_py(), np.array(words.as_py(), object)
+            lang, words = lang.as_py(), np.array(words.as_py().split(b" "), object)
             place = np.frombuffer(packed.as_buffer(), np.int32)
             whole: np.ndarray | None = None  # where a phrase of the level before is frequent
             for k, phrase, fits in _levels(lang, words, packed.as_buffer(), len(known)):
@@ -207,7 +206,7 @@ def global_counts(tokens: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
                     here &= whole[:-1] & whole[1:]
                 whole = here
                 at = np.flatnonzero(here)
-                if k == 1 or not len(at):
+                if not len(at):
                     continue
                 # Phrases are told apart by their word numbers, not by their hashes.
                 told = np.stack([place[at + i] for i in range(k)], axis=1)
@@ -293,7 +292,7 @@ def collocations(
     are not read.  An empty table, and a language without candidates, give no rows.
     """
     with passing_tables(docs.sparkSession):
-        rows = stored(split_words(docs, shards), "tokens")
+        rows = stored(split_words(docs, shards), "tokens", block_bytes=ROW_GROUP)
         held = stored(rows.groupBy("shard", "lang").agg(F.sum("n_words").alias("held")), "held")
         sizes = stored(held.groupBy("lang").agg(F.sum("held").alias("n")), "sizes")
         need = F.expr(f"cast(ceil(cast({support} * held AS decimal(38,0)) / n) AS bigint)")
@@ -302,11 +301,8 @@ def collocations(
         bitmaps = locally_frequent(tokens, longest)
         partial = global_counts(rows, bitmaps)
         phrases = partial.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
-        candidates = stored(phrases, "candidates")
-        pairs = F.arrays_zip("words", "counts").alias("pairs")
-        single = rows.select("lang", F.explode(pairs).alias("one"))
-        words = single.groupBy("lang", F.col("one.words").cast("string").alias("phrase")).agg(F.sum("one.counts").alias("a"))
-        counted = stored(candidates.drop("k").unionByName(words.filter(F.col("a") >= support)), "counted")
+        counted = stored(phrases, "counted")
+        candidates = counted.filter("k > 1")
         scored = _with_score(candidates, counted, sizes)
         kept = scored.join(_contained(candidates, longest), ["lang", "phrase"], "left")
         kept = kept.filter(F.col("most").isNull() | (F.col("most") < F.col("a")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.sources.snapshots import shared_folder
+from shelfkin.sources.snapshots import remove, shared_folder
 
-_PASSING: list[str] = []  # tables that a running operator will remove
+# Tables that the operator running in this thread will remove, if one is.
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -38,25 +40,32 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
 
     What leaves the block may read lasting tables only.
     """
-    first = len(_PASSING)
+    made: list[str] = []
+    before = _OPEN.set(made)
     try:
         yield
     finally:
-        for path in _PASSING[first:]:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        del _PASSING[first:]
+        _OPEN.reset(before)
+        for path in made:
+            remove(spark, path)
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy", lasting: bool = False) -> DataFrame:
+def stored(
+    df: DataFrame, name: str, codec: str = "snappy", lasting: bool = False, block_bytes: int | None = None
+) -> DataFrame:
     """`df` written to the shared folder and read back: computed once, lineage cut.
 
-    Lasting tables are read by a lazy result; they are left to the folder's retention rule.
+    Lasting tables are read by a lazy result; they are left to the folder's retention rule.  Tables
+    of few large rows want row groups of fewer bytes, as a reader holds a whole one of these.
     """
     path = shared_path(df.sparkSession, name)
-    if not lasting:
-        _PASSING.append(path)
-    df.write.option("compression", codec).parquet(path)
+    made = _OPEN.get()
+    if not lasting and made is not None:
+        made.append(path)
+    writer = df.write.option("compression", codec)
+    if block_bytes is not None:
+        writer = writer.option("parquet.block.size", block_bytes)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
