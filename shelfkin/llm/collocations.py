@@ -1,6 +1,6 @@
 """Phrase collocations by SON partitioning.
 
-The words are dealt over a fixed number of shards.  A phrase that occurs `support` times among
+The partitions of the input are dealt over a fixed number of shards.  A phrase that occurs `support` times among
 the n words of a language occurs at least support * n_s / n times in one of the shards, n_s being
 the shard's words of that language.  So every shard is mined completely at that lowered support,
 the phrases that are frequent in some shard are united, and all of them are then counted exactly
@@ -27,14 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfkin.llm.common import parts_of, passing_tables, stored, text_of
+from shelfkin.llm.common import parts_of, passing_tables, rows_per_batch, stored, text_of
 
 SEED = 42
 SHARDS = 16
 LONGEST = 5  # words of a phrase
 BITS = 1 << 24  # of the bitmap of a level: 2 MB
 BUCKET = 1 << 15  # bits of one row of Spark's bitmap functions
-PART_BYTES = 2 << 20  # text handled at a time
+PART_BYTES = 256 << 10  # text of one row of the table of words, about
+ROWS_AT_ONCE = 32  # rows of the table of words in a batch
 ROW_GROUP = 8 << 20  # of the table of words: what a reader holds at once
 HANDED_ON = 1 << 16  # rows of a batch handed on
 FOLD = np.uint64(0x9E3779B97F4A7C15)  # an odd number, 2^64 over the golden ratio
@@ -83,7 +84,7 @@ def split_words(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         return b" ".join(words), tokens.tobytes(), int((tokens >= 0).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId() % shards
         for batch in batches:
             for part in parts_of(batch, PART_BYTES) if batch.num_rows else ():
                 langs = part.column("lang")
@@ -91,8 +92,7 @@ def split_words(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
                 for lang in pc.unique(langs).to_pylist():
                     rows = numbered(texts.filter(pc.equal(langs, lang)).to_pylist())
                     if rows:
-                        made += 1
-                        values = (made % shards, lang, *rows)
+                        values = (shard, lang, *rows)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([v], field.type) for v, field in zip(values, schema)], schema=schema
                         )
@@ -144,17 +144,20 @@ def local_counts(tokens: DataFrame, k: int, bitmaps: list[Broadcast]) -> DataFra
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
         for batch in batches:
+            found: dict[tuple[int, int], list[np.ndarray]] = {}
             columns = (batch.column(c) for c in ("shard", "need", "lang", "words", "tokens"))
             for shard, need, lang, words, packed in zip(*columns):
                 levels = _levels(lang.as_py(), words.as_py().split(b" "), packed.as_buffer(), k)
                 phrase, _ = _surviving(levels, known, k)
-                phrase, count = np.unique(phrase, return_counts=True)
+                found.setdefault((shard.as_py(), need.as_py()), []).append(phrase)
+            for (shard, need), phrases in found.items():  # a phrase hash is of one language
+                phrase, count = np.unique(np.concatenate(phrases), return_counts=True)
                 for start in range(0, len(phrase), HANDED_ON):
                     part = slice(start, start + HANDED_ON)
                     size = len(phrase[part])
                     arrays = [
-                        np.full(size, shard.as_py(), np.int32),
-                        np.full(size, need.as_py(), np.int64),
+                        np.full(size, shard, np.int32),
+                        np.full(size, need, np.int64),
                         phrase[part].view(np.int64),
                         count[part].astype(np.int64),
                     ]
@@ -298,10 +301,11 @@ def collocations(
         need = F.expr(f"cast(ceil(cast({support} * held AS decimal(38,0)) / n) AS bigint)")
         needs = held.join(sizes, "lang").select("shard", "lang", F.greatest(need, F.lit(1)).alias("need"))
         tokens = rows.join(F.broadcast(needs), ["shard", "lang"])  # a row per shard and language
-        bitmaps = locally_frequent(tokens, longest)
-        partial = global_counts(rows, bitmaps)
-        phrases = partial.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
-        counted = stored(phrases, "counted")
+        with rows_per_batch(docs.sparkSession, ROWS_AT_ONCE):
+            bitmaps = locally_frequent(tokens, longest)
+            partial = global_counts(rows, bitmaps)
+            phrases = partial.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a"))
+            counted = stored(phrases.filter(F.col("a") >= support), "counted")
         candidates = counted.filter("k > 1")
         scored = _with_score(candidates, counted, sizes)
         kept = scored.join(_contained(candidates, longest), ["lang", "phrase"], "left")

@@ -69,6 +69,22 @@ def stored(
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside: for tables of few large rows.
+
+    A batch is built outside the heap, in buffers that double as they grow, so large rows by the
+    usual number would take far more memory than they hold.  No result depends on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_of(column: str = "text"):
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column), F.lit("")).alias(column)
