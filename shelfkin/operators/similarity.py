@@ -112,19 +112,18 @@ def _cross_tiles(queries: DataFrame, items: DataFrame, q_blocks: int, i_blocks:
     return spread(both.drop("other"), q_blocks * i_blocks)
 
 
-def _tile_best(k: int, both_ways: bool) -> Callable[[pa.Table], pa.Table]:
-    """The best k of each row within a tile, for the left block or for both blocks."""
+def _tile_best(k: int) -> Callable[[pa.Table], pa.Table]:
+    """The best k of each row of both blocks within a tile."""
 
     def best(table: pa.Table) -> pa.Table:
         left, right, diagonal = blocks_of(table)
-        mirror = both_ways and not diagonal
         of_left, of_right = Best(left.ids, k), Best(right.ids, k)
         for rows, cols, product in products(left, right):
             mask_self(product, left.ids[rows], right.ids[cols])
             of_left.add(rows, product, right.ids[cols])
-            if mirror:
+            if not diagonal:
                 of_right.add(cols, product.T, left.ids[rows])
-        return pa.concat_tables([of_left.table(), of_right.table()]) if mirror else of_left.table()
+        return of_left.table() if diagonal else pa.concat_tables([of_left.table(), of_right.table()])
 
     return best
 
@@ -212,14 +211,14 @@ def topk_neighbors(features: DataFrame, k: int, report: dict | None = None) -> D
     units = l2_normalize(features)
     chosen = _pivots(units, rows)
     if chosen is None:
-        best = _square_tiles(units, blocks).groupBy(*TILE).applyInArrow(_tile_best(k, True), NEIGHBOR_SCHEMA)
+        best = _square_tiles(units, blocks).groupBy(*TILE).applyInArrow(_tile_best(k), NEIGHBOR_SCHEMA)
         _fill(report, blocks * (blocks + 1) // 2, blocks * (blocks + 1) // 2, rows * blocks)
         return rank_neighbors(best, k)
     placed = stored(pivots.place(units, chosen), "placed")
     cells = pivots.cells_of(placed, chosen.num_rows)
     layout = pivots.lay_out(cells, math.ceil(rows / blocks))
     inside = pivots.inside_tiles(placed, layout).groupBy(*TILE)
-    near = stored(rank_neighbors(inside.applyInArrow(_tile_best(k, True), NEIGHBOR_SCHEMA), k), "near")
+    near = stored(rank_neighbors(inside.applyInArrow(_tile_best(k), NEIGHBOR_SCHEMA), k), "near")
     bars = near.filter(F.col("rank") == k).select("id", F.col("similarity").alias("bar"))
     barred = stored(pivots.with_needs(placed.join(bars, "id", "left"), cells), "barred")
     needed = pivots.needed_cells(barred, chosen.num_rows)
