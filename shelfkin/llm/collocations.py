@@ -211,9 +211,10 @@ def global_counts(tokens: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
                 at = np.flatnonzero(here)
                 if not len(at):
                     continue
-                # Phrases are told apart by their word numbers, not by their hashes.
+                # Hashes bring equal phrases together, word numbers tell phrases apart; should
+                # two phrases share a hash, one may be counted in several parts.
                 told = np.stack([place[at + i] for i in range(k)], axis=1)
-                order = np.lexsort(told.T)
+                order = np.argsort(phrase[at], kind="stable")
                 told = told[order]
                 first = np.flatnonzero(np.r_[True, (told[1:] != told[:-1]).any(axis=1)])
                 count = np.diff(np.r_[first, len(told)]).astype(np.int64)
