@@ -1,6 +1,6 @@
 """Phrase collocations by SON partitioning.
 
-The partitions of the input are dealt over a fixed number of shards.  A phrase that occurs `support` times among
+The texts are dealt over a fixed number of shards.  A phrase that occurs `support` times among
 the n words of a language occurs at least support * n_s / n times in one of the shards, n_s being
 the shard's words of that language.  So every shard is mined completely at that lowered support,
 the phrases that are frequent in some shard are united, and all of them are then counted exactly
@@ -8,9 +8,14 @@ over everything.
 
 A shard is mined level by level: a phrase of k words can be frequent only if its first and its
 last k - 1 words are.  What a level has found travels to the next as a bitmap of fixed size over
-phrase hashes.  Hashes and bitmaps can only let more phrases through, never fewer; the last count
-is made on the phrases themselves.  The number of shards does not grow with the input, as the
-local support would sink to one; a shard's counts are made by as many tasks as hold its words.
+phrase hashes.  Hashes and bitmaps can only let more phrases through, never fewer.  The last count
+is made in two steps: of hashes, which leaves those that may have the support, and then of the
+phrases themselves.  The number of shards does not grow with the input, as the local support would
+sink to one; a shard's counts are made by as many tasks as hold its words.
+
+Counts of hashes travel as sorted runs of 32 bits each with counts as wide as the support needs,
+one run for each range of hashes; the number of ranges grows with the words, so that the runs of a
+range that meet in one task have a bounded number of hashes.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfkin.llm.common import parts_of, passing_tables, rows_per_batch, stored, text_of
+from shelfkin.llm.line_dedup import words_of
 
 SEED = 42
 SHARDS = 16
@@ -37,7 +43,8 @@ BUCKET = 1 << 15  # bits of one row of Spark's bitmap functions
 PART_BYTES = 256 << 10  # text of one row of the table of words, about
 ROWS_AT_ONCE = 32  # rows of the table of words in a batch
 ROW_GROUP = 8 << 20  # of the table of words: what a reader holds at once
-HANDED_ON = 1 << 16  # rows of a batch handed on
+PARTS_OF_A_SHARD = 32  # rows of the table of words in a row that go to one shard
+RANGE_WORDS = 1 << 22  # words whose hashes may meet in one range
 FOLD = np.uint64(0x9E3779B97F4A7C15)  # an odd number, 2^64 over the golden ratio
 # A piece ends at . , ; : ! ? and at line feed to carriage return; words are parted
 # by blanks and tabs.
@@ -84,9 +91,11 @@ def split_words(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         return b" ".join(words), tokens.tobytes(), int((tokens >= 0).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() % shards
+        task, n_parts = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in parts_of(batch, PART_BYTES) if batch.num_rows else ():
+                shard = (task + 5 * (n_parts // PARTS_OF_A_SHARD)) % shards  # 5: neighbouring tasks part ways
+                n_parts += 1
                 langs = part.column("lang")
                 texts = part.column("text").cast(pa.binary())
                 for lang in pc.unique(langs).to_pylist():
@@ -101,13 +110,11 @@ def split_words(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return docs.select(lang, text_of()).mapInArrow(run, TOKENS)
 
 
-def _levels(lang: str, words: list[bytes], tokens: pa.Buffer, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _levels(lang: str, words: bytes, tokens: pa.Buffer, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, hash of the phrase of k words that begins at each token, whether there is one)."""
     place = np.frombuffer(tokens, np.int32)
-    seed = xxhash.xxh32_intdigest(lang.encode(), SEED)
-    known = (xxhash.xxh64_intdigest(w, seed) for w in words)
-    word = np.append(np.fromiter(known, np.uint64, len(words)), np.uint64(0))  # the last one is never used
-    each, inside = word[place], place >= 0
+    word = words_of(words) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), SEED))
+    each, inside = np.append(word, np.uint64(0))[place], place >= 0  # the last one is never used
     phrase, fits = each, inside
     for k in range(1, longest + 1):
         if k > 1:
@@ -125,114 +132,182 @@ def _passes(bitmap: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _surviving(levels, bitmaps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the phrases of k words whose first and last k - 1 words may be frequent."""
+def _whole(levels, bitmaps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, hashes, starts) of the phrases that pass the bitmap of their level, as do their first and last words."""
+    before: np.ndarray | None = None
+    for k, phrase, fits in levels:
+        here = fits & _passes(bitmaps[k - 1], phrase)
+        if before is not None:
+            here &= before[:-1] & before[1:]
+        before, at = here, np.flatnonzero(here)
+        yield k, phrase[at], at
+
+
+def _surviving(levels, bitmaps: list[np.ndarray], k: int) -> np.ndarray:
+    """Hashes of the phrases of k words whose first and last k - 1 words may be frequent."""
     fits = None
     for level, phrase, inside in levels:
         if level == k - 1:
             may = inside & _passes(bitmaps[level - 1], phrase)
             fits = may[:-1] & may[1:]
         if level == k:
-            at = np.flatnonzero(inside if fits is None else inside & fits)
-            return phrase[at], at
-    return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return phrase[inside if fits is None else inside & fits]
+    return np.zeros(0, np.uint64)
 
 
-def local_counts(tokens: DataFrame, k: int, bitmaps: list[Broadcast]) -> DataFrame:
-    """(shard, need, phrase hash, count) of the phrases of k words that can be frequent."""
+RUNS = "part long, kind int, need long, prefix long, hashes binary, counts binary"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
-        for batch in batches:
-            found: dict[tuple[int, int], list[np.ndarray]] = {}
-            columns = (batch.column(c) for c in ("shard", "need", "lang", "words", "tokens"))
-            for shard, need, lang, words, packed in zip(*columns):
-                levels = _levels(lang.as_py(), words.as_py().split(b" "), packed.as_buffer(), k)
-                phrase, _ = _surviving(levels, known, k)
-                found.setdefault((shard.as_py(), need.as_py()), []).append(phrase)
-            for (shard, need), phrases in found.items():  # a phrase hash is of one language
-                phrase, count = np.unique(np.concatenate(phrases), return_counts=True)
-                for start in range(0, len(phrase), HANDED_ON):
-                    part = slice(start, start + HANDED_ON)
-                    size = len(phrase[part])
-                    arrays = [
-                        np.full(size, shard, np.int32),
-                        np.full(size, need, np.int64),
-                        phrase[part].view(np.int64),
-                        count[part].astype(np.int64),
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shard", "need", "phrase", "n"])
-
-    return tokens.mapInArrow(rows, "shard int, need long, phrase long, n long")
-
-
-def _bitmap(frequent: DataFrame) -> bytes:
-    """BITS bits over the highest bits of the phrase hashes: at most BITS / BUCKET rows of 4 KB."""
-    bit = F.shiftrightunsigned("phrase", 64 - (BITS.bit_length() - 1))
+
+def _runs(part: int, kind: int, need: int, prefix_bits: int, phrases: list[np.ndarray]) -> pa.RecordBatch:
+    """Hashes and their counts, one row for each range of hashes; a range shares its first bits.
+
+    No count above `need` matters, so counts are cut there and are as wide as it needs.
+    """
+    phrase, count = np.unique(np.concatenate(phrases), return_counts=True)
+    prefix = (phrase >> np.uint64(32)) >> np.uint64(32 - prefix_bits)
+    rest = ((phrase << np.uint64(prefix_bits)) >> np.uint64(32)).astype(np.uint32)
+    count = np.minimum(count, need).astype(np.min_scalar_type(need))
+    edges = np.flatnonzero(np.diff(prefix, prepend=prefix[:1])) if len(prefix) else np.zeros(0, np.int64)
+    starts = np.r_[0, edges] if len(prefix) else edges
+    ends = np.r_[starts[1:], len(prefix)]
+    n = len(starts)
+    arrays = [
+        pa.array(np.full(n, part, np.int64)),
+        pa.array(np.full(n, kind, np.int32)),
+        pa.array(np.full(n, need, np.int64)),
+        pa.array(prefix[starts].astype(np.int64)),
+        pa.array([rest[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+        pa.array([count[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["part", "kind", "need", "prefix", "hashes", "counts"])
+
+
+def _frequent(runs: DataFrame, prefix_bits: int) -> DataFrame:
+    """(kind, bit): bits of the hashes whose counts come to `need` within their part and kind."""
+    shift = prefix_bits + 32 - (BITS.bit_length() - 1)
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, kind, need, prefix = (k.as_py() for k in key)
+        hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint32)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.min_scalar_type(need))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
+        total = np.add.reduceat(counts[order].astype(np.int64), first)
+        many = hashes[first[total >= need]].astype(np.uint64) | np.uint64(prefix << 32)
+        bits = np.unique(many >> np.uint64(shift) if shift >= 0 else many << np.uint64(-shift)).astype(np.int64)
+        return pa.table({"kind": pa.array(np.full(len(bits), kind, np.int32)), "bit": bits})
+
+    return runs.groupBy("part", "kind", "need", "prefix").applyInArrow(merged, "kind int, bit long")
+
+
+def _prefix_bits(words: int) -> int:
+    """Bits of the prefix that parts the hashes of so many words into ranges."""
+    return min(32, (words // RANGE_WORDS).bit_length())
+
+
+def _bitmaps(frequent: DataFrame, longest: int) -> list[bytes]:
+    """For each kind from 1 on, BITS bits: at most BITS / BUCKET rows of 4 KB."""
     rows = (
-        frequent.select(bit.alias("bit"))
-        .groupBy(F.floor(F.col("bit") / BUCKET).alias("bucket"))
+        frequent.groupBy("kind", F.floor(F.col("bit") / BUCKET).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(BUCKET))).alias("bits"))
         .collect()
     )
-    whole = bytearray(BITS // 8)
+    whole = [bytearray(BITS // 8) for _ in range(longest)]
     for row in rows:
-        whole[row.bucket * (BUCKET // 8) : (row.bucket + 1) * (BUCKET // 8)] = row.bits
-    return bytes(whole)
+        whole[row.kind - 1][row.bucket * (BUCKET // 8) : (row.bucket + 1) * (BUCKET // 8)] = row.bits
+    return [bytes(w) for w in whole]
+
 
+def _known(bitmaps: list[Broadcast]) -> list[np.ndarray]:
+    return [np.frombuffer(b.value, np.uint8) for b in bitmaps]
 
-def locally_frequent(tokens: DataFrame, longest: int = LONGEST) -> list[Broadcast]:
-    """A bitmap for each number of words: the phrases that are frequent in some shard.
 
-    `tokens` has the column `need`, the least count that is frequent in its shard and language.
+def local_counts(tokens: DataFrame, k: int, bitmaps: list[Broadcast], prefix_bits: int) -> DataFrame:
+    """`RUNS` of the phrases of k words that can be frequent, by shard and language.
+
+    `tokens` has the columns `part`, a hash of its shard and language, and `need`, the least
+    count that is frequent there.
     """
-    spark = tokens.sparkSession
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(bitmaps)
+        for batch in batches:
+            found: dict[tuple[int, int], list[np.ndarray]] = {}
+            columns = (batch.column(c) for c in ("part", "need", "lang", "words", "tokens"))
+            for part, need, lang, words, packed in zip(*columns):
+                levels = _levels(lang.as_py(), words.as_py(), packed.as_buffer(), k)
+                found.setdefault((part.as_py(), need.as_py()), []).append(_surviving(levels, known, k))
+            for (part, need), phrases in found.items():
+                yield _runs(part, k, need, prefix_bits, phrases)
+
+    return tokens.mapInArrow(rows, RUNS)
+
+
+def locally_frequent(tokens: DataFrame, longest: int, prefix_bits: int) -> list[Broadcast]:
+    """A bitmap for each number of words: the phrases that are frequent in some shard."""
     found: list[Broadcast] = []
     for k in range(1, longest + 1):
-        counted = local_counts(tokens, k, found).groupBy("shard", "need", "phrase").agg(F.sum("n").alias("n"))
-        found.append(spark.sparkContext.broadcast(_bitmap(counted.filter("n >= need"))))
+        frequent = _frequent(local_counts(tokens, k, found, prefix_bits), prefix_bits)
+        found.append(tokens.sparkSession.sparkContext.broadcast(_bitmaps(frequent, k)[k - 1]))
     return found
 
 
+def globally_frequent(rows: DataFrame, bitmaps: list[Broadcast], support: int, prefix_bits: int) -> list[Broadcast]:
+    """Bitmaps of those phrases of `bitmaps` whose hashes have the support over everything."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(bitmaps)
+        for batch in batches:
+            found: dict[int, list[np.ndarray]] = {}
+            for lang, words, packed in zip(*(batch.column(c) for c in ("lang", "words", "tokens"))):
+                levels = _levels(lang.as_py(), words.as_py(), packed.as_buffer(), len(known))
+                for k, phrase, _ in _whole(levels, known):
+                    found.setdefault(k, []).append(phrase)
+            for k, phrases in found.items():  # a phrase hash is of one language
+                yield _runs(0, k, support, prefix_bits, phrases)
+
+    frequent = _frequent(rows.mapInArrow(counted, RUNS), prefix_bits)
+    context = rows.sparkSession.sparkContext
+    return [context.broadcast(bits) for bits in _bitmaps(frequent, len(bitmaps))]
+
+
 def global_counts(tokens: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
-    """(lang, phrase, k, n): partial counts of every phrase that is frequent in some shard."""
-
-    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
-        for lang, words, packed in zip(*(batch.column(c) for c in ("lang", "words", "tokens"))):
-            lang, words = lang.as_py(), np.array(words.as_py().split(b" "), object)
-            place = np.frombuffer(packed.as_buffer(), np.int32)
-            whole: np.ndarray | None = None  # where a phrase of the level before is frequent
-            for k, phrase, fits in _levels(lang, words, packed.as_buffer(), len(known)):
-                here = fits & _passes(known[k - 1], phrase)
-                if whole is not None:
-                    here &= whole[:-1] & whole[1:]
-                whole = here
-                at = np.flatnonzero(here)
-                if not len(at):
-                    continue
-                # Hashes bring equal phrases together, word numbers tell phrases apart; should
-                # two phrases share a hash, one may be counted in several parts.
-                told = np.stack([place[at + i] for i in range(k)], axis=1)
-                order = np.argsort(phrase[at], kind="stable")
-                told = told[order]
-                first = np.flatnonzero(np.r_[True, (told[1:] != told[:-1]).any(axis=1)])
-                count = np.diff(np.r_[first, len(told)]).astype(np.int64)
-                texts = [b" ".join(words[row]) for row in told[first]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(texts), pa.string()),
-                        pa.array(texts, pa.binary()).cast(pa.string()),
-                        pa.array(np.full(len(texts), k, np.int32)),
-                        pa.array(count),
-                    ],
-                    ["lang", "phrase", "k", "n"],
-                )
+    """(lang, phrase, k, n): partial counts of every phrase that passes the bitmaps."""
+    blank = pa.scalar(b" ", pa.binary())
+
+    def rows(lang: str, words: bytes, packed: pa.Buffer, known: list[np.ndarray]) -> Iterator[pa.Table]:
+        place = np.frombuffer(packed, np.int32)
+        names = pa.array(words.split(b" "), pa.binary())
+        for k, phrase, at in _whole(_levels(lang, words, packed, len(known)), known):
+            if not len(at):
+                continue
+            # Hashes bring equal phrases together, word numbers tell phrases apart; should
+            # two phrases share a hash, one may be counted in several parts.
+            order = np.argsort(phrase, kind="stable")
+            told = np.stack([place[at[order] + i] for i in range(k)], axis=1)
+            first = np.flatnonzero(np.r_[True, (told[1:] != told[:-1]).any(axis=1)])
+            count = np.diff(np.r_[first, len(told)]).astype(np.int64)
+            texts = [names.take(pa.array(told[first, i])) for i in range(k)]
+            text = pc.binary_join_element_wise(*texts, blank) if k > 1 else texts[0]
+            yield pa.table(
+                {
+                    "lang": pa.array([lang] * len(text), pa.string()),
+                    "phrase": text,
+                    "k": np.full(len(text), k, np.int32),
+                    "n": count,
+                }
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(bitmaps)
         for batch in batches:
-            if batch.num_rows:
-                yield from rows(batch)
+            columns = (batch.column(c) for c in ("lang", "words", "tokens"))
+            found = [t for a, b, c in zip(*columns) for t in rows(a.as_py(), b.as_py(), c.as_buffer(), known)]
+            if found:
+                once = pa.concat_tables(found).group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")])
+                once = once.select(["lang", "phrase", "k", "n_sum"]).rename_columns(["lang", "phrase", "k", "n"])
+                yield from once.set_column(1, "phrase", once.column("phrase").cast(pa.string())).to_batches()
 
     return tokens.mapInArrow(run, "lang string, phrase string, k int, n long")
 
@@ -300,10 +375,13 @@ def collocations(
         held = stored(rows.groupBy("shard", "lang").agg(F.sum("n_words").alias("held")), "held")
         sizes = stored(held.groupBy("lang").agg(F.sum("held").alias("n")), "sizes")
         need = F.expr(f"cast(ceil(cast({support} * held AS decimal(38,0)) / n) AS bigint)")
-        needs = held.join(sizes, "lang").select("shard", "lang", F.greatest(need, F.lit(1)).alias("need"))
+        part = F.xxhash64("shard", "lang").alias("part")
+        needs = held.join(sizes, "lang").select("shard", "lang", F.greatest(need, F.lit(1)).alias("need"), part)
         tokens = rows.join(F.broadcast(needs), ["shard", "lang"])  # a row per shard and language
+        most_held, all_words = held.agg(F.max("held"), F.sum("held")).first()
         with rows_per_batch(docs.sparkSession, ROWS_AT_ONCE):
-            bitmaps = locally_frequent(tokens, longest)
+            local = locally_frequent(tokens, longest, _prefix_bits(most_held or 0))
+            bitmaps = globally_frequent(rows, local, support, _prefix_bits(all_words or 0))
             partial = global_counts(rows, bitmaps)
             phrases = partial.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a"))
             counted = stored(phrases.filter(F.col("a") >= support), "counted")
@@ -314,6 +392,6 @@ def collocations(
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
         result = stored(ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations", lasting=True)
-        for bitmap in bitmaps:
+        for bitmap in (*local, *bitmaps):
             bitmap.unpersist()
     return result
