@@ -155,13 +155,26 @@ def _surviving(levels, bitmaps: list[np.ndarray], k: int) -> np.ndarray:
     return np.zeros(0, np.uint64)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as the planes of bytes of their differences."""
+    steps = np.diff(hashes, prepend=np.uint32(0))
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32)
+    return np.cumsum(steps.ravel(), dtype=np.uint32)
+
+
 RUNS = "part long, kind int, need long, prefix long, hashes binary, counts binary"
 
 
 def _runs(part: int, kind: int, need: int, prefix_bits: int, phrases: list[np.ndarray]) -> pa.RecordBatch:
     """Hashes and their counts, one row for each range of hashes; a range shares its first bits.
 
-    No count above `need` matters, so counts are cut there and are as wide as it needs.
+    No count above `need` matters, so counts are cut there and are as wide as it needs.  Hashes
+    are written as differences, first their lowest bytes, then the next: the highest are nearly
+    all zero and compress away.
     """
     phrase, count = np.unique(np.concatenate(phrases), return_counts=True)
     prefix = (phrase >> np.uint64(32)) >> np.uint64(32 - prefix_bits)
@@ -176,7 +189,7 @@ def _runs(part: int, kind: int, need: int, prefix_bits: int, phrases: list[np.nd
         pa.array(np.full(n, kind, np.int32)),
         pa.array(np.full(n, need, np.int64)),
         pa.array(prefix[starts].astype(np.int64)),
-        pa.array([rest[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+        pa.array([_packed(rest[a:b]) for a, b in zip(starts, ends)], pa.binary()),
         pa.array([count[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(arrays, ["part", "kind", "need", "prefix", "hashes", "counts"])
@@ -188,7 +201,7 @@ def _frequent(runs: DataFrame, prefix_bits: int) -> DataFrame:
 
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, kind, need, prefix = (k.as_py() for k in key)
-        hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint32)
+        hashes = np.concatenate([_unpacked(run) for run in table.column("hashes").to_pylist()])
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.min_scalar_type(need))
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
