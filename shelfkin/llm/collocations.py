@@ -20,6 +20,7 @@ range that meet in one task have a bounded number of hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ PART_BYTES = 256 << 10  # text of one row of the table of words, about
 ROWS_AT_ONCE = 32  # rows of the table of words in a batch
 ROW_GROUP = 8 << 20  # of the table of words: what a reader holds at once
 PARTS_OF_A_SHARD = 32  # rows of the table of words in a row that go to one shard
+HELD = 1 << 22  # hashes that a task counts before it hands them on, about
+PHRASES_HELD = 1 << 18  # phrases, likewise
 RANK_GROUPS = 64  # of the phrases of a language, ranked apart first
 RANGE_WORDS = 1 << 22  # words whose hashes may meet in one range
 FOLD = np.uint64(0x9E3779B97F4A7C15)  # an odd number, 2^64 over the golden ratio
@@ -272,23 +275,33 @@ def globally_frequent(rows: DataFrame, bitmaps: list[Broadcast], support: int, p
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(bitmaps)
+        found: dict[int, list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
-            found: dict[int, list[np.ndarray]] = {}
             for lang, words, packed in zip(*(batch.column(c) for c in ("lang", "words", "tokens"))):
                 levels = _levels(lang.as_py(), words.as_py(), packed.as_buffer(), len(known))
                 for k, phrase, _ in _whole(levels, known):
                     found.setdefault(k, []).append(phrase)
-            for k, phrases in found.items():  # a phrase hash is of one language
-                yield _runs(0, k, support, prefix_bits, phrases)
+                    size += len(phrase)
+            if size >= HELD:
+                for k, phrases in found.items():
+                    yield _runs(0, k, support, prefix_bits, phrases)
+                found, size = {}, 0
+        for k, phrases in found.items():  # a phrase hash is of one language
+            yield _runs(0, k, support, prefix_bits, phrases)
 
     frequent = _frequent(rows.mapInArrow(counted, RUNS), prefix_bits)
     context = rows.sparkSession.sparkContext
     return [context.broadcast(bits) for bits in _bitmaps(frequent, len(bitmaps))]
 
 
-def global_counts(tokens: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
-    """(lang, phrase, k, n): partial counts of every phrase that passes the bitmaps."""
+def global_counts(tokens: DataFrame, bitmaps: list[Broadcast], support: int, prefix_bits: int) -> DataFrame:
+    """(lang, phrase, k, a): the count a >= `support` of every phrase that passes the bitmaps.
+
+    Phrases travel sorted and compressed, one row for each range of hashes.
+    """
     blank = pa.scalar(b" ", pa.binary())
+    shift = np.uint64(32 - prefix_bits)
 
     def rows(lang: str, words: bytes, packed: pa.Buffer, known: list[np.ndarray]) -> Iterator[pa.Table]:
         place = np.frombuffer(packed, np.int32)
@@ -304,26 +317,60 @@ def global_counts(tokens: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
             count = np.diff(np.r_[first, len(told)]).astype(np.int64)
             texts = [names.take(pa.array(told[first, i])) for i in range(k)]
             text = pc.binary_join_element_wise(*texts, blank) if k > 1 else texts[0]
-            yield pa.table(
-                {
-                    "lang": pa.array([lang] * len(text), pa.string()),
-                    "phrase": text,
-                    "k": np.full(len(text), k, np.int32),
-                    "n": count,
-                }
-            )
+            prefix = ((phrase[order[first]] >> np.uint64(32)) >> shift).astype(np.int64)
+            yield pa.table({"lang": pa.array([lang] * len(text), pa.string()), "prefix": prefix, "phrase": text, "n": count})
+
+    def once(tables: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(tables).group_by(["lang", "prefix", "phrase"]).aggregate([("n", "sum")])
+        return table.select(["lang", "prefix", "phrase", "n_sum"]).rename_columns(["lang", "prefix", "phrase", "n"])
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by([("lang", "ascending"), ("prefix", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        kinds = table.group_by(["lang", "prefix"], use_threads=False).aggregate([("phrase", "count")])
+        at, phrases, counts = 0, [], []
+        for size in kinds.column("phrase_count").to_pylist():
+            part = table.slice(at, size)
+            phrases.append(zlib.compress(b"\n".join(part.column("phrase").to_pylist())))  # no word has a line end
+            counts.append(zlib.compress(part.column("n").to_numpy().tobytes()))
+            at += size
+        keys = [kinds.column(c).combine_chunks() for c in ("lang", "prefix")]
+        arrays = [*keys, pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["lang", "prefix", "phrases", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(bitmaps)
+        held: list[pa.Table] = []
         for batch in batches:
             columns = (batch.column(c) for c in ("lang", "words", "tokens"))
             found = [t for a, b, c in zip(*columns) for t in rows(a.as_py(), b.as_py(), c.as_buffer(), known)]
             if found:
-                once = pa.concat_tables(found).group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")])
-                once = once.select(["lang", "phrase", "k", "n_sum"]).rename_columns(["lang", "phrase", "k", "n"])
-                yield from once.set_column(1, "phrase", once.column("phrase").cast(pa.string())).to_batches()
+                held = [once([*held, *found])]
+                if held[0].num_rows >= PHRASES_HELD:
+                    yield packed(held[0])
+                    held = []
+        if held:
+            yield packed(held[0])
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = []
+        for phrases, counts in zip(table.column("phrases"), table.column("counts")):
+            phrase = pa.array(zlib.decompress(phrases.as_py()).split(b"\n"), pa.binary())
+            n = np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+            parts.append(pa.table({"phrase": phrase, "n": n}))
+        total = pa.concat_tables(parts).group_by("phrase").aggregate([("n", "sum")])
+        total = total.filter(pc.greater_equal(total.column("n_sum"), support))
+        phrase = total.column("phrase")
+        return pa.table(
+            {
+                "lang": pa.array([key[0].as_py()] * total.num_rows, pa.string()),
+                "phrase": phrase.cast(pa.string()),
+                "k": pc.add(pc.count_substring(phrase, b" "), 1).cast(pa.int32()),
+                "a": total.column("n_sum"),
+            }
+        )
 
-    return tokens.mapInArrow(run, "lang string, phrase string, k int, n long")
+    runs = tokens.mapInArrow(run, "lang string, prefix long, phrases binary, counts binary")
+    return runs.groupBy("lang", "prefix").applyInArrow(merged, "lang string, phrase string, k int, a long")
 
 
 def _with_score(candidates: DataFrame, counted: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -396,9 +443,7 @@ def collocations(
         with rows_per_batch(docs.sparkSession, ROWS_AT_ONCE):
             local = locally_frequent(tokens, longest, _prefix_bits(most_held or 0))
             bitmaps = globally_frequent(rows, local, support, _prefix_bits(all_words or 0))
-            partial = global_counts(rows, bitmaps)
-            phrases = partial.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a"))
-            counted = stored(phrases.filter(F.col("a") >= support), "counted")
+            counted = stored(global_counts(rows, bitmaps, support, _prefix_bits(all_words or 0)), "counted")
         candidates = counted.filter("k > 1")
         scored = _with_score(candidates, counted, sizes)
         kept = scored.join(_contained(candidates, longest), ["lang", "phrase"], "left")
