@@ -52,6 +52,7 @@ WORD = re.compile(r"[^\t-\r ]+")
 BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
 SEED = 42
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two window keys
+ROWS_HANDED_ON = 1 << 14
 FIRST_ID = -(1 << 63)  # where rows without doc_id come
 
 
@@ -110,34 +111,45 @@ def windows_of(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[n
     return first, last, place
 
 
+def _made_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    base = BASES[which]
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _mod(b))]) for b in (base, pow(base, -1, 1 << 64)))
+    return up, down
+
+
+_kept_powers = lru_cache(maxsize=8)(_made_powers)
+
+
+def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first `n` powers, or more, of a base and of its inverse; only short tables are kept."""
+    size = max(1 << 16, 1 << n.bit_length())
+    return _kept_powers(size, which) if size <= 1 << 18 else _made_powers(n, which)
+
+
+def _sums(values: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the values, each times its power of the inverse; and powers of the base."""
+    up, down = _powers(len(values) + 1, which)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * down[: len(values)], out=sums[1:])
+    return sums, up
+
+
 def keys_of(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit keys of each window, which depend on its hashes and their order only."""
-    mixed = (hashes, (hashes ^ (hashes >> np.uint64(29))) * _mod(0xBF58476D1CE4E5B9))
     out = []
-    for base, values in zip(BASES, mixed):
-        up = np.cumprod(np.r_[np.uint64(1), np.full(len(values), _mod(base))])
-        down = np.cumprod(np.r_[np.uint64(1), np.full(len(values), _mod(pow(base, -1, 1 << 64)))])
-        sums = np.r_[np.uint64(0), np.cumsum(values * down[:-1])]
+    for which, values in enumerate((hashes, (hashes ^ (hashes >> np.uint64(29))) * _mod(0xBF58476D1CE4E5B9))):
+        sums, up = _sums(values, which)
         out.append((sums[last + 1] - sums[first]) * up[first])
     return out
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first `n` powers of a base and of its inverse."""
-    bases = (BASES[0], pow(BASES[0], -1, 1 << 64))
-    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _mod(b))]) for b in bases)
-    return up, down
-
-
 def words_of(text: bytes) -> np.ndarray:
     """Hash of each word, as `WORD` finds them."""
     raw = np.frombuffer(text, np.uint8)
     inside = np.r_[False, ~BLANK[raw], False]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    up, down = _powers(max(1 << 16, 1 << len(raw).bit_length()))
-    sums = np.r_[np.uint64(0), np.cumsum((raw + np.uint64(1)) * down[: len(raw)])]
+    sums, up = _sums(raw + np.uint64(1), 0)
     hashes = (sums[end] - sums[start]) * up[start]
     for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
         hashes = (hashes ^ (hashes >> np.uint64(shift))) * _mod(factor)
@@ -146,10 +158,24 @@ def words_of(text: bytes) -> np.ndarray:
 
 def grams_of(words: np.ndarray, passage: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of `gram` words, and which of them each window of `passage` words selects."""
-    first = np.arange(max(0, len(words) - gram + 1))
-    grams = keys_of(words, first, first + gram - 1)[0]
+    sums, up = _sums(words, 0)
+    grams = (sums[gram:] - sums[:-gram]) * up[: max(0, len(words) - gram + 1)]
     grams = (grams ^ (grams >> np.uint64(31))) * _mod(0x94D049BB133111EB)
-    return grams, windows_of(grams, np.ones(len(grams), np.int64), passage - gram + 1)[2]
+    return grams, smallest_of(grams, passage - gram + 1)
+
+
+def smallest_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest hash (the first, if several) in each window of `width` hashes."""
+    low, place, size = hashes >> np.uint64(4), np.arange(len(hashes)), 1
+    if len(hashes) < width:
+        return place[:0]
+    while size < width:
+        step = min(size, width - size)
+        here, there = slice(None, -step), slice(step, None)
+        place = np.where(low[here] <= low[there], place[here], place[there])
+        low = np.minimum(low[here], low[there])
+        size += step
+    return place
 
 
 def cut(text: str, runs: list[tuple[int, int]], passages: list[tuple[int, int]] = ()) -> tuple[str, list[tuple[int, int]]]:
@@ -231,6 +257,20 @@ def _bytes(batch: pa.RecordBatch, row: int) -> bytes:
     return batch.column("text")[row].as_buffer().to_pybytes()
 
 
+def _handed_on(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns of many documents in batches of about `ROWS_HANDED_ON` rows."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for columns in rows:
+        held.append(columns)
+        size += len(columns[0])
+        if size >= ROWS_HANDED_ON:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+            held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """(ord, mark, passages): for each document with something to delete, runs of words (first, last)."""
 
@@ -242,7 +282,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, gram: int =
         arrays = [pa.array(x, pa.list_(pa.int64())) for x in zip(*rows)]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in _KEY), *arrays], [*_KEY, "chosen", "counts"])
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups_in(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
             for i in range(batch.num_rows):
                 words = words_of(_bytes(batch, i))
@@ -254,18 +294,25 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, gram: int =
                 near = np.isin(h, wanted)
                 yield rows_of(batch, i, words, first[near], last[near], h[near])
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
             for i in range(batch.num_rows):
                 spans = [np.arange(g["first"], g["last"] + 1) for g in batch.column("groups")[i].as_py()]
                 first = np.concatenate(spans)
                 yield rows_of(batch, i, words_of(_bytes(batch, i)), first, first, np.zeros(len(first), np.int64))
 
-    def rows_of(batch: pa.RecordBatch, i: int, words: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray):
+    def rows_of(batch: pa.RecordBatch, i: int, words: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray) -> list:
         keys = [k.view(np.int64) for k in keys_of(words, first, last + passage - 1)]
         own = [np.full(len(first), batch.column(k)[i].as_py(), np.int64) for k in _KEY]
-        arrays = [*map(pa.array, (*keys, h, *own)), *(pa.array(x, pa.int32()) for x in (first, last))]
-        return pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "h", *_KEY, "first", "last"])
+        return [*keys, h, *own, first.astype(np.int32), last.astype(np.int32)]
+
+    names = ["k1", "k2", "h", *_KEY, "first", "last"]
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _handed_on(groups_in(batches), names)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _handed_on(windows_in(batches), names)
 
     def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -329,7 +376,7 @@ def repeated_runs(docs: DataFrame, min_words: int, line_words: int | None) -> Da
     )
     hits = _hits(runs)
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
             for i in range(batch.num_rows):
                 hashes = _uint(batch, "hashes", i)
@@ -342,11 +389,13 @@ def repeated_runs(docs: DataFrame, min_words: int, line_words: int | None) -> Da
                 places = np.frombuffer(batch.column("line_places")[i].as_buffer(), np.int32).reshape(-1, 2)
                 again = np.isin(line_keys[:, 0], wanted)
                 keys = zip((k.view(np.int64) for k in keys_of(hashes, first, last)), line_keys[again].T)
-                keys = [pa.array(np.r_[a, b]) for a, b in keys]
+                keys = [np.r_[a, b] for a, b in keys]
                 first, last = np.r_[first, places[again, 0]], np.r_[last, places[again, 1]]
-                own = [pa.array(np.full(len(first), batch.column(k)[i].as_py(), np.int64)) for k in _KEY]
-                ends = [pa.array(first), pa.array(last)]
-                yield pa.RecordBatch.from_arrays([*keys, *own, *ends], ["k1", "k2", *_KEY, "first", "last"])
+                own = [np.full(len(first), batch.column(k)[i].as_py(), np.int64) for k in _KEY]
+                yield [*keys, *own, first, last]
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _handed_on(windows_in(batches), ["k1", "k2", *_KEY, "first", "last"])
 
     found = runs.select(columns).join(hits, list(_KEY))
     windows = stored(
