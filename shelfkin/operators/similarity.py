@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfkin.operators import pivots
-from shelfkin.operators.tiles import DECIMALS, TILE, Best, Block, blocks_of, mask_self, products, spread
+from shelfkin.operators.tiles import DECIMALS, TILE, Best, Block, blocks_of, fill, mask_self, products, spread
 from shelfkin.sources.snapshots import stored
 
 # The tile functions travel to the Python workers by value, see `tiles`.
@@ -118,11 +118,7 @@ def _tile_best(k: int) -> Callable[[pa.Table], pa.Table]:
     def best(table: pa.Table) -> pa.Table:
         left, right, diagonal = blocks_of(table)
         of_left, of_right = Best(left.ids, k), Best(right.ids, k)
-        for rows, cols, product in products(left, right):
-            mask_self(product, left.ids[rows], right.ids[cols])
-            of_left.add(rows, product, right.ids[cols])
-            if not diagonal:
-                of_right.add(cols, product.T, left.ids[rows])
+        fill(left, right, of_left, None if diagonal else of_right)
         return of_left.table() if diagonal else pa.concat_tables([of_left.table(), of_right.table()])
 
     return best
@@ -259,14 +255,11 @@ def _tile_needed(k: int) -> Callable[[pa.Table], pa.Table]:
         if len(asking[0].ids) * m + len(asking[1].ids) * n < n * m:
             for one, other in ((asking[0], whole[1]), (asking[1], whole[0])):
                 of_one = Best(one.ids, k, one.bar)
-                for rows, cols, product in products(one, other):
-                    of_one.add(rows, product, other.ids[cols])
+                fill(one, other, of_one, others_only=False)
                 found.append(of_one.table())
         else:
             both = [Best(w.ids, k, w.bar) for w in whole]
-            for rows, cols, product in products(*whole):
-                both[0].add(rows, product, whole[1].ids[cols])
-                both[1].add(cols, product.T, whole[0].ids[rows])
+            fill(*whole, *both, others_only=False)
             found = [b.table() for b in both]
         return pa.concat_tables(found)
 

@@ -27,6 +27,9 @@ LISTING = 128  # a pair of rows listed for a label costs as much as so many in a
 PAIRS_LISTED = 1 << 22  # pairs listed at a time, about
 SEED_COLUMNS = 256  # entries sorted to fill a list of neighbours
 MARGIN = 1e-9  # more than rounding can move a similarity
+SCREEN_BYTES = 128 << 20  # what the screens of both blocks may take, see `Screen`
+PAIRS_CHECKED = 1 << 16  # pairs computed again at a time
+MOST_CHECKED = 16  # a product of two slices is cheaper when one pair in so many passes the screen
 MOST_TASKS = 1 << 20  # of one stage; beyond that a task takes several tiles
 
 TILE = ("task", "tile")  # where `spread` has put the rows
@@ -51,23 +54,25 @@ class Block:
         labels = table["labels"].combine_chunks()
         self.label = labels.flatten().to_numpy()
         self.label_row = np.repeat(np.arange(len(self.ids)), np.asarray(labels.value_lengths()))
-        self.by_label: dict[int, tuple] = {}  # of each slice, when first asked for
+        self.by_label: dict[tuple[int, int], tuple] = {}  # of each slice, when first asked for
         names = table.column_names
         self.bar = table["bar"].to_numpy() if "bar" in names else np.full(len(self.ids), -np.inf)
 
-    def slices(self) -> list[slice]:
-        n = len(self.ids)
+    def slices(self, rows: int | None = None) -> list[slice]:
+        """Of all rows, or of the first ones only."""
+        n = len(self.ids) if rows is None else rows
         return [slice(i, min(i + SLICE_ROWS, n)) for i in range(0, n, SLICE_ROWS)]
 
     def postings(self, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Labels of some rows with where each begins and how often it occurs, and its rows."""
-        if rows.start not in self.by_label:
-            a, b = np.searchsorted(self.label_row, [rows.start, rows.stop])
+        place = rows.start, rows.stop
+        if place not in self.by_label:
+            a, b = np.searchsorted(self.label_row, place)
             order = np.argsort(self.label[a:b], kind="stable")
             label, row = self.label[a:b][order], self.label_row[a:b][order] - rows.start
             labels, first, count = np.unique(label, return_index=True, return_counts=True)
-            self.by_label[rows.start] = labels, first, count, row
-        return self.by_label[rows.start]
+            self.by_label[place] = labels, first, count, row
+        return self.by_label[place]
 
 
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -129,11 +134,136 @@ def products(left: Block, right: Block) -> Iterator[tuple[slice, slice, np.ndarr
     """Cosines of the two blocks, one slice of each at a time."""
     for rows in left.slices():
         for cols in right.slices():
-            product = left.unit[rows] @ right.unit[cols].T
-            common = common_labels(left, rows, right, cols)
-            if common is not None:
-                product += common * left.weight[rows, None] * right.weight[cols]
-            yield rows, cols, product
+            yield rows, cols, _product(left, rows, right, cols)
+
+
+def _product(left: Block, rows: slice, right: Block, cols: slice) -> np.ndarray:
+    product = left.unit[rows] @ right.unit[cols].T
+    common = common_labels(left, rows, right, cols)
+    if common is not None:
+        product += common * left.weight[rows, None] * right.weight[cols]
+    return product
+
+
+class Screen:
+    """Both blocks in single precision, the labels they share as columns.
+
+    A product of these differs from the cosine by less than `slack`: rows are no longer than 1, so
+    a sum of so many products is off by less than one rounding for each.
+    """
+
+    def __init__(self, left: Block, right: Block, shared: np.ndarray):
+        self.slack = (left.unit.shape[1] + len(shared) + 8) * 2.0**-23 + MARGIN
+        self.left, self.right = left, right
+        self.l_has, self.l_near = self._columns(left, shared)
+        self.r_has, self.r_near = (self.l_has, self.l_near) if left is right else self._columns(right, shared)
+
+    @staticmethod
+    def of(left: Block, right: Block) -> Screen | None:
+        """None where the shared labels are too many to be columns."""
+        shared = np.intersect1d(left.label, right.label)
+        rows = len(left.ids) + (0 if left is right else len(right.ids))
+        if rows * (4 * left.unit.shape[1] + 5 * len(shared)) > SCREEN_BYTES:
+            return None
+        return Screen(left, right, shared)
+
+    @staticmethod
+    def _columns(block: Block, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = np.isin(block.label, shared)
+        has = np.zeros((len(block.ids), len(shared)), bool)
+        has[block.label_row[known], np.searchsorted(shared, block.label[known])] = True
+        return has, np.concatenate([block.unit, has * block.weight[:, None]], axis=1, dtype=np.float32)
+
+    def near(self, rows: slice, cols: slice) -> np.ndarray:
+        return self.l_near[rows] @ self.r_near[cols].T
+
+    def cosines(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of single pairs, in double precision."""
+        out = np.empty(len(i))
+        for start in range(0, len(i), PAIRS_CHECKED):
+            a, b = i[start : start + PAIRS_CHECKED], j[start : start + PAIRS_CHECKED]
+            value = np.einsum("ij,ij->i", self.left.unit[a], self.right.unit[b])
+            common = (self.l_has[a] & self.r_has[b]).sum(axis=1)
+            out[start : start + PAIRS_CHECKED] = value + common * self.left.weight[a] * self.right.weight[b]
+        return out
+
+
+def fill(left: Block, right: Block, of_left: Best, of_right: Best | None = None, others_only: bool = True) -> None:
+    """The best of `right` for the rows of `left`, and the other way round with `of_right`.
+
+    Lists that are not full take in the first rows of the other block.  From then on products in
+    single precision tell which pairs may reach a list, and only these are computed as they are
+    kept.  With `others_only` a row is no neighbour of itself.
+    """
+    screen = Screen.of(left, right)
+    if screen is None:
+        for rows, cols, product in products(left, right):
+            if others_only:
+                mask_self(product, left.ids[rows], right.ids[cols])
+            of_left.add(rows, product, right.ids[cols])
+            if of_right is not None:
+                of_right.add(cols, product.T, left.ids[rows])
+        return
+    l_seeds = _seed(left, right, of_left, others_only, False)
+    r_seeds = None if of_right is None else _seed(right, left, of_right, others_only, True)
+    for rows in left.slices():
+        for cols in right.slices():
+            near, exact = screen.near(rows, cols), None
+            for best, mine in ((of_left, rows), (of_right, cols)):
+                if best is None:
+                    continue
+                low = (best.value[mine, -1] - screen.slack).astype(np.float32)
+                if best is of_left:
+                    r, c = _above(near, low, 1)
+                    late = c + cols.start >= l_seeds[rows.start]
+                else:
+                    c, r = _above(near, low, 0)
+                    late = r + rows.start >= r_seeds[cols.start]
+                if others_only:
+                    own = np.searchsorted(right.ids[cols], left.ids[rows])[r]
+                    late &= (own != c) | (left.ids[rows][r] != right.ids[cols][c])
+                r, c = r[late], c[late]
+                if len(r) * MOST_CHECKED > near.size:
+                    exact = _product(left, rows, right, cols) if exact is None else exact
+                    value = exact[r, c]
+                else:
+                    value = screen.cosines(r + rows.start, c + cols.start)
+                if best is of_left:
+                    best.take(rows.start + r, value, right.ids[cols][c])
+                else:
+                    best.take(cols.start + c, value, left.ids[rows][r])
+
+
+def _above(near: np.ndarray, low: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the entries above their row's `low`, row by row; of columns at axis 0."""
+    some = np.flatnonzero(near.max(axis=axis) > low)
+    if len(some) * 4 < len(low):  # most rows have none
+        part = near[some] if axis else near[:, some].T
+        found = np.flatnonzero(part > low[some, None])
+        return some[found // part.shape[1]], found % part.shape[1]
+    if axis:
+        found = np.flatnonzero(near > low[:, None])
+        return found // near.shape[1], found % near.shape[1]
+    found = np.flatnonzero(near > low)
+    r, c = found // near.shape[1], found % near.shape[1]
+    order = np.argsort(c, kind="stable")
+    return c[order], r[order]
+
+
+def _seed(block: Block, other: Block, best: Best, others_only: bool, turned: bool) -> dict[int, int]:
+    """Fill the lists that are not full; how many rows of `other` each slice has taken in."""
+    taken = {}
+    for rows in block.slices():
+        full = not np.isneginf(best.value[rows, -1]).any()
+        taken[rows.start] = 0 if full else min(len(other.ids), max(SEED_COLUMNS, 4 * best.k))
+        for cols in other.slices(taken[rows.start]):
+            product = _product(block, rows, other, cols)
+            if others_only and turned:
+                mask_self(product.T, other.ids[cols], block.ids[rows])
+            elif others_only:
+                mask_self(product, block.ids[rows], other.ids[cols])
+            best.add(rows, product, other.ids[cols])
+    return taken
 
 
 def mask_self(product: np.ndarray, row_ids: np.ndarray, col_ids: np.ndarray) -> None:
@@ -174,10 +304,14 @@ class Best:
         bar = self.value[rows, -1]
         r, c = np.nonzero(product[:, seeds:] > bar[:, None] - MARGIN)
         c += seeds
-        value = np.round(product[r, c], DECIMALS) + 0.0
-        above = value > bar[r]
+        self.take(rows.start + r, product[r, c], others[c])
+
+    def take(self, row: np.ndarray, value: np.ndarray, other: np.ndarray) -> None:
+        """Take in single entries, in ascending order of `other` for each row and after what was added."""
+        value = np.round(value, DECIMALS) + 0.0
+        above = value > self.value[row, -1]
         if above.any():
-            self._insert(rows.start + r[above], value[above], others[c[above]])
+            self._insert(row[above], value[above], other[above])
 
     def _insert(self, row: np.ndarray, value: np.ndarray, other: np.ndarray) -> None:
         """Merge single entries, which come in ascending order of `other` for each row."""

@@ -1,6 +1,7 @@
 """Cosine neighbours against a plain matrix product."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,58 @@ def test_one_catalogue_scan_for_all_depths(spark, tmp_path):
     asked = frame(spark, random_rows(40, 13)[:9]).withColumn("depth", (F.col("id") % 30 + 1).cast("int"))
     plan = sim.topk_for(asked, items)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("catalogue") + plan.count("Relation [") <= 2
+
+
+def block(rows, bar=None):
+    unit = [np.array(r[1]) for r in rows]
+    scale = [np.sqrt(u @ u + len(r[2])) for u, r in zip(unit, rows)]
+    columns = {
+        "id": pa.array([r[0] for r in rows], pa.int64()),
+        "unit": pa.array([(u / s).tolist() for u, s in zip(unit, scale)], pa.list_(pa.float64())),
+        "labels": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
+        "label_weight": pa.array([1 / s for s in scale]),
+    }
+    return tiles.Block(pa.table(columns | ({} if bar is None else {"bar": pa.array(bar)})))
+
+
+@pytest.mark.parametrize("columns", [1 << 27, 0])
+def test_screened_products_give_the_same_lists(monkeypatch, columns):
+    """Rows that differ by less than single precision holds, copies, and labels; columns 0: no screen."""
+    monkeypatch.setattr(tiles, "SCREEN_BYTES", columns)
+    monkeypatch.setattr(tiles, "SLICE_ROWS", 64)
+    monkeypatch.setattr(tiles, "SEED_COLUMNS", 16)
+    rows = random_rows(300, 14)
+    rng = np.random.default_rng(14)
+    rows += [(9000 + i, [x + 1e-5 * rng.normal() for x in rows[i % 20][1]], rows[i % 20][2]) for i in range(200)]
+    rows += [(8000 + i, *rows[i % 5][1:]) for i in range(60)]
+    expected = expected_top(rows, 12, 5)
+    halves = block(rows[::2]), block(rows[1::2])
+    found = [tiles.Best(b.ids, 5) for b in halves]
+    for b, best in zip(halves, found):
+        tiles.fill(b, b, best)
+    both = [tiles.Best(b.ids, 5) for b in halves]
+    tiles.fill(*halves, *both)
+    got = {}
+    for table in (t.table().to_pylist() for t in (*found, *both)):
+        for r in table:
+            got.setdefault(r["id"], []).append((-r["similarity"], r["neighbor_id"]))
+    same({i: [(j, -s) for s, j in sorted(p)[:5]] for i, p in got.items()}, expected)
+
+
+def test_few_products_in_double_precision(monkeypatch):
+    """Where lists are full only pairs that may reach one are computed as they are kept."""
+    monkeypatch.setattr(tiles, "SLICE_ROWS", 64)
+    rows = random_rows(512, 15)
+    halves = block(rows[:256], [0.95] * 256), block(rows[256:], [0.95] * 256)
+    counted = []
+    checked = tiles.Screen.cosines
+    monkeypatch.setattr(tiles.Screen, "cosines", lambda self, i, j: counted.append(len(i)) or checked(self, i, j))
+    monkeypatch.setattr(tiles, "_product", lambda *_: pytest.fail("a whole slice was computed"))
+    best = [tiles.Best(b.ids, 3, b.bar) for b in halves]
+    tiles.fill(*halves, *best, others_only=False)
+    assert 0 < sum(counted) < 256 * 256 / 16
+    ids, cosine = matrix(sorted(rows[:256]) + sorted(rows[256:]), 12)
+    for r in best[0].table().to_pylist():
+        i, j = (int(np.flatnonzero(ids == r[c])[0]) for c in ("id", "neighbor_id"))
+        assert r["similarity"] == pytest.approx(cosine[i, j], abs=1e-9) and cosine[i, j] >= 0.95
+    assert len(best[0].table()) == np.minimum((cosine[:256, 256:] >= 0.95).sum(axis=1), 3).sum()
