@@ -138,13 +138,25 @@ def with_needs(barred: DataFrame, cells: Cells) -> DataFrame:
 
 
 def needed_cells(rows: DataFrame, count: int) -> np.ndarray:
-    """[a, b]: whether some row of cell a needs cell b; one row per cell reaches the driver."""
-    out = np.zeros((count, count), bool)
-    for row in rows.groupBy("cell").agg(F.bit_or("needs").alias("needs")).collect():
-        out[row.cell] = [(row.needs >> b) & 1 == 1 for b in range(count)]
+    """[a, b]: how many rows of cell a need cell b; one row per cell reaches the driver."""
+    out = np.zeros((count, count), np.int64)
+    bits = [F.count_if(F.getbit("needs", F.lit(b)) == 1).alias(f"b{b}") for b in range(count)]
+    for row in rows.groupBy("cell").agg(*bits).collect():
+        out[row.cell] = [row[f"b{b}"] for b in range(count)]
     return out
 
 
+def worth_it(cells: Cells, layout: Layout, sent: np.ndarray, rows: int, blocks: int) -> bool:
+    """Whether cells save anything when `sent` [a, b] rows of cell a go to cell b.
+
+    Every row meets every row in `blocks` plain blocks with that many copies of each.  Cells that
+    leave out less than half of the pairs and send more copies than that are no help.
+    """
+    pairs = np.triu(sent.astype(float) * sent.T, 1).sum() * 2 + (cells.rows.astype(float) ** 2).sum()
+    copies = (layout.blocks * cells.rows).sum() + (sent * layout.blocks).sum()
+    return pairs < 0.5 * float(rows) ** 2 or copies <= rows * blocks
+
+
 class Layout(NamedTuple):
     """Blocks of each cell, none of more than about `size` rows; a row's block is the hash of its id."""
 

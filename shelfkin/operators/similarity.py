@@ -113,11 +113,11 @@ def _cross_tiles(queries: DataFrame, items: DataFrame, q_blocks: int, i_blocks:
 
 
 def _tile_best(k: int) -> Callable[[pa.Table], pa.Table]:
-    """The best k of each row of both blocks within a tile."""
+    """The best k of each row of both blocks within a tile, at or above its bar if it has one."""
 
     def best(table: pa.Table) -> pa.Table:
         left, right, diagonal = blocks_of(table)
-        of_left, of_right = Best(left.ids, k), Best(right.ids, k)
+        of_left, of_right = (Best(b.ids, k, b.bar) for b in (left, right))
         fill(left, right, of_left, None if diagonal else of_right)
         return of_left.table() if diagonal else pa.concat_tables([of_left.table(), of_right.table()])
 
@@ -157,7 +157,8 @@ def all_pairs_cosine(
 
     The result has n squared rows by definition; to serve neighbours use `topk_neighbors`, which
     never forms it.  With `min_similarity` only pairs that reach it leave their task, and only
-    rows that can be in one meet those of another cell (see `pivots`).
+    rows that can be in one meet those of another cell (see `pivots`), unless cells would leave
+    out little and send more copies of the rows than plain blocks.
     """
     rows, held = _shape(features)
     units, blocks = l2_normalize(features), block_count(rows, held, _tasks(features))
@@ -168,11 +169,13 @@ def all_pairs_cosine(
     placed = stored(pivots.place(units, chosen), "placed")
     cells = pivots.cells_of(placed, chosen.num_rows)
     layout = pivots.lay_out(cells, math.ceil(rows / blocks))
-    near = pivots.inside_tiles(placed, layout).groupBy(*TILE).applyInArrow(pairs, NEIGHBOR_SCHEMA)
     barred = pivots.with_needs(placed.withColumn("bar", F.lit(float(min_similarity))), cells)
     barred = stored(barred.filter("needs <> 0"), "barred")
-    needed = pivots.needed_cells(barred, chosen.num_rows)
-    between = pivots.between_tiles(barred, layout, needed, both_need=True).groupBy(*TILE)
+    needing = pivots.needed_cells(barred, chosen.num_rows)
+    if not pivots.worth_it(cells, layout, needing, rows, blocks):
+        return _square_tiles(units, blocks).groupBy(*TILE).applyInArrow(pairs, NEIGHBOR_SCHEMA)
+    near = pivots.inside_tiles(placed, layout).groupBy(*TILE).applyInArrow(pairs, NEIGHBOR_SCHEMA)
+    between = pivots.between_tiles(barred, layout, needing > 0, both_need=True).groupBy(*TILE)
     return near.unionByName(between.applyInArrow(_tile_pairs(include_self, min_similarity, False), NEIGHBOR_SCHEMA))
 
 
@@ -196,7 +199,8 @@ def topk_neighbors(features: DataFrame, k: int, report: dict | None = None) -> D
     """The k most similar others of every item: `(id, neighbor_id, similarity, rank)`.
 
     Items meet their own cell first (see `pivots`).  The k-th best found there is an item's bar,
-    and only cells that can hold something at least as good are met then.  A `report` is filled
+    and only cells that can hold something at least as good are met then.  Where that leaves out
+    little, plain blocks meet instead, which takes fewer copies of the rows.  A `report` is filled
     with the tiles there are, the tiles met, and the rows sent to them.
     """
     if k < 1:
@@ -217,10 +221,15 @@ def topk_neighbors(features: DataFrame, k: int, report: dict | None = None) -> D
     near = stored(rank_neighbors(inside.applyInArrow(_tile_best(k), NEIGHBOR_SCHEMA), k), "near")
     bars = near.filter(F.col("rank") == k).select("id", F.col("similarity").alias("bar"))
     barred = stored(pivots.with_needs(placed.join(bars, "id", "left"), cells), "barred")
-    needed = pivots.needed_cells(barred, chosen.num_rows)
+    needed = pivots.needed_cells(barred, chosen.num_rows) > 0
     met = layout.between(needed | needed.T)
-    sent = (layout.blocks * cells.rows).sum() + (cells.rows[:, None] * (needed | needed.T) * layout.blocks).sum()
-    _fill(report, layout.everything(), int(layout.inside().sum() + met.sum()), int(sent))
+    inside_sent, sent = (layout.blocks * cells.rows).sum(), cells.rows[:, None] * (needed | needed.T)
+    if not pivots.worth_it(cells, layout, sent, rows, blocks):
+        tiled = _square_tiles(barred.drop("cell", "needs"), blocks).groupBy(*TILE)
+        tiles = blocks * (blocks + 1) // 2
+        _fill(report, tiles, tiles, int(inside_sent + rows * blocks))
+        return rank_neighbors(tiled.applyInArrow(_tile_best(k), NEIGHBOR_SCHEMA), k)
+    _fill(report, layout.everything(), int(layout.inside().sum() + met.sum()), int(inside_sent + (sent * layout.blocks).sum()))
     if not met.any():
         return near
     between = pivots.between_tiles(barred, layout, needed).groupBy(*TILE)

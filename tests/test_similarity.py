@@ -301,3 +301,17 @@ def test_few_products_in_double_precision(monkeypatch):
         i, j = (int(np.flatnonzero(ids == r[c])[0]) for c in ("id", "neighbor_id"))
         assert r["similarity"] == pytest.approx(cosine[i, j], abs=1e-9) and cosine[i, j] >= 0.95
     assert len(best[0].table()) == np.minimum((cosine[:256, 256:] >= 0.95).sum(axis=1), 3).sum()
+
+
+def test_plain_blocks_where_cells_leave_out_little(spark, monkeypatch):
+    """Directions without order: every cell needs every other, and plain blocks take fewer copies."""
+    monkeypatch.setattr(sim, "CELL_ROWS", 10)
+    monkeypatch.setattr(sim, "block_count", lambda *_: 4)
+    rng = np.random.default_rng(16)
+    rows = [(i, [float(x) for x in rng.normal(size=16)], []) for i in range(300)]
+    every = sim.all_pairs_cosine(frame(spark, rows)).filter("similarity >= 0.2").collect()
+    monkeypatch.setattr(pivots, "between_tiles", lambda *_, **__: pytest.fail("a copy for each cell"))
+    report = {}
+    same(got_top(sim.topk_neighbors(frame(spark, rows), 5, report)), expected_top(rows, 0, 5))
+    assert report["tiles"] == 10 and report["rows_sent"] < 8 * len(rows)
+    assert sorted(every) == sorted(sim.all_pairs_cosine(frame(spark, rows), min_similarity=0.2).collect())
