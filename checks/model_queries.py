@@ -119,7 +119,8 @@ WIDE_IDS = (0, 1, 2, 3)
 )
 def wide_matrix(spark, sf):
     """Some columns of the matrix; the diagonal, which has no pair, is shown as -9."""
-    wide = sim.wide_matrix(sim.all_pairs_cosine(embedding_features(spark, sf)), list(WIDE_IDS))
+    features, ids = embedding_features(spark, sf), list(WIDE_IDS)
+    wide = sim.wide_matrix(sim.all_pairs_cosine(features, neighbors=ids), ids, features)
     shown = [F.coalesce(F.round(str(i), 6), F.lit(-9.0)) + 0.0 for i in WIDE_IDS]
     return wide.select("id", *[c.alias(f"to_{i}") for i, c in zip(WIDE_IDS, shown)])
 

@@ -124,10 +124,11 @@ def _tile_best(k: int) -> Callable[[pa.Table], pa.Table]:
     return best
 
 
-def _tile_pairs(keep_self: bool, least: float | None = None, one_side: bool = True):
+def _tile_pairs(keep_self: bool, least: float | None = None, one_side: bool = True, both_ways: bool = True):
     """Every pair of a tile in both directions, one slice at a time.
 
-    A tile with one side only is a block with itself, or without `one_side` has no pairs.
+    A tile with one side only is a block with itself, or without `one_side` has no pairs.  Without
+    `both_ways` rows of side 0 are neighbours only.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def _tile_pairs(keep_self: bool, least: float | None = None, one_side: bool = Tr
                 mask_self(product, left.ids[rows], right.ids[cols])
             r, c = np.nonzero(product > -np.inf if least is None else product >= least)
             a, b, value = left.ids[rows][r], right.ids[cols][c], product[r, c]
-            for x, y in ((a, b),) if diagonal else ((a, b), (b, a)):
+            for x, y in ((a, b),) if diagonal else ((a, b), (b, a)) if both_ways else ((b, a),):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x), pa.array(y), pa.array(value)],
                     names=["id", "neighbor_id", "similarity"],
@@ -151,16 +152,26 @@ def _tile_pairs(keep_self: bool, least: float | None = None, one_side: bool = Tr
 
 
 def all_pairs_cosine(
-    features: DataFrame, include_self: bool = False, min_similarity: float | None = None
+    features: DataFrame,
+    include_self: bool = False,
+    min_similarity: float | None = None,
+    neighbors: list[int] | None = None,
 ) -> DataFrame:
     """Cosine of every ordered pair `(id, neighbor_id, similarity)`.
 
     The result has n squared rows by definition; to serve neighbours use `topk_neighbors`, which
     never forms it.  With `min_similarity` only pairs that reach it leave their task, and only
     rows that can be in one meet those of another cell (see `pivots`), unless cells would leave
-    out little and send more copies of the rows than plain blocks.
+    out little and send more copies of the rows than plain blocks.  With `neighbors` only pairs
+    whose `neighbor_id` is listed are asked for, and every row meets the listed rows alone.
     """
     rows, held = _shape(features)
+    if neighbors is not None:
+        listed = features.filter(F.col("id").isin(neighbors))
+        l_blocks = block_count(*_shape(listed), 1)
+        tiled = _cross_tiles(l2_normalize(listed), l2_normalize(features), l_blocks, block_count(rows, held, _tasks(features) ** 2))
+        pairs = _tile_pairs(include_self, min_similarity, one_side=False, both_ways=False)
+        return tiled.groupBy(*TILE).applyInArrow(pairs, NEIGHBOR_SCHEMA)
     units, blocks = l2_normalize(features), block_count(rows, held, _tasks(features))
     pairs = _tile_pairs(include_self, min_similarity)
     chosen = None if min_similarity is None else _pivots(units, rows)
@@ -330,6 +341,13 @@ def assert_unique_ids(df: DataFrame, key: str = "id") -> DataFrame:
     return df
 
 
-def wide_matrix(neighbors: DataFrame, ids: list[int]) -> DataFrame:
-    """Similarities to the listed ids as columns, one row per item."""
-    return neighbors.groupBy("id").pivot("neighbor_id", ids).agg(F.first("similarity"))
+def wide_matrix(neighbors: DataFrame, ids: list[int], items: DataFrame | None = None) -> DataFrame:
+    """Similarities to the listed ids as columns, one row per item.
+
+    With `items`, all rows the pairs were made from, `neighbors` need hold only pairs with the
+    listed ids: any item that has a row to be paired with gets a row.
+    """
+    wide = neighbors.groupBy("id").pivot("neighbor_id", ids).agg(F.first("similarity"))
+    if items is None or items.limit(2).count() < 2:
+        return wide
+    return items.select("id").distinct().join(wide, "id", "left")

@@ -173,6 +173,26 @@ def test_wide_matrix(spark):
     assert [(r["1"], r["3"]) for r in wide] == [(None, -1.0), (1.0, -1.0), (-1.0, None)]
 
 
+def test_wide_matrix_meets_only_its_columns(spark, monkeypatch):
+    rows = random_rows(40, 13)
+    every = sim.all_pairs_cosine(frame(spark, rows))
+    ids = [rows[0][0], rows[1][0], -5]
+    monkeypatch.setattr(sim, "block_count", lambda *_: 3)
+    some = sim.all_pairs_cosine(frame(spark, rows), neighbors=ids)
+    assert sorted(some.collect()) == sorted(every.filter(F.col("neighbor_id").isin(ids)).collect())
+    with_self = sim.all_pairs_cosine(frame(spark, rows), include_self=True, neighbors=ids)
+    assert with_self.count() == 2 * len(rows)
+    got = sim.wide_matrix(some, ids, frame(spark, rows)).orderBy("id").collect()
+    assert got == sim.wide_matrix(every, ids).orderBy("id").collect() and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("rows, n", [([(1, [1.0], [])], 0), ([(1, [1.0], []), (2, [2.0], [])], 2)])
+def test_wide_matrix_has_a_row_for_items_without_a_listed_pair(spark, rows, n):
+    for ids in ([9], [1, 9]):
+        wide = sim.wide_matrix(sim.all_pairs_cosine(frame(spark, rows), neighbors=ids), ids, frame(spark, rows))
+        assert wide.count() == n == sim.wide_matrix(sim.all_pairs_cosine(frame(spark, rows)), ids).count()
+
+
 def clustered_rows(n, seed, clusters=6, labels=12):
     """Rows around a few centres, some far from all, some without direction, some copies."""
     rng = np.random.default_rng(seed)
