@@ -160,12 +160,14 @@ class Screen:
 
     @staticmethod
     def of(left: Block, right: Block) -> Screen | None:
-        """None where the shared labels are too many to be columns."""
+        """None where the shared labels are too many to be columns, or a row lists one twice."""
         shared = np.intersect1d(left.label, right.label)
         rows = len(left.ids) + (0 if left is right else len(right.ids))
         if rows * (4 * left.unit.shape[1] + 5 * len(shared)) > SCREEN_BYTES:
             return None
-        return Screen(left, right, shared)
+        screen = Screen(left, right, shared)
+        listed = [np.isin(block.label, shared).sum() for block in (left, right)]
+        return screen if listed == [screen.l_has.sum(), screen.r_has.sum()] else None
 
     @staticmethod
     def _columns(block: Block, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -304,6 +304,20 @@ def test_screened_products_give_the_same_lists(monkeypatch, columns):
     same({i: [(j, -s) for s, j in sorted(p)[:5]] for i, p in got.items()}, expected)
 
 
+def test_a_label_listed_twice_counts_as_in_whole_products(monkeypatch):
+    """Repeated items have each label twice; such rows are not screened."""
+    monkeypatch.setattr(tiles, "SLICE_ROWS", 64)
+    monkeypatch.setattr(tiles, "SEED_COLUMNS", 16)
+    rows = [(i, numeric, sorted(labels * 2) if i % 7 == 0 else labels) for i, numeric, labels in random_rows(150, 17)]
+    whole = block(rows)
+    plain, best = tiles.Best(whole.ids, 4), tiles.Best(whole.ids, 4)
+    for r, c, product in tiles.products(whole, whole):
+        tiles.mask_self(product, whole.ids[r], whole.ids[c])
+        plain.add(r, product, whole.ids[c])
+    tiles.fill(whole, whole, best)
+    assert best.table() == plain.table()
+
+
 def test_few_products_in_double_precision(monkeypatch):
     """Where lists are full only pairs that may reach one are computed as they are kept."""
     monkeypatch.setattr(tiles, "SLICE_ROWS", 64)
