@@ -349,3 +349,34 @@ def test_plain_blocks_where_cells_leave_out_little(spark, monkeypatch):
     same(got_top(sim.topk_neighbors(frame(spark, rows), 5, report)), expected_top(rows, 0, 5))
     assert report["tiles"] == 10 and report["rows_sent"] < 8 * len(rows)
     assert sorted(every) == sorted(sim.all_pairs_cosine(frame(spark, rows), min_similarity=0.2).collect())
+
+
+def test_runs_of_pairs_come_in_one_direction_and_then_the_other():
+    """What writes the matrix meets each run of values again within a few hundred bytes."""
+    sides, tables = [], []
+    for side, (rows, first) in enumerate(((40, 0), (37, 100))):
+        unit = np.random.default_rng(side).normal(size=(rows, 3))
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        tables.append(
+            pa.table(
+                {
+                    "id": np.arange(first, first + rows),
+                    "unit": pa.array(unit.tolist(), pa.list_(pa.float64())),
+                    "labels": pa.array([[]] * rows, pa.list_(pa.int32())),
+                    "label_weight": np.ones(rows),
+                    "side": np.full(rows, side),
+                }
+            )
+        )
+        sides.append(unit)
+    expected = np.round(sides[0] @ sides[1].T, 10)
+    for bound in (None, 0.2):
+        batches = list(sim._tile_pairs(False, bound)(iter(pa.concat_tables(tables).combine_chunks().to_batches())))
+        got = pa.Table.from_batches(batches).to_pydict()
+        pairs = list(zip(got["id"], got["neighbor_id"]))
+        wanted = [(i, 100 + j) for i, j in zip(*np.nonzero(expected >= (-2 if bound is None else bound)))]
+        assert sorted(pairs) == sorted(wanted + [(b, a) for a, b in wanted])
+        values = dict(zip(pairs, got["similarity"]))
+        assert all(abs(values[a, b] - expected[a, b - 100]) < 1e-9 and values[a, b] == values[b, a] for a, b in wanted)
+        place = {pair: i for i, pair in enumerate(pairs)}
+        assert max(abs(place[a, b] - place[b, a]) for a, b in wanted) <= 37
