@@ -25,7 +25,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def parts_of(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about `size` bytes of text, so that what is made of a part stays small."""
-    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0

@@ -315,6 +315,57 @@ def test_passages_inside_sentences_go(docs_of):
         assert left + rows[i][1][at:] == kept
 
 
+def test_several_texts_at_once_are_parted_as_each_alone():
+    """Lines, whole lines and words of many texts in one go, with white space of all kinds."""
+    some = ["a", "b", "\u00e9", "word", "\u3002", "\u3000", " ", "  ", "   ", ".", ". ", "! ", "?  ", ". \n", "\n", "\n\n",
+            "\t", "\x1c", "\x85", "\xa0", "\x0b", "\r\n", "\u201cx\u201d", "\u2013", "\u2028", "\u65e5\u672c"]
+    draw = random.Random(3)
+    for _ in range(300):
+        made = ["".join(draw.choices(some, k=draw.randint(0, 25))) for _ in range(4)]
+        texts = line_dedup.Texts([text.encode() for text in made])
+        texts.find_lines()
+        starts, _, words = line_dedup._words_in(texts.raw)
+        owner, of_word = texts.text_at(texts.lines), texts.text_at(starts)
+        lines = [a.decode() for a in texts.hashed(texts.lines_from, texts.lines_to, lambda line, seed: line)]
+        whole = [a.decode() for a in texts.hashed(texts.whole_from, texts.whole_to, lambda line, seed: line)]
+        counts = texts.words_between(texts.lines_from, texts.lines_to)
+        for i, text in enumerate(made):
+            mine = [line for line, at in zip(lines, owner) if at == i]
+            assert mine == [x.strip() for x in line_dedup.BETWEEN.split(text) if x.strip()]
+            assert counts[owner == i].tolist() == [line.count(" ") + 1 for line in mine]
+            assert words[of_word == i].tolist() == line_dedup.words_of(text.encode()).tolist()
+        assert whole == [x.strip() for text in made for x in text.split("\n") if x.strip()]
+
+
+def plain_cut(text, runs, passages):
+    """The same as `cut`, by the patterns and a set of code points."""
+    starts, at = [], 0
+    for end, following in [*(m.span() for m in line_dedup.BETWEEN.finditer(text)), (len(text),) * 2]:
+        if text[at:end].strip():
+            starts.append(at)
+        at = following
+    gone = set()
+    for places, found in ((starts, runs), ([m.start() for m in line_dedup.WORD.finditer(text)], passages)):
+        places = [*places, len(text)]
+        for first, last in found:
+            gone |= set(range(places[first], places[last + 1]))
+    edges = [i for i in range(len(text) + 1) if (i in gone) != (i - 1 in gone)]
+    return "".join(c for i, c in enumerate(text) if i not in gone), list(zip(edges[::2], edges[1::2]))
+
+
+def test_cut_equals_brute_force():
+    draw = random.Random(4)
+    for _ in range(300):
+        text = "".join(draw.choices(["\u00e9a", "b", "\u65e5", " ", "  ", ". ", "\n", "\t", "\U0001f600"], k=40))
+        lines = sum(bool(x.strip()) for x in line_dedup.BETWEEN.split(text))
+        runs, passages = ([], [])
+        for found, n in ((runs, lines), (passages, len(line_dedup.WORD.findall(text)))):
+            for _ in range(draw.randint(0, 3) if n else 0):
+                first = draw.randrange(n)
+                found.append((first, min(n - 1, first + draw.randint(0, 2))))
+        assert line_dedup.cut(text, runs, passages) == plain_cut(text, runs, passages)
+
+
 def test_words_are_hashed_as_they_stand():
     text = " Zwei  wörter\tund\nzwei wörter\x85und 字 a aa\x00a a "
     words = line_dedup.WORD.findall(text)
