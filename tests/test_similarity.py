@@ -380,3 +380,25 @@ def test_runs_of_pairs_come_in_one_direction_and_then_the_other():
         assert all(abs(values[a, b] - expected[a, b - 100]) < 1e-9 and values[a, b] == values[b, a] for a, b in wanted)
         place = {pair: i for i, pair in enumerate(pairs)}
         assert max(abs(place[a, b] - place[b, a]) for a, b in wanted) <= 37
+
+
+@pytest.mark.parametrize("keep_self", [True, False])
+def test_files_of_the_full_matrix_hold_one_band_of_values(spark, monkeypatch, tmp_path, keep_self):
+    """What writes a task's pairs meets few different values; no pair is lost or given twice."""
+    monkeypatch.setattr(sim, "BANDED_ROWS", 60, raising=False)
+    monkeypatch.setattr(sim, "BAND_PAIRS", 128, raising=False)
+    monkeypatch.setattr(tiles, "SLICE_ROWS", 16)
+    rows = random_rows(150, 17, width=2)
+    rows += [(5000 + i, [x, 0.0], []) for i, x in enumerate((1.0, -1.0, 0.0))]  # cosines at -1, 0 and 1
+    rows += [(5010, [0.5, 0.75**0.5], []), (5011, [-0.5, 0.75**0.5], [])]  # and at the edge of a band
+    path = str(tmp_path / "pairs")
+    sim.all_pairs_cosine(frame(spark, rows), include_self=keep_self).write.parquet(path)
+    ids, cosine = matrix(rows, 12)
+    expected = {(i, j): cosine[r, c] for r, i in enumerate(ids) for c, j in enumerate(ids) if keep_self or i != j}
+    found = spark.read.parquet(path).withColumn("file", F.input_file_name()).collect()
+    assert len(found) == len(expected)
+    assert {(r.id, r.neighbor_id): r.similarity for r in found} == pytest.approx(expected, abs=1e-9)
+    values = {}
+    for r in found:
+        values.setdefault(r.file, []).append(r.similarity)
+    assert all(max(v) - min(v) <= 0.125 + 1e-9 or max(v) < -0.49 for v in values.values())
