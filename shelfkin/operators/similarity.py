@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfkin.operators import pivots
+from shelfkin.operators import pivots, postings
 from shelfkin.operators.tiles import DECIMALS, TILE, Best, Block, blocks_of, fill, mask_self, products, spread
 from shelfkin.sources.snapshots import stored
 
@@ -37,6 +37,9 @@ BANDED_ROWS = 4000  # of a block whose pairs are given in bands: two such blocks
 BAND_EDGES = (-np.inf, *np.arange(-0.5, 0.9, 0.125).tolist(), np.inf)
 BAND_PAIRS = 1 << 17  # of a band, given at a time
 RUN_PAIRS = 64  # of these, given in one direction before they are in the other
+LISTED_ROWS = 1 << 16  # of a catalogue whose rows meet by the labels they share, see `postings`
+LISTED_SHARE = 16  # this way is taken when rows meet one row in so many first, at most
+FURTHER_SHARE = 2  # and kept to when they meet one row in so many after that, at most; else plain blocks meet
 CELL_ROWS = 2048  # rows of a cell in a small catalogue; a large one has `pivots.MOST_PIVOTS` cells
 
 NEIGHBOR_SCHEMA = "id bigint, neighbor_id bigint, similarity double"
@@ -283,7 +286,8 @@ def _ranked(candidates: DataFrame) -> DataFrame:
 def topk_neighbors(features: DataFrame, k: int, report: dict | None = None) -> DataFrame:
     """The k most similar others of every item: `(id, neighbor_id, similarity, rank)`.
 
-    Items meet their own cell first (see `pivots`).  The k-th best found there is an item's bar,
+    In a large catalogue items meet by the labels they share, where that leaves out nearly all pairs
+    (see `postings`).  Otherwise they meet their own cell first (see `pivots`).  The k-th best found there is an item's bar,
     and only cells that can hold something at least as good are met then.  Where that leaves out
     little, plain blocks meet instead, which takes fewer copies of the rows.  A `report` is filled
     with the tiles there are, the tiles met, and the rows sent to them.
@@ -294,6 +298,9 @@ def topk_neighbors(features: DataFrame, k: int, report: dict | None = None) -> D
     k = max(1, min(k, rows - 1))
     blocks = block_count(rows, held, _tasks(features), k)
     units = l2_normalize(features)
+    by_labels = _topk_by_labels(units, rows, held, k, report) if rows >= LISTED_ROWS else None
+    if by_labels is not None:
+        return by_labels
     chosen = _pivots(units, rows)
     if chosen is None:
         best = _square_tiles(units, blocks).groupBy(*TILE).applyInArrow(_tile_best(k), NEIGHBOR_SCHEMA)
@@ -322,6 +329,43 @@ def topk_neighbors(features: DataFrame, k: int, report: dict | None = None) -> D
     return rank_neighbors(near.drop("rank").unionByName(far), k)
 
 
+def _topk_by_labels(units: DataFrame, rows: int, held: int, k: int, report: dict | None) -> DataFrame | None:
+    """The same by the labels items share; none where that would not leave out nearly all pairs.
+
+    A repeated id, or a row that lists a label twice, leaves it to the other ways.
+    """
+    twice, bare = F.size("labels") > F.size(F.array_distinct("labels")), F.size("labels") == 0
+    found = units.agg(*[f.alias(n) for n, f in (("ids", F.count("id")), ("twice", F.count_if(twice)), ("bare", F.count_if(bare)))])
+    known = found.first()
+    if known.ids < rows or known.twice or known.bare**2 * LISTED_SHARE > rows**2:
+        return None
+    if units.select("id").distinct().count() < rows:
+        return None
+    listed = stored(postings.with_lists(units, k), "listed")
+    blocks, most = block_count(rows, held, _tasks(units), k), math.ceil(rows / block_count(rows, held, 1, k))
+    seeds = listed.select(*postings.ROW, F.lit(-2.0).alias("bar"), F.array("seed").alias("asking"))
+    first = postings.asked(seeds, listed, most)
+    if first.pairs * LISTED_SHARE > rows**2:
+        return None
+    near = stored(rank_neighbors(postings.met(first, listed, k, _tasks(units), NEIGHBOR_SCHEMA), k), "near")
+    bars = near.filter(F.col("rank") == k).select("id", F.col("similarity").alias("bar"))
+    barred = listed.join(bars, "id", "left").withColumn("asking", postings.further(rows))
+    barred = stored(barred.select(*postings.ROW, F.coalesce("bar", F.lit(-2.0)).alias("bar"), "asking"), "barred")
+    second = postings.asked(barred, listed, most)
+    everything = blocks * (blocks + 1) // 2
+    if second.pairs * FURTHER_SHARE > rows**2:
+        _fill(report, everything, first.tiles + everything, first.sent + rows * blocks)
+        tiled = _square_tiles(barred.drop("asking"), blocks).groupBy(*TILE)
+        return rank_neighbors(tiled.applyInArrow(_tile_best(k), NEIGHBOR_SCHEMA), k)
+    _fill(report, everything, first.tiles + second.tiles, first.sent + second.sent)
+    if not second.pairs:
+        return near
+    far = postings.met(second, listed, k, _tasks(units), NEIGHBOR_SCHEMA)
+    # Two items may meet in several lists.
+    both = near.drop("rank").unionByName(far).repartition("id")
+    return rank_neighbors(both.groupBy("id", "neighbor_id").agg(F.max("similarity").alias("similarity")), k)
+
+
 def _pivots(units: DataFrame, rows: int) -> pa.Table | None:
     """Pivots for a catalogue, or none where there would be one cell."""
     count = min(pivots.MOST_PIVOTS, rows // CELL_ROWS)

@@ -402,3 +402,52 @@ def test_files_of_the_full_matrix_hold_one_band_of_values(spark, monkeypatch, tm
     for r in found:
         values.setdefault(r.file, []).append(r.similarity)
     assert all(max(v) - min(v) <= 0.125 + 1e-9 or max(v) < -0.49 for v in values.values())
+
+
+def listed_rows(n, seed, sets=4, labels=40):
+    """Items near each other in numbers of all sizes, with one of a few sets of labels or a larger one."""
+    rng = np.random.default_rng(seed)
+    kinds = [sorted(int(x) for x in rng.choice(labels, size, replace=False)) for size in rng.integers(1, 5, sets)]
+    kinds += [[], kinds[0][:1]]
+    spots = rng.normal(size=(n // 16, 3)) * 2.0 ** rng.integers(-3, 9, n // 16)[:, None]
+    spot = rng.integers(len(spots), size=n)
+    numbers = spots[spot] * (1 + rng.normal(size=(n, 3)) * 10.0 ** -rng.integers(1, 5, n)[:, None])
+    chosen = [kinds[j % len(kinds)] + [int(labels + j % 3)] * int(more) for j, more in zip(spot, rng.integers(0, 2, n))]
+    return [(int(i) * 3 + 1, [float(x) for x in numbers[i]], chosen[i]) for i in range(n)], labels + 3
+
+
+@pytest.mark.parametrize("seed, least, block_rows", [(18, 5, 16), (19, 40, 1000), (20, 10_000, 50)])
+def test_items_meet_by_the_labels_they_share(spark, monkeypatch, seed, least, block_rows):
+    """The lists that a bar leaves hold all neighbours, whatever the sizes and the sets of labels."""
+    from shelfkin.operators import postings
+
+    monkeypatch.setattr(sim, "LISTED_ROWS", 1)
+    monkeypatch.setattr(sim, "LISTED_SHARE", 1)
+    monkeypatch.setattr(sim, "FURTHER_SHARE", 0)  # keep to it, though there are few items
+    monkeypatch.setattr(postings, "SEED_ROWS", least)
+    monkeypatch.setattr(postings, "BLOCK_ROWS", block_rows)
+    for other in ("_pivots", "_square_tiles"):
+        monkeypatch.setattr(sim, other, lambda *_: pytest.fail("not by labels"))
+    plans, kinds, asked = [], set(), postings.asked
+
+    def noted(*args):
+        plans.append(asked(*args))
+        kinds.update((len(plans), r.kind, r.light > 0) for r in plans[-1].questions.collect())
+        return plans[-1]
+
+    monkeypatch.setattr(postings, "asked", noted)
+    rows, labels = listed_rows(400, seed)
+    rows += [(9001, [0.0, 0.0, 0.0], []), (9002, [0.0, 0.0, 0.0], [])]
+    same(got_top(sim.topk_neighbors(frame(spark, rows), 3)), expected_top(rows, labels, 3))
+    assert len(plans) == 2 and (least > len(rows)) != ((1, postings.SAME, False) in kinds and (2, postings.LABEL, True) in kinds)
+    assert {(2, postings.LABEL, False), (2, postings.ALL, False)} <= kinds, kinds
+
+
+def test_labels_alone_do_not_place_copies_of_an_id(spark, monkeypatch):
+    """Repeated ids and labels, and items without labels, are left to the other ways."""
+    monkeypatch.setattr(sim, "LISTED_ROWS", 1, raising=False)
+    rows, labels = listed_rows(60, 21)
+    units = sim.l2_normalize(frame(spark, rows))
+    for more in ([rows[0]], [(9001, [1.0, 0.0, 0.0], [3, 3])]):
+        assert sim._topk_by_labels(sim.l2_normalize(frame(spark, rows + more)), len(rows) + 1, 6000, 5, None) is None
+    assert sim._topk_by_labels(units.withColumn("labels", F.array().cast("array<int>")), len(rows), 6000, 5, None) is None
